@@ -17,8 +17,12 @@ BLOCK = "_block"
 
 
 def in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows with a block number that rises along (keys, order); durable, since re-sampling would move it."""
-    return durable(df.repartitionByRange(*keys, *order).withColumn(BLOCK, F.spark_partition_id()))
+    """Sorted rows with a block number that rises along (keys, order).
+
+    Durable, since sampling the ranges again would move the borders.
+    """
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return durable(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
 def ordered_scan(
