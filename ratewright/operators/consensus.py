@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.functions import calendar as t
@@ -30,12 +30,12 @@ def in_play(quotes: DataFrame, fixtures: DataFrame, as_of, fresh_minutes: float,
 def prefer_recent(latest: DataFrame, hours: float = 6.0) -> DataFrame:
     """Keep a fixture's quotes of the last hours if two books are there; else all, flagged degraded."""
     recent = t.hours_between("snapshot_time", "kickoff") <= hours
-    counts = latest.groupBy("fixture_id").agg(F.count_if(recent).alias("_recent"))
-    joined = latest.join(counts, "fixture_id")
+    w = Window.partitionBy("fixture_id")  # one row per book
+    counted = latest.withColumns({"_is": recent, "_recent": F.count_if(recent).over(w)})
     return (
-        joined.where((F.col("_recent") < 2) | recent)
+        counted.where((F.col("_recent") < 2) | F.col("_is"))
         .withColumn("kr_degraded", F.col("_recent") < 2)
-        .drop("_recent")
+        .drop("_recent", "_is")
     )
 
 

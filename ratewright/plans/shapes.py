@@ -11,8 +11,25 @@ from ratewright.plans.registry import fragment
 AS_OF = "1998-06-01 00:00:00"
 
 
+# Explicit schemas: no footer is read to plan a query.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "pages": "page_id long, url string, html string",
+}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{d}/{name}.parquet")
 
 
 def as_of():
@@ -29,7 +46,7 @@ def fixtures(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     home = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("home_team"), "r_name")
-    away = nation.select(F.col("n_nationkey").alias("_away"), F.col("n_name").alias("away_team"))
+    away = table(spark, d, "nation").select(F.col("n_nationkey").alias("_away"), F.col("n_name").alias("away_team"))
     key = F.col("o_orderkey")
     joined = (
         orders.join(customer, "o_custkey")
