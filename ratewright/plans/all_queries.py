@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from ratewright.plans import consensus_queries, rating_queries, settle_queries  # noqa: F401
+from ratewright.plans import consensus_queries, panel_queries, rating_queries, settle_queries  # noqa: F401
 from ratewright.plans.registry import CHECKS, QUERIES  # noqa: F401
