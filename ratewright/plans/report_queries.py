@@ -414,8 +414,8 @@ def settled_pairs(spark, d):
     sql(
         f"""SELECT *, row_number() OVER (ORDER BY b_value DESC, team_id) AS rank FROM (
               SELECT s.team_id, s.league, {rnd('s.b_value', 4)} AS b_value, coalesce(n, 0) AS settled_count, coalesce(trend, '') AS b_trend FROM state s LEFT JOIN (
-                SELECT team_id, max(n) AS n, string_agg(printf('%.1f', b_after), ',' ORDER BY date, fixture_id) FILTER (rn <= 5) AS trend
-                FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY date DESC, fixture_id DESC) AS rn, count(*) OVER (PARTITION BY team_id) AS n FROM v3log)
+                SELECT team_id, max(n) AS n, string_agg(printf('%.1f', b_after), ',' ORDER BY date, fixture_id) FILTER (rk <= 5) AS trend
+                FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY date DESC, fixture_id DESC) AS rk, count(*) OVER (PARTITION BY team_id) AS n FROM v3log)
                 GROUP BY team_id) USING (team_id))""",
         "state",
         "v3log",
