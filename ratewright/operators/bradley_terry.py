@@ -83,11 +83,14 @@ SOLVED = (
 )
 
 
+PANDAS_TYPES = {"string": "object", "double": "float64", "int": "int32", "long": "int64", "boolean": "bool"}
+
+
 def _map_solve(pdf: pd.DataFrame) -> pd.DataFrame:
     """Newton ascent of the log-posterior with a Gaussian prior; errors from the inverse Hessian."""
     used = int(pdf["n"].sum())
     if used <= 2:
-        return pd.DataFrame({n.split()[0]: [] for n in SOLVED.split(", ")})
+        return pd.DataFrame({n.split()[0]: pd.Series(dtype=PANDAS_TYPES[n.split()[1]]) for n in SOLVED.split(", ")})
     teams = pd.Index(sorted(set(pdf["home_team"]) | set(pdf["away_team"])))
     h, a = _index(pdf["home_team"], teams), _index(pdf["away_team"], teams)
     w, ws = pdf["w"].to_numpy(), pdf["ws"].to_numpy()

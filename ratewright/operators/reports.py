@@ -247,9 +247,8 @@ def settled_pairs(log: DataFrame, fixtures: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, by: str, tie: str = "team_id", league: str | None = None) -> DataFrame:
     """Position in the table by a key, missing last; within leagues where given."""
-    keys = [league] if league else []
-    w = Window.partitionBy(*keys).orderBy(F.col(by).desc_nulls_last(), tie)  # one row per team
-    return rows.withColumn("rank", F.row_number().over(w))
+    keyed = rows.withColumn("_k", F.coalesce(-F.col(by), F.lit(float("inf"))))
+    return ordered_scan(keyed, [league] if league else [], ["_k", tie], numbers="rank").drop("_k")
 
 
 def sections(fixtures: DataFrame) -> DataFrame:

@@ -19,10 +19,12 @@ def canonical(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
 def _by_names(events: DataFrame, fixtures: DataFrame, days: int, norm: bool) -> DataFrame:
     """Lowest fixture id with the same sides (normalised if asked) within +-days, nearest day first."""
     name = tx.normal_name if norm else F.col
-    best = fixtures.select(
-        name("home_team").alias("_h"), name("away_team").alias("_a"), F.col("date").alias("_d"), "fixture_id"
-    )
-    best = best.groupBy("_h", "_a", "_d").agg(F.min("fixture_id").alias("fixture_id"))
+    best = fixtures.groupBy("home_team", "away_team", F.col("date").alias("_d")).agg(F.min("fixture_id").alias("fixture_id"))
+    if norm:  # names are cleaned once per pairing and day, not per fixture
+        cleaned = best.select(name("home_team").alias("_h"), name("away_team").alias("_a"), "_d", "fixture_id")
+        best = cleaned.groupBy("_h", "_a", "_d").agg(F.min("fixture_id").alias("fixture_id"))
+    else:
+        best = best.withColumnsRenamed({"home_team": "_h", "away_team": "_a"})
     day = F.col("event_date")
     probes = events.select(
         "event_id", name("home_team").alias("_h"), name("away_team").alias("_a"), "event_date",

@@ -413,7 +413,7 @@ def settled_pairs(spark, d):
     "rankings",
     sql(
         f"""SELECT *, row_number() OVER (ORDER BY b_value DESC, team_id) AS rank FROM (
-              SELECT s.team_id, s.league, {rnd('s.b_value', 4)} AS b_value, coalesce(n, 0) AS settled_count, coalesce(trend, '') AS b_trend FROM state s LEFT JOIN (
+              SELECT s.team_id, s.league, {rnd('s.b_value', 6)} AS b_value, coalesce(n, 0) AS settled_count, coalesce(trend, '') AS b_trend FROM state s LEFT JOIN (
                 SELECT team_id, max(n) AS n, string_agg(printf('%.1f', b_after), ',' ORDER BY date, fixture_id) FILTER (rk <= 5) AS trend
                 FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY date DESC, fixture_id DESC) AS rk, count(*) OVER (PARTITION BY team_id) AS n FROM v3log)
                 GROUP BY team_id) USING (team_id))""",
@@ -428,15 +428,15 @@ def rankings(spark, d):
     pieces = F.sort_array(F.collect_list(F.struct("date", "fixture_id", "b_after")))
     trend = last.groupBy("team_id").agg(F.array_join(F.transform(pieces, lambda z: F.format_string("%.1f", z["b_after"])), ",").alias("b_trend"))
     rows = team_state(spark, d).join(counts, "team_id", "left").join(trend, "team_id", "left")
-    rows = rows.select("team_id", "league", r("b_value", 4).alias("b_value"), F.coalesce("settled_count", F.lit(0)).alias("settled_count"), F.coalesce("b_trend", F.lit("")).alias("b_trend"))
+    rows = rows.select("team_id", "league", r("b_value", 6).alias("b_value"), F.coalesce("settled_count", F.lit(0)).alias("settled_count"), F.coalesce("b_trend", F.lit("")).alias("b_trend"))
     return rp.ranked(rows, "b_value")
 
 
 @query(
     "state_stats",
     sql(
-        f"""SELECT count(*) AS teams, {rnd('avg(m1)', 4)} AS mean_m1, count(*) FILTER (abs(m1) >= 119) AS at_clamp, {rnd('corr(b_value, m1)', 4)} AS corr_b_m1,
-                   {rnd('min(b_value + m1)', 4)} AS min_index, {rnd('max(b_value + m1)', 4)} AS max_index, {rnd('avg(b_value + m1)', 4)} AS mean_index FROM (
+        f"""SELECT count(*) AS teams, {rnd('avg(m1)', 6)} AS mean_m1, count(*) FILTER (abs(m1) >= 119) AS at_clamp, {rnd('corr(b_value, m1)', 4)} AS corr_b_m1,
+                   {rnd('min(b_value + m1)', 6)} AS min_index, {rnd('max(b_value + m1)', 6)} AS max_index, {rnd('avg(b_value + m1)', 6)} AS mean_index FROM (
               SELECT *, greatest(-120.0, least(120.0, 1510 - b_value))::DOUBLE AS m1 FROM state)""",
         "state",
     ),
@@ -445,19 +445,19 @@ def state_stats(spark, d):
     s = team_state(spark, d).withColumn("m1", x.clamp(1510.0 - F.col("b_value"), -120.0, 120.0))
     idx = F.col("b_value") + F.col("m1")
     return s.agg(
-        F.count(F.lit(1)).alias("teams"), r(F.avg("m1"), 4).alias("mean_m1"), F.count_if(F.abs("m1") >= 119).alias("at_clamp"), r(F.corr("b_value", "m1"), 4).alias("corr_b_m1"),
-        r(F.min(idx), 4).alias("min_index"), r(F.max(idx), 4).alias("max_index"), r(F.avg(idx), 4).alias("mean_index"),
+        F.count(F.lit(1)).alias("teams"), r(F.avg("m1"), 6).alias("mean_m1"), F.count_if(F.abs("m1") >= 119).alias("at_clamp"), r(F.corr("b_value", "m1"), 4).alias("corr_b_m1"),
+        r(F.min(idx), 6).alias("min_index"), r(F.max(idx), 6).alias("max_index"), r(F.avg(idx), 6).alias("mean_index"),
     )
 
 
 @query(
     "league_range",
-    sql(f"SELECT league, {rnd('min(b_value)', 4)} AS lo, {rnd('max(b_value)', 4)} AS hi, {rnd('avg(b_value)', 4)} AS mean, {rnd('max(b_value) - min(b_value)', 4)} AS spread FROM state GROUP BY league", "state"),
+    sql(f"SELECT league, {rnd('min(b_value)', 6)} AS lo, {rnd('max(b_value)', 6)} AS hi, {rnd('avg(b_value)', 6)} AS mean, {rnd('max(b_value) - min(b_value)', 6)} AS spread FROM state GROUP BY league", "state"),
 )
 def league_range(spark, d):
     b = F.col("b_value")
     agg = team_state(spark, d).groupBy("league").agg(F.min(b).alias("lo"), F.max(b).alias("hi"), F.avg(b).alias("mean"), (F.max(b) - F.min(b)).alias("spread"))
-    return rs(agg, 4, "lo", "hi", "mean", "spread", keep=("league",))
+    return rs(agg, 6, "lo", "hi", "mean", "spread", keep=("league",))
 
 
 @query(

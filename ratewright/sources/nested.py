@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratewright.functions import calendar as t
 from ratewright.functions import numeric as x
 from ratewright.functions import text as tx
+from ratewright.operators.tables import pick_by
 
 OUTCOME = "struct<name:string,price:double,point:double>"
 MARKET = f"struct<key:string,last_update:string,outcomes:array<{OUTCOME}>>"
@@ -48,9 +48,15 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def regroup(quotes: DataFrame) -> DataFrame:
-    """Fixture -> snapshots (latest offset first) -> books. A fixture has few offsets and books per offset."""
-    per = quotes.groupBy("fixture", "day_offset", "snapshot_time").agg(
-        F.sort_array(F.collect_list(F.struct("bookmaker", "home_odds", "draw_odds", "away_odds"))).alias("books")
+    """Fixture -> snapshots (latest offset first) -> books, the last quote of each.
+
+    One row per (fixture, offset, book) is left before anything is collected, so a
+    fixture's row is bounded by its few offsets times its books.
+    """
+    single = pick_by(quotes, ["fixture", "day_offset", "bookmaker"], ["snapshot_time", "home_odds", "draw_odds", "away_odds"])
+    per = single.groupBy("fixture", "day_offset").agg(
+        F.max("snapshot_time").alias("snapshot_time"),
+        F.sort_array(F.collect_list(F.struct("bookmaker", "home_odds", "draw_odds", "away_odds"))).alias("books"),
     )
     return per.groupBy("fixture").agg(
         F.sort_array(F.collect_list(F.struct("day_offset", "snapshot_time", "books")), asc=False).alias("snapshots")

@@ -11,7 +11,7 @@ from ratewright import config as c
 from ratewright.functions import numeric as x
 from ratewright.operators import consensus as k
 from ratewright.operators.ordered import ordered_scan
-from ratewright.operators.tables import insert_absent, latest_quotes, pick_by, upsert
+from ratewright.operators.tables import insert_absent, latest_quotes, pick_by
 from ratewright.session import new_folder
 
 
@@ -20,23 +20,31 @@ def _run(writer, folder: str) -> None:
     q.awaitTermination()
 
 
-class VersionedTable:
-    """A keyed table rewritten as numbered folders; a version is current once its batch is done.
+class KeyedLog:
+    """Latest row per key as a folder per batch plus a merged base every few batches.
 
-    Versions follow the batch number, so a batch that is run again after a failure starts
-    from the version before it and writes the same one.
+    A batch writes only its own rows, so its cost follows the batch, not the table. What a
+    batch reads is named by its number alone: run again after a failure, it starts from
+    the same folders and replaces its own.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], order: list[str], every: int = 20):
+        self.spark, self.folder, self.schema, self.keys, self.order, self.every = spark, folder, schema, keys, order, every
 
-    def read(self, version: int) -> DataFrame:
-        if version < 0:
+    def _load(self, base: int, upto: int) -> DataFrame:
+        paths = [f"{self.folder}/base={base}"] if base >= 0 else []
+        paths += [f"{self.folder}/delta={i}" for i in range(base + 1, upto + 1)]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={version}")
+        return pick_by(self.spark.read.schema(self.schema).parquet(*paths), self.keys, self.order)
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+    def read(self, number: int) -> DataFrame:
+        return self._load((number + 1) // self.every * self.every - 1, number)
+
+    def append(self, rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/delta={number}")
+        if (number + 1) % self.every == 0:
+            self._load(number - self.every, number).write.mode("overwrite").parquet(f"{self.folder}/base={number}")
 
 
 QUOTE = (
@@ -54,16 +62,15 @@ def ingest_quotes(stream: DataFrame, fixtures: DataFrame, name: str = "quotes")
     """
     spark = stream.sparkSession
     root = new_folder(spark, name)
-    latest, preko = (VersionedTable(spark, f"{root}/{t}", QUOTE) for t in ("latest", "preko"))
+    latest, preko = (KeyedLog(spark, f"{root}/{t}", QUOTE, KEY, ORDER) for t in ("latest", "preko"))
     last = {"batch": -1}
 
     def step(batch: DataFrame, number: int) -> None:
         rows = batch.select(*[f.split()[0] for f in QUOTE.split(", ")])
         rows.write.mode("overwrite").parquet(f"{root}/archive/batch={number}")
         landed = spark.read.schema(QUOTE).parquet(f"{root}/archive/batch={number}")
-        latest.write(upsert(latest.read(number - 1), latest_quotes(landed), KEY, ORDER), number)
-        early = k.pre_kickoff(landed, fixtures).select(*landed.columns)
-        preko.write(upsert(preko.read(number - 1), latest_quotes(early), KEY, ORDER), number)
+        latest.append(latest_quotes(landed), number)
+        preko.append(latest_quotes(k.pre_kickoff(landed, fixtures).select(*landed.columns)), number)
         last["batch"] = number
 
     _run(stream.writeStream.foreachBatch(step), f"{root}/checkpoint")
@@ -79,18 +86,19 @@ def freeze_stream(stream: DataFrame, fixtures: DataFrame, as_of, hours: float) -
     spark = stream.sparkSession
     root = new_folder(spark, "freeze")
     schema = "fixture_id long, home_expected_score double, away_expected_score double, bookmaker_count int"
-    preko = VersionedTable(spark, f"{root}/preko", QUOTE)
+    preko = KeyedLog(spark, f"{root}/preko", QUOTE, KEY, ORDER)
     started = fixtures.where(F.coalesce("commence_time", F.col("date").cast("timestamp_ntz")) <= as_of)
 
     def step(batch: DataFrame, number: int) -> None:
         names = [f.split()[0] for f in QUOTE.split(", ")]
         usable = batch.select(*names).where(x.valid_quote(*k.ODDS))
         early = k.pre_kickoff(usable, fixtures).select(*names)
-        preko.write(upsert(preko.read(number - 1), latest_quotes(early), KEY, ORDER), number)
-        frozen = k.frozen_consensus(preko.read(number), started, hours).select(*[f.split()[0] for f in schema.split(", ")])
+        preko.append(latest_quotes(early), number)
+        pending = started
         if number:
             have = spark.read.schema(schema).parquet(*[f"{root}/kr/batch={i}" for i in range(number)])
-            frozen = insert_absent(have, frozen, ["fixture_id"])
+            pending = insert_absent(have, started, ["fixture_id"])
+        frozen = k.frozen_consensus(preko.read(number), pending, hours).select(*[f.split()[0] for f in schema.split(", ")])
         frozen.write.mode("overwrite").parquet(f"{root}/kr/batch={number}")
 
     _run(stream.writeStream.foreachBatch(step), f"{root}/checkpoint")
@@ -160,11 +168,11 @@ def kickoff_locks(stream: DataFrame) -> DataFrame:
     """Per team: when its market value was frozen for a match and when settlement cleared it."""
     spark = stream.sparkSession
     root = new_folder(spark, "locks")
-    state = VersionedTable(spark, f"{root}/state", LOCK_STATE)
+    state = KeyedLog(spark, f"{root}/state", LOCK_STATE, ["team"], ["ts", "event_id"])
 
     def step(batch: DataFrame, number: int) -> None:
         events, last = lock_events(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")), state.read(number - 1))
-        state.write(last, number)
+        state.append(last, number)
         events.write.mode("overwrite").parquet(f"{root}/events/batch={number}")
 
     _run(stream.writeStream.foreachBatch(step), f"{root}/checkpoint")
