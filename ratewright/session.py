@@ -18,6 +18,8 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # A fixture may hold a third of all quotes: split it even if that costs one more exchange.
     conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Medians are per fixture over a few books, so many small buffers fit before sorting is needed.
+    conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "16384")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     return spark
 
