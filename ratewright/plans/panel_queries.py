@@ -408,18 +408,19 @@ def panel_match_probabilities(spark, d):
     "legacy_priors",
     sql(
         f"""SELECT team, league, coalesce({rnd('rating', 4)}, 1500.0) AS prior FROM priors p LEFT JOIN (
-              SELECT s_nationkey, arg_max(1500 + s_acctbal / 100, (s_suppkey, s_acctbal)) AS rating FROM supplier WHERE s_nationkey % 6 <> 0 GROUP BY 1) s
-            ON p.team = 'NATION_' || CAST(s_nationkey AS VARCHAR)""",
+              SELECT s_nationkey, arg_max(1500 + s_acctbal / 100, (s_suppkey, s_acctbal)) AS rating FROM supplier GROUP BY 1) s
+            ON p.league <> 'ASIA' AND p.team = 'NATION_' || CAST(s_nationkey AS VARCHAR)""",
         "priors",
     ),
 )
 def legacy_priors(spark, d):
     from ratewright.sources.nested import last_ratings
 
-    s = table(spark, d, "supplier").where(F.col("s_nationkey") % 6 != 0)
+    s = table(spark, d, "supplier")
     # history as a map of name to dated ratings, the shape it is delivered in
     entry = F.struct(F.lpad(F.col("s_suppkey").cast("string"), 12, "0").alias("date"), (1500 + F.col("s_acctbal") / 100).alias("rating"))
     maps = s.select(F.create_map(F.concat(F.lit("OLD_"), F.col("s_nationkey").cast("string")), F.array(entry)).alias("history"))
     teams = priors(spark, d).select("team", "league")
-    aliases = teams.select("team", F.regexp_replace("team", "NATION_", "OLD_").alias("legacy_name"))
+    # teams of one league were not rated under an older name
+    aliases = teams.where(F.col("league") != "ASIA").select("team", F.regexp_replace("team", "NATION_", "OLD_").alias("legacy_name"))
     return pn.legacy_priors(teams, last_ratings(maps), aliases).select("team", "league", r("prior", 4).alias("prior"))
