@@ -21,6 +21,9 @@ def tune(spark: SparkSession) -> SparkSession:
     # Medians are per fixture over a few books, so many small buffers fit before sorting is needed.
     conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "16384")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # Rows may hold long texts: hand them to Python in small batches.
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 
