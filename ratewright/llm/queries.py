@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ratewright.llm.common import table
 from ratewright.llm.mixing import BLOCK, REPEATS, SHARD_BLOCKS, mixed
 from ratewright.llm.simhash import simhash_classes
+from ratewright.llm.substring import without_repeats
 from ratewright.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
+
+
+SUBSTRING_SQL = r"""
+WITH worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, s.i AS i, array_to_string(w[s.i : s.i + 12], ' ') AS win FROM worded, generate_series(1, len(w) - 12) s(i)),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, i + j.j AS p FROM windows JOIN firsts USING (win), generate_series(0, 12) j(j) WHERE first < doc_id),
+per AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(coalesce(ps, [])) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE [x for x, k in w if not list_contains(ps, k)] END, ' ')) AS kept_sha256
+FROM worded d LEFT JOIN per p USING (doc_id)
+"""
+
+
+@query("op8_substring_dedup", SUBSTRING_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
