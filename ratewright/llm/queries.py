@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratewright.llm import quality, toxicity
 from ratewright.llm.common import table
 from ratewright.llm.mixing import BLOCK, REPEATS, SHARD_BLOCKS, mixed
 from ratewright.llm.simhash import simhash_classes
@@ -102,3 +103,21 @@ FROM worded d LEFT JOIN per p USING (doc_id)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.label_grades(table(spark, sf_dir, "labels")))
+    tails = F.col("tails")
+    return quality.graded(docs, model).select(
+        "doc_id", "expected_grade", tails[0].alias("p_good"), F.coalesce(F.try_element_at(tails, F.lit(2)), F.lit(0.0)).alias("p_best"), (tails[0] >= quality.KEEP).alias("kept")
+    )
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
