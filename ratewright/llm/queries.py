@@ -13,6 +13,7 @@ from ratewright.llm.common import table
 from ratewright.llm.html_text import extracted
 from ratewright.llm.mixing import BLOCK, REPEATS, SHARD_BLOCKS, mixed
 from ratewright.llm.pq import near_duplicates
+from ratewright.llm.segment import sampled
 from ratewright.llm.simhash import simhash_classes
 from ratewright.llm.substring import without_repeats
 from ratewright.llm.tokens import token_counts
@@ -140,3 +141,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_text")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op2_sampled_encodings")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False).drop("text")

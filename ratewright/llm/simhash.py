@@ -1,9 +1,10 @@
 """SimHash near-duplicates: fingerprints, exact tiled comparison, classes.
 
-Distinct fingerprints are laid in tiles by the population counts of their four 16-bit parts. Two fingerprints that
-differ in at most r bits have population counts that differ by at most r in all, so a tile meets only the tiles whose
-counts lie that near; all other tile pairs are skipped. Tile pairs are compared whole with exclusive-or and bit counts.
-Nothing is sampled or approximated: every pair within the radius is found.
+Distinct fingerprints are laid in tiles by population counts. Two fingerprints that differ in at most r bits have counts
+that differ by at most r in all, so a tile meets only the tiles whose counts lie that near; all other pairs of tiles are
+skipped. For short radii the counts are those of the four 16-bit parts, which skip most pairs; else the whole count in
+bands of r + 1. Pairs of tiles are compared whole, with exclusive-or and bit counts. Nothing is sampled or approximated:
+every pair within the radius is found.
 """
 
 from __future__ import annotations
@@ -14,73 +15,105 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import slices, stored, texts_of
+from ratewright.llm.common import mix, slices, stored, texts_of
 from ratewright.llm.links import components, forest
 
-#: Fingerprints in one tile; fuller tiles are cut, and their pieces meet one another.
-TILE = 4096
+#: Fingerprints in one tile, about; fuller tiles are cut, and their pieces meet one another.
+TILE = 16_384
+#: Longest radius whose tiles go by the counts of four parts.
+PARTED = 3
 #: Hashes of one text whose bits are summed at once.
 ROWS = 1 << 14
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Majority bits of the hashes of all word shingles, repeats included; no words give 0."""
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, lanes: int = 1) -> np.ndarray:
+    """Majority bits of the hashes of all word shingles, repeats included, in 64-bit words; no words give 0.
+
+    The first word's hashes are XXH64 of the shingles; further words mix those anew.
+    """
     words = text.lower().split()
+    out = np.zeros(lanes, dtype=np.uint64)
     if not words:
-        return 0
+        return out
     spans = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(b" ".join(s), seed) for s in spans), dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), ROWS):
-        part = h[i : i + ROWS].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    for lane in range(lanes):
+        own = h if lane == 0 else mix(h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(own), ROWS):
+            part = own[i : i + ROWS].view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[lane] = np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")[0]
+    return out
 
 
-def fingerprints(df: DataFrame, key: str, text: str, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(key, fp long): the fingerprint's 64 bits as a signed number."""
+def fingerprints(df: DataFrame, key: str, text: str, shingle: int, seed: int, lanes: int) -> DataFrame:
+    """(key, fp array<long>): the fingerprint's bits as signed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fp = np.array([fingerprint(t, shingle, seed) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["key", "fp"])
+            fps = np.concatenate([fingerprint(t, shingle, seed, lanes) for t in texts_of(batch)]).view(np.int64)
+            cuts = pa.array(np.arange(0, len(fps) + 1, lanes, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(fps))], names=["key", "fp"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, fp long")
-
-
-def _steps(radius: int) -> list[tuple[int, int, int, int]]:
-    """Changes of the four part counts that the radius allows, one of each pair of opposite ones, nothing first."""
-    all_steps = [s for s in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, s)) <= radius]
-    return [s for s in all_steps if s >= (0, 0, 0, 0)]
-
-
-def near_links(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """(a, b) links between distinct fingerprints (``fp``) at most ``radius`` bits apart: enough of them to connect all that are linked."""
-    # A part count is 0 to 16: five bits hold it with room for a step beyond either end.
-    parts = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
-    cell = sum(((p + radius).cast("long") * F.lit(32**i) for i, p in enumerate(parts)), F.lit(0).cast("long"))
-    placed = stored(fps.withColumn("cell", cell), "cells")
+    return rows.mapInArrow(run, "key long, fp array<long>")
+
+
+def _cells(radius: int, lanes: int) -> tuple[Column, list[int]]:
+    """A fingerprint's cell, and the steps from a cell to those it must meet, one of each pair of opposite ones."""
+    if lanes == 1 and radius <= PARTED:
+        # A part's count is 0 to 16: five bits hold it with room for a step beyond either end.
+        parts = [F.bit_count(F.shiftrightunsigned(F.col("fp")[0], 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
+        cell = sum(((p + radius).cast("long") * F.lit(32**i) for i, p in enumerate(parts)), F.lit(0).cast("long"))
+        steps = [s for s in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, s)) <= radius and s >= (0, 0, 0, 0)]
+        return cell, [sum(d * 32**i for i, d in enumerate(s)) for s in steps]
+    count = sum((F.bit_count(F.col("fp")[i]) for i in range(lanes)), F.lit(0))
+    return F.floor(count / (radius + 1)).cast("long"), [0, 1]
+
+
+def near(one: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of rows (fingerprints by 64-bit words) that differ in at most radius bits."""
+    found = []
+    for i in range(0, len(one), 128):
+        part = one[i : i + 128]
+        differ = np.bitwise_count(part[:, None, 0] ^ other[None, :, 0])
+        if part.shape[1] > 1:
+            differ = differ + np.bitwise_count(part[:, None, 1] ^ other[None, :, 1])
+        a, b = np.nonzero(differ <= radius)
+        if part.shape[1] > 2:
+            # What two words already tell apart needs no more of them.
+            keep = np.bitwise_count(part[a] ^ other[b]).sum(axis=1, dtype=np.int64) <= radius
+            a, b = a[keep], b[keep]
+        found.append((a + i, b))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def near_links(fps: DataFrame, radius: int, lanes: int = 1, tile: int = TILE) -> DataFrame:
+    """(a, b) links between the nodes of distinct (fp, node) at most ``radius`` bits apart: enough of them to connect all that are linked."""
+    cell, steps = _cells(radius, lanes)
+    placed = fps.select("fp", "node", cell.alias("cell"))
     cut = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("cuts"))
-    pieces = placed.join(cut, "cell").withColumn("piece", F.pmod(F.xxhash64("fp"), "cuts"))
-    tiles = stored(pieces.groupBy("cell", "piece").agg(F.collect_list("fp").alias("fps")), "tiles")
-    steps = F.array(*[F.lit(sum(d * 32**i for i, d in enumerate(s))).cast("long") for s in _steps(radius)])
-    left = tiles.select(F.col("cell").alias("home"), F.col("piece").alias("home_piece"), F.col("fps").alias("home_fps"), F.explode(steps).alias("step"))
-    pairs = left.withColumn("cell", F.col("home") + F.col("step")).join(tiles, "cell").where("step <> 0 or home_piece <= piece").select("home_fps", "fps")
+    pieces = placed.join(cut, "cell").withColumn("piece", F.pmod(F.xxhash64("node"), "cuts"))
+    tiles = pieces.groupBy("cell", "piece").agg(F.collect_list(F.struct("fp", "node")).alias("rows"))
+    tiles = stored(tiles.select("cell", "piece", F.flatten("rows.fp").alias("fps"), F.col("rows.node").alias("nodes")), "tiles")
+    step = F.explode(F.array(*[F.lit(s).cast("long") for s in steps]))
+    home = tiles.select(F.col("cell").alias("home"), F.col("piece").alias("home_piece"), F.col("fps").alias("home_fps"), F.col("nodes").alias("home_nodes"), step.alias("step"))
+    pairs = home.withColumn("cell", F.col("home") + F.col("step")).join(tiles, "cell").where("step <> 0 or home_piece <= piece")
+    # A pair may be a task's work by itself, so they are dealt out one by one.
+    pairs = pairs.repartition("home", "home_piece", "cell", "piece").select("home_fps", "home_nodes", "fps", "nodes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.empty((2, 0), dtype=np.int64)]
             for row in range(batch.num_rows):
-                one, other = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in (0, 1))
-                near = [np.nonzero(np.bitwise_count(one[i : i + 256, None].view(np.uint64) ^ other[None, :].view(np.uint64)) <= radius) for i in range(0, len(one), 256)]
-                a = np.concatenate([one[x + i * 256] for i, (x, _) in enumerate(near)])
-                b = np.concatenate([other[y] for _, y in near])
-                nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                one, one_nodes, other, other_nodes = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(4))
+                a, b = near(one.view(np.uint64).reshape(-1, lanes), other.view(np.uint64).reshape(-1, lanes), radius)
+                nodes, at = np.unique(np.concatenate([one_nodes[a], other_nodes[b]]), return_inverse=True)
                 child, root = forest(len(nodes), at[: len(a)], at[len(a) :])
                 found.append(np.stack([nodes[child], nodes[root]]))
             out = np.concatenate(found, axis=1)
@@ -89,18 +122,19 @@ def near_links(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, seed: int = 42, lanes: int = 1) -> DataFrame:
     """(key, fingerprint, component_id) of each row; component_id is the smallest key reachable over links of ``radius`` bits.
 
-    Null and wordless texts have fingerprint 0, which links like any other. Rows with equal fingerprints form one class,
-    so repeated rows share it. A null key gets a row and is a component_id only if its class has no other. Keys are
-    longs. An empty table gives an empty one; other columns are not read.
+    Fingerprints have ``lanes`` 64-bit words. Null and wordless texts have fingerprint 0, which links like any other. Rows
+    with equal fingerprints form one class, so repeated rows share it. A null key gets a row and is a component_id only
+    if its class has no other. Keys are longs. An empty table gives an empty one; other columns are not read.
     """
-    rows = stored(fingerprints(df, key, text, shingle, seed), "fingerprints")
-    # One node for each distinct fingerprint: partial counts leave a hot one as one row a task.
-    nodes = stored(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
-    links = components(near_links(nodes.select("fp"), radius))
-    named = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rows = stored(fingerprints(df, key, text, shingle, seed, lanes), "fingerprints")
+    # One node for each distinct fingerprint: partial counts leave a hot one as one row a task. Numbers hold once written.
+    nodes = stored(rows.groupBy("fp").agg(F.min("key").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    links = components(near_links(nodes, radius, lanes))
+    named = nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = stored(named.join(least, "component").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    hexed = F.concat(*[F.lower(F.lpad(F.hex(F.col("fp")[i]), 16, "0")) for i in range(lanes)])
+    return rows.join(classes, "fp").select(F.col("key").alias(key), hexed.alias("fingerprint"), "component_id")
