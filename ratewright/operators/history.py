@@ -27,14 +27,6 @@ def downsample(history: DataFrame, seconds: int, order: list[str], reasons: tupl
     return rest.unionByName(picked.select(*rest.columns))
 
 
-def hourly_if_long(history: DataFrame, order: list[str], longer_than: int = 50) -> DataFrame:
-    """Latest per hour for teams with more rows than the limit; all rows of the others."""
-    counts = history.groupBy("team").agg(F.count(F.lit(1)).alias("_n"))
-    marked = history.join(counts, "team")
-    long, short = marked.where(F.col("_n") > longer_than).drop("_n"), marked.where(F.col("_n") <= longer_than).drop("_n")
-    return short.unionByName(downsample(long, 3600, order).select(*short.columns))
-
-
 def twap(points: DataFrame, seconds: int, min_points: int = 3) -> DataFrame:
     """Time-weighted mean price per (team, window): each price holds until the window's next point.
 

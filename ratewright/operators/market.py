@@ -98,7 +98,7 @@ def single_fixture_overlay(state: DataFrame, next_rows: DataFrame, books: DataFr
     """First-generation overlay: confidence x (fixture strength - B), bounded.
 
     Confidence multiplies book count, agreement on the team's win, quote age and
-    distance to kickoff. Under two books gives zero.
+    distance to kickoff. Under two books, or without a next fixture, it is zero.
     """
     spread = books.groupBy("fixture_id").agg(
         (F.max("p_home") - F.min("p_home")).alias("_sh"), (F.max("p_away") - F.min("p_away")).alias("_sa")
@@ -106,7 +106,7 @@ def single_fixture_overlay(state: DataFrame, next_rows: DataFrame, books: DataFr
     opp = state.select(F.col("team_id").alias("opponent"), F.col("b_value").alias("_opp"))
     rows = (
         state.select("team_id", "b_value")
-        .join(next_rows, "team_id")
+        .join(next_rows, "team_id", "left")
         .join(consensus, "fixture_id", "left")
         .join(spread, "fixture_id", "left")
         .join(opp, "opponent", "left")

@@ -97,11 +97,11 @@ def fuzzy_alternates(fixtures: DataFrame, days: int = 3) -> DataFrame:
     return fixtures.select("fixture_id", *keys).join(best, keys).select("fixture_id", pick.alias("alt_fixture_id")).where(F.col("alt_fixture_id").isNotNull())
 
 
-def phantom_duplicates(fixtures: DataFrame, days: int = 3, base: int = c.SYNTHETIC_ID_BASE) -> DataFrame:
-    """Upcoming synthetic fixtures with a real one of the same sides within +-days."""
-    real = fixtures.where((F.col("fixture_id") < base) & (F.col("status") != "cancelled"))
+def phantom_duplicates(fixtures: DataFrame, days: int = 3) -> DataFrame:
+    """Upcoming fixtures marked ``is_synthetic`` with a real one of the same sides within +-days."""
+    real = fixtures.where(~F.col("is_synthetic") & (F.col("status") != "cancelled"))
     real = real.select("home_team", "away_team", F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days))).alias("date"))
-    phantom = fixtures.where((F.col("fixture_id") > base) & (F.col("status") == "upcoming"))
+    phantom = fixtures.where(F.col("is_synthetic") & (F.col("status") == "upcoming"))
     return phantom.join(real.distinct(), ["home_team", "away_team", "date"], "left_semi")
 
 

@@ -112,14 +112,16 @@ def chart_points(history: DataFrame, log: DataFrame, fixtures: DataFrame) -> Dat
 
 
 def impacts_displayed(fixtures: DataFrame, es: DataFrame, prices: DataFrame) -> DataFrame:
-    """Per outcome: price change and its share of the team's price, from the given expected scores.
+    """Per outcome and side: price change and its share of the side's price, from the given expected scores.
 
     ``es``: fixture_id, e_home, e_away (uncorrected, corrected or frozen). ``prices``: team_id, price.
     """
-    h = prices.select(F.col("team_id").alias("home_team"), F.col("price").alias("home_price"))
-    j = fixtures.select("fixture_id", "home_team").join(es, "fixture_id").join(h, "home_team", "left")
-    rows = j.select("fixture_id", "home_team", "home_price", F.inline(x.outcome_rows("e_home", "e_away")))
-    return rows.withColumn("pct_home", F.when(F.col("home_price") > 0, 100.0 * F.col("delta_price_home") / F.col("home_price")))
+    j = fixtures.select("fixture_id", "home_team", "away_team").join(es, "fixture_id")
+    for side in ("home", "away"):
+        j = j.join(prices.select(F.col("team_id").alias(f"{side}_team"), F.col("price").alias(f"{side}_price")), f"{side}_team", "left")
+    rows = j.select("fixture_id", "home_team", "home_price", "away_team", "away_price", F.inline(x.outcome_rows("e_home", "e_away")))
+    share = lambda s: F.when(F.col(f"{s}_price") > 0, 100.0 * F.col(f"delta_price_{s}") / F.col(f"{s}_price"))
+    return rows.withColumns({f"pct_{s}": share(s) for s in ("home", "away")})
 
 
 def bounded(value: Column) -> Column:

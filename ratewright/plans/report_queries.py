@@ -549,8 +549,9 @@ def date_sections(spark, d):
     "upcoming_with_impacts",
     sql(
         f"""SELECT f.fixture_id, f.league, outcome, {rnd('h.b_value', 2)} AS home_index, {rnd('(round(h.b_value, 2) - 800) / 5', 2)} AS home_price,
+                   {rnd('a.b_value', 2)} AS away_index, {rnd('(round(a.b_value, 2) - 800) / 5', 2)} AS away_price,
                    floor(30 * (s - home_expected_score) / 5 * 100 + 0.5) / 100 AS delta_price_home, floor(30 * (1 - s - away_expected_score) / 5 * 100 + 0.5) / 100 AS delta_price_away
-            FROM fixtures f JOIN kr USING (fixture_id) LEFT JOIN state h ON h.team_id = f.home_team
+            FROM fixtures f JOIN kr USING (fixture_id) LEFT JOIN state h ON h.team_id = f.home_team LEFT JOIN state a ON a.team_id = f.away_team
             CROSS JOIN (VALUES ('home_win', 1.0::DOUBLE), ('draw', 0.5::DOUBLE), ('away_win', 0.0::DOUBLE)) o(outcome, s) WHERE f.status = 'upcoming' AND f.date >= DATE '{AS_OF[:10]}'""",
         "kr",
         "state",
@@ -558,7 +559,9 @@ def date_sections(spark, d):
 )
 def upcoming_with_impacts(spark, d):
     up = fixtures(spark, d).where((F.col("status") == "upcoming") & (F.col("date") >= as_of().cast("date")))
-    h = team_state(spark, d).select(F.col("team_id").alias("home_team"), r("b_value", 2).alias("home_index"))
-    j = up.join(frozen(spark, d), "fixture_id").join(h, "home_team", "left")
-    rows = j.select("fixture_id", "league", "home_index", r(x.linear_price("home_index"), 2).alias("home_price"), F.inline(x.outcome_rows("home_expected_score", "away_expected_score")))
+    j = up.join(frozen(spark, d), "fixture_id")
+    for side in ("home", "away"):
+        j = j.join(team_state(spark, d).select(F.col("team_id").alias(f"{side}_team"), r("b_value", 2).alias(f"{side}_index")), f"{side}_team", "left")
+    sides = [c for s in ("home", "away") for c in (F.col(f"{s}_index"), r(x.linear_price(f"{s}_index"), 2).alias(f"{s}_price"))]
+    rows = j.select("fixture_id", "league", *sides, F.inline(x.outcome_rows("home_expected_score", "away_expected_score")))
     return rows.withColumns({n: x.half_up(n, 2) for n in ("delta_price_home", "delta_price_away")})

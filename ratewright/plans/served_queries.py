@@ -87,12 +87,28 @@ def last_settlements(spark, d):
 
 @query(
     "team_page",
-    sql(f"SELECT fixture_id, date, opponent, {rnd('delta_b', 6)} AS delta_b, {rnd('b_after', 6)} AS b_after FROM v3log WHERE team_id = 'NATION_7' ORDER BY date DESC, fixture_id DESC LIMIT 5", "v3log"),
+    sql(
+        f"""SELECT 'current' AS part, NULL::BIGINT AS id, NULL::VARCHAR AS opponent, floor(b_value * 100 + 0.5) / 100 AS value, floor((floor(b_value * 100 + 0.5) / 100 - 800) / 5 * 100 + 0.5) / 100 AS other
+            FROM state WHERE team_id = 'NATION_7'
+            UNION ALL SELECT 'history', event_id, NULL, {rnd('published_index', 6)}, {rnd('price', 6)} FROM history WHERE 'NATION_' || substr(team, 6) = 'NATION_7'
+            UNION ALL SELECT 'settled', fixture_id, opponent, {rnd('delta_b', 6)}, {rnd('b_after', 6)} FROM (SELECT * FROM v3log WHERE team_id = 'NATION_7' ORDER BY date DESC, fixture_id DESC LIMIT 5)""",
+        "state",
+        "history",
+        "v3log",
+    ),
 )
 def team_page(spark, d):
+    """Current row, history and last settlements of one team, told apart by ``part``."""
     state = team_state(spark, d).withColumn("published_index", F.col("b_value"))
-    _, _, last = sv.team_page("NATION_7", state, history(spark, d), log_v3(spark, d))
-    return last.select("fixture_id", "date", "opponent", r("delta_b").alias("delta_b"), r("b_after").alias("b_after"))
+    told = history(spark, d).withColumn("team", F.concat(F.lit("NATION_"), F.substring("team", 6, 20)))
+    now, before, last = sv.team_page("NATION_7", state, told, log_v3(spark, d))
+    none = F.lit(None)
+    parts = [
+        now.select(F.lit("current").alias("part"), none.cast("long").alias("id"), none.cast("string").alias("opponent"), F.col("index").alias("value"), F.col("price").alias("other")),
+        before.select(F.lit("history"), "event_id", none.cast("string"), r("published_index"), r("price")),
+        last.select(F.lit("settled"), "fixture_id", "opponent", r("delta_b"), r("b_after")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("cup_teams", sql("SELECT DISTINCT team_id FROM sides WHERE competition = 'cup'", "sides"))
@@ -227,17 +243,21 @@ def chart_points(spark, d):
 @query(
     "displayed_impacts",
     sql(
-        f"""SELECT fixture_id, outcome, {rnd('6 * (s - home_es)', 6)} AS delta_price_home, {rnd('100 * 6 * (s - home_es) / 140', 6)} AS pct_home
-            FROM es JOIN fixtures USING (fixture_id) CROSS JOIN (VALUES ('home_win', 1.0::DOUBLE), ('draw', 0.5::DOUBLE), ('away_win', 0.0::DOUBLE)) o(outcome, s) WHERE status = 'upcoming'""",
+        f"""SELECT fixture_id, outcome, {rnd('6 * (s - home_es)', 6)} AS delta_price_home, {rnd('CASE WHEN h.price > 0 THEN 100 * 6 * (s - home_es) / h.price END', 6)} AS pct_home,
+                   {rnd('6 * (home_es - s)', 6)} AS delta_price_away, {rnd('CASE WHEN a.price > 0 THEN 100 * 6 * (home_es - s) / a.price END', 6)} AS pct_away
+            FROM es JOIN fixtures USING (fixture_id) LEFT JOIN (SELECT team_id AS home_team, (b_value - 800) / 5 AS price FROM state) h USING (home_team)
+            LEFT JOIN (SELECT team_id AS away_team, (b_value - 800) / 5 AS price FROM state) a USING (away_team) CROSS JOIN (VALUES ('home_win', 1.0::DOUBLE), ('draw', 0.5::DOUBLE), ('away_win', 0.0::DOUBLE)) o(outcome, s) WHERE status = 'upcoming'""",
         "es",
         "fixtures",
+        "state",
     ),
 )
 def displayed_impacts(spark, d):
     f = fixtures(spark, d).where(F.col("status") == "upcoming")
     es = k.current_expected(serving(spark, d)).select("fixture_id", F.col("home_es").alias("e_home"), (1.0 - F.col("home_es")).alias("e_away"))
-    prices = team_state(spark, d).select("team_id", F.lit(140.0).alias("price"))
-    return sv.impacts_displayed(f, es, prices).select("fixture_id", "outcome", r("delta_price_home").alias("delta_price_home"), r("pct_home").alias("pct_home"))
+    prices = team_state(spark, d).select("team_id", x.linear_price("b_value").alias("price"))
+    out = sv.impacts_displayed(f, es, prices)
+    return out.select("fixture_id", "outcome", *[r(n).alias(n) for n in ("delta_price_home", "pct_home", "delta_price_away", "pct_away")])
 
 
 @query(
@@ -277,12 +297,12 @@ def export_state(spark, d):
 @query("cycle_settles", sql("SELECT fixture_id, team_id, e_kr FROM sides WHERE skipped_reason IS NULL", "sides"))
 def cycle_settles(spark, d):
     """Cycles over a stream of finished contests: each settles what its batch brings and no cycle settles twice."""
-    from ratewright.plans.stream_queries import _Folder
+    from ratewright.plans.stream_queries import _Stream
 
     root = new_folder(spark, "cycle-log")
     f, kr = fixtures(spark, d), frozen(spark, d)
     schema = "fixture_id long, team_id string, oracle_version string, e_kr double"
-    stream = table(_Folder(spark), d, "orders").select(F.col("o_orderkey").alias("fixture_id"))
+    stream = table(_Stream(spark), d, "orders").select(F.col("o_orderkey").alias("fixture_id"))
 
     def step(batch, number):
         rows = st.settle_rows(f.join(batch.distinct(), "fixture_id", "left_semi"), kr).withColumn("oracle_version", F.lit("v3"))

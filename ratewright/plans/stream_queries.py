@@ -21,29 +21,29 @@ def r(col, n=6):
     return F.round(col, n)
 
 
-class _Folder:
-    """Lets the table shapes read a folder as a stream."""
+class _Stream:
+    """Lets the table shapes read a table, one file or a folder of files, as a stream."""
 
-    def __init__(self, spark):
+    def __init__(self, spark, files: int = 8):
         self.read = self
-        self._spark, self._schema = spark, None
+        self._spark, self._schema, self._files = spark, None, files
 
     def schema(self, s):
         self._schema = s
         return self
 
     def parquet(self, path):
-        folder, name = path.rsplit("/", 1)
-        reader = self._spark.readStream.schema(self._schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1)
-        return reader.parquet(folder)
+        # As a pattern, the path may be a folder or a single file; as it stands a stream only takes a folder.
+        pattern = f"{path[:-1]}[{path[-1]}]"
+        return self._spark.readStream.schema(self._schema).option("maxFilesPerTrigger", self._files).parquet(pattern)
 
 
 def stream_quotes(spark, d):
-    return quotes(_Folder(spark), d)
+    return quotes(_Stream(spark), d)
 
 
 def stream_history(spark, d):
-    h = history(_Folder(spark), d)
+    h = history(_Stream(spark), d)
     return h.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -90,13 +90,13 @@ def stream_distinct(spark, d):
     "stream_downsample",
     sql(
         """SELECT team, time_bucket(INTERVAL 15 MINUTES, ts) AS window_start, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM history
-           GROUP BY ALL HAVING time_bucket(INTERVAL 15 MINUTES, min(ts)) + INTERVAL 15 MINUTES <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 15 MINUTES FROM history)""",
+           GROUP BY ALL""",
         "history",
     ),
 )
 def stream_downsample(spark, d):
     s = stream_history(spark, d).select("team", "ts", "event_id", "published_index")
-    out = jobs.to_table(jobs.downsample_stream(s), "downsample")
+    out = jobs.to_latest(jobs.downsample_stream(s), "downsample", ["team", "window_start"], ["ts", "event_id"])
     ntz = lambda n: F.col(n).cast("timestamp_ntz").alias(n)
     return out.select("team", ntz("window_start"), ntz("ts"), "event_id")
 
@@ -106,15 +106,15 @@ def stream_downsample(spark, d):
     sql(
         """SELECT fixture_id, bookmaker, count(*) AS windows, max(ts) AS latest FROM (
              SELECT DISTINCT fixture_id, bookmaker, ts, w FROM (SELECT user_id AS fixture_id, event_type AS bookmaker, ts, unnest([0, 1, 2]) AS i, time_bucket(INTERVAL 1 MINUTE, ts) + to_minutes(i + 1) AS w FROM events)
-             QUALIFY row_number() OVER (PARTITION BY fixture_id, bookmaker, w ORDER BY ts DESC) = 1) WHERE w <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 3 MINUTES FROM events) GROUP BY ALL"""
+             QUALIFY row_number() OVER (PARTITION BY fixture_id, bookmaker, w ORDER BY ts DESC) = 1) GROUP BY ALL"""
     ),
 )
 def stream_live_window(spark, d):
-    ev = table(_Folder(spark), d, "events").select(
+    ev = table(_Stream(spark), d, "events").select(
         F.col("user_id").alias("fixture_id"), F.col("event_type").alias("bookmaker"), F.col("ts").cast("timestamp").alias("ts"),
         (1.2 + F.col("value") / 100).alias("home_odds"), F.lit(3.0).alias("draw_odds"), F.lit(3.0).alias("away_odds"),
     )
-    out = jobs.to_table(jobs.live_window(ev), "live-window")
+    out = jobs.to_latest(jobs.live_window(ev), "live-window", ["fixture_id", "bookmaker", "as_of"], ["ts", "home_odds", "draw_odds", "away_odds"])
     return out.groupBy("fixture_id", "bookmaker").agg(F.count(F.lit(1)).alias("windows"), F.max("ts").cast("timestamp_ntz").alias("latest"))
 
 
@@ -153,10 +153,10 @@ fragment(
     "ilive",
     ("ibis", "kr", "fixtures"),
     """
-    SELECT f.fixture_id, f.home_team, home_expected_score AS e_kr, coalesce(n, 0) AS live_books,
-           CASE WHEN home_expected_score IS NULL THEN 'no_kr_available' WHEN coalesce(n, 0) < 2 THEN 'insufficient_live_books' END AS freeze_reason,
-           mh / t + 0.5 * md / t + md / t * (0.5 - mh / t - 0.5 * md / t) AS e_live
-    FROM fixtures f LEFT JOIN kr USING (fixture_id) LEFT JOIN (
+    SELECT fixture_id, CASE WHEN home THEN home_team ELSE away_team END AS team_id, CASE WHEN home THEN home_expected_score ELSE away_expected_score END AS e_kr, coalesce(n, 0) AS live_books,
+           CASE WHEN CASE WHEN home THEN home_expected_score ELSE away_expected_score END IS NULL THEN 'no_kr_available' WHEN coalesce(n, 0) < 2 THEN 'insufficient_live_books' END AS freeze_reason,
+           CASE WHEN home THEN mh ELSE ma END / t + 0.5 * md / t + md / t * (0.5 - CASE WHEN home THEN mh ELSE ma END / t - 0.5 * md / t) AS e_live
+    FROM (SELECT *, unnest([true, false]) AS home FROM fixtures) f LEFT JOIN kr USING (fixture_id) LEFT JOIN (
       SELECT *, mh + md + ma AS t FROM (SELECT fixture_id, count(*) AS n, median(CASE WHEN ok THEN pow(h, k) ELSE h / (h + d + a) END) AS mh,
              median(CASE WHEN ok THEN pow(d, k) ELSE d / (h + d + a) END) AS md, median(CASE WHEN ok THEN pow(a, k) ELSE a / (h + d + a) END) AS ma
       FROM (SELECT *, (lo + hi) / 2 AS k, pow(h, 0.01) + pow(d, 0.01) + pow(a, 0.01) >= 1 AND pow(h, 10) + pow(d, 10) + pow(a, 10) <= 1 AS ok FROM ibis WHERE i = 50) GROUP BY fixture_id)) USING (fixture_id)
@@ -167,27 +167,27 @@ fragment(
 @query(
     "live_layer",
     sql(
-        f"""SELECT fixture_id, home_team AS team_id, live_books, coalesce(freeze_reason, 'live') AS state,
+        f"""SELECT fixture_id, team_id, live_books, coalesce(freeze_reason, 'live') AS state,
                    {rnd('CASE WHEN freeze_reason IS NULL THEN 30 * (e_live - e_kr) ELSE 0.0 END', 5)} AS l_value FROM ilive""",
         "ilive",
     ),
 )
 def live_layer(spark, d):
     out = lv.live_layer(fixtures(spark, d), quotes(spark, d), frozen(spark, d), as_of(), 400 * 24 * 60.0)
-    return out.where("is_home").select("fixture_id", "team_id", "live_books", F.coalesce("freeze_reason", F.lit("live")).alias("state"), r("l_value", 5).alias("l_value"))
+    return out.select("fixture_id", "team_id", "live_books", F.coalesce("freeze_reason", F.lit("live")).alias("state"), r("l_value", 5).alias("l_value"))
 
 
 @query(
     "publish_live",
     sql(
         f"""SELECT team_id, {rnd('l_value', 4)} AS l_value, {rnd('0.6 * (b_value + l_value) + 0.4 * round(b_value, 4)', 3)} AS published_index FROM state JOIN (
-              SELECT home_team AS team_id, arg_max(30 * (e_live - e_kr), fixture_id) AS l_value FROM ilive WHERE freeze_reason IS NULL GROUP BY 1) USING (team_id)""",
+              SELECT team_id, arg_max(30 * (e_live - e_kr), fixture_id) AS l_value FROM ilive WHERE freeze_reason IS NULL GROUP BY 1) USING (team_id)""",
         "state",
         "ilive",
     ),
 )
 def publish_live(spark, d):
-    layer = lv.live_layer(fixtures(spark, d), quotes(spark, d), frozen(spark, d), as_of(), 400 * 24 * 60.0).where("is_home")
+    layer = lv.live_layer(fixtures(spark, d), quotes(spark, d), frozen(spark, d), as_of(), 400 * 24 * 60.0)
     none = F.lit(None).cast("double")
     state = stored_state(spark, d).withColumns({"m1_locked": none, "r_market_frozen": none})
     out = lv.publish_live(lv.kickoff_freeze(state, layer), layer)

@@ -134,7 +134,8 @@ def _first_price(prices: Column) -> Column:
 def moneyline(events: DataFrame, keep: list[str]) -> DataFrame:
     """Binary markets of a plain "A vs. B" event merged to one three-way row.
 
-    A market is matched by its item title, else by its question text; volumes add up.
+    A market is matched by its item title, else by the whole side names in its question text: the longer one of
+    both, as one name may hold the other, else the one it has. Volumes add up.
     Events have a handful of markets, so each is resolved inside its own row.
     """
     home, away = tx.title_sides("title")
@@ -150,8 +151,9 @@ def moneyline(events: DataFrame, keep: list[str]) -> DataFrame:
             .when(item == h, "home")
             .when(item == a, "away")
             .when(F.contains(q, F.lit("draw")), "draw")
-            .when(F.contains(q, F.substring(h, 1, 10)), "home")
-            .when(F.contains(q, F.substring(a, 1, 10)), "away")
+            .when(F.contains(q, h) & F.contains(q, a), F.when(F.length(h) >= F.length(a), "home").otherwise("away"))
+            .when(F.contains(q, h), "home")
+            .when(F.contains(q, a), "away")
         )
 
     tagged = F.transform("_live", lambda m: F.struct(side(m).alias("s"), _first_price(m["outcomePrices"]).alias("p"), F.coalesce(m["volumeNum"], F.lit(0.0)).alias("v")))

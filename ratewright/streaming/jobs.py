@@ -113,7 +113,7 @@ def distinct_quotes(stream: DataFrame, minutes: int = c.FRESH_MINUTES) -> DataFr
 
 
 def downsample_stream(stream: DataFrame, minutes: int = 15) -> DataFrame:
-    """Latest row per (team, tumbling window), emitted once the watermark passes the window."""
+    """Latest row per (team, tumbling window); in append mode emitted once the watermark passes the window."""
     row = F.struct("ts", "event_id", "published_index")
     return (
         stream.withWatermark("ts", f"{minutes} minutes")
@@ -188,6 +188,21 @@ def to_table(df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema if schema is None else schema).parquet(f"{root}/data")
 
 
+def to_latest(df: DataFrame, name: str, keys: list[str], order: list[str]) -> DataFrame:
+    """Run a windowed stream in update mode, and read the newest row per key: windows still open at the end are there too.
+
+    Each batch writes the windows it changed under its own number, so a repeated batch replaces its own rows.
+    """
+    spark = df.sparkSession
+    root = new_folder(spark, name)
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
+
+    _run(df.writeStream.outputMode("update").foreachBatch(step), f"{root}/checkpoint")
+    return pick_by(spark.read.schema(df.schema).parquet(f"{root}/data").select(*df.columns), keys, order)
+
+
 def cycle(stream: DataFrame, step: Callable[[DataFrame, int], None], name: str = "cycle") -> None:
     """One micro-batch, one cycle: the given batch operators run with the batch's own time."""
     _run(stream.writeStream.foreachBatch(step), f"{new_folder(stream.sparkSession, name)}/checkpoint")

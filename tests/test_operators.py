@@ -182,9 +182,11 @@ def test_fuzzy_alternates_equal_brute_force(spark):
 
 def test_phantom_is_cancelled(spark):
     rows = [(1, DAY, None, "h", "a", "upcoming"), (9_000_001, DAY + dt.timedelta(days=2), None, "h", "a", "upcoming"), (9_000_002, DAY + dt.timedelta(days=9), None, "h", "a", "upcoming")]
-    f = spark.createDataFrame(rows, FIX).withColumn("score", F.lit("N/A"))
+    # Real fixtures may have large ids too: only the mark says which are synthetic.
+    rows.append((12_000_000, DAY, None, "h", "b", "upcoming"))
+    f = spark.createDataFrame(rows, FIX).withColumns({"score": F.lit("N/A"), "is_synthetic": F.col("fixture_id").isin(9_000_001, 9_000_002)})
     out = {r.fixture_id: (r.status, r.score) for r in rv.cancel(f, rv.phantom_duplicates(f)).collect()}
-    assert out == {1: ("upcoming", "N/A"), 9_000_001: ("cancelled", "DUP"), 9_000_002: ("upcoming", "N/A")}
+    assert out == {1: ("upcoming", "N/A"), 9_000_001: ("cancelled", "DUP"), 9_000_002: ("upcoming", "N/A"), 12_000_000: ("upcoming", "N/A")}
 
 
 def test_map_solution_has_no_gradient(spark):
