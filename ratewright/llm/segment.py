@@ -297,7 +297,7 @@ def spelt(pieces: np.ndarray, vocab: Vocabulary) -> np.ndarray:
 
 
 def segmented(texts: list[str], keys: list, vocab: Vocabulary, k: int, alpha: float, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text its sampled encodings: (ids, log-probability, noisy value, inclusion probability), best noisy value first."""
+    """For each text its sampled encodings: (ids, log-probability, noisy value, log of the inclusion probability), best noisy value first."""
     number: dict[str, int] = {}
     rows = []
     for text, key in zip(texts, keys, strict=True):
@@ -309,20 +309,24 @@ def segmented(texts: list[str], keys: list, vocab: Vocabulary, k: int, alpha: fl
     out = []
     for row in rows:
         threshold = -row.regions[0][0] if row.regions else -np.inf
-        with np.errstate(over="ignore"):
-            out.append([(spelt(lattices.piece[p.edges], vocab), p.log_prob, p.noisy, float(-np.expm1(-np.exp(min(p.log_prob - threshold, 700.0))))) for p in row.paths])
+        out.append([(spelt(lattices.piece[p.edges], vocab), p.log_prob, p.noisy, log_inclusion(p.log_prob - threshold)) for p in row.paths])
     return out
 
 
-SAMPLES = "array<struct<ids: array<int>, log_prob: double, noisy: double, inclusion: double>>"
-DIGEST = "array<struct<n_tokens: int, log_prob: double, noisy: double, inclusion: double>>"
+def log_inclusion(above: float) -> float:
+    """Log of the chance that a path is drawn, 1 - exp(-exp(above)), from how far its log-probability lies above the threshold."""
+    return above if above < -30 else float(np.log(-np.expm1(-np.exp(min(above, 700.0)))))
+
+
+SAMPLES = "array<struct<ids: array<int>, log_prob: double, noisy: double, log_inclusion: double>>"
+DIGEST = "array<struct<n_tokens: int, log_prob: double, noisy: double, log_inclusion: double>>"
 
 
 def sampled(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, alpha: float = 0.5, seed: int = 1, model: str = "piece_bpe_32k.model", with_ids: bool = True) -> DataFrame:
     """All columns of ``df`` with samples, k different encodings of the whole text (fewer if it has fewer), and round_trip.
 
-    Each sample has its ids (or, without ``with_ids``, n_tokens), its log-probability, its noisy value and the probability
-    that it is among the k. ``round_trip`` says that every sample decodes to the text. The noise depends on ``seed`` and the
+    Each sample has its ids (or, without ``with_ids``, n_tokens), its log-probability, its noisy value and the log of the
+    probability that it is among the k (probabilities of long texts are too small for a number). ``round_trip`` says that every sample decodes to the text. The noise depends on ``seed`` and the
     row's key alone, so repeated rows come out alike. A null or empty text has one encoding, the empty one. A literal word
     mark in a text is read as a space, as the library does, and fails the round trip. An empty table gives an empty one;
     columns of ``df`` named samples or round_trip are replaced.
@@ -330,7 +334,7 @@ def sampled(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     df = df.select(*[c for c in df.columns if c.lower() not in ("samples", "round_trip")])
     at_text, at_key = df.columns.index(text), df.columns.index(key)
     schema = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], f"samples {SAMPLES if with_ids else DIGEST}", "round_trip boolean"])
-    kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())) if with_ids else ("n_tokens", pa.int32()), ("log_prob", pa.float64()), ("noisy", pa.float64()), ("inclusion", pa.float64())]))
+    kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())) if with_ids else ("n_tokens", pa.int32()), ("log_prob", pa.float64()), ("noisy", pa.float64()), ("log_inclusion", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(public_tokenizers.path(model))
