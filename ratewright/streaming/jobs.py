@@ -15,6 +15,11 @@ from ratewright.operators.tables import insert_absent, latest_quotes, pick_by
 from ratewright.session import new_folder
 
 
+def _root(spark: SparkSession, name: str, root: str | None) -> str:
+    """The folder of a run. Given the folder of an earlier run, the stream goes on where that one ended."""
+    return root.rstrip("/") if root else new_folder(spark, name)
+
+
 def _run(writer, folder: str) -> None:
     q = writer.option("checkpointLocation", folder).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -54,16 +59,16 @@ KEY = ["fixture_id", "bookmaker"]
 ORDER = ["snapshot_time", "home_odds", "draw_odds", "away_odds"]
 
 
-def ingest_quotes(stream: DataFrame, fixtures: DataFrame, name: str = "quotes") -> dict[str, DataFrame]:
+def ingest_quotes(stream: DataFrame, fixtures: DataFrame, name: str = "quotes", root: str | None = None) -> dict[str, DataFrame]:
     """Quotes to an archive, a latest table and a pre-kickoff latest table, batch by batch.
 
     The archive is partitioned by batch, so a repeated batch replaces its own rows. The
-    pre-kickoff table refuses quotes at or after the start.
+    pre-kickoff table refuses quotes at or after the start. Run again on the same ``root``,
+    it reads only what has arrived since and returns the tables of all runs.
     """
     spark = stream.sparkSession
-    root = new_folder(spark, name)
+    root = _root(spark, name, root)
     latest, preko = (KeyedLog(spark, f"{root}/{t}", QUOTE, KEY, ORDER) for t in ("latest", "preko"))
-    last = {"batch": -1}
 
     def step(batch: DataFrame, number: int) -> None:
         rows = batch.select(*[f.split()[0] for f in QUOTE.split(", ")])
@@ -71,22 +76,27 @@ def ingest_quotes(stream: DataFrame, fixtures: DataFrame, name: str = "quotes")
         landed = spark.read.schema(QUOTE).parquet(f"{root}/archive/batch={number}")
         latest.append(latest_quotes(landed), number)
         preko.append(latest_quotes(k.pre_kickoff(landed, fixtures).select(*landed.columns)), number)
-        last["batch"] = number
 
+    # So that there is a table to read even if nothing has arrived.
+    spark.createDataFrame([], QUOTE).write.mode("overwrite").parquet(f"{root}/archive/batch=-1")
     _run(stream.writeStream.foreachBatch(step), f"{root}/checkpoint")
-    return {
-        "archive": spark.read.schema(QUOTE).parquet(f"{root}/archive"),
-        "latest": latest.read(last["batch"]),
-        "preko": preko.read(last["batch"]),
-    }
+    archive = spark.read.schema(f"{QUOTE}, batch int").parquet(f"{root}/archive")
+    number = archive.agg(F.max("batch")).first()[0]
+    number = -1 if number is None else number
+    return {"archive": archive.drop("batch"), "latest": latest.read(number), "preko": preko.read(number)}
 
 
-def freeze_stream(stream: DataFrame, fixtures: DataFrame, as_of, hours: float) -> DataFrame:
-    """Write-once consensus: each batch freezes started fixtures that are not frozen yet; none is written twice."""
+def freeze_stream(stream: DataFrame, fixtures: DataFrame, as_of, hours: float, root: str | None = None) -> DataFrame:
+    """Write-once consensus: each batch freezes started fixtures that are not frozen yet; none is written twice.
+
+    What is frozen is kept like the quotes, as batches and a merged base, so a batch reads a
+    bounded number of folders however long the stream has run.
+    """
     spark = stream.sparkSession
-    root = new_folder(spark, "freeze")
+    root = _root(spark, "freeze", root)
     schema = "fixture_id long, home_expected_score double, away_expected_score double, bookmaker_count int"
     preko = KeyedLog(spark, f"{root}/preko", QUOTE, KEY, ORDER)
+    kr = KeyedLog(spark, f"{root}/kr", schema, ["fixture_id"], ["bookmaker_count"])
     started = fixtures.where(F.coalesce("commence_time", F.col("date").cast("timestamp_ntz")) <= as_of)
 
     def step(batch: DataFrame, number: int) -> None:
@@ -94,15 +104,13 @@ def freeze_stream(stream: DataFrame, fixtures: DataFrame, as_of, hours: float) -
         usable = batch.select(*names).where(x.valid_quote(*k.ODDS))
         early = k.pre_kickoff(usable, fixtures).select(*names)
         preko.append(latest_quotes(early), number)
-        pending = started
-        if number:
-            have = spark.read.schema(schema).parquet(*[f"{root}/kr/batch={i}" for i in range(number)])
-            pending = insert_absent(have, started, ["fixture_id"])
+        pending = insert_absent(kr.read(number - 1), started, ["fixture_id"])
         frozen = k.frozen_consensus(preko.read(number), pending, hours).select(*[f.split()[0] for f in schema.split(", ")])
-        frozen.write.mode("overwrite").parquet(f"{root}/kr/batch={number}")
+        kr.append(frozen, number)
 
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/kr/delta=-1")
     _run(stream.writeStream.foreachBatch(step), f"{root}/checkpoint")
-    return spark.read.schema(schema).parquet(f"{root}/kr").drop("batch")
+    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{root}/kr/delta=*")
 
 
 def distinct_quotes(stream: DataFrame, minutes: int = c.FRESH_MINUTES) -> DataFrame:
@@ -164,10 +172,10 @@ def lock_events(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFram
     return events, last
 
 
-def kickoff_locks(stream: DataFrame) -> DataFrame:
+def kickoff_locks(stream: DataFrame, root: str | None = None) -> DataFrame:
     """Per team: when its market value was frozen for a match and when settlement cleared it."""
     spark = stream.sparkSession
-    root = new_folder(spark, "locks")
+    root = _root(spark, "locks", root)
     state = KeyedLog(spark, f"{root}/state", LOCK_STATE, ["team"], ["ts", "event_id"])
 
     def step(batch: DataFrame, number: int) -> None:
@@ -175,30 +183,32 @@ def kickoff_locks(stream: DataFrame) -> DataFrame:
         state.append(last, number)
         events.write.mode("overwrite").parquet(f"{root}/events/batch={number}")
 
+    spark.createDataFrame([], LOCK_EVENTS).write.mode("overwrite").parquet(f"{root}/events/batch=-1")
     _run(stream.writeStream.foreachBatch(step), f"{root}/checkpoint")
     return spark.read.schema(LOCK_EVENTS).parquet(f"{root}/events").drop("batch")
 
 
-def to_table(df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
+def to_table(df: DataFrame, name: str, schema: str | None = None, root: str | None = None) -> DataFrame:
     """Run an append-mode stream over what is there to a parquet folder, and read it back."""
     spark = df.sparkSession
-    root = new_folder(spark, name)
+    root = _root(spark, name, root)
     writer = df.writeStream.format("parquet").outputMode("append").option("path", f"{root}/data")
     _run(writer, f"{root}/checkpoint")
     return spark.read.schema(df.schema if schema is None else schema).parquet(f"{root}/data")
 
 
-def to_latest(df: DataFrame, name: str, keys: list[str], order: list[str]) -> DataFrame:
+def to_latest(df: DataFrame, name: str, keys: list[str], order: list[str], root: str | None = None) -> DataFrame:
     """Run a windowed stream in update mode, and read the newest row per key: windows still open at the end are there too.
 
     Each batch writes the windows it changed under its own number, so a repeated batch replaces its own rows.
     """
     spark = df.sparkSession
-    root = new_folder(spark, name)
+    root = _root(spark, name, root)
 
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
 
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{root}/data/batch=-1")
     _run(df.writeStream.outputMode("update").foreachBatch(step), f"{root}/checkpoint")
     return pick_by(spark.read.schema(df.schema).parquet(f"{root}/data").select(*df.columns), keys, order)
 
