@@ -125,6 +125,12 @@ def current_expected(latest: DataFrame) -> DataFrame:
     )
 
 
+def days_out(quotes: DataFrame, fixtures: DataFrame, days: int = 1) -> DataFrame:
+    """Quotes taken so many days before the start: what the daily batch models read, with ``days`` 1."""
+    starts = fixtures.select("fixture_id", t.kickoff_or_default("commence_time", "date", "23:59:59").alias("kickoff"))
+    return quotes.join(starts, "fixture_id").where(t.days_before("snapshot_time", "kickoff") == days)
+
+
 def preferred_consensus(quotes: DataFrame, book: str | None) -> DataFrame:
     """Mean of the preferred book's reciprocal odds where it quotes, else the median of all books; margin removed.
 

@@ -30,7 +30,7 @@ def priors(spark, d):
 
 
 def pre_quotes(spark, d):
-    return k.pre_kickoff(quotes(spark, d), fixtures(spark, d))
+    return k.days_out(quotes(spark, d), fixtures(spark, d))
 
 
 def market(spark, d, book=None):
@@ -45,7 +45,7 @@ fragment(
 fragment(
     "preq",
     ("starts", "quotes"),
-    "SELECT q.*, s.kickoff FROM quotes q JOIN starts s USING (fixture_id) WHERE q.snapshot_time < s.kickoff",
+    "SELECT q.*, s.kickoff FROM quotes q JOIN starts s USING (fixture_id) WHERE greatest(0, floor((epoch_us(s.kickoff) - epoch_us(q.snapshot_time)) / 8.64e10 + 0.5)) = 1",
 )
 for name, preferred in (("medodds", "FALSE"), ("prefodds", f"bookmaker = '{BOOK}'")):
     fragment(

@@ -54,9 +54,7 @@ def broken_settlements(spark, d):
     ),
 )
 def one_day_before(spark, d):
-    starts = fixtures(spark, d).select("fixture_id", t.kickoff_or_default("commence_time", "date", "23:59:59").alias("kickoff"))
-    rows = quotes(spark, d).join(starts, "fixture_id").where(t.days_before("snapshot_time", "kickoff") == 1)
-    return rows.select("fixture_id", "bookmaker", "snapshot_time")
+    return k.days_out(quotes(spark, d), fixtures(spark, d)).select("fixture_id", "bookmaker", "snapshot_time")
 
 
 @query(
@@ -287,6 +285,23 @@ def export_settlements(spark, d):
     return spark.read.option("header", True).schema(schema).csv(folder).select("fixture_id", "team_id", "score", "bookmaker_count")
 
 
+@query("export_frozen", sql(f"SELECT fixture_id, bookmaker_count, {rnd('home_expected_score', 6)} AS home_expected_score, {rnd('away_expected_score', 6)} AS away_expected_score FROM kr", "kr"))
+def export_frozen(spark, d):
+    folder = new_folder(spark, "export-frozen")
+    columns = ["fixture_id", "bookmaker_count", "home_expected_score", "away_expected_score"]
+    ex.write_csv(ex.frozen_rows(frozen(spark, d)).select(*columns[:2], *[r(n).alias(n) for n in columns[2:]]), folder)
+    schema = "fixture_id long, bookmaker_count int, home_expected_score double, away_expected_score double"
+    return spark.read.option("header", True).schema(schema).csv(folder)
+
+
+@query("export_history", sql(f"SELECT event_id, team, league, ts, publish_reason, {rnd('published_index', 6)} AS published_index, {rnd('price', 6)} AS price FROM history", "history"))
+def export_history(spark, d):
+    folder = new_folder(spark, "export-history")
+    ex.write_csv(history(spark, d).select("event_id", "team", "league", "ts", "publish_reason", r("published_index").alias("published_index"), r("price").alias("price")), folder)
+    schema = "event_id long, team string, league string, ts timestamp_ntz, publish_reason string, published_index double, price double"
+    return spark.read.option("header", True).schema(schema).csv(folder)
+
+
 @query("export_state", sql(f"SELECT team_id, league, {rnd('b_value', 6)} AS b_value FROM state", "state"))
 def export_state(spark, d):
     folder = new_folder(spark, "export-state")

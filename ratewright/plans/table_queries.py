@@ -686,7 +686,19 @@ def export_trailing_quotes(spark, d):
     return ex.trailing(quotes(spark, d), "snapshot_time", as_of(), 30).select("fixture_id", "bookmaker", "snapshot_time")
 
 
-@query("regroup_snapshots")
+@query(
+    "regroup_snapshots",
+    sql(
+        """SELECT fixture, day_offset, CAST(dense_rank() OVER (PARTITION BY fixture ORDER BY day_offset DESC) - 1 AS INTEGER) AS place, max(snapshot_time) OVER (PARTITION BY fixture, day_offset) AS taken, bookmaker,
+                  round(home_odds, 6) AS home_odds, round(draw_odds, 6) AS draw_odds, round(away_odds, 6) AS away_odds FROM (
+             SELECT *, row_number() OVER (PARTITION BY fixture, day_offset, bookmaker ORDER BY snapshot_time DESC, home_odds DESC, draw_odds DESC, away_odds DESC) AS rn FROM (
+               SELECT *, fixture_id AS fixture, CAST(datediff('day', CAST(snapshot_time AS DATE), DATE '2002-01-01') % 3 + 1 AS INTEGER) AS day_offset FROM quotes)) WHERE rn = 1""",
+        "quotes",
+    ),
+)
 def regroup_snapshots(spark, d):
+    """The nested document of each fixture, laid out again: a row for each snapshot's book, in the document's order."""
     q = quotes(spark, d).select(F.col("fixture_id").alias("fixture"), (F.datediff(F.lit("2002-01-01"), F.col("snapshot_time").cast("date")) % 3 + 1).alias("day_offset"), "snapshot_time", "bookmaker", *k.ODDS)
-    return ns.regroup(q).select("fixture", F.size("snapshots").alias("n_snapshots"), F.to_json("snapshots").alias("snapshots"))
+    shots = ns.regroup(q).select("fixture", F.posexplode("snapshots").alias("place", "s"))
+    books = shots.select("fixture", "s.day_offset", "place", F.col("s.snapshot_time").alias("taken"), F.explode("s.books").alias("b"))
+    return books.select("fixture", "day_offset", "place", "taken", "b.bookmaker", *[r(f"b.{o}").alias(o) for o in k.ODDS])

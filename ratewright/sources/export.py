@@ -25,6 +25,11 @@ def match_rows(fixtures: DataFrame, kr: DataFrame) -> DataFrame:
     return fixtures.join(kr.select("fixture_id", "bookmaker_count", "method"), "fixture_id", "left").orderBy("date", "fixture_id")
 
 
+def frozen_rows(kr: DataFrame) -> DataFrame:
+    """Frozen consensus without its nested quotes, which have no place in a CSV."""
+    return kr.select(*[c for c, kind in kr.dtypes if not kind.startswith(("array", "struct", "map"))])
+
+
 def latest_outrights(outrights: DataFrame, newest: int | None = None) -> DataFrame:
     """Latest price per (league, team, book), of the newest rows only where a number is given."""
     rows = outrights if newest is None else outrights.orderBy(F.desc("snapshot_time"), "league", "team", "bookmaker").limit(newest)
