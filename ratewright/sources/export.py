@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ratewright.operators.tables import pick_by
 
 
+#: Times in full: Spark's own CSV format ends at milliseconds.
+TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_csv(df: DataFrame, folder: str) -> None:
-    df.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    options = {"header": True, "quote": '"', "escape": '"', "timestampFormat": f"{TIME}XXX", "timestampNTZFormat": TIME}
+    df.write.mode("errorifexists").options(**options).csv(folder)
 
 
 def settlement_rows(log: DataFrame) -> DataFrame:
