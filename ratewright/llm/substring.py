@@ -7,11 +7,12 @@
    recurring anchor. Copies of a whole text are one text here; only the copy with the smallest key speaks for it.
 3. Phrases go to shards by anchor, in key order. A shard confirms by the words themselves which windows occurred under a
    smaller key, compiles those into an Aho-Corasick automaton over word numbers, and streams its phrases through it.
-   The automaton's hits are the windows to remove. Shards work in portions, so a very frequent anchor needs memory for
-   its different windows only, not for its occurrences.
-4. Hits return to their texts as stretches of words, and each text is cut.
+   The automaton's hits are the windows to remove.
+4. An anchor of more than HOT stretches would fill its shard. Its windows go by themselves, as 128-bit digests: their
+   smallest keys are pre-aggregated and joined back, where Spark splits what is skewed.
+5. Hits return to their texts as stretches of words, and each text is cut.
 
-Hashes only choose candidates; what is removed is decided by equal words.
+Hashes of five words only choose candidates; what is removed is decided by equal words, or digests of them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from ratewright.llm.common import Words, grams, slices, stored, texts_of
 
 WIDTH = 13
 ANCHOR = 5
+#: Stretches of an anchor that one shard still takes. It routes, and drops nothing.
+HOT = 4_096
 #: Phrases compiled into one automaton.
 PORTION = 20_000
 #: Different words that a shard numbers before it starts anew, at the next portion that begins with another anchor.
@@ -77,7 +81,10 @@ def _anchor_rows(rows: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def _phrases(rows: DataFrame, width: int, k: int) -> DataFrame:
-    """(anchor, key, class, at, phrase) from (key, class, text, anchors): stretches of words whose windows share a recurring anchor."""
+    """(hot, anchor, key, class, at, phrase) from (key, class, text, anchors).
+
+    For an anchor that recurs the phrase is a stretch of words whose windows share it; for a hot one, each window's digest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -85,23 +92,29 @@ def _phrases(rows: DataFrame, width: int, k: int) -> DataFrame:
             words = Words(texts)
             start, anchor = window_anchors(words, width, k)
             text = words.text_of()[start]
-            wanted = batch.column(batch.schema.get_field_index("anchors"))
+            lists = batch.column(batch.schema.get_field_index("anchors"))
             bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-            known = np.zeros(len(start), dtype=bool)
+            known, hot = np.zeros(len(start), dtype=bool), np.zeros(len(start), dtype=bool)
             for i in range(len(texts)):
                 a, b = bounds[i], bounds[i + 1]
-                known[a:b] = np.isin(anchor[a:b], wanted[i].values.to_numpy(zero_copy_only=False))
-            start, anchor, text = start[known], anchor[known], text[known]
-            a, b = _runs(start, anchor, text)
-            low, high = words.starts[start[a]], words.ends[start[b - 1] + width - 1]
-            cut = [words.data[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
-            at = text[a]
+                wanted, warm = (lists[i].values.field(n).to_numpy(zero_copy_only=False) for n in ("anchor", "hot"))
+                known[a:b] = np.isin(anchor[a:b], wanted[~warm])
+                if warm.any():
+                    hot[a:b] = np.isin(anchor[a:b], wanted[warm])
+            a, b = _runs(start[known], anchor[known], text[known])
+            begin, last = np.concatenate([start[known][a], start[hot]]), np.concatenate([start[known][b - 1], start[hot]]) + width - 1
+            low, high = words.starts[begin].tolist(), words.ends[last].tolist()
+            cut = [words.data[x:y] for x, y in zip(low, high, strict=True)]
+            for i in range(len(a), len(cut)):
+                cut[i] = xxhash.xxh3_128_digest(b" ".join(cut[i].split()))
+            at = np.concatenate([text[known][a], text[hot]])
+            own = np.concatenate([anchor[known][a], anchor[hot]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[a]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array((start[a] - words.first[at]).astype(np.int32)), pa.array(cut, pa.binary())],
-                names=["anchor", "key", "class", "at", "phrase"],
+                [pa.array(np.arange(len(cut)) >= len(a)), pa.array(own), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array((begin - words.first[at]).astype(np.int32)), pa.array(cut, pa.binary())],
+                names=["hot", "anchor", "key", "class", "at", "phrase"],
             )
 
-    return rows.select("key", "class", "text", "anchors").mapInArrow(run, "anchor long, key long, class long, at int, phrase binary")
+    return rows.select("key", "class", "text", "anchors").mapInArrow(run, "hot boolean, anchor long, key long, class long, at int, phrase binary")
 
 
 class Shard:
@@ -137,6 +150,13 @@ class Shard:
         return out
 
 
+def _removed_hot(windows: DataFrame, width: int) -> DataFrame:
+    """(class, key, a, b): windows that a smaller key has too, from one row for each window."""
+    firsts = windows.groupBy("phrase").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("phrase", "least")
+    found = windows.join(firsts, "phrase").where("least < key")
+    return found.select("class", "key", F.col("at").alias("a"), (F.col("at") + width).alias("b"))
+
+
 def _removed(phrases: DataFrame, width: int) -> DataFrame:
     """(class, key, a, b): stretches of word numbers to remove from a text."""
 
@@ -144,7 +164,7 @@ def _removed(phrases: DataFrame, width: int) -> DataFrame:
         shard = Shard(width)
         for whole in batches:
             for i in range(0, whole.num_rows, PORTION):
-                batch = whole.slice(i, PORTION)
+                batch = whole.slice(i, PORTION).select(["anchor", "key", "class", "at", "phrase"])
                 hits = shard.portion(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist())
                 row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
                 begin = np.array([x for h in hits for x in h], dtype=np.int64)
@@ -189,7 +209,7 @@ def _cut(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), width: int = WIDTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """(key, carried columns, n_words, n_removed, kept): each row's text without words that a window repeats from a smaller key.
 
     A window is ``width`` consecutive words of one row's whole text; it repeats if the same words follow one another in
@@ -201,14 +221,16 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carr
     parts = [F.coalesce(F.col(key), F.lit(LAST)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")]
     texts = df.select(*parts).withColumns({"class": F.xxhash64("text"), "code": F.md5("text")})
     anchors = _anchor_rows(texts, width, anchor)
-    twice = anchors.groupBy("anchor").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("anchor")
-    twice = stored(twice, "anchors")
+    twice = anchors.groupBy("anchor").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count(F.lit(1)).alias("n"))
+    twice = stored(twice.where("a <> b").select("anchor", (F.col("n") > hot).alias("hot")), "anchors")
     firsts = stored(texts.groupBy("class", "code").agg(F.min("key").alias("first")), "firsts")
-    sets = anchors.join(twice, "anchor").groupBy("class").agg(F.collect_set("anchor").alias("anchors"))
+    sets = anchors.join(twice, "anchor").groupBy("class").agg(F.collect_set(F.struct("anchor", "hot")).alias("anchors"))
     sets = stored(sets.join(firsts, "class"), "sets")
     speaking = texts.join(sets, ["class", "code"]).where(F.col("key") == F.col("first"))
-    shards = _phrases(speaking, width, anchor).repartition("anchor").sortWithinPartitions("anchor", "key")
-    cuts = _removed(shards, width).groupBy("class", "key").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    phrases = stored(_phrases(speaking, width, anchor), "phrases")
+    shards = phrases.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "key")
+    found = _removed(shards, width).union(_removed_hot(phrases.where("hot"), width))
+    cuts = found.groupBy("class", "key").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     cuts = stored(cuts.withColumnRenamed("key", "first"), "cuts")
     about = firsts.join(cuts, ["class", "first"], "left")
     carried = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]

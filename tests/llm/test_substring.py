@@ -47,6 +47,9 @@ def test_removals_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS class", "2 AS cuts", "3 AS n_words", "4 AS first")
     got = sorted((tuple(r) for r in without_repeats(df).collect()), key=str)
     assert got == brute(rows)
+    # Wherever the line between shards and hot windows lies, the result is the same.
+    for hot in (0, 6):
+        assert sorted((tuple(r) for r in without_repeats(df, hot=hot).collect()), key=str) == brute(rows)
     kept = without_repeats(df, carry=("cuts", "first")).columns
     assert kept == ["doc_id", "cuts", "first", "n_words", "n_removed", "kept"]
     assert without_repeats(df.limit(0)).collect() == []
@@ -56,8 +59,9 @@ def test_a_hot_passage_is_found_everywhere(spark):
     rng = random.Random(8)
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(i, " ".join([*(f"{rng.random():.9f}" for _ in range(9)), passage, *(f"{rng.random():.9f}" for _ in range(9))])) for i in range(2000)]
-    got = {r.doc_id: r.n_removed for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: 30 if i else 0 for i in range(2000)}
+    for hot in (500, 4096):
+        got = {r.doc_id: r.n_removed for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+        assert got == {i: 30 if i else 0 for i in range(2000)}
 
 
 def test_shards_work_in_portions():
