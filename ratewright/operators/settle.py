@@ -12,6 +12,7 @@ from ratewright import config as c
 from ratewright.functions import numeric as x
 from ratewright.functions import text as tx
 from ratewright.operators.ordered import BLOCK, in_blocks, ordered_scan
+from ratewright.session import durable
 
 
 def team_rows(fixtures: DataFrame, extra: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -189,7 +190,7 @@ def _fold_v2(starts: dict, base: float, emit_rows: bool):
             if not len(pdf):
                 continue
             block = int(pdf[BLOCK].iloc[0])
-            cols = [pdf[n].to_numpy() for n in ("league", "home_team", "away_team", "s_home", "e_home", "e_away")]
+            cols = [pdf[n].to_numpy() for n in (GROUP, "home_team", "away_team", "s_home", "e_home", "e_away")]
             hb, ab, hd, ad, hg, ag = (np.empty(len(pdf)) for _ in range(6))
             for i, (lg, h, a, s, eh, ea) in enumerate(zip(*cols)):
                 if lg != league:
@@ -237,14 +238,37 @@ def _fold_v2(starts: dict, base: float, emit_rows: bool):
     return run
 
 
+GROUP = "_group"
+
+
+def team_groups(rows: DataFrame) -> DataFrame:
+    """(team, _group): teams that meet, directly or through others, share a group, whatever leagues they are in.
+
+    Works on distinct pairs of teams: the least name spreads over them, two steps a round, until nothing changes.
+    """
+    pairs = rows.select(F.col("home_team").alias("a"), F.col("away_team").alias("b"))
+    pairs = durable(pairs.union(pairs.select("b", "a")).union(pairs.select("a", "a")).distinct())
+    label = pairs.groupBy("a").agg(F.min("b").alias(GROUP))
+    while True:
+        label = durable(label)
+        near = pairs.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min(GROUP).alias(GROUP))
+        jump = near.join(label.select(F.col("a").alias(GROUP), F.col(GROUP).alias("_next")), GROUP)
+        after = durable(jump.select("a", F.least(GROUP, "_next").alias(GROUP)))
+        if after.join(label.withColumnRenamed(GROUP, "_old"), "a").where(F.col(GROUP) != F.col("_old")).isEmpty():
+            return after.withColumnRenamed("a", "team")
+        label = after
+
+
 def settle_v2(rows: DataFrame, base: float = c.BASELINE_RATING, order=("date", "fixture_id")) -> DataFrame:
     """Steps with gravity to the strength the odds imply against the opponent's current B.
 
-    ``rows`` is one per fixture: league, home_team, away_team, s_home, e_home, e_away. A
-    league's fixtures may span many blocks: one pass finds each block's affine effect,
-    the effects are chained (a few numbers per block), one pass writes the rows.
+    ``rows`` is one per fixture: home_team, away_team, s_home, e_home, e_away. A team has one
+    B in all its competitions, so the chain runs over teams that are connected by contests. A
+    group's fixtures may span many blocks: one pass finds each block's affine effect, the
+    effects are chained (a few numbers per block and team), one pass writes the rows.
     """
-    blocks = in_blocks(rows, ["league"], list(order))
+    groups = team_groups(rows)
+    blocks = in_blocks(rows.join(groups, rows.home_team == groups.team).drop("team"), [GROUP], list(order))
     starts: dict[int, dict] = {}
     if blocks.rdd.getNumPartitions() > 1:
         schema = (
@@ -265,7 +289,7 @@ def settle_v2(rows: DataFrame, base: float = c.BASELINE_RATING, order=("date", "
                 prev_state = {s.team: s.b for s in e.end_state}
             prev_league = e.last_league
     added = ("home_b_before", "away_b_before", "home_delta_b", "away_delta_b", "home_gravity", "away_gravity")
-    return blocks.mapInPandas(_fold_v2(starts, base, True), _with_doubles(blocks, *added)).drop(BLOCK)
+    return blocks.mapInPandas(_fold_v2(starts, base, True), _with_doubles(blocks, *added)).drop(BLOCK, GROUP)
 
 
 def trace(settled: DataFrame, kr: DataFrame) -> DataFrame:

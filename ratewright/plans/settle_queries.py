@@ -188,7 +188,7 @@ fragment(
     "v2in",
     ("reasons",),
     """
-    SELECT *, row_number() OVER (PARTITION BY league ORDER BY date, fixture_id) AS rn,
+    SELECT *, row_number() OVER (ORDER BY date, fixture_id) AS rn,
            CASE WHEN home_goals > away_goals THEN 1.0 WHEN home_goals = away_goals THEN 0.5 ELSE 0.0 END::DOUBLE AS s,
            400 * log10(greatest(0.01, least(0.99, home_expected_score)) / (1 - greatest(0.01, least(0.99, home_expected_score)))) - 65 AS xh,
            400 * log10(greatest(0.01, least(0.99, away_expected_score)) / (1 - greatest(0.01, least(0.99, away_expected_score)))) + 65 AS xa
@@ -196,18 +196,18 @@ fragment(
     """,
 )
 fragment(
-    "v2run(league, team, rn, before, b)",
+    "v2run(team, rn, before, b)",
     ("v2in",),
     """
-    SELECT DISTINCT league, team, 0::BIGINT, 1500.0::DOUBLE, 1500.0::DOUBLE
-    FROM (SELECT league, unnest([home_team, away_team]) AS team FROM v2in)
+    SELECT DISTINCT team, 0::BIGINT, 1500.0::DOUBLE, 1500.0::DOUBLE
+    FROM (SELECT unnest([home_team, away_team]) AS team FROM v2in)
     UNION ALL
-    SELECT p.league, p.team, f.rn, p.b,
+    SELECT p.team, f.rn, p.b,
            CASE WHEN p.team = f.home_team THEN p.b + 30 * (s - home_expected_score) + 0.05 * (o.b + xh - p.b)
                 WHEN p.team = f.away_team THEN p.b + 30 * (1 - s - away_expected_score) + 0.05 * (o.b + xa - p.b)
                 ELSE p.b END::DOUBLE
-    FROM v2run p JOIN v2in f ON f.league = p.league AND f.rn = p.rn + 1
-    JOIN v2run o ON o.league = p.league AND o.team = CASE WHEN p.team = f.home_team THEN f.away_team
+    FROM v2run p JOIN v2in f ON f.rn = p.rn + 1
+    JOIN v2run o ON o.team = CASE WHEN p.team = f.home_team THEN f.away_team
                                                         WHEN p.team = f.away_team THEN f.home_team ELSE p.team END
     """,
 )
@@ -216,10 +216,10 @@ fragment(
 @query(
     "settle_v2",
     sql(
-        f"""SELECT f.fixture_id, h.league, {rnd('h.before', 5)} AS home_b_before, {rnd('a.before', 5)} AS away_b_before,
+        f"""SELECT f.fixture_id, f.league, {rnd('h.before', 5)} AS home_b_before, {rnd('a.before', 5)} AS away_b_before,
                    {rnd('h.b - h.before', 5)} AS home_delta_b, {rnd('a.b - a.before', 5)} AS away_delta_b
-            FROM v2in f JOIN v2run h ON h.league = f.league AND h.rn = f.rn AND h.team = f.home_team
-            JOIN v2run a ON a.league = f.league AND a.rn = f.rn AND a.team = f.away_team""",
+            FROM v2in f JOIN v2run h ON h.rn = f.rn AND h.team = f.home_team
+            JOIN v2run a ON a.rn = f.rn AND a.team = f.away_team""",
         "v2run",
     ),
 )
