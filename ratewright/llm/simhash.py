@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from ratewright.llm.common import mix, slices, stored, texts_of
 from ratewright.llm.links import components, forest
 
-#: Fingerprints in one tile, about; fuller tiles are cut, and their pieces meet one another.
-TILE = 16_384
+#: Fingerprints in one tile, about: a 256th of all, within bounds. Fuller tiles are cut, and their pieces meet one another.
+TILES, LEAST_TILE, MOST_TILE = 256, 16_384, 1 << 20
+#: Pairs compared at once.
+SLAB = 1 << 19
 #: Longest radius whose tiles go by the counts of four parts.
 PARTED = 3
 #: Hashes of one text whose bits are summed at once.
@@ -79,8 +81,9 @@ def _cells(radius: int, lanes: int) -> tuple[Column, list[int]]:
 def near(one: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of all pairs of rows (fingerprints by 64-bit words) that differ in at most radius bits."""
     found = []
-    for i in range(0, len(one), 128):
-        part = one[i : i + 128]
+    rows = max(1, SLAB // max(len(other), 1))
+    for i in range(0, len(one), rows):
+        part = one[i : i + rows]
         differ = np.bitwise_count(part[:, None, 0] ^ other[None, :, 0])
         if part.shape[1] > 1:
             differ = differ + np.bitwise_count(part[:, None, 1] ^ other[None, :, 1])
@@ -90,20 +93,28 @@ def near(one: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, n
             keep = np.bitwise_count(part[a] ^ other[b]).sum(axis=1, dtype=np.int64) <= radius
             a, b = a[keep], b[keep]
         found.append((a + i, b))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return tuple(np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in zip(*found, strict=True))
 
 
-def near_links(fps: DataFrame, radius: int, lanes: int = 1, tile: int = TILE) -> DataFrame:
+def near_links(fps: DataFrame, radius: int, lanes: int = 1, tile: int | None = None) -> DataFrame:
     """(a, b) links between the nodes of distinct (fp, node) at most ``radius`` bits apart: enough of them to connect all that are linked."""
     cell, steps = _cells(radius, lanes)
     placed = fps.select("fp", "node", cell.alias("cell"))
-    cut = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("cuts"))
+    sizes = stored(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tile = tile or min(max(total // TILES, LEAST_TILE), MOST_TILE)
+    # There are 17^4 cells at most, so this table may be broadcast and no cell's rows meet in one task.
+    cut = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / tile).cast("long").alias("cuts")))
     pieces = placed.join(cut, "cell").withColumn("piece", F.pmod(F.xxhash64("node"), "cuts"))
     tiles = pieces.groupBy("cell", "piece").agg(F.collect_list(F.struct("fp", "node")).alias("rows"))
     tiles = stored(tiles.select("cell", "piece", F.flatten("rows.fp").alias("fps"), F.col("rows.node").alias("nodes")), "tiles")
+    # Pairs of tiles by name first; the fingerprints follow, each tile's to the pairs that it is in.
+    names = sizes.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / tile).cast("long") - 1)).alias("piece"))
     step = F.explode(F.array(*[F.lit(s).cast("long") for s in steps]))
-    home = tiles.select(F.col("cell").alias("home"), F.col("piece").alias("home_piece"), F.col("fps").alias("home_fps"), F.col("nodes").alias("home_nodes"), step.alias("step"))
-    pairs = home.withColumn("cell", F.col("home") + F.col("step")).join(tiles, "cell").where("step <> 0 or home_piece <= piece")
+    homes = names.select(F.col("cell").alias("home"), F.col("piece").alias("home_piece"), step.alias("step")).withColumn("cell", F.col("home") + F.col("step"))
+    met = homes.join(names, "cell").where("step <> 0 or home_piece <= piece").select("home", "home_piece", "cell", "piece")
+    own = tiles.select(F.col("cell").alias("home"), F.col("piece").alias("home_piece"), F.col("fps").alias("home_fps"), F.col("nodes").alias("home_nodes"))
+    pairs = met.join(own, ["home", "home_piece"]).join(tiles, ["cell", "piece"])
     # A pair may be a task's work by itself, so they are dealt out one by one.
     pairs = pairs.repartition("home", "home_piece", "cell", "piece").select("home_fps", "home_nodes", "fps", "nodes")
 

@@ -34,7 +34,7 @@ class Linear:
     bias: float
 
 
-def fit_nnpu(positive: np.ndarray, row: np.ndarray, feature: np.ndarray, prior: float, dims: int = DIMS, rounds: int = 150, rate: float = 0.04, l1: float = 0.1, l2: float = 1e-4, least_texts: int = 12) -> Linear:
+def fit_nnpu(positive: np.ndarray, row: np.ndarray, feature: np.ndarray, prior: float, dims: int = DIMS, rounds: int = 150, rate: float = 0.04, l1: float = 0.1, l2: float = 1e-4, least_texts: int = 8) -> Linear:
     """Logistic loss over presence of features, ridge and shrinkage. Features in fewer than ``least_texts`` texts are left out.
 
     Steps shorten towards the end and the last half's weights are averaged, as the estimator swings about its floor.
