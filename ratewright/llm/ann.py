@@ -22,7 +22,9 @@ PROJECTIONS = 128
 HALF = 1.0
 COLLISIONS = 0.6
 #: Search radii on the unit sphere; beyond the last every vector is verified.
-RADII = (0.1, 0.3, 0.5, 0.65, 0.8, 0.9, 0.97, 1.03, 1.08, 1.14, 1.25, 1.45)
+RADII = (0.2, 0.5, 0.8, 0.97, 1.05, 1.12, 1.25, 1.45)
+#: Queries whose windows are kept at once.
+AT_ONCE = 256
 BLOCK_ROWS, CHUNK_ROWS = 32_768, 4_096
 
 
@@ -35,36 +37,41 @@ class Block:
         self.norm = lengths(self.x)
         self.lines = np.random.default_rng(seed).standard_normal((x.shape[1], PROJECTIONS))
         h = (self.x / self.norm[:, None]) @ self.lines
-        self.order = np.argsort(h, axis=0).T.astype(np.int32)
+        self.order = np.argsort(h, axis=0).T.copy()
         self.sorted = np.take_along_axis(h, self.order.T, axis=0).T.copy()
 
     def cosine(self, rows: np.ndarray, q: np.ndarray, norm: float) -> np.ndarray:
         return ((self.x[rows] / self.norm[rows, None]) * (q / norm)).sum(axis=1)
 
-    def nearest(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, float]]:
+    def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of each query's windows on each projection, for every radius: arrays (query, radius, projection)."""
+        at = (queries / lengths(queries)[:, None]) @ self.lines
+        half = HALF * np.array(RADII)
+        low = np.empty((len(queries), len(RADII), PROJECTIONS), dtype=np.int32)
+        high = np.empty_like(low)
+        for j, line in enumerate(self.sorted):
+            low[:, :, j] = np.searchsorted(line, at[:, j, None] - half, "left")
+            high[:, :, j] = np.searchsorted(line, at[:, j, None] + half, "right")
+        return low, high
+
+    def nearest(self, query_id: int, q: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The k nearest found other than the query's own rows: (id, cosine), ties to smaller ids."""
         norm = float(lengths(q[None, :])[0])
-        at = (q / norm) @ self.lines
-        n = len(self.ids)
-        count = np.zeros(n, dtype=np.int16)
+        count = np.zeros(len(self.ids), dtype=np.int64)
         seen = self.ids == query_id
         rows, scores = np.empty(0, dtype=np.int64), np.empty(0)
-        low = high = None
-        for radius in (*RADII, None):
-            if radius is None:
+        for level in range(len(RADII) + 1):
+            if level == len(RADII):
                 new = np.flatnonzero(~seen)
             else:
-                half = HALF * radius
-                a = [np.searchsorted(s, x - half, "left") for s, x in zip(self.sorted, at, strict=True)]
-                b = [np.searchsorted(s, x + half, "right") for s, x in zip(self.sorted, at, strict=True)]
-                for j in range(PROJECTIONS):
-                    line = self.order[j]
-                    if low is None:
-                        count[line[a[j] : b[j]]] += 1
-                    else:
-                        count[line[a[j] : low[j]]] += 1
-                        count[line[high[j] : b[j]]] += 1
-                low, high = a, b
+                # What the wider windows hold beyond the narrower ones, on either side.
+                a, b = low[level].tolist(), high[level].tolist()
+                if level == 0:
+                    parts = [line[x:y] for line, x, y in zip(self.order, a, b, strict=True)]
+                else:
+                    parts = [line[x:y] for line, x, y in zip(self.order, a, low[level - 1].tolist(), strict=True)]
+                    parts += [line[x:y] for line, x, y in zip(self.order, high[level - 1].tolist(), b, strict=True)]
+                count += np.bincount(np.concatenate(parts), minlength=len(count))
                 new = np.flatnonzero((count >= COLLISIONS * PROJECTIONS) & ~seen)
             seen[new] = True
             rows = np.concatenate([rows, new])
@@ -72,7 +79,7 @@ class Block:
             if len(rows) > k:
                 best = np.lexsort((rows, -scores))[:k]
                 rows, scores = rows[best], scores[best]
-            if len(rows) == k and radius is not None and 2 - 2 * scores.min() <= radius * radius:
+            if len(rows) == k and level < len(RADII) and 2 - 2 * scores.min() <= RADII[level] ** 2:
                 break
         best = np.lexsort((rows, -scores))
         return [(int(self.ids[r]), float(s)) for r, s in zip(rows[best], scores[best], strict=True)]
@@ -100,8 +107,11 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         out = []
         if len(base) and len(ask):
             block = Block(base["id"].to_numpy(), matrix(base["vec"]))
-            for query_id, q in zip(ask["id"].tolist(), matrix(ask["vec"]), strict=True):
-                out += [(query_id, i, s) for i, s in block.nearest(query_id, q, k)]
+            ids, queries = ask["id"].tolist(), matrix(ask["vec"])
+            for at in range(0, len(ids), AT_ONCE):
+                some = queries[at : at + AT_ONCE]
+                for query_id, q, low, high in zip(ids[at : at + AT_ONCE], some, *block.windows(some), strict=True):
+                    out += [(query_id, i, s) for i, s in block.nearest(query_id, q, low, high, k)]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
     found = base.groupBy("block", "chunk").cogroup(ask.groupBy("block", "chunk")).applyInPandas(search, "query_id long, id long, score double")
