@@ -34,8 +34,11 @@ class Linear:
     bias: float
 
 
-def fit_nnpu(positive: np.ndarray, row: np.ndarray, feature: np.ndarray, prior: float, dims: int = DIMS, rounds: int = 150, rate: float = 0.04, l1: float = 0.1, l2: float = 1e-4, least_texts: int = 8) -> Linear:
-    """Logistic loss over presence of features, ridge and shrinkage. Features in fewer than ``least_texts`` texts are left out.
+def fit_nnpu(positive: np.ndarray, row: np.ndarray, feature: np.ndarray, prior: float, dims: int = DIMS, rounds: int = 150, rate: float = 0.04, l1: float = 0.1, l2: float = 1e-4, least_texts: int = 8, least_z: float = 3.0) -> Linear:
+    """Logistic loss over presence of features, ridge and shrinkage.
+
+    Left out are features in fewer than ``least_texts`` texts, and those whose shares of confirmed and of unlabelled texts
+    differ by less than ``least_z`` standard errors: with few confirmed texts, chance words would fit them.
 
     Steps shorten towards the end and the last half's weights are averaged, as the estimator swings about its floor.
 
@@ -43,7 +46,12 @@ def fit_nnpu(positive: np.ndarray, row: np.ndarray, feature: np.ndarray, prior:
     """
     n_p, n_u, n = int(positive.sum()), int((~positive).sum()), len(positive)
     bias = float(np.log(prior / (1 - prior)))
-    known = np.bincount(feature, minlength=dims) >= least_texts
+    in_p = np.bincount(feature[positive[row]], minlength=dims)
+    both = np.bincount(feature, minlength=dims)
+    share = both / max(n, 1)
+    gap = in_p / max(n_p, 1) - (both - in_p) / max(n_u, 1)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / max(n_p, 1) + 1 / max(n_u, 1)))
+    known = (both >= least_texts) & (np.abs(gap) >= least_z * error)
     w = np.zeros(dims)
     if not n_p or not n_u or not known.any():
         return Linear(w, bias)
