@@ -43,8 +43,9 @@ NAMES = {
     "pagination", "pager", "search", "toolbar", "masthead", "topbar", "skip", "disclaimer",
 }
 #: Parts that mark a wrapper of the page, whatever else its name says.
-WRAPPERS = {"with", "has", "no", "content", "main", "page", "wrapper", "container", "layout", "site", "body", "article", "post"}
-WHOLE = {"html", "body", "main", "article"}
+WRAPPERS = {"with", "has", "no", "content", "main", "page", "wrapper", "container", "layout", "site", "body", "article"}
+#: Parts that hold even beside those, unless the name only says whether the page has such a part.
+STRONG = {"comment", "comments", "sidebar", "footer", "menu", "cookie", "newsletter", "related", "share"}
 
 
 def _is_away(tag: str, attributes: str, in_article: bool) -> bool:
@@ -62,9 +63,9 @@ def _is_away(tag: str, attributes: str, in_article: bool) -> bool:
         if name in ("class", "id"):
             for word in value.split():
                 parts = set(re.split(r"[-_]+|(?<=[a-z])(?=[0-9])", word))
-                if parts & NAMES and not parts & WRAPPERS - {"post"} or word in ("post-comments", "article-comments"):
+                if parts & NAMES and not parts & WRAPPERS:
                     return True
-                if tag != "article" and (parts & {"comment", "comments", "sidebar", "footer", "menu", "cookie", "newsletter", "related", "share"}) and not parts & {"with", "has", "no"}:
+                if tag != "article" and parts & STRONG and not parts & {"with", "has", "no"}:
                     return True
     return False
 
