@@ -32,6 +32,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ordinal:
+    """Weights by hashed feature, and the ordered thresholds between grades."""
+
     weights: np.ndarray
     thresholds: np.ndarray
 

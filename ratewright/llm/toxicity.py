@@ -30,6 +30,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Linear:
+    """Weights by hashed feature, and the bias."""
+
     weights: np.ndarray
     bias: float
 
@@ -81,7 +83,8 @@ def fit_nnpu(positive: np.ndarray, row: np.ndarray, feature: np.ndarray, prior:
 
 
 def held_out(key: Column) -> Column:
-    return F.pmod(F.crc32(key.cast("string")), F.lit(4)) == 2
+    """Whether a row's label is kept from every fit; a null key has no label."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", positives: int = POSITIVE, unlabelled: int = UNLABELLED) -> Linear:
