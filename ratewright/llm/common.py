@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ratewright.session import new_folder
 
@@ -117,8 +116,3 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + h[j : j + n]
     return mix(out)
-
-
-def row_hash(column, seed: int):
-    """Hash of a key and a seed, the same in every run and engine version."""
-    return F.xxhash64(F.coalesce(column.cast("string"), F.lit("")), F.lit(seed))
