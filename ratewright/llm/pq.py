@@ -1,13 +1,14 @@
 """Embedding near-duplicates by product quantisation: inverted lists, residual codes, table-lookup distances, exact rerank.
 
 Coarse centroids and the codebooks of residual subspaces are fitted on a bounded sample; every vector is then coded.
-Each vector has one home list and is also sent, with its code, to the lists nearest to it. In a list every home vector
-makes its lookup tables and gets asymmetric distances to all coded ones; as each code's own error is known, a coded
-vector can only be near enough if its distance is at most the radius plus that error, so this filter loses nothing. What
-passes is reranked by exact cosine. How many lists are probed is measured on the sample: enough that a vector at exactly
-the wanted cosine, in a random direction, reaches the other's home list in PROBED of the cases.
-
-Equal vectors are one vector with a count. A list that is full is cut in pieces that meet one another.
+Each vector has one home list and is also sent, with its code, to every list that may hold a vector near enough: a
+list's vectors lie beyond the plane midway between its centroid and the home one's, so a vector that lies farther than
+the radius from that plane is near none of them. Lists are probed in groups of neighbours, each vector once a group. In a
+group every home vector makes its lookup tables and gets asymmetric distances to all coded ones; as each code's own error
+is known, a coded vector can only be near enough if its distance is at most the radius plus that error. What passes is
+reranked by exact cosine. Neither filter loses a pair, however the vectors lie.
+
+Equal vectors are one vector with a count. A group that is full is cut in pieces that meet one another.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from ratewright.llm.vectors import lengths, matrix, usable
 SAMPLE = 16_384
 #: Parts of a residual that one code holds, and codes of a subspace.
 WIDTH, CODES = 4, 256
-#: Share of boundary pairs whose lists must be probed.
-PROBED = 0.999
+#: Rows of ``probed`` at once.
+SLAB = 1024
 HOME_ROWS, PROBE_ROWS = 2_048, 8_192
 
 
@@ -52,7 +53,26 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Quantiser:
     centers: np.ndarray
     books: np.ndarray  # subspace, code, WIDTH
-    probes: int
+    groups: np.ndarray  # of each list
+    cosine: float
+
+    @property
+    def probes(self) -> int:
+        """Groups that one vector is sent to at most."""
+        return int(self.groups.max()) + 1
+
+    def probed(self, x: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
+        """The groups that hold the home lists of all vectors whose cosine with a row (of unit length) reaches the wanted one."""
+        radius, out = np.sqrt(2 - 2 * self.cosine) + 1e-7, []
+        size = (self.centers**2).sum(axis=1)
+        for i in range(0, len(x), SLAB):
+            at = home[i : i + SLAB]
+            fit_of = x[i : i + SLAB] @ self.centers.T - size / 2
+            apart = np.sqrt(np.maximum(size[at][:, None] + size - 2 * self.centers[at] @ self.centers.T, 0))
+            meets = fit_of[np.arange(len(at)), at][:, None] - fit_of <= radius * apart + 1e-7
+            meets[np.arange(len(at)), at] = True
+            out += [np.unique(self.groups[row]) for row in meets]
+        return out
 
     def parts(self, x: np.ndarray) -> np.ndarray:
         pad = self.books.shape[0] * WIDTH - x.shape[1]
@@ -68,25 +88,17 @@ class Quantiser:
 
 
 def fit(x: np.ndarray, total: int, cosine: float, seed: int = 11) -> Quantiser:
-    """From unit vectors: about 2 sqrt(total) lists, at most a sixteenth of the sample."""
+    """From unit vectors: about 2 sqrt(total) lists, at most a sixteenth of the sample, in groups of about HOME_ROWS vectors."""
     lists = int(np.clip(2 * np.sqrt(total), 1, max(len(x) // 16, 1)))
     centers = k_means(x, lists, 8, seed)
-    rest = Quantiser(centers, np.zeros((-(-x.shape[1] // WIDTH), 1, WIDTH)), 1).parts(x - centers[_nearest(x, centers)])
+    rest = Quantiser(centers, np.zeros((-(-x.shape[1] // WIDTH), 1, WIDTH)), np.zeros(len(centers), dtype=np.int64), cosine).parts(x - centers[_nearest(x, centers)])
     books = np.stack([np.resize(k_means(rest[:, s], CODES, 6, seed + s), (CODES, WIDTH)) for s in range(rest.shape[1])])
-    rng = np.random.default_rng(seed)
-    some = x[rng.choice(len(x), min(2048, len(x)), replace=False)]
-    turn = rng.standard_normal(some.shape)
-    turn -= (turn * some).sum(axis=1, keepdims=True) * some
-    turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
-    near = cosine * some + np.sqrt(1 - cosine**2) * turn
-    fit_of = near @ centers.T - (centers**2).sum(axis=1) / 2
-    own = fit_of[np.arange(len(some)), _nearest(some, centers)]
-    place = (fit_of > own[:, None]).sum(axis=1) + 1
-    return Quantiser(centers, books, int(np.quantile(place, PROBED, method="higher")))
+    middles = k_means(centers, min(-(-total // HOME_ROWS), len(centers)), 8, seed)
+    return Quantiser(centers, books, np.unique(_nearest(centers, middles), return_inverse=True)[1], cosine)
 
 
 def links_in_list(homes: pd.DataFrame, probes: pd.DataFrame, model: Quantiser, cosine: float) -> pd.DataFrame:
-    """Counts (a, null, n) for home vectors and connecting links (a, b, null) of one list's piece."""
+    """Counts (a, null, n) for home vectors and connecting links (a, b, null) of one group's piece."""
     x, y = matrix(homes["own_vec"]), matrix(probes["vec"])
     x /= lengths(x)[:, None]
     y /= lengths(y)[:, None]
@@ -100,11 +112,12 @@ def links_in_list(homes: pd.DataFrame, probes: pd.DataFrame, model: Quantiser, c
     counts, child, root = [], [], []
     for i in range(0, len(x), 256):
         part = x[i : i + 256]
-        dot = (part @ model.centers[uniq].T).astype(np.float32)[:, which]
-        tables = np.einsum("nsw,scw->snc", model.parts(part), model.books).astype(np.float32)
+        dot = (model.centers[uniq] @ part.T).astype(np.float32)[which]
+        # A code's entries for all home vectors lie side by side.
+        tables = np.ascontiguousarray(np.einsum("nsw,scw->scn", model.parts(part), model.books), dtype=np.float32)
         for s in range(len(tables)):
-            dot += tables[s][:, codes[:, s]]
-        near = 1 + size - 2 * dot <= reach
+            dot += tables[s][codes[:, s]]
+        near = (2 * dot >= (1 + size - reach)[:, None]).T
         rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
         a, b = np.nonzero(near)
         if len(a) * 50 < len(rows) * len(cols):
@@ -161,31 +174,30 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             x = matrix(part["vec"])
             x /= lengths(x)[:, None]
             home, codes, error = model.code(x)
-            fit_of = x @ model.centers.T - (model.centers**2).sum(axis=1) / 2
-            lists = np.argpartition(-fit_of, min(model.probes, fit_of.shape[1]) - 1, axis=1)[:, : model.probes]
-            yield part.assign(home=home, code=[c.tobytes() for c in codes], error=error, lists=list(lists))
+            groups = model.probed(x, home)
+            yield part.assign(home=home, code=[c.tobytes() for c in codes], error=error, group=model.groups[home], groups=groups)
 
     kind = dict(once.dtypes)["vec"]
-    coded = stored(once.mapInPandas(place, f"vec {kind}, id long, copies long, home long, code binary, error double, lists array<long>"), "coded")
-    homes = coded.select(F.col("home").alias("list"), F.col("id").alias("own"), F.col("vec").alias("own_vec"))
-    probes = coded.select(F.explode("lists").alias("list"), "id", "vec", "copies", "home", "code", "error")
-    # A row for each list at most, so at most a sixteenth of the sample.
-    home_cuts = homes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / HOME_ROWS).cast("long").alias("h"))
-    probe_cuts = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).cast("long").alias("p"))
-    cuts = F.broadcast(stored(home_cuts.join(probe_cuts, "list"), "cuts"))
+    coded = stored(once.mapInPandas(place, f"vec {kind}, id long, copies long, home long, code binary, error double, group long, groups array<long>"), "coded")
+    homes = coded.select("group", F.col("id").alias("own"), F.col("vec").alias("own_vec"))
+    probes = coded.select(F.explode("groups").alias("group"), "id", "vec", "copies", "home", "code", "error")
+    # A row for each group at most, so at most a sixteenth of the sample.
+    home_cuts = homes.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / HOME_ROWS).cast("long").alias("h"))
+    probe_cuts = probes.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).cast("long").alias("p"))
+    cuts = F.broadcast(stored(home_cuts.join(probe_cuts, "group"), "cuts"))
 
     def pieces(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    homes = homes.join(cuts, "list").withColumn("hp", F.pmod(F.xxhash64("own"), "h")).withColumn("pp", pieces("p")).drop("h", "p")
-    probes = probes.join(cuts, "list").withColumn("pp", F.pmod(F.xxhash64("id"), "p")).withColumn("hp", pieces("h")).drop("h", "p")
+    homes = homes.join(cuts, "group").withColumn("hp", F.pmod(F.xxhash64("own"), "h")).withColumn("pp", pieces("p")).drop("h", "p")
+    probes = probes.join(cuts, "group").withColumn("pp", F.pmod(F.xxhash64("id"), "p")).withColumn("hp", pieces("h")).drop("h", "p")
 
     def compare(homes: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
         if not len(homes) or not len(probes):
             return pd.DataFrame({c: pd.array([], dtype="Int64") for c in "abn"})
         return links_in_list(homes, probes, given.value, cosine)
 
-    piece = ["list", "hp", "pp"]
+    piece = ["group", "hp", "pp"]
     found = stored(homes.groupBy(*piece).cogroup(probes.groupBy(*piece)).applyInPandas(compare, "a long, b long, n long"), "links")
     counts = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")

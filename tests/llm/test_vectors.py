@@ -112,3 +112,17 @@ def test_components_equal_union_find(spark):
     linked = {int(x) for x, y in zip(a, b, strict=True) if x != y} | {int(y) for x, y in zip(a, b, strict=True) if x != y}
     assert got == {x: int(want[x]) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_links_inside_a_hot_group_are_all_found(spark):
+    # A third of all rows around one centre, their cosines about 0.9: lists inside the group are many.
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3600, 64))
+    x[:1200] = 8 * x[0] / np.linalg.norm(x[0]) + 0.33 * x[:1200]
+    u = unit(x)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert 0.2 < near[:1200, :1200].mean() < 0.8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
