@@ -25,10 +25,14 @@ from ratewright.llm.links import components, forest
 TILES, LEAST_TILE, MOST_TILE = 256, 16_384, 1 << 20
 #: Pairs compared at once.
 SLAB = 1 << 19
+#: Radius from which all four words are compared at once.
+WIDE = 60
 #: Longest radius whose tiles go by the counts of four parts.
 PARTED = 3
 #: Hashes of one text whose bits are summed at once.
 ROWS = 1 << 14
+#: Texts of a class whose shingles are compared in one task.
+PIECE = 1024
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, lanes: int = 1) -> np.ndarray:
@@ -36,14 +40,22 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, lanes: int = 1) -
 
     The first word's hashes are XXH64 of the shingles; further words mix those anew.
     """
+    return majority(shingle_hashes(text, shingle, seed), lanes)
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle in text order; a shorter text is one shingle, no words give none."""
     words = text.lower().split()
-    out = np.zeros(lanes, dtype=np.uint64)
     if not words:
-        return out
+        return np.empty(0, dtype="<u8")
     spans = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(b" ".join(s), seed) for s in spans), dtype="<u8")
-    for lane in range(lanes):
+    return np.fromiter((digest(b" ".join(s), seed) for s in spans), dtype="<u8")
+
+
+def majority(h: np.ndarray, lanes: int) -> np.ndarray:
+    out = np.zeros(lanes, dtype=np.uint64)
+    for lane in range(lanes if len(h) else 0):
         own = h if lane == 0 else mix(h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         ones = np.zeros(64, dtype=np.int64)
         for i in range(0, len(own), ROWS):
@@ -87,6 +99,10 @@ def near(one: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, n
         differ = np.bitwise_count(part[:, None, 0] ^ other[None, :, 0])
         if part.shape[1] > 1:
             differ = differ + np.bitwise_count(part[:, None, 1] ^ other[None, :, 1])
+        if part.shape[1] == 4 and radius > WIDE:
+            # Two words tell little apart here; a sum of 256 wraps to 0 and is settled below.
+            differ = differ + np.bitwise_count(part[:, None, 2] ^ other[None, :, 2])
+            differ = differ + np.bitwise_count(part[:, None, 3] ^ other[None, :, 3])
         a, b = np.nonzero(differ <= radius)
         if part.shape[1] > 2:
             # What two words already tell apart needs no more of them.
@@ -149,3 +165,79 @@ def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     classes = stored(named.join(least, "component").select("fp", "component_id"), "classes")
     hexed = F.concat(*[F.lower(F.lpad(F.hex(F.col("fp")[i]), 16, "0")) for i in range(lanes)])
     return rows.join(classes, "fp").select(F.col("key").alias(key), hexed.alias("fingerprint"), "component_id")
+
+
+def alike_links(fps: tuple[np.ndarray, np.ndarray], sets: tuple[list, list], nodes: tuple[np.ndarray, np.ndarray], radius: int, share: float) -> list[tuple[int, int]]:
+    """Links that connect all pairs, one row of each side, within the radius whose sets are alike."""
+    names, at = np.unique(np.concatenate(nodes), return_inverse=True)
+    left, right = at[: len(nodes[0])], at[len(nodes[0]) :]
+    size = np.array([len(s) for s in sets[1]])
+    values, owner = np.concatenate(sets[1]), np.repeat(np.arange(len(size)), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    root, links = np.arange(len(names)), []
+    for i, own in enumerate(sets[0]):
+        _, near_ = near(fps[0][i : i + 1], fps[1], radius)
+        near_ = near_[root[right[near_]] != root[left[i]]]
+        if not len(near_):
+            continue
+        # Rows of the other side by each of the row's shingles: how often a row comes is what they have in common.
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = high - low
+        places = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        common = np.bincount(owner[places], minlength=len(size))[near_]
+        for j in near_[common >= share * (len(own) + size[near_] - common)].tolist():
+            if root[right[j]] != root[left[i]]:
+                root[root == root[right[j]]] = root[left[i]]
+                links.append((names[left[i]], names[right[j]]))
+    return links
+
+
+def shingle_classes(df: DataFrame, radius: int, share: float, key: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, lanes: int = 4) -> DataFrame:
+    """(key, component_id) of each row; component_id is the smallest key reachable over links.
+
+    Texts link if they share at least ``share`` of their distinct word shingles and their fingerprints, of distinct
+    shingles, differ in at most ``radius`` bits: the radius only finds candidates, the shingles decide. Equal sets are one
+    node; texts without words are alike. Other columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in texts_of(batch)]
+            fps = np.concatenate([majority(s, lanes) for s in sets]).view(np.int64)
+            cuts = pa.array(np.arange(0, len(fps) + 1, lanes, dtype=np.int32))
+            digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+            columns = [batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(fps)), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "digest", "set"])
+
+    given = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = stored(given.mapInArrow(run, "key long, fp array<long>, digest binary, set binary").withColumn("row", F.monotonically_increasing_id()), "shingles")
+    nodes = stored(rows.groupBy("digest", "fp").agg(F.min("key").alias("least"), F.min("row").alias("node")), "distinct")
+    # Classes over candidates hold every link; texts that have no candidate are done.
+    near_by = stored(components(near_links(nodes.select("fp", "node"), radius, lanes)), "candidates")
+    full = F.broadcast(near_by.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("long").alias("cuts")).where("cuts > 1"))
+    members = near_by.join(full, "component", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long")))
+    members = members.withColumn("piece", F.pmod(F.xxhash64("node"), "cuts")).join(rows.select(F.col("row").alias("node"), "fp", "set"), "node")
+    tiles = stored(members.groupBy("component", "piece", "cuts").agg(F.collect_list(F.struct("node", "fp", "set")).alias("rows")), "members")
+    own = tiles.withColumn("met", F.explode(F.sequence(F.col("piece"), F.col("cuts") - 1))).select("component", F.col("rows").alias("own_rows"), F.col("piece").alias("own"), F.col("met").alias("piece"))
+    pairs = own.join(tiles.select("component", "piece", "rows"), ["component", "piece"])
+    pairs = pairs.repartition("component", "own", "piece").select("own_rows", "rows")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(column):
+            items = column.values
+            fps = items.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+            return items.field("node").to_numpy(zero_copy_only=False), fps, [np.frombuffer(x, dtype="<u8") for x in items.field("set").to_pylist()]
+
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                (a, a_fps, a_sets), (b, b_fps, b_sets) = side(batch.column(0)[row]), side(batch.column(1)[row])
+                found += alike_links((a_fps, b_fps), (a_sets, b_sets), (a, b), radius, share)
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    linked = components(pairs.mapInArrow(compare, "a long, b long"))
+    named = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = stored(named.join(least, "component").select("digest", "fp", "component_id"), "classes")
+    return rows.select("key", "digest", "fp").join(classes, ["digest", "fp"]).select(F.col("key").alias(key), "component_id")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from ratewright.llm import quality
+from ratewright.llm import quality, simhash
 from ratewright.llm.segment import decoded, encoder, sampled, segmented, vocabulary
 
 MODEL = "piece_bpe_32k.model"
@@ -172,3 +172,34 @@ def test_stages_take_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() == []
     assert quality.KEEP > 0
+
+
+def test_near_dedup_keeps_what_is_below_four_fifths(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 16)
+    rng = random.Random(5)
+    rows = []
+    for g in range(60):
+        base = rng.choices(WORDS, k=120)
+        # Runs of changed words: shares of the shingles from about 0.6 to 0.95.
+        for v in range(4):
+            w = list(base)
+            start, n = rng.randrange(80), rng.choice([1, 4, 8, 12, 20, 26]) if v else 0
+            w[start : start + n] = rng.choices(WORDS, k=n)
+            rows.append((4 * g + v, " ".join(w)))
+    # One line again and again in otherwise different texts.
+    line = " ".join(rng.choices(WORDS, k=14))
+    rows += [(1000 + i, " ".join(rng.choices(WORDS, k=150)) + f" {line}" * 12) for i in range(20)]
+    # A chain of near copies longer than a piece.
+    w = rng.choices(WORDS, k=100)
+    for i in range(60):
+        rows.append((2000 + i, " ".join(w)))
+        w[rng.randrange(100)] = rng.choice(WORDS)
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {i: new if r == old else r for i, r in root.items()}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == {i for i, r in root.items() if i == r} and 60 < len(got) < 300
