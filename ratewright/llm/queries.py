@@ -145,4 +145,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_sampled_encodings")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False).drop("text")
+    return sampled(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

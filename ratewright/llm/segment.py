@@ -319,13 +319,12 @@ def log_inclusion(above: float) -> float:
 
 
 SAMPLES = "array<struct<ids: array<int>, log_prob: double, noisy: double, log_inclusion: double>>"
-DIGEST = "array<struct<n_tokens: int, log_prob: double, noisy: double, log_inclusion: double>>"
 
 
-def sampled(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, alpha: float = 0.5, seed: int = 1, model: str = "piece_bpe_32k.model", with_ids: bool = True) -> DataFrame:
+def sampled(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, alpha: float = 0.5, seed: int = 1, model: str = "piece_bpe_32k.model") -> DataFrame:
     """All columns of ``df`` with samples, k different encodings of the whole text (fewer if it has fewer), and round_trip.
 
-    Each sample has its ids (or, without ``with_ids``, n_tokens), its log-probability, its noisy value and the log of the
+    Each sample has its ids, its log-probability, its noisy value and the log of the
     probability that it is among the k (probabilities of long texts are too small for a number). ``round_trip`` says that every sample decodes to the text. The noise depends on ``seed`` and the
     row's key alone, so repeated rows come out alike. A null or empty text has one encoding, the empty one. A literal word
     mark in a text is read as a space, as the library does, and fails the round trip. An empty table gives an empty one;
@@ -333,8 +332,8 @@ def sampled(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     """
     df = df.select(*[c for c in df.columns if c.lower() not in ("samples", "round_trip")])
     at_text, at_key = df.columns.index(text), df.columns.index(key)
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], f"samples {SAMPLES if with_ids else DIGEST}", "round_trip boolean"])
-    kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())) if with_ids else ("n_tokens", pa.int32()), ("log_prob", pa.float64()), ("noisy", pa.float64()), ("log_inclusion", pa.float64())]))
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], f"samples {SAMPLES}", "round_trip boolean"])
+    kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("noisy", pa.float64()), ("log_inclusion", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(public_tokenizers.path(model))
@@ -345,10 +344,7 @@ def sampled(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
             cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = [s for samples in found for s in samples]
             n = [len(s[0]) for s in flat]
-            if with_ids:
-                first = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.concatenate([s[0] for s in flat]) if flat else np.empty(0, dtype=np.int32)))
-            else:
-                first = pa.array(n, pa.int32())
+            first = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.concatenate([s[0] for s in flat]) if flat else np.empty(0, dtype=np.int32)))
             rest = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
             samples = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([first, *rest], fields=list(kind.value_type)))
             yield pa.RecordBatch.from_arrays([*batch.columns, samples, pa.array(good, pa.bool_())], names=[*batch.schema.names, "samples", "round_trip"])

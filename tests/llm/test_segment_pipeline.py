@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from ratewright.llm import quality, simhash
+from ratewright.llm.queries import QUERIES
 from ratewright.llm.segment import decoded, encoder, sampled, segmented, vocabulary
 
 MODEL = "piece_bpe_32k.model"
@@ -96,6 +97,15 @@ def test_encodings_decode(spark):
     assert {r.k: r.decoded for r in decoded(ids).collect()} == {1: "round trip\n", 2: "", 3: None}
 
 
+def test_query_returns_the_encodings(spark, tmp_path):
+    spark.createDataFrame([(1, "Hello world"), (2, None), (3, "another text")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op2_sampled_encodings"](spark, str(tmp_path)).collect()}
+    library = encoder(MODEL)
+    for i, text, n in [(1, "Hello world", 2), (2, "", 1), (3, "another text", 2)]:
+        ids = {tuple(s.ids) for s in got[i].samples}
+        assert len(ids) == len(got[i].samples) == n and all(library.decode(list(x)) == text for x in ids)
+
+
 WORDS = [f"{a}{b}{c}" for a in "bdfgklm" for b in ("an", "or", "il", "ust") for c in ("ed", "ing", "er", "ly", "a")]
 
 
