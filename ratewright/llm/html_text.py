@@ -2,10 +2,10 @@
 
 A page is stripped of markup into lines, one for each block element's stretch of text. A line's length is the text it
 has outside links; it is zero in menus, adverts, forms and the like, which tags, roles and class names give away, and
-outside the article where a page marks one. Sums of lengths over a sliding window of lines rise at a surge point, where
-the window first holds more than the bar, and fall at a dive point; the text between is the main text. A marked article
-needs no bar. Without one the bar is BAR characters (none, if no window exceeds it), and besides the largest stretch
-those that have a fair share of its text are kept.
+outside articles and main where a page marks one. What is marked is kept whole. Elsewhere sums of lengths over a sliding
+window of lines rise at a surge point, where the window first holds more than the bar, and fall at a dive point; the main
+text goes from the first surge to the last dive, with all that lies between. The bar is BAR characters (none, if no window
+exceeds it).
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from ratewright.llm.common import slices
 
 WINDOW = 3
 BAR = 80
-#: Least part of the largest stretch's, or article's, text that another one needs to be kept beside it.
-SHARE = 0.25
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -122,7 +120,7 @@ def lines_of(page: str) -> list[Line]:
                 # An advert or notice that was never closed ends where the article begins.
                 open_ = [x for x in open_ if not x[1]]
                 away, part = False, open_[-1][2] if open_ else 0
-            here = away or _is_away(tag, attributes, part > 0)
+            here = away or _is_away(tag, attributes, part != 0)
             if tag == "article" and part <= 0 and not here:
                 articles += 1
                 part = articles
@@ -153,27 +151,13 @@ def main_text(page: str | None) -> str:
     """The page's main text: blocks in order, white space made single."""
     lines = [(" ".join("".join(x.text).split()), x) for x in lines_of(page or "")]
     lines = [(t, x) for t, x in lines if t and not x.away]
-    parts: dict[int, int] = {}
-    for t, x in lines:
-        parts[x.part] = parts.get(x.part, 0) + len(t)
-    marked = {p for p in parts if p > 0} or {p for p in parts if p < 0}
-    if marked:
-        most = max(parts[p] for p in marked)
-        marked = {p for p in marked if parts[p] >= SHARE * most}
-        lengths = [len(t) if x.part in marked else 0 for t, x in lines]
-        chosen = _stretches(lengths, 0)
-    else:
-        # A line that is half links is a list of links.
-        lengths = [0 if 2 * x.links > len(t) else len(t) - x.links for t, x in lines]
-        chosen = _stretches(lengths, BAR) or _stretches(lengths, 0)
-        sums = [sum(lengths[a:b]) for a, b in chosen]
-        chosen = [c for c, s in zip(chosen, sums, strict=True) if s >= SHARE * max(sums)]
-    kept: list[str] = []
-    done = 0
-    for a, b in chosen:
-        kept += [lines[i][0] for i in range(max(a, done), b) if lengths[i]]
-        done = max(done, b)
-    return " ".join(kept)
+    if any(x.part for _, x in lines):
+        return " ".join(t for t, x in lines if x.part)
+    # At the outer ends a line that is half links is a list of links.
+    lengths = [0 if 2 * x.links > len(t) else len(t) - x.links for t, x in lines]
+    chosen = _stretches(lengths, BAR) or _stretches(lengths, 0)
+    kept = [i for a, b in chosen for i in range(a, b) if lengths[i]]
+    return " ".join(t for t, _ in lines[kept[0] : kept[-1] + 1]) if kept else ""
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

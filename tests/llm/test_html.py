@@ -32,6 +32,19 @@ def test_main_text(page):
     assert main_text(page) == CASES[page]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article>{LONG}</article><article>Short one.</article>", f"{LONG.strip()} Short one."),
+        (f"<main><header><h1>Title</h1></header><p>Lead.</p><nav>no</nav><article>{LONG}</article></main><p>no</p>", f"Title Lead. {LONG.strip()}"),
+        (f"<p>{LONG * 5}</p>" + "<p>Yes.</p>" * 6 + f"<p>{LONG}</p>", f"{(LONG * 5).strip()} {'Yes. ' * 6}{LONG.strip()}"),
+        (f"<p>{LONG}</p><p>See <a href=1>a long link in the text</a></p><p>{LONG}</p>", f"{LONG.strip()} See a long link in the text {LONG.strip()}"),
+    ],
+)
+def test_nothing_but_what_is_marked_is_left_out(page, text):
+    assert main_text(page) == text
+
+
 def test_surge_and_dive():
     # Windows of three lines: they exceed the bar from line 2 on and no longer from line 5 on.
     assert _stretches([0, 0, 0, 0, 100, 5, 0, 0, 0, 0], 80) == [(2, 7)]
