@@ -223,7 +223,7 @@ def bootstrap_teams(spark, d):
 
 @query("replay")
 def replay(spark, d):
-    """Half-yearly replay of all settlements with a solve after each period."""
+    """Settlements of four fixed periods, 1995 to 2001, with a solve after each: not the replay of SURVEY R12, see README."""
     f, kr = fixtures(spark, d), frozen(spark, d)
     state = team_state(spark, d).withColumns({"b_value": F.lit(1500.0), "r_market": F.lit(1500.0), "published_index": F.lit(1500.0)})
     periods = ["1995-01-01", "1996-07-01", "1998-01-01", "1999-07-01", "2001-12-31"]
