@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from ratewright.llm import quality, toxicity
 from ratewright.llm.ann import nearest
 from ratewright.llm.common import table
+from ratewright.llm.filter_audit import audited
 from ratewright.llm.html_text import extracted
+from ratewright.llm.langid import fit as fit_languages
+from ratewright.llm.langid import held_out as language_held_out
+from ratewright.llm.langid import identified
 from ratewright.llm.mixing import BLOCK, REPEATS, SHARD_BLOCKS, mixed
 from ratewright.llm.pq import near_duplicates
 from ratewright.llm.segment import sampled
 from ratewright.llm.simhash import simhash_classes
 from ratewright.llm.substring import without_repeats
+from ratewright.llm.subvectors import clustered
 from ratewright.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +151,75 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_sampled_encodings")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+AUDIT_SQL = r"""
+WITH labelled AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+worded AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS f
+  FROM worded d LEFT JOIN labelled USING (doc_id)),
+kinds AS (SELECT part, good, toxic, f, count(*) AS n FROM failing GROUP BY ALL),
+one(i) AS (VALUES (1), (2), (3), (4), (5)),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM one a, one b, one c, one d, one e
+  WHERE a.i NOT IN (b.i, c.i, d.i, e.i) AND b.i NOT IN (c.i, d.i, e.i) AND c.i NOT IN (d.i, e.i) AND d.i <> e.i),
+met AS (
+  SELECT k.*, o, s.i AS step, f[o[s.i]] AS fails, len([x for x in o[1:s.i - 1] if f[x]]) > 0 AS gone, len([x for x in f if x]) AS bad
+  FROM kinds k, orders, one s),
+counted AS (
+  SELECT part, o, step, sum(CASE WHEN fails OR gone THEN 0 ELSE n END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails AND bad = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM met GROUP BY part, o, step)
+SELECT part, array_to_string([substr('ABCDE', x, 1) for x in o], '') AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley
+FROM counted
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_language")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identified(docs, fit_languages(docs))
+    return found.select("doc_id", language_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Assignments and centroids round by round, a component a row."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+gap{i} AS (SELECT rid, c, sum((x - y) * (x - y))::BIGINT AS d FROM comps JOIN at{i} USING (j) GROUP BY rid, c),
+near{i} AS (SELECT rid, arg_min(c, d * 16 + c) AS c, min(d) AS d FROM gap{i} GROUP BY rid)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+sum{i} AS (SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n FROM near{i} JOIN comps USING (rid) GROUP BY c, j),
+at{i + 1} AS (SELECT c, j, CASE WHEN n IS NULL THEN y ELSE (s - (s % n + n) % n) // n END AS y FROM at{i} LEFT JOIN sum{i} USING (c, j))"""
+            )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+comps AS MATERIALIZED (SELECT rid, s.j, v[s.j] AS x FROM kept, generate_series(1, 64) s(j)),
+first AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL),
+at0 AS (SELECT c, s.j, v[s.j] AS y FROM first, generate_series(1, 64) s(j) WHERE c < 16),{",".join(steps)},
+digest AS (SELECT c, sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM at{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM near{rounds} JOIN kept USING (rid) JOIN digest USING (c)
+"""
+
+
+@query("op13_subvector_clusters", _clusters_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
