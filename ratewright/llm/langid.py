@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.llm.common import slices, texts_of
@@ -83,11 +83,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     drawn = open_rows.where(F.abs(place / F.lit(2.0**63)) < share[F.col("lang")])
     start = F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1) + 1
     drawn = drawn.groupBy("lang", place.alias("place")).agg(F.min(F.substring("text", start.cast("int"), F.lit(PIECE))).alias("piece"))
+    # The bound has left about four times as many as are wanted of each language.
+    order = Window.partitionBy("lang").orderBy(F.abs("place"), "place")
+    few = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= pieces).select("lang", "n", "piece").collect()
     names = sorted(known, key=lambda x: (-known[x][0], x))
-    contents = []
-    for name in names:
-        few = drawn.where(F.col("lang") == name).orderBy(F.abs("place"), "place").limit(pieces).collect()
-        contents.append(b" ".join(folded(r.piece) for r in few)[:DICT_BYTES])
+    contents = [b" ".join(folded(r.piece) for r in sorted(few) if r.lang == name)[:DICT_BYTES] for name in names]
     return Languages(names, contents)
 
 
