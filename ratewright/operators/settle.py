@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ratewright import config as c
 from ratewright.functions import numeric as x
 from ratewright.functions import text as tx
+from ratewright.operators.chains import Clamped
 from ratewright.operators.ordered import BLOCK, in_blocks, ordered_scan
 from ratewright.session import durable
 
@@ -91,6 +92,8 @@ def append_log(log: DataFrame, rows: DataFrame) -> DataFrame:
 
 # --- chains whose step depends on the value reached ---------------------------
 
+START = "_start"
+
 
 def _with_doubles(df: DataFrame, *names: str) -> StructType:
     return StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
@@ -105,63 +108,87 @@ def _v3_step(b, s_minus_e, pull_to, gamma):
     return 0.0
 
 
-def _fold_v3(starts: dict, base: float, emit_rows: bool):
+def _fold_v3(starts: dict, base: float):
     """Walk sorted rows of one block, team after team, in Arrow batches; state is one number."""
 
     def run(batches):
-        team, b, first_team, first_end, block = None, base, None, None, None
+        team, b = None, base
         for pdf in batches:
             if not len(pdf):
                 continue
             block = int(pdf[BLOCK].iloc[0])
-            teams = pdf["team_id"].to_numpy()
-            d = pdf["surprise"].to_numpy()
-            r = pdf["target"].to_numpy()
-            g = pdf["gamma"].to_numpy()
+            teams, d, r, g, own = (pdf[n].to_numpy() for n in ("team_id", "surprise", "target", "gamma", START))
             before, delta = np.empty(len(pdf)), np.empty(len(pdf))
             for i in range(len(pdf)):
                 if teams[i] != team:
-                    if team is None:
-                        first_team, b = teams[i], starts.get(block, base)
-                    else:
-                        if first_end is None:
-                            first_end = b
-                        b = base
+                    b = starts.get(block, own[i]) if team is None else own[i]
                     team = teams[i]
                 step = _v3_step(b, d[i], r[i], g[i])
                 before[i], delta[i] = b, step
                 b += step
-            if emit_rows:
-                yield pdf.assign(b_before=before, delta_b=delta)
-        if not emit_rows and team is not None:
-            yield pd.DataFrame(
-                {"block": [block], "first_team": [first_team], "last_team": [team], "last_end": [b]}
-            )
+            yield pdf.assign(b_before=before, delta_b=delta)
 
     return run
 
 
-def settle_v3(rows: DataFrame, base: float = c.BASELINE_RATING, order=("date", "fixture_id")) -> DataFrame:
+def _effects_v3(batches):
+    """What a block does to its first and its last team: the only ones that other blocks may hold rows of."""
+    first, team, f, done, block = None, None, None, [], None
+
+    def row(name, f, own):
+        return (block, name, own, f.borders.tolist(), f.slope.tolist(), f.level.tolist())
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        block = int(pdf[BLOCK].iloc[0])
+        teams = pdf["team_id"].to_numpy()
+        cuts = [0, *(np.flatnonzero(teams[1:] != teams[:-1]) + 1).tolist(), len(pdf)]
+        d, r, g, own = (pdf[n].to_numpy() for n in ("surprise", "target", "gamma", START))
+        for lo, hi in zip(cuts, cuts[1:]):
+            if teams[lo] != team:
+                if team is not None and team == first:
+                    done.append(row(team, f, start))
+                team, f, start = teams[lo], Clamped(), own[lo]
+                first = team if first is None else first
+            if team == first or hi == len(pdf):
+                for i in range(lo, hi):
+                    f.step(d[i], r[i], g[i])
+    if team is not None:
+        done.append(row(team, f, start))
+    if done:
+        yield pd.DataFrame(done, columns=["block", "team_id", "own", "borders", "slope", "level"])
+
+
+EFFECTS = "block int, team_id string, own double, borders array<double>, slope array<double>, level array<double>"
+
+
+def _chain_v3(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One team's value at the start of each of its blocks, from what the blocks before it do; a few numbers per block."""
+    rows = pdf.sort_values("block")
+    b, starts = rows["own"].iloc[0], []
+    for borders, slope, level in zip(rows["borders"], rows["slope"], rows["level"]):
+        starts.append(b)
+        b = Clamped.of(borders, slope, level)(b)
+    return pd.DataFrame({"block": rows["block"].iloc[1:], "b": starts[1:]})
+
+
+def settle_v3(rows: DataFrame, base: float = c.BASELINE_RATING, order=("date", "fixture_id"), start: str | None = None) -> DataFrame:
     """Steps K(S-E) + gamma(R-B) with the cause-effect bound: each depends on the B reached.
 
-    ``rows`` needs team_id, surprise (S-E), target and gamma. A team's history may span
-    many blocks; each block is walked from an assumed start for its first team, and
-    blocks are walked again until the starts agree with what earlier blocks end at. Every
-    pass settles at least one more block for good, and gravity forgets a wrong start
-    fast, so two or three passes suffice. Only one number per block meets the driver.
+    ``rows`` needs team_id, surprise (S-E), target and gamma, and may name a column with the team's B before its first
+    row (else ``base``). A team's history may span many blocks. Two passes, whatever the data: the first finds what each
+    block does to a rating that arrives at it (a function of straight pieces) and chains these per team, the second writes
+    the rows from the right start. One number per block meets the driver.
     """
-    blocks = in_blocks(rows, ["team_id"], list(order))
+    given = rows.withColumn(START, F.lit(base) if start is None else F.col(start).cast("double"))
+    blocks = in_blocks(given, ["team_id"], list(order))
     starts: dict[int, float] = {}
-    schema = "block int, first_team string, last_team string, last_end double"
-    while blocks.rdd.getNumPartitions() > 1:
-        ends = sorted(blocks.mapInPandas(_fold_v3(starts, base, False), schema).collect())
-        found = {
-            int(b.block): a.last_end for a, b in zip(ends, ends[1:]) if a.last_team == b.first_team
-        }
-        if found.keys() == starts.keys() and all(abs(found[n] - starts[n]) < 1e-11 for n in found):
-            break
-        starts = found
-    done = blocks.mapInPandas(_fold_v3(starts, base, True), _with_doubles(blocks, "b_before", "delta_b"))
+    if blocks.rdd.getNumPartitions() > 1:
+        effects = blocks.select("team_id", "surprise", "target", "gamma", START, BLOCK).mapInPandas(_effects_v3, EFFECTS)
+        chained = effects.groupBy("team_id").applyInPandas(_chain_v3, "block int, b double")
+        starts = {r.block: r.b for r in chained.collect()}
+    done = blocks.mapInPandas(_fold_v3(starts, base), _with_doubles(blocks, "b_before", "delta_b"))
     parts = x.settlement_parts("actual_score_s", "e_kr", "b_before", "target", "gamma")
     return done.withColumns(
         {
@@ -169,7 +196,7 @@ def settle_v3(rows: DataFrame, base: float = c.BASELINE_RATING, order=("date", "
             "gravity_component": parts["delta_gravity"],
             "clamp_applied": parts["clamped"],
         }
-    ).drop(BLOCK)
+    ).drop(BLOCK, START)
 
 
 def _fold_v2(starts: dict, base: float, emit_rows: bool):
