@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ratewright.functions import calendar as t
+from ratewright.functions import numeric as x
 from ratewright.operators import consensus as k
 from ratewright.operators import live as lv
 from ratewright.operators import market as mk
 from ratewright.operators import quality as ql
 from ratewright.operators import resolve as rv
+from ratewright.operators import settle as st
 from ratewright.plans import table_queries  # noqa: F401  (its SQL fragments are used below)
 from ratewright.plans.consensus_queries import frozen
 from ratewright.plans.rating_queries import futures, serving, stored_state, team_state
 from ratewright.plans.registry import fragment, query, rnd, sql
 from ratewright.plans.shapes import AS_OF, KR_HOURS, SCHEMAS, as_of, fixtures, history, quotes, table
+from ratewright.session import durable, new_folder
 from ratewright.streaming import jobs
 
 
@@ -135,6 +139,103 @@ def stream_kickoff_locks(spark, d):
     return out.select("team", "ts", "event_id", "event", r("r_market_frozen").alias("r_market_frozen"))
 
 
+#: Team rows are landed in this many parts, each read by a run of its own that goes on from the last one's state.
+LANDED_UNTIL = ["1995-01-01", "2100-01-01"]
+
+
+def team_feed(spark, d):
+    """What happens to teams, as rows in time: contests announced a week ahead, market values an hour before kickoff, settlements three hours after."""
+    kick = t.kickoff_or_default("commence_time", "date", "23:59:59")
+    rows = st.team_rows(
+        fixtures(spark, d).join(frozen(spark, d).select("fixture_id", "home_expected_score", "away_expected_score"), "fixture_id", "left").withColumn("kickoff", kick),
+        {"e_kr": ("home_expected_score", "away_expected_score")},
+    )
+    strength = F.round(x.implied_strength("e_kr", F.lit(1500.0), "is_home"), 4)
+    none = F.lit(None).cast("double")
+
+    def part(ts, rank, kind, r_market=none, m1=none):
+        return F.struct(ts.alias("ts"), rank.alias("rank"), F.lit(kind).alias("kind"), r_market.alias("r_market"), m1.alias("m1_value"))
+
+    parts = F.array(
+        part(F.col("kickoff") - F.expr("INTERVAL 7 DAYS"), F.lit(1), "fixture"),
+        part(F.col("kickoff") - F.expr("INTERVAL 1 HOUR"), F.when(strength.isNotNull(), 2), "market", strength, F.round(x.overlay(strength, F.lit(1500.0)), 4)),
+        part(F.col("kickoff") + F.expr("INTERVAL 3 HOURS"), F.when(F.col("status") == "finished", 3), "settlement"),
+    )
+    exploded = rows.select(F.col("team_id").alias("team"), "fixture_id", "kickoff", F.inline(parts)).where(F.col("rank").isNotNull())
+    return exploded.select("team", "ts", (F.col("fixture_id") * 4 + F.col("rank")).alias("seq"), "kind", "r_market", "m1_value", F.when(F.col("kind") == "fixture", F.col("kickoff")).alias("kickoff"))
+
+
+def team_locks(spark, d):
+    feed, folder, root = durable(team_feed(spark, d)), new_folder(spark, "team-feed"), new_folder(spark, "team-locks")
+    since = F.lit("0001-01-01").cast("timestamp_ntz")
+    for until in LANDED_UNTIL:
+        upto = F.lit(until).cast("timestamp_ntz")
+        feed.where((F.col("ts") >= since) & (F.col("ts") < upto)).write.mode("append").parquet(folder)
+        events = jobs.lock_stream(spark.readStream.schema(feed.schema).parquet(folder), root=root)
+        since = upto
+    return events
+
+
+fragment(
+    "teamfeed",
+    ("sides", "starts"),
+    """
+    SELECT team_id AS team, s.fixture_id, k.kickoff, s.status, CASE WHEN e_kr IS NOT NULL THEN round(1500.0::DOUBLE + 400.0::DOUBLE * log10(greatest(0.01, least(0.99, e_kr)) / (1 - greatest(0.01, least(0.99, e_kr))))
+             + CASE WHEN is_home THEN -65.0 ELSE 65.0 END::DOUBLE, 4) END AS strength
+    FROM sides s JOIN (SELECT fixture_id, kickoff FROM starts) k USING (fixture_id)
+    """,
+)
+fragment(
+    "lockrows",
+    ("teamfeed",),
+    """
+    SELECT *, max(ts) OVER () AS latest, max(CASE WHEN kind <> 'start' THEN ts END) OVER (PARTITION BY team) AS team_latest FROM (
+      SELECT team, kickoff - INTERVAL 7 DAYS AS ts, 1 AS rank, fixture_id * 4 + 1 AS seq, 'fixture' AS kind, NULL::DOUBLE AS r_market FROM teamfeed
+      UNION ALL SELECT team, kickoff, 0, -1, 'start', NULL FROM teamfeed
+      UNION ALL SELECT team, kickoff - INTERVAL 1 HOUR, 1, fixture_id * 4 + 2, 'market', strength FROM teamfeed WHERE strength IS NOT NULL
+      UNION ALL SELECT team, kickoff + INTERVAL 3 HOURS, 1, fixture_id * 4 + 3, 'settlement', NULL FROM teamfeed WHERE status = 'finished')
+    """,
+)
+fragment(
+    "teamlocks",
+    ("lockrows",),
+    """
+    SELECT team, ts, seq, CASE WHEN kind = 'start' THEN 'frozen' ELSE 'cleared' END AS event,
+           last_value(CASE WHEN kind = 'start' AND coalesce(prev, '') <> 'start' THEN coalesce(market, -1) END IGNORE NULLS) OVER (PARTITION BY team ORDER BY ts, rank, seq ROWS UNBOUNDED PRECEDING) AS frozen
+    FROM (SELECT *, lag(kind) OVER (PARTITION BY team ORDER BY ts, rank, seq) AS prev FROM (
+      SELECT *, last_value(r_market IGNORE NULLS) OVER (PARTITION BY team ORDER BY ts, rank, seq ROWS UNBOUNDED PRECEDING) AS market FROM lockrows)
+      WHERE kind = 'settlement' OR kind = 'start' AND (ts <= (SELECT max(ts) FROM lockrows WHERE kind <> 'start') - INTERVAL 3 MINUTES OR ts <= team_latest))
+    QUALIFY kind = 'start' AND coalesce(prev, '') <> 'start' OR kind = 'settlement' AND prev = 'start'
+    """,
+)
+M1_SQL = "greatest(-120.0, least(120.0, 0.4 * (frozen - 1500)))"
+
+
+@query("stream_team_locks", sql(f"SELECT team, ts, seq, event, {rnd('nullif(frozen, -1)', 4)} AS r_market_frozen, {rnd(f'CASE WHEN frozen <> -1 THEN {M1_SQL} END', 4)} AS m1_locked FROM teamlocks", "teamlocks"))
+def stream_team_locks(spark, d):
+    """Kickoff timers lock a team's market rating and M1, settlements clear them: events of two runs."""
+    return team_locks(spark, d).select("team", "ts", "seq", "event", (r("r_market_frozen", 4) + 0.0).alias("r_market_frozen"), (r("m1_locked", 4) + 0.0).alias("m1_locked"))
+
+
+@query(
+    "stream_locked_state",
+    sql(
+        f"""SELECT t.team_id, CASE WHEN event = 'frozen' AND frozen <> -1 THEN {rnd('frozen', 4)} END AS r_market_frozen, CASE WHEN event = 'frozen' AND frozen <> -1 THEN {rnd(M1_SQL, 4)} END AS m1_locked,
+                   CASE WHEN event = 'cleared' THEN 0.0 ELSE 1.0 END::DOUBLE AS l_value
+            FROM (SELECT DISTINCT team_id FROM sides WHERE competition = 'league') t LEFT JOIN (SELECT * FROM teamlocks QUALIFY row_number() OVER (PARTITION BY team ORDER BY ts DESC, seq DESC) = 1) e ON e.team = t.team_id""",
+        "sides",
+        "teamlocks",
+    ),
+)
+def stream_locked_state(spark, d):
+    """State rows once the stream has ended: locked while a contest is under way, cleared by its settlement."""
+    none = F.lit(None).cast("double")
+    teams = st.team_rows(fixtures(spark, d)).where("competition = 'league'").select("team_id").distinct()
+    state = teams.withColumns({"m1_locked": none, "r_market_frozen": none, "l_value": F.lit(1.0)})
+    out = jobs.locked_state(state, team_locks(spark, d))
+    return out.select("team_id", (r("r_market_frozen", 4) + 0.0).alias("r_market_frozen"), (r("m1_locked", 4) + 0.0).alias("m1_locked"), "l_value")
+
+
 fragment(
     "inplay",
     ("fixtures", "quotes"),
@@ -227,8 +328,6 @@ def replay(spark, d):
     f, kr = fixtures(spark, d), frozen(spark, d)
     state = team_state(spark, d).withColumns({"b_value": F.lit(1500.0), "r_market": F.lit(1500.0), "published_index": F.lit(1500.0)})
     periods = ["1995-01-01", "1996-07-01", "1998-01-01", "1999-07-01", "2001-12-31"]
-    from ratewright.session import durable
-
     final, log = lv.replay(f, durable(kr), durable(k.current_expected(serving(spark, d))), durable(state), periods)
     n = log.groupBy("team_id").agg(F.count(F.lit(1)).alias("settled"))
     return final.join(n, "team_id", "left").select("team_id", "league", r("b_value", 4).alias("b_value"), r("published_index", 2).alias("published_index"), "settled")

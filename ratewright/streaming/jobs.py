@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from ratewright import config as c
 from ratewright.functions import numeric as x
 from ratewright.operators import consensus as k
-from ratewright.operators.ordered import ordered_scan
-from ratewright.operators.tables import insert_absent, latest_quotes, pick_by
+from ratewright.operators.tables import patch, pick_by
 from ratewright.session import new_folder
+from ratewright.streaming.machines import FROZEN_QUOTE, LOCK_EVENT, KickoffFreeze, KickoffLocks
 
 
 def _root(spark: SparkSession, name: str, root: str | None) -> str:
@@ -21,96 +22,109 @@ def _root(spark: SparkSession, name: str, root: str | None) -> str:
 
 
 def _run(writer, folder: str) -> None:
-    q = writer.option("checkpointLocation", folder).trigger(availableNow=True).start()
-    q.awaitTermination()
+    _run_all([(writer, folder)])
 
 
-class KeyedLog:
-    """Latest row per key as a folder per batch plus a merged base every few batches.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    A batch writes only its own rows, so its cost follows the batch, not the table. What a
-    batch reads is named by its number alone: run again after a failure, it starts from
-    the same folders and replaces its own.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], order: list[str], every: int = 20):
-        self.spark, self.folder, self.schema, self.keys, self.order, self.every = spark, folder, schema, keys, order, every
 
-    def _load(self, base: int, upto: int) -> DataFrame:
-        paths = [f"{self.folder}/base={base}"] if base >= 0 else []
-        paths += [f"{self.folder}/delta={i}" for i in range(base + 1, upto + 1)]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return pick_by(self.spark.read.schema(self.schema).parquet(*paths), self.keys, self.order)
+def _run_all(writers: list) -> None:
+    """Start the queries together, each with its own checkpoint, and wait until all are at the end of their input."""
+    running = [w.option("checkpointLocation", folder).trigger(availableNow=True).start() for w, folder in writers]
+    for q in running:
+        q.awaitTermination()
 
-    def read(self, number: int) -> DataFrame:
-        return self._load((number + 1) // self.every * self.every - 1, number)
 
-    def append(self, rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/delta={number}")
-        if (number + 1) % self.every == 0:
-            self._load(number - self.every, number).write.mode("overwrite").parquet(f"{self.folder}/base={number}")
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Timers and keyed values need the RocksDB state store; the caller's setting comes back afterwards."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 QUOTE = (
     "fixture_id long, bookmaker string, snapshot_time timestamp_ntz, home_odds double, draw_odds double, away_odds double"
 )
+NAMES = [f.split()[0] for f in QUOTE.split(", ")]
 KEY = ["fixture_id", "bookmaker"]
 ORDER = ["snapshot_time", "home_odds", "draw_odds", "away_odds"]
 
 
+def _latest(stream: DataFrame) -> DataFrame:
+    """The latest quote per (fixture, book), held in the state store; a batch gives out what it changed."""
+    picked = stream.groupBy(*KEY).agg(F.max(F.struct(*ORDER)).alias("_row"))
+    return picked.select(*KEY, *[F.col(f"_row.{n}").alias(n) for n in ORDER])
+
+
 def ingest_quotes(stream: DataFrame, fixtures: DataFrame, name: str = "quotes", root: str | None = None) -> dict[str, DataFrame]:
-    """Quotes to an archive, a latest table and a pre-kickoff latest table, batch by batch.
+    """Quotes to an archive, a latest table and a pre-kickoff latest table, as three queries over the stream.
 
-    The archive is partitioned by batch, so a repeated batch replaces its own rows. The
-    pre-kickoff table refuses quotes at or after the start. Run again on the same ``root``,
-    it reads only what has arrived since and returns the tables of all runs.
+    The pre-kickoff table refuses quotes at or after the start. Latest rows are aggregates in the state store; each batch
+    writes the rows it changed under its own number. Run again on the same ``root``, the queries read only what has
+    arrived since, and the tables of all runs are returned.
     """
     spark = stream.sparkSession
     root = _root(spark, name, root)
-    latest, preko = (KeyedLog(spark, f"{root}/{t}", QUOTE, KEY, ORDER) for t in ("latest", "preko"))
+    rows = stream.select(*NAMES)
+    early = k.pre_kickoff(rows, fixtures).select(*NAMES)
+    archive = rows.writeStream.format("parquet").outputMode("append").option("path", f"{root}/archive")
+    writers = [(archive, f"{root}/checkpoint/archive")]
+    for table, source in (("latest", rows), ("preko", early)):
+        writers.append((_changes(_latest(source), f"{root}/{table}"), f"{root}/checkpoint/{table}"))
+    with keyed_state(spark):
+        _run_all(writers)
+    tables = {t: pick_by(spark.read.schema(QUOTE).parquet(f"{root}/{t}").select(*NAMES), KEY, ORDER) for t in ("latest", "preko")}
+    return {"archive": spark.read.schema(QUOTE).parquet(f"{root}/archive"), **tables}
+
+
+def _changes(df: DataFrame, folder: str):
+    """A writer that keeps each batch's rows under its own number, so a repeated batch replaces its own rows."""
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*[f.split()[0] for f in QUOTE.split(", ")])
-        rows.write.mode("overwrite").parquet(f"{root}/archive/batch={number}")
-        landed = spark.read.schema(QUOTE).parquet(f"{root}/archive/batch={number}")
-        latest.append(latest_quotes(landed), number)
-        preko.append(latest_quotes(k.pre_kickoff(landed, fixtures).select(*landed.columns)), number)
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     # So that there is a table to read even if nothing has arrived.
-    spark.createDataFrame([], QUOTE).write.mode("overwrite").parquet(f"{root}/archive/batch=-1")
-    _run(stream.writeStream.foreachBatch(step), f"{root}/checkpoint")
-    archive = spark.read.schema(f"{QUOTE}, batch int").parquet(f"{root}/archive")
-    number = archive.agg(F.max("batch")).first()[0]
-    number = -1 if number is None else number
-    return {"archive": archive.drop("batch"), "latest": latest.read(number), "preko": preko.read(number)}
+    df.sparkSession.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{folder}/batch=-1")
+    return df.writeStream.outputMode("update").foreachBatch(step)
+
+
+FROZEN = "fixture_id long, home_expected_score double, away_expected_score double, bookmaker_count int"
 
 
-def freeze_stream(stream: DataFrame, fixtures: DataFrame, as_of, hours: float, root: str | None = None) -> DataFrame:
-    """Write-once consensus: each batch freezes started fixtures that are not frozen yet; none is written twice.
+def freeze_stream(stream: DataFrame, fixtures: DataFrame, as_of, hours: float, late_minutes: int = c.FRESH_MINUTES, root: str | None = None) -> DataFrame:
+    """Write-once consensus: a timer at each fixture's kickoff gives out its books' last quotes, and the batch's consensus is written.
 
-    What is frozen is kept like the quotes, as batches and a merged base, so a batch reads a
-    bounded number of folders however long the stream has run.
+    Followed are fixtures that start by ``as_of``. A timer fires when the stream's event time, less ``late_minutes``, has
+    passed the kickoff; quotes that arrive after that change nothing. A batch works on the fixtures it freezes alone.
     """
     spark = stream.sparkSession
     root = _root(spark, "freeze", root)
-    schema = "fixture_id long, home_expected_score double, away_expected_score double, bookmaker_count int"
-    preko = KeyedLog(spark, f"{root}/preko", QUOTE, KEY, ORDER)
-    kr = KeyedLog(spark, f"{root}/kr", schema, ["fixture_id"], ["bookmaker_count"])
     started = fixtures.where(F.coalesce("commence_time", F.col("date").cast("timestamp_ntz")) <= as_of)
+    # The stream's own time moves on with every quote, also those of other fixtures and of fixtures under way.
+    timed = stream.select(*NAMES).withColumn("ts", F.col("snapshot_time").cast("timestamp")).withWatermark("ts", f"{late_minutes} minutes")
+    usable = k.pre_kickoff(timed.where(x.valid_quote(*k.ODDS)), started)
+    micros = {"snapshot_us": F.unix_micros("ts"), "kickoff_us": F.unix_micros(F.col("kickoff").cast("timestamp"))}
+    columns = ["fixture_id", "ts", "bookmaker", "kickoff_us", "snapshot_us", *k.ODDS]
+    given = usable.withColumns(micros).select(*columns).groupBy("fixture_id").transformWithStateInPandas(KickoffFreeze(), FROZEN_QUOTE, "append", "EventTime")
+    frozen_at = F.timestamp_micros("snapshot_us").cast("timestamp_ntz").alias("snapshot_time")
 
     def step(batch: DataFrame, number: int) -> None:
-        names = [f.split()[0] for f in QUOTE.split(", ")]
-        usable = batch.select(*names).where(x.valid_quote(*k.ODDS))
-        early = k.pre_kickoff(usable, fixtures).select(*names)
-        preko.append(latest_quotes(early), number)
-        pending = insert_absent(kr.read(number - 1), started, ["fixture_id"])
-        frozen = k.frozen_consensus(preko.read(number), pending, hours).select(*[f.split()[0] for f in schema.split(", ")])
-        kr.append(frozen, number)
+        quotes = batch.select("fixture_id", "bookmaker", frozen_at, *k.ODDS)
+        frozen = k.frozen_consensus(quotes, started, hours).select(*[f.split()[0] for f in FROZEN.split(", ")])
+        frozen.write.mode("overwrite").parquet(f"{root}/kr/batch={number}")
 
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/kr/delta=-1")
-    _run(stream.writeStream.foreachBatch(step), f"{root}/checkpoint")
-    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{root}/kr/delta=*")
+    spark.createDataFrame([], FROZEN).write.mode("ignore").parquet(f"{root}/kr/batch=-1")
+    with keyed_state(spark):
+        _run(given.writeStream.foreachBatch(step), f"{root}/checkpoint")
+    return spark.read.schema(FROZEN).parquet(f"{root}/kr").select(*[f.split()[0] for f in FROZEN.split(", ")])
 
 
 def distinct_quotes(stream: DataFrame, minutes: int = c.FRESH_MINUTES) -> DataFrame:
@@ -142,50 +156,37 @@ def live_window(stream: DataFrame, minutes: int = c.FRESH_MINUTES, slide_minutes
     )
 
 
-LOCK_STATE = "team string, ts timestamp_ntz, event_id long, publish_reason string, locked double"
-LOCK_EVENTS = "team string, ts timestamp_ntz, event_id long, event string, r_market_frozen double"
-
-
-def lock_events(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A team's market value is frozen at its first in-play update and cleared at the next settlement.
-
-    Only changes between the two kinds of row matter, so the state machine is a lag and
-    a carried value: a scan that splits busy teams, not a per-team loop. ``before`` is
-    the last row per team of earlier batches; returns (events, last rows).
-    """
-    kinds = rows.where(F.col("publish_reason").isin("live_update", "settlement"))
-    new = kinds.select("team", "ts", "event_id", "publish_reason", "published_index", F.lit(None).cast("double").alias("_old"))
-    old = before.select("team", "ts", "event_id", "publish_reason", F.lit(None).cast("double").alias("published_index"), F.col("locked").alias("_old"))
-    seen = ordered_scan(
-        new.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False))), ["team"], ["ts", "event_id"], lags={"_prev": "publish_reason"}
-    )
-    live = F.col("publish_reason") == "live_update"
-    freezes = F.col("_new") & live & F.coalesce(F.col("_prev") != "live_update", F.lit(True))
-    clears = F.col("_new") & ~live & (F.col("_prev") == "live_update")
-    marked = seen.withColumns({"_f": freezes, "_value": F.when(freezes, F.col("published_index")).otherwise(F.col("_old"))})
-    marked = marked.withColumn("_c", F.coalesce(clears, F.lit(False)))
-    held = ordered_scan(marked, ["team"], ["ts", "event_id"], carries={"locked": "_value"})
-    events = held.where(F.col("_f") | F.col("_c")).select(
-        "team", "ts", "event_id", F.when(F.col("_f"), "frozen").otherwise("cleared").alias("event"), F.col("locked").alias("r_market_frozen")
-    )
-    last = pick_by(held.select("team", "ts", "event_id", "publish_reason", "locked"), ["team"], ["ts", "event_id"])
-    return events, last
+def lock_stream(rows: DataFrame, late_minutes: int = c.FRESH_MINUTES, root: str | None = None) -> DataFrame:
+    """Lock events of a stream of (team, ts, seq, kind, r_market, m1_value, kickoff), see ``KickoffLocks``: (team, ts, seq, event, values)."""
+    spark = rows.sparkSession
+    root = _root(spark, "locks", root)
+    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{late_minutes} minutes")
+    micros = {"us": F.unix_micros("ts"), "kickoff_us": F.unix_micros(F.col("kickoff").cast("timestamp"))}
+    ready = timed.withColumns(micros).select("team", "ts", "us", "seq", "kind", F.col("r_market").cast("double"), F.col("m1_value").cast("double"), "kickoff_us")
+    events = ready.groupBy("team").transformWithStateInPandas(KickoffLocks(), LOCK_EVENT, "append", "EventTime")
+    with keyed_state(spark):
+        found = to_table(events, "locks", LOCK_EVENT, root)
+    return found.select("team", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "seq", "event", "r_market_frozen", "m1_locked")
 
 
 def kickoff_locks(stream: DataFrame, root: str | None = None) -> DataFrame:
-    """Per team: when its market value was frozen for a match and when settlement cleared it."""
-    spark = stream.sparkSession
-    root = _root(spark, "locks", root)
-    state = KeyedLog(spark, f"{root}/state", LOCK_STATE, ["team"], ["ts", "event_id"])
+    """Locks of a published history: the first in-play update of a match is its kickoff, with the value published there."""
+    kinds = stream.where(F.col("publish_reason").isin("live_update", "settlement"))
+    none = F.lit(None)
+    kind = F.when(F.col("publish_reason") == "settlement", "settlement").otherwise("kickoff")
+    rows = kinds.select(
+        "team", "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.col("published_index").alias("r_market"), none.cast("double").alias("m1_value"), none.cast("timestamp").alias("kickoff")
+    )
+    found = lock_stream(rows, root=root)
+    return found.select("team", "ts", F.col("seq").alias("event_id"), "event", "r_market_frozen")
 
-    def step(batch: DataFrame, number: int) -> None:
-        events, last = lock_events(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")), state.read(number - 1))
-        state.append(last, number)
-        events.write.mode("overwrite").parquet(f"{root}/events/batch={number}")
 
-    spark.createDataFrame([], LOCK_EVENTS).write.mode("overwrite").parquet(f"{root}/events/batch=-1")
-    _run(stream.writeStream.foreachBatch(step), f"{root}/checkpoint")
-    return spark.read.schema(LOCK_EVENTS).parquet(f"{root}/events").drop("batch")
+def locked_state(state: DataFrame, events: DataFrame) -> DataFrame:
+    """The state rows after lock events: locked values of teams whose last event froze them, none where it cleared them."""
+    last = pick_by(events.select("team", "ts", "seq", "event", "r_market_frozen", "m1_locked"), ["team"], ["ts", "seq"])
+    on = F.col("event") == "frozen"
+    delta = last.select(F.col("team").alias("team_id"), *[F.when(on, F.col(n)).alias(n) for n in ("m1_locked", "r_market_frozen")], F.lit(0.0).alias("l_value"))
+    return patch(state, delta, ["team_id"], {"l_value": F.col("_d_m1_locked").isNotNull() | F.col("_d_r_market_frozen").isNotNull()})
 
 
 def to_table(df: DataFrame, name: str, schema: str | None = None, root: str | None = None) -> DataFrame:
@@ -208,7 +209,7 @@ def to_latest(df: DataFrame, name: str, keys: list[str], order: list[str], root:
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
 
-    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{root}/data/batch=-1")
+    spark.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{root}/data/batch=-1")
     _run(df.writeStream.outputMode("update").foreachBatch(step), f"{root}/checkpoint")
     return pick_by(spark.read.schema(df.schema).parquet(f"{root}/data").select(*df.columns), keys, order)
 

@@ -16,7 +16,6 @@ from ratewright.operators import settle as st
 from ratewright.operators import tables as tb
 from ratewright.operators.ordered import ordered_scan
 from ratewright.plans import all_queries
-from ratewright.streaming import jobs
 
 DAY = dt.date(2024, 1, 1)
 
@@ -214,30 +213,6 @@ def test_two_fixtures_are_too_few(spark):
     assert bt.map_ratings(edges, spark.createDataFrame([("a", 1500.0)], "team_id string, b_value double")).count() == 0
 
 
-def test_keyed_log_survives_merges_and_repeats(spark, tmp_path):
-    log = jobs.KeyedLog(spark, str(tmp_path), "k long, v long", ["k"], ["v"], every=3)
-    for i in range(8):
-        rows = spark.createDataFrame([(i % 4, i)], "k long, v long")
-        log.append(rows, i)
-        log.append(rows, i)  # the same batch again
-        want = {}
-        for j in range(i + 1):
-            want[j % 4] = j
-        assert {r.k: r.v for r in log.read(i).collect()} == want
-
-
-def test_lock_events_across_batches(spark):
-    def rows(*items):
-        data = [("t", dt.datetime(2024, 1, 1, h), i, reason, float(i)) for i, h, reason in items]
-        return spark.createDataFrame(data, "team string, ts timestamp_ntz, event_id long, publish_reason string, published_index double")
-
-    none = spark.createDataFrame([], jobs.LOCK_STATE)
-    first, last = jobs.lock_events(rows((1, 1, "settlement"), (2, 2, "live_update"), (3, 3, "live_update")), none)
-    assert [(r.event_id, r.event, r.r_market_frozen) for r in first.collect()] == [(2, "frozen", 2.0)]
-    second, _ = jobs.lock_events(rows((4, 4, "live_update"), (5, 5, "settlement"), (6, 6, "live_update")), last)
-    got = sorted((r.event_id, r.event, r.r_market_frozen) for r in second.collect())
-    assert got == [(5, "cleared", 2.0), (6, "frozen", 6.0)]
-
 
 def test_snapshot_files_are_read_by_name(spark, tmp_path):
     import json

@@ -91,3 +91,72 @@ def test_open_windows_are_emitted(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = jobs.to_latest(jobs.downsample_stream(stream, 15), "down", ["team", "window_start"], ["ts", "event_id"])
     assert sorted(r.event_id for r in out.collect()) == [14, 29, 39]
+
+
+def in_order(spark, folder, frame, parts, order):
+    """Land a frame's rows by time, in as many parts, one after the other."""
+    data = sorted(frame.collect(), key=lambda r: r[order])
+    size = -(-len(data) // parts)
+    for i in range(parts):
+        spark.createDataFrame(data[i * size : (i + 1) * size], frame.schema).coalesce(1).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(frame.schema).parquet(folder)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_freezing_at_kickoff_is_the_batch_consensus(spark, landed, tmp_path, parts):
+    quotes, fixtures, _, _ = landed
+    root, folder = str(tmp_path / "run"), str(tmp_path / "ordered")
+    as_of = F.to_timestamp_ntz(F.lit("2024-01-03 00:00:00"))
+    for stream in in_order(spark, folder, quotes, parts, "snapshot_time"):
+        out = jobs.freeze_stream(stream, fixtures, as_of, 48.0, root=root)
+    # Two more runs: one with a quote that comes too late, one with nothing new.
+    late = quotes.where("fixture_id = 3").limit(1).withColumn("home_odds", F.lit(9.0)).withColumn("snapshot_time", F.lit(str(T0)).cast("timestamp_ntz"))
+    late.coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2):
+        out = jobs.freeze_stream(spark.readStream.schema(QUOTES).parquet(folder), fixtures, as_of, 48.0, root=root)
+    want = k.frozen_consensus(quotes, fixtures, 48.0).select(*out.columns)
+    assert rows(out) == rows(want) and out.count() == 11
+
+
+def locks_by_hand(feed, last_time):
+    """Events of one team: sorted rows, starts first among equal times."""
+    starts = [(r.kickoff, -1, "start", None, None) for r in feed if r.kind == "fixture"]
+    merged = sorted(starts + [(r.ts, r.seq, r.kind, r.r_market, r.m1_value) for r in feed], key=lambda e: (e[0], e[1]))
+    newest = max(r.ts for r in feed)
+    held, market, out = None, (None, None), []
+    for ts, seq, kind, r_market, m1 in merged:
+        if kind == "market" or (kind == "kickoff" and r_market is not None):
+            market = (r_market, m1 if m1 is not None else market[1])
+        if kind in ("start", "kickoff") and held is None and (kind == "kickoff" or ts <= max(last_time - dt.timedelta(minutes=3), newest)):
+            held = market
+            out.append((ts, seq, "frozen", *held))
+        elif kind == "settlement" and held is not None:
+            out.append((ts, seq, "cleared", *held))
+            held = None
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_locks_at_kickoff_timers(spark, tmp_path, parts):
+    rng = random.Random(9)
+    feed = []
+    for i in range(240):
+        team, ts = rng.choice("ab") if i % 3 else "hot", T0 + dt.timedelta(hours=i, minutes=rng.randrange(60))
+        kind = rng.choice(["market", "fixture", "settlement", "kickoff", "market"])
+        market = rng.uniform(1400, 1600) if kind == "market" or (kind == "kickoff" and rng.random() < 0.5) else None
+        feed.append((team, ts, i, kind, market, rng.uniform(-9, 9) if kind == "market" else None, ts + dt.timedelta(hours=rng.randrange(1, 60)) if kind == "fixture" else None))
+    frame = spark.createDataFrame(feed, "team string, ts timestamp_ntz, seq long, kind string, r_market double, m1_value double, kickoff timestamp_ntz")
+    root, folder = str(tmp_path / "run"), str(tmp_path / "feed")
+    for stream in in_order(spark, folder, frame, parts, "ts"):
+        out = jobs.lock_stream(stream, root=root)
+    got, data = {}, frame.collect()
+    for r in out.collect():
+        got.setdefault(r.team, []).append((r.ts, r.seq, r.event, r.r_market_frozen, r.m1_locked))
+    want = {t: locks_by_hand([r for r in data if r.team == t], max(r.ts for r in data)) for t in ("a", "b", "hot")}
+    assert {t: sorted(v, key=lambda e: e[:3]) for t, v in got.items()} == {t: sorted(v, key=lambda e: e[:3]) for t, v in want.items()}
+    state = spark.createDataFrame([(t, None, 7.0, 3.0) for t in ("a", "b", "hot", "idle")], "team_id string, m1_locked double, r_market_frozen double, l_value double")
+    after = {r.team_id: r for r in jobs.locked_state(state, out).collect()}
+    assert (after["idle"].r_market_frozen, after["idle"].l_value) == (7.0, 3.0)
+    for t, events in want.items():
+        frozen = events[-1][2] == "frozen"
+        assert after[t].r_market_frozen == (events[-1][3] if frozen else None) and after[t].m1_locked == (events[-1][4] if frozen else None)
