@@ -214,6 +214,6 @@ def to_latest(df: DataFrame, name: str, keys: list[str], order: list[str], root:
     return pick_by(spark.read.schema(df.schema).parquet(f"{root}/data").select(*df.columns), keys, order)
 
 
-def cycle(stream: DataFrame, step: Callable[[DataFrame, int], None], name: str = "cycle") -> None:
-    """One micro-batch, one cycle: the given batch operators run with the batch's own time."""
-    _run(stream.writeStream.foreachBatch(step), f"{new_folder(stream.sparkSession, name)}/checkpoint")
+def cycle(stream: DataFrame, step: Callable[[DataFrame, int], None], name: str = "cycle", root: str | None = None) -> None:
+    """One micro-batch, one cycle: the given batch operators run with the batch's own time. Given an earlier run's folder, it goes on there."""
+    _run(stream.writeStream.foreachBatch(step), f"{_root(stream.sparkSession, name, root)}/checkpoint")

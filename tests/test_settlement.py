@@ -9,6 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
+from ratewright.operators import cycle as cy
 from ratewright.operators import settle as st
 from ratewright.operators import settlement as se
 from ratewright.operators.chains import Clamped
@@ -148,3 +149,191 @@ def test_settle_state_is_one_update_after_the_other(spark, split):
     again = se.settle_state(out.state, frames[1].unionByName(out.log.select(*frames[1].columns)), *frames[2:], F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
     assert again.log.count() == 0 and again.history.count() == 0
     assert sorted(map(str, again.state.select(*out.state.columns).collect())) == sorted(map(str, out.state.collect()))
+
+
+# --- whole cycles
+
+
+def devigged(o):
+    lo, hi = 0.01, 10.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum((1 / x) ** mid for x in o) > 1 else (lo, mid)
+    return [(1 / x) ** lo for x in o]
+
+
+def consensus(rows):
+    """Normalised medians of each book's last quote, or None below two books."""
+    last = {}
+    for q in rows:
+        if q["book"] not in last or q["ts"] > last[q["book"]]["ts"]:
+            last[q["book"]] = q
+    if len(last) < 2:
+        return None
+    m = np.median([devigged(q["odds"]) for q in last.values()], axis=0)
+    return m / m.sum()
+
+
+def solved_by_hand(edges, prior):
+    """Posterior mode by many small gradient steps."""
+    teams = sorted({t for h, a, _, _ in edges for t in (h, a)})
+    r = {t: prior.get(t, 1500.0) for t in teams}
+    sigma, mu = 200.0 if len(edges) < 5 else 300.0, dict(r)
+    q = np.log(10) / 400
+    for _ in range(3000):
+        g = {t: -(r[t] - mu[t]) / sigma**2 for t in teams}
+        for h, a, es, w in edges:
+            p = 1 / (1 + 10 ** (-(r[h] - r[a] + 65) / 400))
+            g[h] += w * (es - p) * q
+            g[a] -= w * (es - p) * q
+        r = {t: r[t] + 5000 * g[t] for t in teams}
+    return r
+
+
+def cycle_by_hand(state, logged, fixtures, kr, quotes, now):
+    """The four steps one after the other over plain dicts."""
+    hand = {t: {"b": v["b"], "market": v["market"], "frozen": v["frozen"], "last": None} for t, v in state.items()}
+    due = [(f["id"], f["status"], f["competition"], f["home"], f["away"], f["score"]) for f in fixtures if f["status"] == "finished"]
+    hand, new, _ = settle_by_hand(hand, logged, due, kr)
+    by_id = {f["id"]: f for f in fixtures}
+    for t, v in hand.items():
+        state[t]["b"] = round(v["b"], 4)
+        if v["last"] is not None:
+            state[t].update(frozen=None, locked=None, l=0.0, published=round(v["b"] + state[t]["m1"], 4))
+    leagues = {by_id[f]["league"] for f, *_ in new if by_id[f]["competition"] == "league"}
+
+    def kick(f):
+        return f["start"] or dt.datetime.combine(f["date"], dt.time(23, 59, 59))
+
+    es = {}
+    for f in fixtures:
+        c3 = consensus([q for q in quotes if q["id"] == f["id"] and q["ts"] <= now and q["ts"] < kick(f)])
+        if c3 is not None:
+            es[f["id"]] = min(0.99, max(0.01, c3[0] + 0.5 * c3[1]))
+
+    def nexts(net):
+        out = {}
+        for t in net:
+            mine = [f for f in fixtures if f["competition"] == "league" and f["status"] == "upcoming" and f["date"] >= now.date() and t in (f["home"], f["away"])]
+            if mine:
+                f = min(mine, key=lambda f: (f["date"], f["start"] or dt.datetime.min, f["id"]))
+                other = f["away"] if t == f["home"] else f["home"]
+                if f["id"] in es and other in net:
+                    e = min(0.99, max(0.01, es[f["id"]] if t == f["home"] else 1 - es[f["id"]]))
+                    out[t] = net[other] + 400 * np.log10(e / (1 - e)) + (-65 if t == f["home"] else 65)
+        return out
+
+    def overlay(net):
+        nxt = nexts(net)
+        for t in net:
+            market = 0.85 * net[t] + 0.15 * nxt.get(t, net[t])
+            m1 = max(-120.0, min(120.0, 0.4 * (market - state[t]["b"])))
+            yield t, market, m1
+
+    refreshed = set()
+    for lg in leagues:
+        edges = []
+        inside = [f for f in fixtures if f["league"] == lg and f["competition"] == "league"]
+        past = [f for f in inside if f["status"] == "finished" and f["date"] <= now.date()]
+        near, wide = ([f for f in past if (now.date() - f["date"]).days <= n] for n in (30, 45))
+        chosen = wide if len(near) < 5 and len(wide) > len(near) else near
+        for f in chosen:
+            e = kr[f["id"]][0] if f["id"] in kr else es.get(f["id"])
+            age = (now - (f["start"] or dt.datetime.combine(f["date"], dt.time(12)))).total_seconds() / 86400
+            if e is not None:
+                edges.append((f["home"], f["away"], e, 1 / (1 + max(0.0, age) / 14)))
+        for f in inside:
+            if f["status"] == "upcoming" and 0 <= (f["date"] - now.date()).days <= 30 and f["id"] in es:
+                age = (now - (f["start"] or dt.datetime.combine(f["date"], dt.time(12)))).total_seconds() / 86400
+                edges.append((f["home"], f["away"], es[f["id"]], 1 / (1 + max(0.0, -age) / 7)))
+        if len(edges) <= 2:
+            for v in state.values():
+                if v["league"] == lg:
+                    v.update(m1=0.0, market=v["b"], published=round(v["b"], 4))
+            continue
+        net = {t: x for t, x in solved_by_hand(edges, {t: v["b"] for t, v in state.items()}).items() if t in state}
+        for t, market, m1 in list(overlay(net)):
+            was = state[t]["locked"] is not None or state[t]["frozen"] is not None
+            state[t].update(network=net[t], market=market, m1=m1, published=state[t]["published"] if was else state[t]["b"] + m1)
+    for f in fixtures:
+        if f["start"] and dt.timedelta(0) < now - f["start"] < dt.timedelta(hours=4) and f["status"] not in ("finished", "cancelled"):
+            c3 = consensus([q for q in quotes if q["id"] == f["id"] and f["start"] < q["ts"] <= now and now - q["ts"] <= dt.timedelta(minutes=3)])
+            for i, t in enumerate((f["home"], f["away"])):
+                if t not in state:
+                    continue
+                v = state[t]
+                if v["locked"] is None:
+                    v.update(locked=v["m1"], frozen=round(v["market"] if v["market"] is not None else v["b"] + v["m1"], 4))
+                if c3 is not None and f["id"] in kr:
+                    raw = c3[2 * i] + 0.5 * c3[1]
+                    live = 30 * (raw + c3[1] * (0.5 - raw) - kr[f["id"]][i])
+                    v.update(l=live, published=0.6 * (v["b"] + live) + 0.4 * v["frozen"])
+    for lg in {v["league"] for v in state.values()} - leagues:
+        net = {t: v["network"] if v["network"] is not None else v["b"] for t, v in state.items() if v["league"] == lg}
+        for t, market, m1 in list(overlay(net)):
+            if state[t]["locked"] is None and state[t]["frozen"] is None:
+                state[t].update(market=market, m1=m1, published=state[t]["b"] + m1)
+                refreshed.add(t)
+    logged |= {(f, t) for f, t, *_ in new}
+    return new, leagues, refreshed
+
+
+def test_cycles_are_the_four_steps_one_after_the_other(spark, tmp_path):
+    rng = random.Random(31)
+    leagues = {"A": [f"a{i}" for i in range(5)], "B": [f"b{i}" for i in range(4)], "C": ["c0", "c1"]}
+    nows = [dt.datetime(2024, 2, 1, 18), dt.datetime(2024, 2, 9, 18), dt.datetime(2024, 2, 20, 18)]
+    fixtures, quotes, kr = [], [], {}
+    for i in range(170):
+        lg = rng.choice("AAAABB") if i % 40 else "C"
+        h, a = rng.sample(leagues[lg], 2) if i % 12 else (rng.choice(leagues["A"]), rng.choice([*leagues["B"], "stranger"]))
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(75))
+        if lg == "B" and dt.date(2024, 2, 1) <= day < dt.date(2024, 2, 9):
+            day += dt.timedelta(days=9)  # a league that the second cycle has nothing to settle for
+        if i < 9:
+            day = nows[i // 3].date()  # under way at a cycle
+        start = None if i % 9 == 8 else dt.datetime.combine(day, dt.time(16 if i < 9 else rng.randrange(11, 20)))
+        fixtures.append({"id": i, "date": day, "start": start, "league": "CUP" if i % 12 == 0 else lg, "competition": "league" if i % 12 else "cup", "home": h, "away": a, "final": f"{rng.randrange(4)}-{rng.randrange(4)}"})
+        for book in "xyz"[: rng.choice([1, 2, 3, 3])]:
+            for _ in range(2):
+                ts = dt.datetime.combine(day, dt.time()) - dt.timedelta(hours=rng.randrange(1, 300))
+                quotes.append({"id": i, "book": book, "ts": ts, "odds": [rng.uniform(1.6, 5), rng.uniform(2.8, 4), rng.uniform(1.6, 5)]})
+        if i < 9 and i % 3 < 2:
+            for book in "xy":
+                quotes.append({"id": i, "book": book, "ts": nows[i // 3] - dt.timedelta(minutes=rng.randrange(1, 3)), "odds": [rng.uniform(1.6, 5), 3.2, rng.uniform(1.6, 5)]})
+        if rng.random() < 0.9:
+            e = round(rng.uniform(0.2, 0.8), 6)
+            kr[i] = (e, round(1 - e, 6))
+    state = {t: {"league": lg, "b": round(rng.gauss(1500, 80), 4), "m1": 0.0, "l": 0.0, "market": None, "network": None, "frozen": None, "locked": None} for lg, ts in leagues.items() for t in ts}
+    for v in state.values():
+        v["published"] = v["b"]
+
+    frame = spark.createDataFrame([(f["id"], f["date"], f["start"], f["league"], f["competition"], f["home"], f["away"], f["final"], "finished") for f in fixtures],
+        "fixture_id long, date date, commence_time timestamp_ntz, league string, competition string, home_team string, away_team string, score string, status string")
+    offers = spark.createDataFrame([(q["id"], q["book"], q["ts"], *q["odds"]) for q in quotes], "fixture_id long, bookmaker string, snapshot_time timestamp_ntz, home_odds double, draw_odds double, away_odds double")
+    frozen = spark.createDataFrame([(f, *e, 3) for f, e in kr.items()], "fixture_id long, home_expected_score double, away_expected_score double, bookmaker_count int")
+    stored = cy.fresh_state(spark.createDataFrame([(t, v["league"], v["b"]) for t, v in state.items()], "team_id string, league string, b_value double"))
+    recent = spark.createDataFrame([], "fixture_id long, team_id string, oracle_version string, date date")
+    root, logged, idle = str(tmp_path / "cycles"), set(), set()
+    for n, now in enumerate(nows):
+        at = F.lit(str(now)).cast("timestamp_ntz")
+        if n:
+            stored, recent = (cy.committed(spark, root, n - 1, x) for x in ("state", "recent"))
+        cy.commit(root, n, cy.run_cycle(stored, recent, cy.as_known(frame, at), frozen, offers, at), at)
+        seen = [{**f, "status": "finished" if f["date"] < now.date() else "upcoming", "score": f["final"] if f["date"] < now.date() else "N/A"} for f in fixtures]
+        new, solved, refreshed = cycle_by_hand(state, logged, seen, kr, quotes, now)
+        idle |= refreshed
+        log = cy.committed(spark, root, n, "log").collect()
+        assert {(r.fixture_id, r.team_id) for r in log} == {(f, t) for f, t, *_ in new} and new
+        assert {r.league for r in cy.committed(spark, root, n, "solves").collect()} == {lg for lg in solved if any(v["league"] == lg and v["network"] is not None for v in state.values())}
+        got = {r.team_id: r for r in cy.committed(spark, root, n, "state").collect()}
+        assert got.keys() == state.keys()
+        for t, v in state.items():
+            for name, key in (("b_value", "b"), ("m1_value", "m1"), ("r_market", "market"), ("r_network", "network"), ("r_market_frozen", "frozen"), ("m1_locked", "locked"), ("l_value", "l"), ("published_index", "published")):
+                assert getattr(got[t], name) == (pytest.approx(v[key], abs=2e-2) if v[key] is not None else None), (n, t, name)
+        reasons = {}
+        for r in cy.committed(spark, root, n, "history").collect():
+            reasons.setdefault(r.publish_reason, []).append(r)
+        assert len(reasons["settlement_v3"]) == len(new) and len(reasons["live_update_v3"]) > 0
+    assert idle and len({(r.fixture_id, r.team_id) for r in spark.read.parquet(f"{root}/log").collect()}) == spark.read.parquet(f"{root}/log").count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        cy.committed(spark, root, 9, "state")
