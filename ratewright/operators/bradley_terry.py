@@ -3,11 +3,14 @@
 Both solvers only need, per (group, home, away), the summed weight and the
 summed weighted score. Those sums are taken by Spark before any group reaches
 Python, so a solve sees at most one row per ordered pair of a league's teams
-however many fixtures there are.
+however many fixtures there are. Systems over a league's teams are solved by
+conjugate gradients along the pairs, so no matrix of teams by teams is formed.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ratewright import config as c
 from ratewright.functions import calendar as t
+from ratewright.session import durable
 
 ELO = np.log(10.0) / 400.0
 
@@ -83,69 +87,139 @@ SOLVED = (
 )
 
 
+MODES = (
+    "league string, team string, rating double, prior double, _place int, iterations int, max_step double, converged boolean, fixtures_used long, teams_count int, sigma_prior double"
+)
 PANDAS_TYPES = {"string": "object", "double": "float64", "int": "int32", "long": "int64", "boolean": "bool"}
 
 
-def _map_solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Newton ascent of the log-posterior with a Gaussian prior; errors from the inverse Hessian."""
-    used = int(pdf["n"].sum())
-    if used <= 2:
-        return pd.DataFrame({n.split()[0]: pd.Series(dtype=PANDAS_TYPES[n.split()[1]]) for n in SOLVED.split(", ")})
-    teams = pd.Index(sorted(set(pdf["home_team"]) | set(pdf["away_team"])))
-    h, a = _index(pdf["home_team"], teams), _index(pdf["away_team"], teams)
-    w, ws = pdf["w"].to_numpy(), pdf["ws"].to_numpy()
-    prior = np.full(len(teams), c.BASELINE_RATING)
-    prior[h], prior[a] = pdf["home_prior"], pdf["away_prior"]
-    sigma = c.SIGMA_SPARSE if used < c.MIN_FIXTURES else c.SIGMA_PRIOR
-    n, r = len(teams), prior.copy()
+class Mode(NamedTuple):
+    """A posterior mode and how it was reached."""
+
+    rating: np.ndarray
+    iterations: int
+    max_step: float
+    converged: bool
+
+
+def _expect(r, h, a) -> np.ndarray:
+    return 1.0 / (1.0 + 10.0 ** (-(r[h] - r[a] + c.HOME_ADVANTAGE) / 400.0))
+
 
-    def curvature(p):
-        m = np.zeros((n, n))
-        v = w * p * (1.0 - p) * ELO**2
-        for i, j, s in ((h, h, 1.0), (a, a, 1.0), (h, a, -1.0), (a, h, -1.0)):
-            np.add.at(m, (i, j), s * v)
-        return m + np.eye(n) / sigma**2
+def _bend(w, p) -> np.ndarray:
+    return w * p * (1.0 - p) * ELO**2
 
-    def expect():
-        return 1.0 / (1.0 + 10.0 ** (-(r[h] - r[a] + c.HOME_ADVANTAGE) / 400.0))
 
+def conjugate(h, a, bend, sigma: float, right: np.ndarray, tolerance: float = 1e-12, most: int = 1000) -> np.ndarray:
+    """Solve (edge Laplacian of ``bend`` + 1/sigma^2) x = right, for each column of ``right``, by conjugate gradients.
+
+    The matrix is never formed: a step is one sum over the edges. Scaled by the diagonal, as teams differ in contests.
+    """
+    n = len(right)
+    x = np.zeros_like(right)
+    diagonal = (np.bincount(h, bend, n) + np.bincount(a, bend, n) + sigma**-2)[:, None]
+
+    def times(v):
+        flow = bend[:, None] * (v[h] - v[a])
+        out = v / sigma**2
+        for j in range(v.shape[1]):
+            out[:, j] += np.bincount(h, flow[:, j], n) - np.bincount(a, flow[:, j], n)
+        return out
+
+    rest = right.copy()
+    z = rest / diagonal
+    p, rho = z.copy(), (rest * z).sum(axis=0)
+    least = np.maximum(rho, 1e-300) * tolerance**2
+    for _ in range(most):
+        open_ = rho > least
+        if not open_.any():
+            break
+        q = times(p)
+        alpha = np.where(open_, rho / np.where(open_, (p * q).sum(axis=0), 1.0), 0.0)
+        x += alpha * p
+        rest -= alpha * q
+        z = rest / diagonal
+        new = (rest * z).sum(axis=0)
+        p = z + np.where(open_, new / np.where(rho > 0, rho, 1.0), 0.0) * p
+        rho = np.where(open_, new, rho)
+    return x
+
+
+def newton(h, a, w, ws, prior: np.ndarray, sigma: float) -> Mode:
+    """Newton ascent of the log-posterior with a Gaussian prior; ``h``, ``a`` index teams, ``ws`` is weight times score."""
+    n, r = len(prior), prior.astype(float).copy()
     step, done, it = np.inf, False, 0
     while it < c.SOLVE_MAX_ITER and not done:
         it += 1
-        p = expect()
+        p = _expect(r, h, a)
         pull = (ws - w * p) * ELO
         grad = np.bincount(h, pull, n) - np.bincount(a, pull, n) - (r - prior) / sigma**2
-        move = np.clip(np.linalg.solve(curvature(p), grad), -c.SOLVE_STEP_CLAMP, c.SOLVE_STEP_CLAMP)
+        move = np.clip(conjugate(h, a, _bend(w, p), sigma, grad[:, None])[:, 0], -c.SOLVE_STEP_CLAMP, c.SOLVE_STEP_CLAMP)
         r = r + move
         step = float(np.abs(move).max())
         done = step < c.SOLVE_TOL
-    errors = np.sqrt(np.maximum(0.0, np.diag(np.linalg.inv(curvature(expect())))))
-    return pd.DataFrame(
-        {
-            "league": pdf["league"].iloc[0],
-            "team": teams,
-            "rating": r,
-            "std_error": errors,
-            "prior": prior,
-            "iterations": it,
-            "max_step": step,
-            "converged": done,
-            "fixtures_used": used,
-            "teams_count": n,
-            "sigma_prior": sigma,
-        }
-    )
+    return Mode(r, it, step, done)
+
+
+def _map_solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One league's mode, from its pair sums."""
+    used = int(pdf["n"].sum())
+    if used <= 2:
+        return pd.DataFrame({n.split()[0]: pd.Series(dtype=PANDAS_TYPES[n.split()[1]]) for n in MODES.split(", ")})
+    teams = pd.Index(sorted(set(pdf["home_team"]) | set(pdf["away_team"])))
+    h, a = _index(pdf["home_team"], teams), _index(pdf["away_team"], teams)
+    prior = np.full(len(teams), c.BASELINE_RATING)
+    prior[h], prior[a] = pdf["home_prior"], pdf["away_prior"]
+    sigma = c.SIGMA_SPARSE if used < c.MIN_FIXTURES else c.SIGMA_PRIOR
+    mode = newton(h, a, pdf["w"].to_numpy(), pdf["ws"].to_numpy(), prior, sigma)
+    about = {"iterations": mode.iterations, "max_step": mode.max_step, "converged": mode.converged, "fixtures_used": used, "teams_count": len(teams), "sigma_prior": sigma}
+    return pd.DataFrame({"league": pdf["league"].iloc[0], "team": teams, "rating": mode.rating, "prior": prior, "_place": np.arange(len(teams)), **about})
+
+
+def _errors(key, edges: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    """Standard errors of one block of a league's teams: columns of the inverse curvature, one solve for all of them."""
+    if not len(block):
+        return pd.DataFrame({"league": pd.Series(dtype=object), "team": pd.Series(dtype=object), "std_error": pd.Series(dtype=float)})
+    teams = pd.Index(sorted(set(edges["home_team"]) | set(edges["away_team"])))
+    h, a = _index(edges["home_team"], teams), _index(edges["away_team"], teams)
+    r = np.zeros(len(teams))
+    r[h], r[a] = edges["home_rating"], edges["away_rating"]
+    bend = _bend(edges["w"].to_numpy(), _expect(r, h, a))
+    mine = _index(block["team"], teams)
+    unit = np.zeros((len(teams), len(mine)))
+    unit[mine, np.arange(len(mine))] = 1.0
+    variance = conjugate(h, a, bend, float(block["sigma_prior"].iloc[0]), unit)[mine, np.arange(len(mine))]
+    return pd.DataFrame({"league": block["league"], "team": block["team"].to_numpy(), "std_error": np.sqrt(np.maximum(0.0, variance))})
+
+
+#: Teams whose standard errors are worked out in one task.
+ERROR_BLOCK = 128
+
+
+def std_errors(sums: DataFrame, modes: DataFrame) -> DataFrame:
+    """(league, team, std_error): roots of the inverse curvature's diagonal at the mode, a block of teams a task.
+
+    A league's pair sums go to each of its blocks; no task holds a matrix over all teams, only the block's columns.
+    """
+    blocks = modes.select("league", "team", "sigma_prior", "_place", F.floor(F.col("_place") / ERROR_BLOCK).cast("int").alias("_block"))
+    rated = [modes.select("league", F.col("team").alias(f"{s}_team"), F.col("rating").alias(f"{s}_rating")) for s in ("home", "away")]
+    ready = sums.join(rated[0], ["league", "home_team"]).join(rated[1], ["league", "away_team"])
+    ready = ready.join(blocks.select("league", F.col("_block").alias("_part")).distinct(), "league")
+    pairs = ready.select("league", "_part", "home_team", "away_team", "w", "home_rating", "away_rating")
+    return pairs.groupBy("league", "_part").cogroup(blocks.groupBy("league", "_block")).applyInPandas(_errors, "league string, team string, std_error double")
 
 
 def map_ratings(edges: DataFrame, priors: DataFrame) -> DataFrame:
     """MAP ratings per league; leagues with two fixtures or fewer give no rows. ``priors``: team_id, b_value."""
-    sums = pair_sums(edges, ["league"])
+    sums = durable(pair_sums(edges, ["league"]))
     home = priors.select(F.col("team_id").alias("home_team"), F.col("b_value").alias("home_prior"))
     away = priors.select(F.col("team_id").alias("away_team"), F.col("b_value").alias("away_prior"))
     base = F.lit(c.BASELINE_RATING)
     ready = sums.join(home, "home_team", "left").join(away, "away_team", "left")
     ready = ready.withColumns({"home_prior": F.coalesce("home_prior", base), "away_prior": F.coalesce("away_prior", base)})
-    return ready.groupBy("league").applyInPandas(_map_solve, SOLVED)
+    modes = durable(ready.groupBy("league").applyInPandas(_map_solve, MODES))
+    errors = std_errors(sums, modes)
+    return modes.join(errors, ["league", "team"]).select(*[n.split()[0] for n in SOLVED.split(", ")])
 
 
 # --- daily batch solve ------------------------------------------------------------

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from ratewright import config as c
 from ratewright.functions import numeric as x
-from ratewright.operators import bradley_terry as bt
 from ratewright.operators import consensus as k
-from ratewright.operators import market as mk
 from ratewright.operators import settle as st
 from ratewright.operators.tables import latest_quotes, pick_by
-from ratewright.session import durable
 
 
 def live_layer(fixtures: DataFrame, quotes: DataFrame, kr: DataFrame, as_of: Column, fresh_minutes: float, corrected: bool = True) -> DataFrame:
@@ -74,41 +71,3 @@ def bootstrap_rows(missing: DataFrame, futures: DataFrame) -> DataFrame:
     """Starting B of teams without a state: the futures rating where it is trusted, else the baseline."""
     j = missing.join(futures.select("team_id", "r_futures", "confidence"), "team_id", "left")
     return j.select("team_id", F.when(F.col("confidence") > 0.3, F.col("r_futures")).otherwise(c.BASELINE_RATING).alias("b_value"))
-
-
-def replay(fixtures: DataFrame, kr: DataFrame, current: DataFrame, state: DataFrame, periods: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Settle in time order and solve after each period: (state, log).
-
-    Within a period the gravity target is the market rating of the last solve, so teams
-    settle independently; the next period's solve takes the new B as prior. State is
-    checkpointed each period: lineage stays one period long, whatever the number of periods.
-    """
-    log = None
-    for start, end in zip(periods, periods[1:]):
-        span = fixtures.where((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date")))
-        rows = st.settle_rows(span, kr).join(state.select("team_id", F.col("b_value").alias("_b"), "r_market"), "team_id")
-        shifted = rows.withColumns(
-            {
-                # walk the chain in units relative to the team's B at the period's start
-                "surprise": F.col("actual_score_s") - F.col("e_kr"),
-                "target": F.coalesce("r_market", "_b") - F.col("_b"),
-                "gamma": F.when(F.col("competition") == "cup", c.GRAVITY_CUP).otherwise(c.GRAVITY_V3),
-            }
-        )
-        settled = st.settle_v3(shifted, base=0.0).withColumns({"b_before": F.col("_b") + F.col("b_before"), "b_after": F.col("_b") + F.col("b_after")})
-        part = durable(settled.select("fixture_id", "team_id", "date", "league", "delta_b", "b_before", "b_after"))
-        log = part if log is None else log.unionByName(part)
-        moved = part.groupBy("team_id").agg(F.sum("delta_b").alias("_d"))
-        based = state.join(moved, "team_id", "left").withColumn("b_value", F.col("b_value") + F.coalesce("_d", F.lit(0.0))).drop("_d")
-        at = F.lit(f"{end} 00:00:00").cast("timestamp_ntz")
-        # what is known at the period's end: finished before it, the rest ahead
-        solved = bt.map_ratings(bt.solve_edges(fixtures, kr, current, at), based)
-        fresh = solved.select(F.col("team").alias("team_id"), F.col("rating").alias("r_network")).join(based.select("team_id", "league", "b_value"), "team_id")
-        nxt = mk.next_strength(mk.next_fixtures(fixtures, at, "league"), current, fresh)
-        out = mk.overlay_rows(fresh, nxt).select("team_id", F.col("r_market").alias("_rm"), F.col("published_index").alias("_pi"))
-        state = durable(
-            based.join(out, "team_id", "left")
-            .withColumns({"r_market": F.coalesce("_rm", "r_market"), "published_index": F.coalesce("_pi", "b_value")})
-            .drop("_rm", "_pi")
-        )
-    return state, log

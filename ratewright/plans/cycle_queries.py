@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ratewright import config as c
 from ratewright.functions import numeric as x
+from ratewright.operators import consensus as k
 from ratewright.operators import cycle as cy
+from ratewright.operators import replay as rp
 from ratewright.operators import settle as st
 from ratewright.operators import settlement as se
+from ratewright.operators.tables import latest_quotes
 from ratewright.plans import settle_queries  # noqa: F401  (its SQL fragments are used below)
 from ratewright.plans.consensus_queries import frozen
 from ratewright.plans.registry import fragment, query, rnd, sql
@@ -320,3 +323,46 @@ def cycle_full(spark, d):
 def cycle_log(spark, d):
     """What each cycle settled: every contest once."""
     return spark.read.parquet(f"{cycle_root(spark, d)}/log").select("fixture_id", "team_id", "batch", F.floor("b_after").alias("b_floor"))
+
+
+# --- chronological replay ---------------------------------------------------------------
+
+
+def replayed(spark, d, every):
+    f, kr, q = fixtures(spark, d), durable(frozen(spark, d)), quotes(spark, d)
+    pre = k.pre_kickoff(q, f).where(F.least(*k.ODDS) >= 1.01)
+    current = durable(k.current_expected(latest_quotes(pre)).select("fixture_id", "home_es"))
+    teams = st.team_rows(f).where("competition = 'league'").groupBy("team_id").agg(F.max_by("league", F.struct("date", "fixture_id")).alias("league"))
+    state = durable(teams.withColumn("b_value", F.lit(c.BASELINE_RATING)))
+    return rp.replay(durable(f), kr, current, state, every)
+
+
+@query("replay")
+def replay(spark, d):
+    """All settlements in time order with a solve of the affected leagues after every ten: the state at the end."""
+    out = replayed(spark, d, 10)
+    n = out["log"].groupBy("team_id").agg(F.count(F.lit(1)).alias("settled"))
+    return out["state"].join(n, "team_id", "left").select("team_id", "league", r("b_value", 4).alias("b_value"), r("published_index", 2).alias("published_index"), "settled")
+
+
+@query(
+    "replay_steps",
+    sql(
+        """SELECT step, league, count(*) AS sides, count(DISTINCT fixture_id) AS contests FROM (
+             SELECT s.fixture_id, t.league, f.step FROM sides s JOIN cs0 t USING (team_id)
+             JOIN (SELECT fixture_id, (row_number() OVER (ORDER BY date, commence_time NULLS FIRST, fixture_id) - 1) // 10 AS step FROM reasons WHERE skipped_reason IS NULL) f USING (fixture_id))
+           GROUP BY ALL""",
+        "cs0",
+        "reasons",
+    ),
+)
+def replay_steps(spark, d):
+    """How many sides each league settles in each step of the replay."""
+    return replayed(spark, d, 10)["log"].groupBy("step", "league").agg(F.count(F.lit(1)).alias("sides"), F.countDistinct("fixture_id").alias("contests"))
+
+
+@query("replay_days")
+def replay_days(spark, d):
+    """The replay by days: every solve and refresh of every team."""
+    rows = replayed(spark, d, None)["history"]
+    return rows.select("step", "league", "team_id", r("b_value", 4).alias("b_value"), r("r_market", 2).alias("r_market"), r("published_index", 2).alias("published_index"))

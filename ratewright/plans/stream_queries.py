@@ -14,7 +14,7 @@ from ratewright.operators import resolve as rv
 from ratewright.operators import settle as st
 from ratewright.plans import table_queries  # noqa: F401  (its SQL fragments are used below)
 from ratewright.plans.consensus_queries import frozen
-from ratewright.plans.rating_queries import futures, serving, stored_state, team_state
+from ratewright.plans.rating_queries import futures, stored_state, team_state
 from ratewright.plans.registry import fragment, query, rnd, sql
 from ratewright.plans.shapes import AS_OF, KR_HOURS, SCHEMAS, as_of, fixtures, history, quotes, table
 from ratewright.session import durable, new_folder
@@ -320,14 +320,3 @@ def bootstrap_teams(spark, d):
     missing = rv.missing_teams(f, state.where(F.col("b_value") > 1500), nobody, spark.createDataFrame([], "source string"))
     fut = mk.futures_table(futures(spark, d), state, as_of() + F.expr("INTERVAL 5 HOURS"))
     return lv.bootstrap_rows(missing, fut).select("team_id", r("b_value", 3).alias("b_value"))
-
-
-@query("replay")
-def replay(spark, d):
-    """Settlements of four fixed periods, 1995 to 2001, with a solve after each: not the replay of SURVEY R12, see README."""
-    f, kr = fixtures(spark, d), frozen(spark, d)
-    state = team_state(spark, d).withColumns({"b_value": F.lit(1500.0), "r_market": F.lit(1500.0), "published_index": F.lit(1500.0)})
-    periods = ["1995-01-01", "1996-07-01", "1998-01-01", "1999-07-01", "2001-12-31"]
-    final, log = lv.replay(f, durable(kr), durable(k.current_expected(serving(spark, d))), durable(state), periods)
-    n = log.groupBy("team_id").agg(F.count(F.lit(1)).alias("settled"))
-    return final.join(n, "team_id", "left").select("team_id", "league", r("b_value", 4).alias("b_value"), r("published_index", 2).alias("published_index"), "settled")

@@ -9,7 +9,9 @@ from hypothesis import given
 from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
+from ratewright.operators import bradley_terry as bt
 from ratewright.operators import cycle as cy
+from ratewright.operators import replay as rp
 from ratewright.operators import settle as st
 from ratewright.operators import settlement as se
 from ratewright.operators.chains import Clamped
@@ -190,71 +192,97 @@ def solved_by_hand(edges, prior):
     return r
 
 
-def cycle_by_hand(state, logged, fixtures, kr, quotes, now):
-    """The four steps one after the other over plain dicts."""
-    hand = {t: {"b": v["b"], "market": v["market"], "frozen": v["frozen"], "last": None} for t, v in state.items()}
-    due = [(f["id"], f["status"], f["competition"], f["home"], f["away"], f["score"]) for f in fixtures if f["status"] == "finished"]
-    hand, new, _ = settle_by_hand(hand, logged, due, kr)
-    by_id = {f["id"]: f for f in fixtures}
-    for t, v in hand.items():
-        state[t]["b"] = round(v["b"], 4)
-        if v["last"] is not None:
-            state[t].update(frozen=None, locked=None, l=0.0, published=round(v["b"] + state[t]["m1"], 4))
-    leagues = {by_id[f]["league"] for f, *_ in new if by_id[f]["competition"] == "league"}
+class Hand:
+    """Solves and refreshes over plain dicts, as of one time."""
 
-    def kick(f):
-        return f["start"] or dt.datetime.combine(f["date"], dt.time(23, 59, 59))
-
-    es = {}
-    for f in fixtures:
-        c3 = consensus([q for q in quotes if q["id"] == f["id"] and q["ts"] <= now and q["ts"] < kick(f)])
-        if c3 is not None:
-            es[f["id"]] = min(0.99, max(0.01, c3[0] + 0.5 * c3[1]))
+    def __init__(self, state, fixtures, kr, es, now):
+        self.state, self.fixtures, self.kr, self.es, self.now = state, fixtures, kr, es, now
 
-    def nexts(net):
+    def nexts(self, net):
         out = {}
         for t in net:
-            mine = [f for f in fixtures if f["competition"] == "league" and f["status"] == "upcoming" and f["date"] >= now.date() and t in (f["home"], f["away"])]
+            mine = [f for f in self.fixtures if f["competition"] == "league" and f["status"] == "upcoming" and f["date"] >= self.now.date() and t in (f["home"], f["away"])]
             if mine:
                 f = min(mine, key=lambda f: (f["date"], f["start"] or dt.datetime.min, f["id"]))
                 other = f["away"] if t == f["home"] else f["home"]
-                if f["id"] in es and other in net:
-                    e = min(0.99, max(0.01, es[f["id"]] if t == f["home"] else 1 - es[f["id"]]))
+                if f["id"] in self.es and other in net:
+                    e = min(0.99, max(0.01, self.es[f["id"]] if t == f["home"] else 1 - self.es[f["id"]]))
                     out[t] = net[other] + 400 * np.log10(e / (1 - e)) + (-65 if t == f["home"] else 65)
         return out
 
-    def overlay(net):
-        nxt = nexts(net)
+    def overlay(self, net):
+        nxt = self.nexts(net)
         for t in net:
             market = 0.85 * net[t] + 0.15 * nxt.get(t, net[t])
-            m1 = max(-120.0, min(120.0, 0.4 * (market - state[t]["b"])))
-            yield t, market, m1
+            yield t, market, max(-120.0, min(120.0, 0.4 * (market - self.state[t]["b"])))
 
-    refreshed = set()
-    for lg in leagues:
-        edges = []
-        inside = [f for f in fixtures if f["league"] == lg and f["competition"] == "league"]
+    def solve(self, lg):
+        now, edges = self.now, []
+        inside = [f for f in self.fixtures if f["league"] == lg and f["competition"] == "league"]
         past = [f for f in inside if f["status"] == "finished" and f["date"] <= now.date()]
         near, wide = ([f for f in past if (now.date() - f["date"]).days <= n] for n in (30, 45))
         chosen = wide if len(near) < 5 and len(wide) > len(near) else near
+
+        def age(f):
+            return (now - (f["start"] or dt.datetime.combine(f["date"], dt.time(12)))).total_seconds() / 86400
+
         for f in chosen:
-            e = kr[f["id"]][0] if f["id"] in kr else es.get(f["id"])
-            age = (now - (f["start"] or dt.datetime.combine(f["date"], dt.time(12)))).total_seconds() / 86400
+            e = self.kr[f["id"]][0] if f["id"] in self.kr else self.es.get(f["id"])
             if e is not None:
-                edges.append((f["home"], f["away"], e, 1 / (1 + max(0.0, age) / 14)))
+                edges.append((f["home"], f["away"], e, 1 / (1 + max(0.0, age(f)) / 14)))
         for f in inside:
-            if f["status"] == "upcoming" and 0 <= (f["date"] - now.date()).days <= 30 and f["id"] in es:
-                age = (now - (f["start"] or dt.datetime.combine(f["date"], dt.time(12)))).total_seconds() / 86400
-                edges.append((f["home"], f["away"], es[f["id"]], 1 / (1 + max(0.0, -age) / 7)))
+            if f["status"] == "upcoming" and 0 <= (f["date"] - now.date()).days <= 30 and f["id"] in self.es:
+                edges.append((f["home"], f["away"], self.es[f["id"]], 1 / (1 + max(0.0, -age(f)) / 7)))
         if len(edges) <= 2:
-            for v in state.values():
+            for v in self.state.values():
                 if v["league"] == lg:
                     v.update(m1=0.0, market=v["b"], published=round(v["b"], 4))
-            continue
-        net = {t: x for t, x in solved_by_hand(edges, {t: v["b"] for t, v in state.items()}).items() if t in state}
-        for t, market, m1 in list(overlay(net)):
-            was = state[t]["locked"] is not None or state[t]["frozen"] is not None
-            state[t].update(network=net[t], market=market, m1=m1, published=state[t]["published"] if was else state[t]["b"] + m1)
+            return
+        mode = solved_by_hand(edges, {t: v["b"] for t, v in self.state.items()})
+        net = {t: x for t, x in mode.items() if t in self.state}
+        for t, market, m1 in list(self.overlay(net)):
+            v = self.state[t]
+            was = v["locked"] is not None or v["frozen"] is not None
+            v.update(network=net[t], market=market, m1=m1, published=v["published"] if was else v["b"] + m1)
+
+    def refresh(self, lg):
+        net = {t: v["network"] if v["network"] is not None else v["b"] for t, v in self.state.items() if v["league"] == lg}
+        done = set()
+        for t, market, m1 in list(self.overlay(net)):
+            v = self.state[t]
+            if v["locked"] is None and v["frozen"] is None:
+                v.update(market=market, m1=m1, published=v["b"] + m1)
+                done.add(t)
+        return done
+
+
+def settle_into(state, logged, due, kr):
+    """Settle by hand into the full state; the new log rows."""
+    hand = {t: {"b": v["b"], "market": v["market"], "frozen": v["frozen"], "last": None} for t, v in state.items()}
+    hand, new, _ = settle_by_hand(hand, logged, due, kr)
+    for t, v in hand.items():
+        if v["last"] is not None:
+            state[t].update(b=v["b"], frozen=None, locked=None, l=0.0, published=v["b"] + state[t]["m1"])
+    return new
+
+
+def cycle_by_hand(state, logged, fixtures, kr, quotes, now):
+    """The four steps one after the other over plain dicts."""
+    due = [(f["id"], f["status"], f["competition"], f["home"], f["away"], f["score"]) for f in fixtures if f["status"] == "finished"]
+    new = settle_into(state, logged, due, kr)
+    for v in state.values():
+        v["b"] = round(v["b"], 4)
+    by_id = {f["id"]: f for f in fixtures}
+    leagues = {by_id[f]["league"] for f, *_ in new if by_id[f]["competition"] == "league"}
+    es = {}
+    for f in fixtures:
+        kick = f["start"] or dt.datetime.combine(f["date"], dt.time(23, 59, 59))
+        c3 = consensus([q for q in quotes if q["id"] == f["id"] and q["ts"] <= now and q["ts"] < kick])
+        if c3 is not None:
+            es[f["id"]] = min(0.99, max(0.01, c3[0] + 0.5 * c3[1]))
+    hand = Hand(state, fixtures, kr, es, now)
+    for lg in leagues:
+        hand.solve(lg)
     for f in fixtures:
         if f["start"] and dt.timedelta(0) < now - f["start"] < dt.timedelta(hours=4) and f["status"] not in ("finished", "cancelled"):
             c3 = consensus([q for q in quotes if q["id"] == f["id"] and f["start"] < q["ts"] <= now and now - q["ts"] <= dt.timedelta(minutes=3)])
@@ -268,12 +296,9 @@ def cycle_by_hand(state, logged, fixtures, kr, quotes, now):
                     raw = c3[2 * i] + 0.5 * c3[1]
                     live = 30 * (raw + c3[1] * (0.5 - raw) - kr[f["id"]][i])
                     v.update(l=live, published=0.6 * (v["b"] + live) + 0.4 * v["frozen"])
+    refreshed = set()
     for lg in {v["league"] for v in state.values()} - leagues:
-        net = {t: v["network"] if v["network"] is not None else v["b"] for t, v in state.items() if v["league"] == lg}
-        for t, market, m1 in list(overlay(net)):
-            if state[t]["locked"] is None and state[t]["frozen"] is None:
-                state[t].update(market=market, m1=m1, published=state[t]["b"] + m1)
-                refreshed.add(t)
+        refreshed |= hand.refresh(lg)
     logged |= {(f, t) for f, t, *_ in new}
     return new, leagues, refreshed
 
@@ -337,3 +362,133 @@ def test_cycles_are_the_four_steps_one_after_the_other(spark, tmp_path):
     assert idle and len({(r.fixture_id, r.team_id) for r in spark.read.parquet(f"{root}/log").collect()}) == spark.read.parquet(f"{root}/log").count()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         cy.committed(spark, root, 9, "state")
+
+
+# --- replay -------------------------------------------------------------------------------
+
+
+def replay_by_hand(state, fixtures, kr, es, every):
+    """Fixture after fixture in time order; solves after every ``every`` settlements, or daily with refreshes."""
+    order = sorted((f for f in fixtures if f["status"] == "finished"), key=lambda f: (f["date"], f["start"] or dt.datetime.min, f["id"]))
+    logged, log, history, leagues, settled, waiting = set(), [], [], set(), 0, []
+    every_league = {v["league"] for v in state.values()}
+
+    def close(step):
+        day = waiting[-1]["date"] + dt.timedelta(days=1)
+        now = dt.datetime.combine(day, dt.time())
+        seen = [{**f, "status": ("finished" if f["date"] < day else "upcoming") if f["status"] == "finished" else f["status"]} for f in fixtures]
+        hand = Hand(state, seen, kr, es, now)
+        for v in state.values():
+            v["b"] = round(v["b"], 4)
+        for lg in every_league if every is None else leagues:
+            (hand.solve if lg in leagues else hand.refresh)(lg)
+            history.extend((step, t, v["published"]) for t, v in state.items() if v["league"] == lg)
+        leagues.clear()
+        waiting.clear()
+
+    for f in order:
+        if every is None and waiting and waiting[-1]["date"] != f["date"]:
+            close((waiting[-1]["date"] - dt.date(1970, 1, 1)).days)
+        new = settle_into(state, logged, [(f["id"], f["status"], f["competition"], f["home"], f["away"], f["score"])], kr)
+        if not new:
+            continue
+        logged |= {(i, t) for i, t, *_ in new}
+        log += new
+        settled += 1
+        waiting.append(f)
+        if f["competition"] == "league":
+            leagues.add(f["league"])
+        if every is not None and settled % every == 0:
+            close(settled // every - 1)
+    if waiting:
+        close(settled // every if every else (waiting[-1]["date"] - dt.date(1970, 1, 1)).days)
+    return log, history
+
+
+@pytest.mark.parametrize("every", [7, None])
+def test_replay_is_a_loop_over_time(spark, tmp_path, monkeypatch, every):
+    monkeypatch.setattr(rp, "EPOCH", 28)
+    rng = random.Random(41)
+    leagues = {"A": [f"a{i}" for i in range(5)], "B": [f"b{i}" for i in range(4)], "C": ["c0", "c1"]}
+    fixtures, kr, es = [], {}, {}
+    for i in range(150):
+        lg = rng.choice("AAAABB") if i % 30 else "C"
+        cup = i % 12 == 5
+        h, a = (rng.choice(leagues["A"]), rng.choice([*leagues["B"], "stranger"])) if cup else rng.sample(leagues[lg], 2)
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(70) + (60 if i % 50 == 3 else 0))
+        start = None if i % 9 == 8 else dt.datetime.combine(day, dt.time(rng.randrange(11, 20)))
+        status = rng.choice(["finished"] * 8 + ["upcoming", "live"])
+        fixtures.append({"id": i, "date": day, "start": start, "league": "CUP" if cup else lg, "competition": "cup" if cup else "league", "home": h, "away": a, "status": status, "score": f"{rng.randrange(4)}-{rng.randrange(4)}"})
+        e = round(rng.uniform(0.2, 0.8), 6)
+        if rng.random() < 0.9:
+            kr[i] = (e, round(1 - e, 6))
+        if rng.random() < 0.8:
+            es[i] = rng.uniform(0.2, 0.8)
+    state = {t: {"league": lg, "b": round(rng.gauss(1500, 80), 4), "m1": 0.0, "l": 0.0, "market": None, "network": None, "frozen": None, "locked": None, "published": None} for lg, ts in leagues.items() for t in ts}
+    frame = spark.createDataFrame([(f["id"], f["date"], f["start"], f["league"], f["competition"], f["home"], f["away"], f["score"], f["status"]) for f in fixtures],
+        "fixture_id long, date date, commence_time timestamp_ntz, league string, competition string, home_team string, away_team string, score string, status string")
+    frozen = spark.createDataFrame([(f, *e, 3) for f, e in kr.items()], "fixture_id long, home_expected_score double, away_expected_score double, bookmaker_count int")
+    current = spark.createDataFrame(list(es.items()), "fixture_id long, home_es double")
+    start = spark.createDataFrame([(t, v["league"], v["b"]) for t, v in state.items()], "team_id string, league string, b_value double")
+    for v in state.values():
+        v["published"] = v["b"]
+    root = str(tmp_path / "replay")
+    out = rp.replay(frame, frozen, current, start, every, root)
+    log, history = replay_by_hand(state, fixtures, kr, es, every)
+    got = {(r.fixture_id, r.team_id): r for r in out["log"].collect()}
+    assert got.keys() == {(f, t) for f, t, *_ in log} and len(log) > 150
+    for f, t, before, step in log:
+        assert got[f, t].b_before == pytest.approx(before, abs=2e-2) and got[f, t].delta_b == pytest.approx(step, abs=2e-2)
+    steps = {(r.step, r.team_id): r.published_index for r in out["history"].collect()}
+    assert steps.keys() == {(s, t) for s, t, _ in history}
+    for s, t, published in history:
+        assert steps[s, t] == pytest.approx(published, abs=3e-2), (s, t)
+    for r in out["state"].collect():
+        assert r.b_value == pytest.approx(state[r.team_id]["b"], abs=2e-2) and r.published_index == pytest.approx(state[r.team_id]["published"], abs=3e-2)
+    # Several epochs were written; a later call reads them instead of walking them again.
+    epochs = sorted(p.name for p in (tmp_path / "replay").iterdir())
+    assert len(epochs) > 3
+    stamp = {p: (tmp_path / "replay" / p / "_SUCCESS").stat().st_mtime_ns for p in epochs}
+    again = rp.replay(frame, frozen, current, start, every, root)
+    assert sorted(map(str, again["state"].collect())) == sorted(map(str, out["state"].collect()))
+    assert stamp == {p: (tmp_path / "replay" / p / "_SUCCESS").stat().st_mtime_ns for p in epochs}
+
+
+def test_replay_of_nothing(spark):
+    fixtures = spark.createDataFrame([], "fixture_id long, date date, commence_time timestamp_ntz, league string, competition string, home_team string, away_team string, score string, status string")
+    kr = spark.createDataFrame([], "fixture_id long, home_expected_score double, away_expected_score double, bookmaker_count int")
+    out = rp.replay(fixtures, kr, spark.createDataFrame([], "fixture_id long, home_es double"), spark.createDataFrame([("a", "L", 1500.0)], "team_id string, league string, b_value double"))
+    assert out["log"].collect() == [] and [(r.team_id, r.published_index) for r in out["state"].collect()] == [("a", 1500.0)]
+
+
+# --- solves of large leagues ----------------------------------------------------------------
+
+
+def test_a_league_of_five_thousand_teams(spark):
+    rng = np.random.default_rng(3)
+    n, m = 5000, 30_000
+    strength = rng.normal(1500, 120, n)
+    h, a = rng.integers(0, n, m), rng.integers(0, n, m)
+    keep = h != a
+    h, a = h[keep], a[keep]
+    es = np.clip(1 / (1 + 10 ** (-(strength[h] - strength[a] + 65) / 400)) + rng.normal(0, 0.05, len(h)), 0.02, 0.98)
+    edges = spark.createDataFrame([(int(i), "big", f"t{x}", f"t{y}", float(e), 1.0) for i, (x, y, e) in enumerate(zip(h, a, es))], "fixture_id long, league string, home_team string, away_team string, home_es double, weight double")
+    solved = bt.map_ratings(edges, spark.createDataFrame([], "team_id string, b_value double")).toPandas()
+    solved = solved.assign(i=solved.team.str[1:].astype(int)).sort_values("i")
+    assert len(solved) == len(set(h) | set(a)) and solved.converged.all()
+    place = np.full(n, -1)
+    place[solved.i] = np.arange(len(solved))
+    h, a, r, k = place[h], place[a], solved.rating.to_numpy(), len(solved)
+    p = 1 / (1 + 10 ** (-(r[h] - r[a] + 65) / 400))
+    pull = (es - p) * bt.ELO
+    gradient = np.bincount(h, pull, k) - np.bincount(a, pull, k) - (r - 1500) / 300**2
+    assert np.abs(gradient).max() < 1e-7
+    v = p * (1 - p) * bt.ELO**2
+    dense = np.diag(np.bincount(h, v, k) + np.bincount(a, v, k) + 300.0**-2)
+    np.add.at(dense, (h, a), -v)
+    np.add.at(dense, (a, h), -v)
+    some = np.arange(0, k, 500)
+    unit = np.zeros((k, len(some)))
+    unit[some, np.arange(len(some))] = 1
+    want = np.sqrt(np.linalg.solve(dense, unit)[some, np.arange(len(some))])
+    assert solved.std_error.to_numpy()[some] == pytest.approx(want, rel=1e-6)
