@@ -199,72 +199,126 @@ def settle_v3(rows: DataFrame, base: float = c.BASELINE_RATING, order=("date", "
     ).drop(BLOCK, START)
 
 
-def _fold_v2(starts: dict, base: float, emit_rows: bool):
-    """Walk sorted fixtures of one block, league after league; state is one value per team of the league.
+# Second generation: a step is affine in both sides' values, so a block's effect on the teams it holds is one sparse map.
 
-    A step is affine in the two sides' values, so what a block does to the values its
-    first league arrives with is a matrix and a vector over that league's few teams.
-    """
+
+def _pull_v2(e: float) -> float:
+    e = min(0.99, max(0.01, e))
+    return 400.0 * np.log10(e / (1.0 - e))
+
+
+def _steps_v2(s, eh, ea) -> tuple[float, float]:
+    """What the two sides' changes hold besides gamma times the other's lead: the constants of the affine step."""
     g, k, adv = c.GRAVITY_V2, c.SETTLE_K, c.HOME_ADVANTAGE
+    return k * (s - eh) + g * (_pull_v2(eh) - adv), k * (1.0 - s - ea) + g * (_pull_v2(ea) + adv)
 
-    def strength(e):
-        e = min(0.99, max(0.01, e))
-        return 400.0 * np.log10(e / (1.0 - e))
 
-    def run(batches):
-        league, first, state, maps, block = None, None, {}, {}, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            block = int(pdf[BLOCK].iloc[0])
-            cols = [pdf[n].to_numpy() for n in (GROUP, "home_team", "away_team", "s_home", "e_home", "e_away")]
-            hb, ab, hd, ad, hg, ag = (np.empty(len(pdf)) for _ in range(6))
-            for i, (lg, h, a, s, eh, ea) in enumerate(zip(*cols)):
-                if lg != league:
-                    if league is None:
-                        first, state = lg, dict(starts.get(block, {}))
-                    else:
-                        state = {}
-                    league = lg
-                bh, ba = state.get(h, base), state.get(a, base)
-                gh = g * (ba + strength(eh) - adv - bh)
-                ga = g * (bh + strength(ea) + adv - ba)
-                dh, da = k * (s - eh) + gh, k * (1.0 - s - ea) + ga
-                state[h], state[a] = bh + dh, ba + da
-                hb[i], ab[i], hd[i], ad[i], hg[i], ag[i] = bh, ba, dh, da, gh, ga
-                if not emit_rows and league == first:
-                    # value = sum of coefficients x arriving values + constant
-                    mh, ma = maps.get(h, ({h: 1.0}, 0.0)), maps.get(a, ({a: 1.0}, 0.0))
-
-                    def mix(p, q, const):
-                        keys = p[0].keys() | q[0].keys()
-                        return (
-                            {t: (1 - g) * p[0].get(t, 0.0) + g * q[0].get(t, 0.0) for t in keys},
-                            (1 - g) * p[1] + g * q[1] + const,
-                        )
-
-                    maps[h], maps[a] = (
-                        mix(mh, ma, k * (s - eh) + g * (strength(eh) - adv)),
-                        mix(ma, mh, k * (1.0 - s - ea) + g * (strength(ea) + adv)),
-                    )
-            if emit_rows:
-                yield pdf.assign(
-                    home_b_before=hb, away_b_before=ab, home_delta_b=hd, away_delta_b=ad, home_gravity=hg, away_gravity=ag
-                )
-        if not emit_rows and league is not None:
-            yield pd.DataFrame(
-                {
-                    "block": [block],
-                    "first_league": [first],
-                    "last_league": [league],
-                    "end_state": [list(state.items())],
-                    "maps": [[(t, list(m.items()), v) for t, (m, v) in maps.items()]],
-                }
-            )
+MAP = "grp string, node int, team string, source string, weight double"
+#: Neighbouring maps that are put together, or walked by a vector, in one task.
+FAN = 16
+
+
+def _map_rows(grp, node, maps: dict) -> list[tuple]:
+    rows = []
+    for team, (weights, const) in maps.items():
+        rows += [(grp, node, team, source, w) for source, w in weights.items()]
+        rows.append((grp, node, team, None, const))
+    return rows
+
+
+def _maps_of(pdf: pd.DataFrame) -> dict:
+    maps: dict = {}
+    for team, source, w in zip(pdf["team"], pdf["source"], pdf["weight"]):
+        weights, const = maps.get(team, ({}, 0.0))
+        if source is None:
+            maps[team] = (weights, w)
+        else:
+            weights[source] = w
+            maps[team] = (weights, const)
+    return maps
+
+
+def _mixed(parts: list[tuple], const: float) -> tuple[dict, float]:
+    """A weighted sum of affine rows, (weight, (weights, constant)) each, and a constant."""
+    weights: dict = {}
+    for w, (row, k) in parts:
+        const += w * k
+        for source, x in row.items():
+            weights[source] = weights.get(source, 0.0) + w * x
+    return weights, const
+
+
+def _effects_v2(batches):
+    """Maps of a block's first and last group of teams: the only ones whose contests other blocks may hold too."""
+    g = c.GRAVITY_V2
+    first, group, maps, block = None, None, {}, None
+    rows = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        block = int(pdf[BLOCK].iloc[0])
+        for grp, h, a, s, eh, ea in zip(*[pdf[n].tolist() for n in (GROUP, "home_team", "away_team", "s_home", "e_home", "e_away")]):
+            if grp != group:
+                if group is not None and group == first:
+                    rows += _map_rows(group, block, maps)
+                group, maps = grp, {}
+                first = grp if first is None else first
+            mh, ma = maps.get(h, ({h: 1.0}, 0.0)), maps.get(a, ({a: 1.0}, 0.0))
+            kh, ka = _steps_v2(s, eh, ea)
+            maps[h], maps[a] = _mixed([(1 - g, mh), (g, ma)], kh), _mixed([(1 - g, ma), (g, mh)], ka)
+    if group is not None:
+        rows += _map_rows(group, block, maps)
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in MAP.split(", ")])
+
+
+def _together(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One map for a run of neighbouring ones."""
+    total: dict = {}
+    for _, part in pdf.sort_values("node").groupby("node"):
+        maps = _maps_of(part)
+        total |= {team: _mixed([(w, total.get(x, ({x: 1.0}, 0.0))) for x, w in weights.items()], const) for team, (weights, const) in maps.items()}
+    return pd.DataFrame(_map_rows(pdf["grp"].iloc[0], int(pdf["parent"].iloc[0]), total), columns=[x.split()[0] for x in MAP.split(", ")])
+
+
+ARRIVING = "grp string, node int, team string, b double"
+
+
+def _arrivals(base: float):
+    """The values at the start of each of a run of neighbouring blocks, of the teams these hold."""
+
+    def run(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        value = dict(zip(start["team"], start["b"]))
+        rows = []
+        for node, part in pdf.sort_values("node").groupby("node"):
+            maps = _maps_of(part)
+            rows += [(pdf["grp"].iloc[0], node, team, value.get(team, base)) for team in maps]
+            value |= {team: const + sum(w * value.get(x, base) for x, w in weights.items()) for team, (weights, const) in maps.items()}
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in ARRIVING.split(", ")])
 
     return run
 
 
+def _fold_v2(base: float, order: list[str]):
+    """Walk one block's fixtures, group after group, from the values that arrive at it."""
+    g, adv = c.GRAVITY_V2, c.HOME_ADVANTAGE
+
+    def run(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([GROUP, *order])
+        state = {(grp, team): b for grp, team, b in zip(start["grp"], start["team"], start["b"])}
+        out = np.empty((len(pdf), 6))
+        for i, (grp, h, a, s, eh, ea) in enumerate(zip(*[pdf[n].tolist() for n in (GROUP, "home_team", "away_team", "s_home", "e_home", "e_away")])):
+            bh, ba = state.get((grp, h), base), state.get((grp, a), base)
+            kh, ka = _steps_v2(s, eh, ea)
+            dh, da = kh + g * (ba - bh), ka + g * (bh - ba)
+            state[grp, h], state[grp, a] = bh + dh, ba + da
+            out[i] = bh, ba, dh, da, g * (ba + _pull_v2(eh) - adv - bh), g * (bh + _pull_v2(ea) + adv - ba)
+        return pdf.assign(**dict(zip(V2_COLUMNS, out.T)))
+
+    return run
+
+
+V2_COLUMNS = ("home_b_before", "away_b_before", "home_delta_b", "away_delta_b", "home_gravity", "away_gravity")
+
 GROUP = "_group"
 
 
@@ -291,32 +345,27 @@ def settle_v2(rows: DataFrame, base: float = c.BASELINE_RATING, order=("date", "
 
     ``rows`` is one per fixture: home_team, away_team, s_home, e_home, e_away. A team has one
     B in all its competitions, so the chain runs over teams that are connected by contests. A
-    group's fixtures may span many blocks: one pass finds each block's affine effect, the
-    effects are chained (a few numbers per block and team), one pass writes the rows.
+    group's fixtures may span many blocks. One pass finds each block's affine effect as sparse
+    rows (team, source, weight); neighbouring effects are put together ``FAN`` at a time until
+    one run holds all, values are sent back down the same way, and one pass writes the rows.
+    Nothing meets the driver.
     """
     groups = team_groups(rows)
     blocks = in_blocks(rows.join(groups, rows.home_team == groups.team).drop("team"), [GROUP], list(order))
-    starts: dict[int, dict] = {}
-    if blocks.rdd.getNumPartitions() > 1:
-        schema = (
-            "block int, first_league string, last_league string, "
-            "end_state array<struct<team:string, b:double>>, "
-            "maps array<struct<team:string, m:array<struct<team:string, w:double>>, v:double>>"
-        )
-        prev_league, prev_state = None, {}
-        for e in sorted(blocks.mapInPandas(_fold_v2({}, base, False), schema).collect(), key=lambda r: r.block):
-            arriving = prev_state if e.first_league == prev_league else {}
-            starts[e.block] = arriving
-            if e.first_league == e.last_league:
-                left = dict(arriving)
-                for m in e.maps:
-                    left[m.team] = m.v + sum(w.w * arriving.get(w.team, base) for w in m.m)
-                prev_state = left
-            else:
-                prev_state = {s.team: s.b for s in e.end_state}
-            prev_league = e.last_league
-    added = ("home_b_before", "away_b_before", "home_delta_b", "away_delta_b", "home_gravity", "away_gravity")
-    return blocks.mapInPandas(_fold_v2(starts, base, True), _with_doubles(blocks, *added)).drop(BLOCK, GROUP)
+    narrow = blocks.select(GROUP, "home_team", "away_team", "s_home", "e_home", "e_away", BLOCK)
+    n = blocks.rdd.getNumPartitions()
+    parent = F.floor(F.col("node") / FAN).cast("int").alias("parent")
+    levels = [durable(narrow.mapInPandas(_effects_v2, MAP))]
+    while n > FAN:
+        levels.append(durable(levels[-1].select("*", parent).groupBy("grp", "parent").applyInPandas(_together, MAP)))
+        n = -(-n // FAN)
+    arriving = rows.sparkSession.createDataFrame([], ARRIVING)
+    for level in reversed(levels):
+        down = arriving.select(F.col("grp").alias("_grp"), F.col("node").alias("_node"), "team", "b")
+        walked = level.select("*", parent).groupBy("grp", "parent").cogroup(down.groupBy("_grp", "_node"))
+        arriving = durable(walked.applyInPandas(_arrivals(base), ARRIVING))
+    start = arriving.select("grp", F.col("node").alias("_node"), "team", "b")
+    return blocks.groupBy(BLOCK).cogroup(start.groupBy("_node")).applyInPandas(_fold_v2(base, list(order)), _with_doubles(blocks, *V2_COLUMNS)).drop(BLOCK, GROUP)
 
 
 def trace(settled: DataFrame, kr: DataFrame) -> DataFrame:

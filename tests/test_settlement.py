@@ -492,3 +492,28 @@ def test_a_league_of_five_thousand_teams(spark):
     unit[some, np.arange(len(some))] = 1
     want = np.sqrt(np.linalg.solve(dense, unit)[some, np.arange(len(some))])
     assert solved.std_error.to_numpy()[some] == pytest.approx(want, rel=1e-6)
+
+
+def test_v2_chain_over_several_levels_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(st, "FAN", 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(5)
+        rows = []
+        for i in range(400):
+            h, a = rng.sample([f"t{j}" for j in range(7)], 2) if i % 8 else rng.sample([f"u{j}" for j in range(3)], 2)
+            e = rng.uniform(0.1, 0.9)
+            rows.append((i, DAY + dt.timedelta(days=i // 3), h, a, rng.choice([0.0, 0.5, 1.0]), e, 1 - e))
+        df = spark.createDataFrame(rows, "fixture_id long, date date, home_team string, away_team string, s_home double, e_home double, e_away double")
+        got = st.settle_v2(df).toPandas().set_index("fixture_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    b = {}
+    for i, _, h, a, s, eh, ea in rows:
+        bh, ba = b.get(h, 1500.0), b.get(a, 1500.0)
+        assert got.loc[i].home_b_before == pytest.approx(bh, abs=1e-7) and got.loc[i].away_b_before == pytest.approx(ba, abs=1e-7)
+        b[h] = bh + 30 * (s - eh) + 0.05 * (ba + 400 * np.log10(eh / (1 - eh)) - 65 - bh)
+        b[a] = ba + 30 * (1 - s - ea) + 0.05 * (bh + 400 * np.log10(ea / (1 - ea)) + 65 - ba)
+        assert got.loc[i].home_delta_b == pytest.approx(b[h] - bh, abs=1e-7)
