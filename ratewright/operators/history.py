@@ -48,6 +48,37 @@ def twap(points: DataFrame, seconds: int, min_points: int = 3) -> DataFrame:
     )
 
 
+def twap_at(points: DataFrame, requests: DataFrame, seconds: int, min_points: int = 3) -> DataFrame:
+    """Time-weighted mean price of the ``seconds`` before each request (team, at): (team, at, points, twap_price, twap_index).
+
+    A price holds until the next one, so the price before the window counts for its first part and the last one up to
+    ``at``; before a team's first price nothing counts. Requests with fewer than ``min_points`` points in their window
+    (both ends included) are left out. The mean is a difference of two running integrals of price over time, which the
+    window's ends read off one ordered scan over points and ends together: no window of points is ever gathered.
+    """
+    stepped = ordered_scan(points.select("team", "ts", "event_id", "price"), ["team"], ["ts", "event_id"], lags={"_pp": "price", "_pt": "ts"})
+    hours = F.coalesce(t.hours_between("_pt", "ts"), F.lit(0.0))
+    marks = stepped.select(
+        "team", "ts", F.lit(1).alias("_rank"), F.col("event_id").alias("_id"), (F.coalesce("_pp", F.lit(0.0)) * hours).alias("_area"), hours.alias("_time"), F.lit(1.0).alias("_one"),
+        F.struct("ts", "price").alias("_last"), F.lit(None).cast("timestamp_ntz").alias("at"),
+    )
+    asked = requests.select("team", "at").distinct()
+    none, zero = F.lit(None).cast("struct<ts:timestamp_ntz,price:double>").alias("_last"), F.lit(0.0)
+    # An end at the window's start comes before points of the same time, one at its end after them.
+    ends = [(F.col("at") - F.make_interval(secs=F.lit(seconds)), 0), (F.col("at"), 2)]
+    both = marks
+    for when, rank in ends:
+        both = both.unionByName(asked.select("team", when.alias("ts"), F.lit(rank).alias("_rank"), F.unix_micros(F.col("at").cast("timestamp")).alias("_id"), zero.alias("_area"), zero.alias("_time"), zero.alias("_one"), none, "at"))
+    run = ordered_scan(both, ["team"], ["ts", "_rank", "_id"], sums={"_a": F.col("_area"), "_t": F.col("_time"), "_n": F.col("_one")}, carries={"_held": "_last"})
+    since = F.coalesce(t.hours_between("_held.ts", "ts"), F.lit(0.0))
+    read = run.where("at is not null").withColumns({"_a": F.col("_a") + F.coalesce("_held.price", F.lit(0.0)) * since, "_t": F.col("_t") + since})
+    sign = F.when(F.col("_rank") == 2, 1.0).otherwise(-1.0)
+    out = read.groupBy("team", "at").agg(*[F.sum(sign * F.col(n)).alias(n) for n in ("_a", "_t", "_n")], F.max("_held.price").alias("_p"))
+    price = F.when(F.col("_t") > 0, F.col("_a") / F.col("_t")).otherwise(F.col("_p"))
+    kept = out.where(F.col("_n") >= min_points)
+    return kept.select("team", "at", F.col("_n").cast("long").alias("points"), price.alias("twap_price"), x.price_to_index(price).alias("twap_index"))
+
+
 def volume_change(rows: DataFrame, keys: list[str], order: list[str], value: str = "volume") -> DataFrame:
     """Difference to the key's previous snapshot, in cents; zero for the first."""
     seen = ordered_scan(rows, keys, order, lags={"_prev": value})

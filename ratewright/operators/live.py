@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewright import config as c
+from ratewright.functions import calendar as t
 from ratewright.functions import numeric as x
 from ratewright.operators import consensus as k
 from ratewright.operators import settle as st
@@ -56,6 +57,35 @@ def publish_live(state: DataFrame, layer: DataFrame, weighted: bool = True) -> D
     return joined.select("team_id", "l_value", index.alias("published_index"))
 
 
+def team_regimes(teams: DataFrame, fixtures: DataFrame, under_way: DataFrame, as_of: Column) -> DataFrame:
+    """(team_id, is_live, regime): live while under way, else by the soonest upcoming fixture with a known start."""
+    ahead = st.team_rows(fixtures.where("status = 'upcoming' and commence_time is not null").select("fixture_id", "commence_time", "home_team", "away_team"))
+    soonest = ahead.groupBy("team_id").agg(F.min("commence_time").alias("_kick"))
+    on = under_way.select("team_id").distinct().withColumn("_on", F.lit(True))
+    joined = teams.select("team_id").join(soonest, "team_id", "left").join(on, "team_id", "left")
+    is_live = F.coalesce("_on", F.lit(False))
+    return joined.select("team_id", is_live.alias("is_live"), x.regime(is_live, t.hours_between(as_of, "_kick")).alias("regime"))
+
+
+def feedback_pass(state: DataFrame, twap: DataFrame, fixtures: DataFrame, under_way: DataFrame, as_of: Column) -> DataFrame:
+    """The state after the feedback of traded prices: F by regime where there is a mean price, a stale F taken back where not.
+
+    ``state``: team_id, b_value, m1_value, l_value, m1_locked, f_value, published_index. ``twap``: team_id, twap_index. Rows
+    whose index already is what it should be stay as they are.
+    """
+    rows = state.join(team_regimes(state, fixtures, under_way, as_of), "team_id").join(twap.select("team_id", "twap_index"), "team_id", "left")
+    m1 = F.when(F.col("is_live"), F.coalesce("m1_locked", F.lit(0.0))).otherwise(F.coalesce("m1_value", F.lit(0.0)))
+    rows = rows.withColumn("_naive", F.col("b_value") + m1 + F.coalesce("l_value", F.lit(0.0)))
+    rows = rows.withColumn("_f", x.feedback("regime", "twap_index", "_naive"))
+    moved, stale = F.col("_f") != 0, (F.col("_f") == 0) & (F.abs(F.col("published_index") - F.col("_naive")) > 0.01)
+    out = {
+        "f_value": F.when(moved, F.round("_f", 4)).when(stale, 0.0).otherwise(F.col("f_value")),
+        "published_index": F.when(moved, F.round(F.col("_naive") + F.col("_f"), 4)).when(stale, F.round("_naive", 4)).otherwise(F.col("published_index")),
+        "updated_at": F.when(moved | stale, as_of).otherwise(F.col("updated_at") if "updated_at" in state.columns else F.lit(None).cast("timestamp_ntz")),
+    }
+    return rows.withColumns(out).drop("is_live", "twap_index", "_naive", "_f")
+
+
 def seed_state(old: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """New generation's state from an older one: no overlay, every rating equal to B; and its first history rows."""
     b = F.round("b_value", 4)

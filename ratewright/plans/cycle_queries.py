@@ -8,6 +8,9 @@ from ratewright import config as c
 from ratewright.functions import numeric as x
 from ratewright.operators import consensus as k
 from ratewright.operators import cycle as cy
+from ratewright.operators import history as hs
+from ratewright.operators import live as lv
+from ratewright.operators import quality as ql
 from ratewright.operators import replay as rp
 from ratewright.operators import settle as st
 from ratewright.operators import settlement as se
@@ -15,7 +18,7 @@ from ratewright.operators.tables import latest_quotes
 from ratewright.plans import settle_queries  # noqa: F401  (its SQL fragments are used below)
 from ratewright.plans.consensus_queries import frozen
 from ratewright.plans.registry import fragment, query, rnd, sql
-from ratewright.plans.shapes import as_of, fixtures, quotes
+from ratewright.plans.shapes import as_of, fixtures, history, quotes
 from ratewright.session import durable, new_folder
 from ratewright.streaming import jobs
 
@@ -366,3 +369,87 @@ def replay_days(spark, d):
     """The replay by days: every solve and refresh of every team."""
     rows = replayed(spark, d, None)["history"]
     return rows.select("step", "league", "team_id", r("b_value", 4).alias("b_value"), r("r_market", 2).alias("r_market"), r("published_index", 2).alias("published_index"))
+
+
+# --- trailing mean prices and their feedback -----------------------------------------------
+
+#: Days between the price points of the test tables and the contests' as-of time.
+POINTS_LAG = 9374
+WINDOW_HOURS = 36
+FEEDBACK_AT = "1998-06-01 15:00:00"
+
+
+def price_points(spark, d):
+    """Traded prices as if at the contests' time, a nation's from the users that fall to it."""
+    number = F.regexp_extract("team", "([0-9]+)$", 1).cast("long") % 25
+    shifted = F.col("ts") - F.make_interval(days=F.lit(POINTS_LAG))
+    return history(spark, d).select(F.concat(F.lit("NATION_"), number.cast("string")).alias("team"), shifted.alias("ts"), "event_id", "price")
+
+
+fragment("pricepoints", ("history",), f"SELECT 'NATION_' || CAST(CAST(substr(team, 6) AS BIGINT) % 25 AS VARCHAR) AS team, ts - INTERVAL {POINTS_LAG} DAYS AS ts, event_id, price FROM history")
+fragment("pricesteps", ("pricepoints",), "SELECT team, ts AS a, coalesce(lead(ts) OVER (PARTITION BY team ORDER BY ts, event_id), TIMESTAMP '9999-01-01') AS z, price FROM pricepoints")
+
+
+def _trailing_sql(requests: str) -> str:
+    return f"""
+    SELECT team, asked_at, n AS points, sum(price * (epoch_us(least(z, asked_at)) - epoch_us(greatest(a, asked_at - INTERVAL {WINDOW_HOURS} HOURS)))) / sum(epoch_us(least(z, asked_at)) - epoch_us(greatest(a, asked_at - INTERVAL {WINDOW_HOURS} HOURS))) AS twap_price
+    FROM {requests} r JOIN pricesteps s USING (team)
+    JOIN (SELECT team, asked_at, count(*) AS n FROM {requests} JOIN pricepoints USING (team) WHERE ts BETWEEN asked_at - INTERVAL {WINDOW_HOURS} HOURS AND asked_at GROUP BY ALL) c USING (team, asked_at)
+    WHERE least(z, asked_at) > greatest(a, asked_at - INTERVAL {WINDOW_HOURS} HOURS) AND n >= 3 GROUP BY ALL"""
+
+
+@query(
+    "twap_trailing",
+    sql(
+        f"SELECT team, asked_at, points, {rnd('twap_price', 5)} AS twap_price, {rnd('twap_price * 5 + 800', 4)} AS twap_index FROM ({_trailing_sql('(SELECT DISTINCT team, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 12 HOURS AS asked_at FROM pricepoints)')})",
+        "pricesteps",
+    ),
+)
+def twap_trailing(spark, d):
+    """At noon of each day with a price, the mean over the hours before, the price that came into the window included."""
+    points = price_points(spark, d)
+    asked = points.select("team", (F.date_trunc("DAY", "ts") + F.expr("INTERVAL 12 HOURS")).cast("timestamp_ntz").alias("at"))
+    out = hs.twap_at(points, asked, WINDOW_HOURS * 3600)
+    return out.select("team", F.col("at").alias("asked_at"), "points", r("twap_price", 5).alias("twap_price"), r("twap_index", 4).alias("twap_index"))
+
+
+fragment(
+    "fbstate",
+    ("st0", "starts"),
+    f"""
+    SELECT s.team_id, b_value, coalesce(r_market, b_value) - b_value AS m1, 1.5::DOUBLE AS l, CASE WHEN length(s.team_id) % 2 = 0 THEN 2.5 END::DOUBLE AS locked, kick, live IS NOT NULL AS live
+    FROM st0 s LEFT JOIN (SELECT team_id, min(commence_time) AS kick FROM (SELECT unnest([home_team, away_team]) AS team_id, commence_time FROM starts WHERE status = 'upcoming' AND commence_time >= TIMESTAMP '{FEEDBACK_AT}' - INTERVAL 3 HOURS) GROUP BY 1) USING (team_id)
+    LEFT JOIN (SELECT DISTINCT unnest([home_team, away_team]) AS team_id, TRUE AS live FROM starts WHERE commence_time < TIMESTAMP '{FEEDBACK_AT}' AND commence_time > TIMESTAMP '{FEEDBACK_AT}' - INTERVAL 4 HOURS AND status NOT IN ('finished', 'cancelled')) USING (team_id)
+    """,
+)
+fragment("fbtwap", ("pricesteps",), _trailing_sql(f"(SELECT team, TIMESTAMP '{FEEDBACK_AT}' AS asked_at FROM pricepoints WHERE team <> 'NATION_3' GROUP BY team)"))
+
+
+@query(
+    "feedback_pass",
+    sql(
+        f"""SELECT team_id, regime, CASE WHEN f <> 0 THEN {rnd('f', 3)} WHEN abs(b_value - naive) > 0.01 THEN 0.0 ELSE 7.0 END::DOUBLE AS f_value,
+                   CASE WHEN f <> 0 THEN {rnd('naive + f', 3)} WHEN abs(b_value - naive) > 0.01 THEN {rnd('naive', 3)} ELSE {rnd('b_value', 3)} END AS published_index
+            FROM (SELECT *, CASE WHEN twap_price IS NULL THEN 0.0 ELSE greatest(-20.0, least(20.0, CASE regime WHEN 'live' THEN 0.15 WHEN 'prematch' THEN 0.10 ELSE 0.05 END * (twap_price * 5 + 800 - naive))) END::DOUBLE AS f FROM (
+              SELECT s.*, twap_price, b_value + CASE WHEN live THEN coalesce(locked, 0.0) ELSE m1 END + l AS naive, CASE WHEN live THEN 'live' WHEN kick IS NULL THEN 'offseason'
+                     WHEN kick > TIMESTAMP '{FEEDBACK_AT}' AND kick <= TIMESTAMP '{FEEDBACK_AT}' + INTERVAL 3 HOURS THEN 'prematch' ELSE 'between' END AS regime
+              FROM fbstate s LEFT JOIN fbtwap w ON w.team = s.team_id))""",
+        "fbstate",
+        "fbtwap",
+    ),
+)
+def feedback_pass(spark, d):
+    """F from trailing prices into the stored index, by regimes of the fixtures; one team has no price and gets its stale F taken back."""
+    _, _, state, _ = stored_tables(spark, d)
+    even = F.length("team_id") % 2 == 0
+    state = state.select(
+        "team_id", "b_value", (F.coalesce("r_market", "b_value") - F.col("b_value")).alias("m1_value"), F.lit(1.5).alias("l_value"), F.when(even, 2.5).alias("m1_locked"), F.lit(7.0).alias("f_value"), F.col("b_value").alias("published_index")
+    )
+    at = F.lit(FEEDBACK_AT).cast("timestamp_ntz")
+    points = price_points(spark, d).where("team <> 'NATION_3'")
+    twap = hs.twap_at(points, points.select("team", at.alias("at")).distinct(), WINDOW_HOURS * 3600).select(F.col("team").alias("team_id"), "twap_index")
+    # Contests of long ago that never began are not a team's next ones.
+    f = fixtures(spark, d)
+    f = f.where((F.col("status") != "upcoming") | (F.col("commence_time") >= at - F.expr("INTERVAL 3 HOURS")))
+    out = lv.feedback_pass(state, twap, f, ql.live_teams(fixtures(spark, d), at), at)
+    return out.select("team_id", "regime", r("f_value", 3).alias("f_value"), r("published_index", 3).alias("published_index"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ratewright.operators import bradley_terry as bt
 from ratewright.operators import cycle as cy
+from ratewright.operators import history as hs
+from ratewright.operators import live as lv
+from ratewright.operators import quality as ql
 from ratewright.operators import replay as rp
 from ratewright.operators import settle as st
 from ratewright.operators import settlement as se
@@ -517,3 +520,47 @@ def test_v2_chain_over_several_levels_of_blocks(spark, monkeypatch):
         b[h] = bh + 30 * (s - eh) + 0.05 * (ba + 400 * np.log10(eh / (1 - eh)) - 65 - bh)
         b[a] = ba + 30 * (1 - s - ea) + 0.05 * (bh + 400 * np.log10(ea / (1 - ea)) + 65 - ba)
         assert got.loc[i].home_delta_b == pytest.approx(b[h] - bh, abs=1e-7)
+
+
+# --- trailing mean prices and feedback -------------------------------------------------------
+
+
+def test_trailing_mean_is_the_integral_of_the_steps(spark, split):
+    rng = random.Random(51)
+    t0 = dt.datetime(2024, 1, 1)
+    points = [("hot" if rng.random() < 0.6 else rng.choice("abc"), t0 + dt.timedelta(seconds=10 * rng.randrange(400)), i, rng.uniform(90, 110)) for i in range(500)]
+    asked = [(team, t0 + dt.timedelta(seconds=10 * rng.randrange(420))) for team in ("hot", "a", "b", "nobody") for _ in range(60)]
+    frame = spark.createDataFrame(points, "team string, ts timestamp_ntz, event_id long, price double")
+    requests = spark.createDataFrame(asked, "team string, at timestamp_ntz")
+    got = {(r.team, r.at): r for r in hs.twap_at(frame, requests, 300).collect()}
+    want = {}
+    for team, at in set(asked):
+        mine = sorted(p[1:] for p in points if p[0] == team)
+        start, area, time = at - dt.timedelta(seconds=300), 0.0, 0.0
+        for (a, _, price), b in zip(mine, [p[0] for p in mine[1:]] + [dt.datetime.max]):
+            held = (min(b, at) - max(a, start)).total_seconds()
+            if held > 0:
+                area, time = area + price * held, time + held
+        inside = [p for p in mine if start <= p[0] <= at]
+        if len(inside) >= 3:
+            want[team, at] = (len(inside), area / time if time else None)
+    assert got.keys() == want.keys() and len(want) > 60
+    for key, (n, price) in want.items():
+        assert got[key].points == n and (price is None or got[key].twap_price == pytest.approx(price, abs=1e-9))
+    assert hs.twap_at(frame.limit(0), requests, 300).collect() == []
+
+
+def test_feedback_pass_moves_and_takes_back(spark):
+    at = F.lit("2024-01-02 12:00:00").cast("timestamp_ntz")
+    noon = dt.datetime(2024, 1, 2, 12)
+    state = spark.createDataFrame(
+        [("live", 1500.0, 10.0, 2.0, 4.0, 0.0, 1506.0), ("soon", 1500.0, 10.0, 0.0, None, 0.0, 1510.0), ("far", 1500.0, 0.0, 0.0, None, 1.0, 1501.0), ("off", 1500.0, 0.0, 0.0, None, 3.0, 1503.0), ("same", 1500.0, 0.0, 0.0, None, 9.0, 1500.005)],
+        "team_id string, b_value double, m1_value double, l_value double, m1_locked double, f_value double, published_index double",
+    )
+    fixtures = spark.createDataFrame(
+        [(1, noon.date(), noon - dt.timedelta(hours=1), "live", "x", "live"), (2, noon.date(), noon + dt.timedelta(hours=2), "soon", "y", "upcoming"), (3, noon.date(), noon + dt.timedelta(hours=9), "far", "z", "upcoming"), (4, noon.date(), None, "off", "z", "upcoming")],
+        "fixture_id long, date date, commence_time timestamp_ntz, home_team string, away_team string, status string",
+    )
+    twap = spark.createDataFrame([("live", 1546.0), ("soon", 1910.0), ("far", 1540.0), ("off", None)], "team_id string, twap_index double")
+    out = {r.team_id: (r.regime, r.f_value, r.published_index) for r in lv.feedback_pass(state, twap, fixtures, ql.live_teams(fixtures, at), at).collect()}
+    assert out == {"live": ("live", 6.0, 1512.0), "soon": ("prematch", 20.0, 1530.0), "far": ("between", 2.0, 1502.0), "off": ("offseason", 0.0, 1500.0), "same": ("offseason", 9.0, 1500.005)}
