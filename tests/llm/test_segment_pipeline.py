@@ -184,8 +184,10 @@ def test_stages_take_empty_tables(spark, tmp_path):
     assert quality.KEEP > 0
 
 
-def test_near_dedup_keeps_what_is_below_four_fifths(spark, monkeypatch):
+@pytest.mark.parametrize("tile", [2048, 6])
+def test_near_dedup_keeps_what_is_below_four_fifths(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "PIECE", 16)
+    monkeypatch.setattr(simhash, "BUCKET_TILE", tile)
     rng = random.Random(5)
     rows = []
     for g in range(60):
@@ -213,3 +215,13 @@ def test_near_dedup_keeps_what_is_below_four_fifths(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert got == {i for i, r in root.items() if i == r} and 60 < len(got) < 300
+
+
+def test_near_dedup_with_one_key_for_two_texts_and_null_keys(spark):
+    rng = random.Random(6)
+    one, two, three = (" ".join(rng.choices(WORDS, k=60)) for _ in range(3))
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, None), (4, ""), (None, one), (None, three), (5, three), (5, three)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()))
+    # Key 2 is first of its second text, so its rows stay, each once; rows without a key stay as they are.
+    assert got == sorted([(False, 1, one), (False, 2, one), (False, 2, two), (False, 3, ""), (False, 5, three), (True, 0, one), (True, 0, three)])

@@ -3,13 +3,14 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
 
 from ratewright.llm.mixing import mixed, sainte_lague, weighted_targets
-from ratewright.llm.simhash import near_links, simhash_classes
+from ratewright.llm.simhash import BANDS, band_keys, near_links, simhash_classes, within
 from ratewright.llm.tokens import single_tokens, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -204,3 +205,24 @@ def test_mix_reaches_targets(spark, docs):
     for s in target:
         assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 128
     assert mixed(docs([])).collect() == []
+
+
+def test_pairs_within_buckets_are_all_pairs():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
+    fps = base[rng.integers(0, 40, 400)] ^ np.where(rng.random((400, 4)) < 0.5, np.uint64(1) << rng.integers(0, 64, (400, 4)).astype(np.uint64), np.uint64(0))
+    bucket = np.sort(rng.integers(0, 25, 400))
+    for radius in (0, 3, 84):
+        a, b = within(bucket, fps, radius)
+        want = {(i, j) for i in range(400) for j in range(i) if bucket[i] == bucket[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= radius}
+        assert len(a) == len(want) and {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == want
+
+
+def test_band_keys_follow_the_share():
+    rng = np.random.default_rng(8)
+    common, rest = rng.integers(0, 2**63, 160, dtype=np.uint64), rng.integers(0, 2**63, (500, 2, 20), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, r])) for pair in rest for r in pair]
+    keys = band_keys([*sets, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)], 42)
+    hits = (keys[0:1000:2] == keys[1:1000:2]).mean()
+    assert abs(hits - 0.8**3) < 0.02 and (keys[-1] == keys[-2]).all() and not (keys[0] == keys[-1]).any()
+    assert ((keys[0:1000:2] == keys[1:1000:2]).any(axis=1)).all() and keys.shape == (1002, BANDS)
