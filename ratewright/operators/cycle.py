@@ -29,12 +29,13 @@ STATE = (
 
 
 class Cycle(NamedTuple):
-    """``state``: all teams. ``history``, ``log``, ``solves``: the cycle's new rows. ``recent``: log rows later cycles have to know."""
+    """``state``: all teams. ``history``, ``log``, ``solves``, ``edges``: the cycle's new rows. ``recent``: log rows later cycles have to know."""
 
     state: DataFrame
     history: DataFrame
     log: DataFrame
     solves: DataFrame
+    edges: DataFrame
     recent: DataFrame
 
 
@@ -128,7 +129,10 @@ def run_cycle(state: DataFrame, recent: DataFrame, fixtures: DataFrame, kr: Data
         rows = rows.unionByName(more)
     dated = log.join(fixtures.select("fixture_id", "date"), "fixture_id").select("fixture_id", "team_id", "oracle_version", "date")
     known = recent.select("fixture_id", "team_id", "oracle_version", "date").unionByName(dated)
-    return Cycle(final, rows, log, solves, known if since is None else known.where(F.col("date") >= since))
+    timed = {"solve_timestamp": as_of, "trigger_type": F.lit("settlement")}
+    solves = solves.join(triggers.withColumnRenamed("trigger", "trigger_fixture_id"), "league").withColumns(timed)
+    used = edges.join(solves.select("league").distinct(), "league", "left_semi").withColumn("solve_timestamp", as_of)
+    return Cycle(final, rows, log, solves, used, known if since is None else known.where(F.col("date") >= since))
 
 
 # --- cycles that go on from each other ----------------------------------------

@@ -110,33 +110,54 @@ def edge_distribution(probs: DataFrame) -> DataFrame:
     return out.join(matches, "model")
 
 
-def _pair_correlation(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mean Pearson correlation over team pairs, each over the shorter series' length."""
-    wide = pdf.pivot(index="position", columns="team", values="change").sort_index()
-    have = wide.notna().to_numpy().astype(float)
-    v = wide.fillna(0.0).to_numpy()
-    n, s, ss, cross = have.T @ have, v.T @ have, (v * v).T @ have, v.T @ v
-    with np.errstate(invalid="ignore", divide="ignore"):
-        cov = cross - s * s.T / n
-        var = ss - s * s / n
-        den = np.sqrt(np.maximum(var, 0.0) * np.maximum(var.T, 0.0))
-        corr = cov / den
-    i, j = np.triu_indices(len(n), 1)
-    ok = (n[i, j] >= 3) & (den[i, j] > 1e-12)
-    return pd.DataFrame(
-        {
-            "league": [pdf["league"].iloc[0]], "model": [pdf["model"].iloc[0]], "n_teams": [len(n)],
-            "n_pairs": [int(ok.sum())], "avg_correlation": [float(corr[i, j][ok].mean()) if ok.any() else 0.0],
-        }
-    )
+#: Positions and teams whose co-moments are worked out in one task.
+POSITIONS, TEAMS = 512, 128
+MOMENTS = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+
+def _co_moments(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Sums over one block of positions for the pairs of two blocks of teams, the first team before the second."""
+    wide = [x.pivot(index="position", columns="team", values="change") for x in (left, right)]
+    at = wide[0].index.intersection(wide[1].index)
+    (va, ha), (vb, hb) = ((np.nan_to_num(w.loc[at].to_numpy()), w.loc[at].notna().to_numpy().astype(float)) for w in wide)
+    sums = [ha.T @ hb, va.T @ hb, ha.T @ vb, (va * va).T @ hb, ha.T @ (vb * vb), va.T @ vb]
+    one, other = np.asarray(wide[0].columns, dtype=object), np.asarray(wide[1].columns, dtype=object)
+    i, j = np.nonzero((sums[0] > 0) & (one[:, None] != other[None, :]))
+    if key[3] == key[4]:
+        keep = one[i] < other[j]
+        i, j = i[keep], j[keep]
+    out = pd.DataFrame({"league": key[0], "model": key[1], "a": one[i], "b": other[j]})
+    return out.assign(**{n: m[i, j] for n, m in zip(MOMENTS, sums)})
 
 
 def pair_correlation(prices: DataFrame) -> DataFrame:
-    """Per (league, model): all pairs at once from matrix products of a days-by-teams table."""
+    """Per (league, model): the mean Pearson correlation over its pairs of teams, each over the days both have.
+
+    Changes lie in blocks of positions by blocks of teams; a task multiplies two team blocks of one position block, and the
+    pairs' sums are added up afterwards. No task holds a league's whole table.
+    """
     ch = daily_changes(prices).select("league", "model", "team", "position", "change")
-    return ch.groupBy("league", "model").applyInPandas(
-        _pair_correlation, "league string, model string, n_teams int, n_pairs int, avg_correlation double"
-    )
+    key = ["league", "model"]
+    counts = ch.groupBy(*key).agg(F.countDistinct("team").cast("int").alias("n_teams"))
+    cuts = counts.select(*key, F.ceil(F.col("n_teams") / TEAMS).cast("int").alias("_cuts"))
+    placed = ch.join(cuts, key).withColumns({"_p": F.floor(F.col("position") / POSITIONS).cast("int"), "_t": F.pmod(F.xxhash64("team"), "_cuts").cast("int")})
+    left = placed.select("*", F.col("_t").alias("_one"), F.explode(F.sequence(F.col("_t"), F.col("_cuts") - 1)).alias("_two"))
+    right = placed.select(*[F.col(n).alias(n) for n in ("league", "model", "team", "position", "change", "_p")], F.explode(F.sequence(F.lit(0), F.col("_t"))).alias("_one"), F.col("_t").alias("_two"))
+    by = [*key, "_p", "_one", "_two"]
+    right = right.select(*[F.col(n).alias(f"r{n}") for n in by], "team", "position", "change")
+    schema = "league string, model string, a string, b string, " + ", ".join(f"{n} double" for n in MOMENTS)
+    parts = left.groupBy(*by).cogroup(right.groupBy(*[f"r{n}" for n in by])).applyInPandas(_co_moments, schema)
+    # Two blocks give a pair in either order of its teams.
+    swap = F.col("a") > F.col("b")
+    twin = {"sa": "sb", "sb": "sa", "saa": "sbb", "sbb": "saa"}
+    named = {"a": F.least("a", "b"), "b": F.greatest("a", "b")} | {n: F.when(swap, F.col(m)).otherwise(F.col(n)) for n, m in twin.items()}
+    whole = parts.withColumns(named).groupBy(*key, "a", "b").agg(*[F.sum(n).alias(n) for n in MOMENTS])
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
+    spread = [F.greatest(F.col(s2) - F.col(s1) * F.col(s1) / F.col("n"), F.lit(0.0)) for s1, s2 in (("sa", "saa"), ("sb", "sbb"))]
+    den = F.sqrt(spread[0] * spread[1])
+    pairs = whole.withColumn("c", F.when((F.col("n") >= 3) & (den > 1e-12), cov / den))
+    means = pairs.groupBy(*key).agg(F.count("c").cast("int").alias("n_pairs"), F.avg("c").alias("_mean"))
+    return counts.join(means, key, "left").select(*key, "n_teams", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.coalesce("_mean", F.lit(0.0)).alias("avg_correlation"))
 
 
 def price_impact(prices: DataFrame, fixtures: DataFrame, model: str) -> DataFrame:

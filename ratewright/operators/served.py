@@ -89,6 +89,23 @@ def solve_stats(solves: DataFrame) -> DataFrame:
     )
 
 
+def latest_solves(solves: DataFrame, edges: DataFrame, n: int = 50, league: str | None = None) -> DataFrame:
+    """The newest solves, one row each with its parts: ratings, errors and priors by team, and the fixtures it used.
+
+    The n newest are picked from (league, time) alone before any parts are gathered; a row holds one league's teams and the
+    fixtures of one window.
+    """
+    key = ["league", "solve_timestamp"]
+    mine = solves if league is None else solves.where(F.col("league") == league)
+    newest = mine.select(*key).distinct().orderBy(F.desc("solve_timestamp"), "league").limit(n)
+    facts = ["trigger_type", "trigger_fixture_id", "fixtures_used", "teams_count", "iterations", "max_step", "converged", "sigma_prior"]
+    by_team = [F.map_from_entries(F.sort_array(F.collect_list(F.struct("team", F.round(x, 4).alias(x))))).alias(name) for x, name in (("rating", "ratings"), ("std_error", "std_errors"), ("prior", "prior_means"))]
+    heads = mine.join(newest, key, "left_semi").groupBy(*key).agg(*[F.first(x).alias(x) for x in facts], *by_team)
+    fixture = F.struct("fixture_id", F.col("home_team").alias("home"), F.col("away_team").alias("away"), F.round("home_es", 6).alias("home_es"), F.round("weight", 4).alias("weight"))
+    used = edges.join(newest, key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list(fixture)).alias("fixtures_detail"), F.max("window_days").alias("window_days"))
+    return heads.join(used, key).withColumn("home_adv", F.lit(c.HOME_ADVANTAGE)).orderBy(F.desc("solve_timestamp"), "league")
+
+
 def stalest(history: DataFrame, as_of: Column, n: int = 10) -> DataFrame:
     last = history.groupBy("team").agg(F.max("ts").alias("last_refresh"))
     return last.withColumn("hours_ago", t.hours_between("last_refresh", as_of)).orderBy(F.desc("hours_ago"), "team").limit(n)

@@ -12,6 +12,7 @@ from ratewright.operators import history as hs
 from ratewright.operators import live as lv
 from ratewright.operators import quality as ql
 from ratewright.operators import replay as rp
+from ratewright.operators import served as sv
 from ratewright.operators import settle as st
 from ratewright.operators import settlement as se
 from ratewright.operators.tables import latest_quotes
@@ -328,6 +329,36 @@ def cycle_log(spark, d):
     return spark.read.parquet(f"{cycle_root(spark, d)}/log").select("fixture_id", "team_id", "batch", F.floor("b_after").alias("b_floor"))
 
 
+
+def solve_record(spark, d):
+    root = cycle_root(spark, d)
+    solves, edges = (spark.read.parquet(f"{root}/{n}") for n in ("solves", "edges"))
+    return sv.latest_solves(solves, edges, 8)
+
+
+@query(
+    "latest_solves",
+    sql(
+        f"""SELECT league, solve_timestamp, team, {rnd('rating', 1)} AS rating, {rnd('prior', 2)} AS prior, fixtures, first_fixture, sigma AS sigma_prior FROM (
+              SELECT *, dense_rank() OVER (ORDER BY solve_timestamp DESC, league) AS place FROM ({' UNION ALL '.join(
+                f"SELECT n.league, TIMESTAMP '{at}' AS solve_timestamp, n.team, r AS rating, mu AS prior, fixtures, first_fixture, sigma FROM cn{i} n JOIN (SELECT * FROM ca{i} WHERE i = 400) a USING (league, team) JOIN (SELECT league, count(*) AS fixtures, min(fixture_id) AS first_fixture FROM cd{i} GROUP BY 1) USING (league)"
+                for i, at in enumerate(CYCLES, 1))}))
+            WHERE place <= 8""",
+        *[f"ca{i}" for i in range(1, len(CYCLES) + 1)],
+    ),
+)
+def latest_solves(spark, d):
+    """The newest solves of the cycles with their ratings, priors and fixtures, a row per team."""
+    rows = solve_record(spark, d).select("league", "solve_timestamp", "prior_means", F.size("fixtures_detail").cast("long").alias("fixtures"), F.col("fixtures_detail")[0]["fixture_id"].alias("first_fixture"), "sigma_prior", F.explode("ratings").alias("team", "rating"))
+    return rows.select("league", "solve_timestamp", "team", r("rating", 1).alias("rating"), r(F.col("prior_means")[F.col("team")], 2).alias("prior"), "fixtures", "first_fixture", "sigma_prior")
+
+
+@query("solve_iterations")
+def solve_iterations(spark, d):
+    """Solves of the cycles: how many, the newest, mean iterations, not converged."""
+    return sv.solve_stats(solve_record(spark, d))
+
+
 # --- chronological replay ---------------------------------------------------------------
 
 

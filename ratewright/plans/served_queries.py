@@ -192,7 +192,7 @@ def solve_stats(spark, d):
     return sv.solve_stats(mk.solve_audit(solved, edges, as_of(), "settlement")).select("total", "latest", "not_converged")
 
 
-@query("sigma_histogram")
+@query("sigma_histogram", sql("SELECT bin, count(v) AS n FROM (SELECT CAST(unnest(range(0, 15)) AS INTEGER) AS bin) LEFT JOIN (SELECT floor(sqrt(x) / 10) AS v FROM inverse WHERE i = 400 AND unit = team) ON v = bin GROUP BY bin", "inverse"))
 def sigma_histogram(spark, d):
     _, solved = solve(spark, d)
     return rp.histogram(solved, F.floor(F.col("std_error") / 10), 0, 14)

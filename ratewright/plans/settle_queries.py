@@ -269,3 +269,24 @@ def append_log(spark, d):
 def settlement_trace(spark, d):
     traced = st.trace(log_v3(spark, d), frozen(spark, d))
     return traced.select("fixture_id", "team_id", F.to_json("trace_payload").alias("trace_payload"))
+
+
+@query(
+    "settlement_trace_rows",
+    sql(
+        f"""SELECT l.fixture_id, team_id, 30.0::DOUBLE AS k, gamma, score, {rnd('home_prob', 6)} AS home_prob, {rnd('draw_prob', 6)} AS draw_prob, actual_score_s AS s, e_kr, {rnd('b_before', 5)} AS b_before,
+                   {rnd('target', 5)} AS r_market_frozen, {rnd('gravity_component', 5)} AS delta_gravity, clamp_applied, CASE WHEN is_home THEN 'home' ELSE 'away' END AS perspective
+            FROM v3log l JOIN kr USING (fixture_id)""",
+        "v3log",
+        "kr",
+    ),
+)
+def settlement_trace_rows(spark, d):
+    """The trace of each settlement, its parts as columns."""
+    p, side = F.col("trace_payload"), F.col("trace_payload.settlement_detail")
+    rows = st.trace(log_v3(spark, d), frozen(spark, d))
+    return rows.select(
+        "fixture_id", "team_id", p["K"].alias("k"), p["gamma"].alias("gamma"), p["score"].alias("score"), r(p["consensus"]["home_prob"]).alias("home_prob"), r(p["consensus"]["draw_prob"]).alias("draw_prob"),
+        side["S"].alias("s"), side["E_KR"].alias("e_kr"), r(side["B_before"], 5).alias("b_before"), r(side["R_market_frozen"], 5).alias("r_market_frozen"), r(side["delta_gravity"], 5).alias("delta_gravity"),
+        side["clamp_applied"].alias("clamp_applied"), p["perspective"].alias("perspective"),
+    )
