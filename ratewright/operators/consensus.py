@@ -174,14 +174,14 @@ def display_consensus(latest: DataFrame) -> DataFrame:
     )
 
 
-def alternates(fixtures: DataFrame, having: DataFrame, days: int = 3) -> DataFrame:
-    """For each fixture, the alternate with the same sides within +-days whose id is in ``having``.
+def alternates(fixtures: DataFrame, having: DataFrame, days: int = 3, among: DataFrame | None = None) -> DataFrame:
+    """For each fixture, the alternate (of ``among``, else of the fixtures) with the same sides within +-days whose id is in ``having``.
 
     The lowest other id wins. Only the two lowest ids per (home, away, date) can
     matter, so those are kept first and each fixture probes its 2*days+1 dates:
     no pair of a crowded pairing is ever formed.
     """
-    withq = fixtures.join(having.select("fixture_id").distinct(), "fixture_id", "left_semi")
+    withq = (fixtures if among is None else among).join(having.select("fixture_id").distinct(), "fixture_id", "left_semi")
     first = withq.groupBy("home_team", "away_team", "date").agg(F.min("fixture_id").alias("_a"))
     lowest = first.select("home_team", "away_team", "date", "_a")
     rest = withq.join(lowest, ["home_team", "away_team", "date"]).where(F.col("fixture_id") > F.col("_a"))

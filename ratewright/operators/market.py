@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ratewright import config as c
 from ratewright.functions import calendar as t
 from ratewright.functions import numeric as x
+from ratewright.operators.consensus import book_probs, median_consensus
+from ratewright.operators.resolve import quote_sources, relabelled
 from ratewright.operators.settle import team_rows
 from ratewright.operators.tables import patch, pick_by
 
@@ -125,6 +127,26 @@ def single_fixture_overlay(state: DataFrame, next_rows: DataFrame, books: DataFr
     ).withColumn("published_index", F.col("b_value") + F.col("m1_value"))
 
 
+def season_overlay(state: DataFrame, fixtures: DataFrame, serving: DataFrame, futures: DataFrame, as_of: Column) -> DataFrame:
+    """First- and second-generation overlay in and out of season: every team of the state has a row.
+
+    A team's next fixture is priced by its own serving quotes, or those of an alternate fixture (``quote_sources``). A team
+    without a next fixture takes confidence x (futures rating - B), bounded, where its futures are fresh; else zero.
+    ``serving``: latest pre-kickoff quotes; ``futures``: rows of ``futures_table``.
+    """
+    nxt = next_fixtures(fixtures, as_of)
+    only = fixtures.join(nxt.select("fixture_id").distinct(), "fixture_id", "left_semi")
+    books = book_probs(relabelled(serving, quote_sources(only, fixtures, serving)))
+    rows = single_fixture_overlay(state, nxt, books, median_consensus(books), as_of)
+    fresh = futures.where(~F.col("stale") & (F.col("confidence") > 0)).select("team_id", "r_futures", F.col("confidence").alias("_c"))
+    joined = rows.join(fresh, "team_id", "left")
+    out = F.col("next_fixture_id").isNull() & F.col("_c").isNotNull()
+    m1 = x.clamp(F.col("_c") * (F.col("r_futures") - F.col("b_value")), -c.OVERLAY_CLAMP, c.OVERLAY_CLAMP)
+    joined = joined.withColumns({"confidence_score": F.when(out, F.col("_c")).otherwise(F.col("confidence_score")), "m1_value": F.when(out, m1).otherwise(F.col("m1_value"))})
+    source = F.when(out, "futures").when(F.col("next_fixture_id").isNotNull(), "fixture").otherwise("none")
+    return joined.withColumns({"published_index": F.col("b_value") + F.col("m1_value"), "overlay_source": source}).drop("_c", "r_futures")
+
+
 def futures_table(futures: DataFrame, state: DataFrame, as_of: Column) -> DataFrame:
     """Latest futures per league within the tolerance, one row per team, with rating and confidence."""
     last = futures.groupBy("league").agg(F.max("snapshot_time").alias("_last"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewright import config as c
 from ratewright.functions import text as tx
+from ratewright.operators.consensus import alternates
+from ratewright.session import durable
 
 
 def canonical(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
@@ -66,16 +70,17 @@ def contained_names(names: DataFrame) -> DataFrame:
     return both.select("league", F.col("outer_name").alias("name"), F.col("inner_name").alias("other")).distinct()
 
 
-def fuzzy_alternates(fixtures: DataFrame, days: int = 3) -> DataFrame:
-    """Lowest other fixture of the same league within +-days whose sides' names contain, or are contained in, ours.
+def fuzzy_alternates(fixtures: DataFrame, days: int = 3, among: DataFrame | None = None) -> DataFrame:
+    """Lowest other fixture (of ``among``, else of the fixtures) of the same league within +-days whose sides' names contain, or are contained in, ours.
 
     Candidates are the two lowest ids per (league, home, away, date), so the fixture itself can be passed over.
     """
-    sides = fixtures.select("league", F.col("home_team").alias("name")).unionByName(fixtures.select("league", F.col("away_team").alias("name")))
-    alike = contained_names(sides)
+    among = fixtures if among is None else among
+    sides = [f.select("league", F.col(s).alias("name")) for f in (fixtures, among) for s in ("home_team", "away_team")]
+    alike = contained_names(reduce(DataFrame.unionByName, sides))
     keys = ["league", "home_team", "away_team", "date"]
-    low = fixtures.groupBy(*keys).agg(F.min("fixture_id").alias("_a"))
-    second = fixtures.join(low, keys).where(F.col("fixture_id") > F.col("_a")).groupBy(*keys).agg(F.min("fixture_id").alias("_b"))
+    low = among.groupBy(*keys).agg(F.min("fixture_id").alias("_a"))
+    second = among.join(low, keys).where(F.col("fixture_id") > F.col("_a")).groupBy(*keys).agg(F.min("fixture_id").alias("_b"))
     two = low.join(second, keys, "left")
     days_near = F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days)))
     # days are spread per (league, home, away, date), not per fixture
@@ -97,6 +102,27 @@ def fuzzy_alternates(fixtures: DataFrame, days: int = 3) -> DataFrame:
     return fixtures.select("fixture_id", *keys).join(best, keys).select("fixture_id", pick.alias("alt_fixture_id")).where(F.col("alt_fixture_id").isNotNull())
 
 
+def quote_sources(wanted: DataFrame, fixtures: DataFrame, having: DataFrame, days: int = 3) -> DataFrame:
+    """(fixture_id, source_id): whose quotes to read for each wanted fixture.
+
+    Its own where its id is in ``having``; else those of the lowest quoted fixture with the same sides within +-days; else
+    of the lowest quoted one of its league whose sides' names contain, or are contained in, its own. Others have no row.
+    """
+    has = durable(having.select("fixture_id").distinct())
+    quoted = fixtures.join(has, "fixture_id", "left_semi")
+    found = wanted.join(has, "fixture_id", "left_semi").select("fixture_id", F.col("fixture_id").alias("source_id"))
+    lacking = durable(wanted.join(has, "fixture_id", "left_anti"))
+    exact = durable(alternates(lacking, has, days, quoted).select("fixture_id", F.col("alt_fixture_id").alias("source_id")))
+    rest = lacking.join(exact, "fixture_id", "left_anti")
+    fuzzy = fuzzy_alternates(rest, days, quoted).select("fixture_id", F.col("alt_fixture_id").alias("source_id"))
+    return found.unionByName(exact).unionByName(fuzzy)
+
+
+def relabelled(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """The sources' quotes under the ids of the fixtures that read them."""
+    return quotes.withColumnRenamed("fixture_id", "source_id").join(sources, "source_id").drop("source_id").select(*quotes.columns)
+
+
 def phantom_duplicates(fixtures: DataFrame, days: int = 3) -> DataFrame:
     """Upcoming fixtures marked ``is_synthetic`` with a real one of the same sides within +-days."""
     real = fixtures.where(~F.col("is_synthetic") & (F.col("status") != "cancelled"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratewright import config as c
 from ratewright.operators import bradley_terry as bt
 from ratewright.operators import consensus as k
+from ratewright.operators import reports as rp
 from ratewright.operators import resolve as rv
 from ratewright.operators import settle as st
 from ratewright.operators import tables as tb
@@ -240,3 +241,44 @@ def test_every_check_has_its_query():
 @pytest.mark.parametrize("name", ["consensus_power", "settle_v1", "rankings"])
 def test_queries_run_on_the_smallest_tables(spark, name):
     assert all_queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pair_correlations_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rp, "POSITIONS", 7)
+    monkeypatch.setattr(rp, "TEAMS", 3)
+    rng = random.Random(61)
+    rows = []
+    for league, n in (("A", 10), ("B", 2), ("C", 1)):
+        for i in range(n):
+            price = 50.0
+            for day in range(rng.choice([2, 3, 25, 40])):
+                price += rng.gauss(0, 1) if i != 3 else 0.0
+                rows.append((f"{league}{i}", "m", league, DAY + dt.timedelta(days=day), price))
+    df = spark.createDataFrame(rows, "team string, model string, league string, date date, dollar_price double")
+    got = {r.league: r for r in rp.pair_correlation(df).collect()}
+    frame = pd.DataFrame(rows, columns=["team", "model", "league", "date", "price"])
+    for league, g in frame.groupby("league"):
+        series = {t: np.diff(x.sort_values("date").price) for t, x in g.groupby("team")}
+        found = []
+        names = sorted(series)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                k = min(len(series[a]), len(series[b]))
+                x, y = series[a][:k], series[b][:k]
+                if k >= 3 and x.std() > 1e-9 and y.std() > 1e-9:
+                    found.append(np.corrcoef(x, y)[0, 1])
+        assert got[league].n_teams == len(names) and got[league].n_pairs == len(found)
+        assert got[league].avg_correlation == pytest.approx(np.mean(found) if found else 0.0, abs=1e-9)
+
+
+def test_quote_sources_own_then_exact_then_alike(spark):
+    def f(i, day, home, away, league="L"):
+        return (i, DAY + dt.timedelta(days=day), league, home, away)
+
+    schema = "fixture_id long, date date, league string, home_team string, away_team string"
+    wanted = [f(1, 0, "Ayr United", "Bury Town"), f(2, 0, "Cork City", "Dover Rovers"), f(3, 0, "Ely Rangers", "Fife Albion"), f(4, 0, "Gort", "Hythe"), f(5, 0, "Ipswich", "Kent")]
+    others = [f(10, 2, "Cork City", "Dover Rovers"), f(9, 3, "Cork City", "Dover Rovers"), f(8, 4, "Cork City", "Dover Rovers"), f(20, 1, "Ely", "Fife Albion"), f(19, 1, "Ely", "Fife", "M"), f(30, 1, "Gort", "Kent")]
+    fixtures = spark.createDataFrame(wanted + others, schema)
+    having = spark.createDataFrame([(i,) for i in (1, 8, 9, 10, 19, 20, 30)], "fixture_id long")
+    got = {r.fixture_id: r.source_id for r in rv.quote_sources(spark.createDataFrame(wanted, schema), fixtures, having).collect()}
+    assert got == {1: 1, 2: 9, 3: 20}
