@@ -10,14 +10,22 @@ from ratewright.functions import calendar as t
 from ratewright.functions import numeric as x
 from ratewright.operators import consensus as k
 from ratewright.operators import settle as st
+from ratewright.operators.resolve import relabelled
 from ratewright.operators.tables import latest_quotes, pick_by
+from ratewright.session import durable
 
 
-def live_layer(fixtures: DataFrame, quotes: DataFrame, kr: DataFrame, as_of: Column, fresh_minutes: float, corrected: bool = True) -> DataFrame:
+def live_layer(fixtures: DataFrame, quotes: DataFrame, kr: DataFrame, as_of: Column, fresh_minutes: float, corrected: bool = True, among: DataFrame | None = None) -> DataFrame:
     """L = K(E_live - E_frozen) per side of each started fixture, with the reason where it stays zero.
 
-    Third generation compares draw-corrected scores; earlier ones use uncorrected E_live.
+    Third generation compares draw-corrected scores; earlier ones use uncorrected E_live. With ``among``, a fixture that
+    nobody quotes reads the quotes of the lowest quoted one there with the same sides within three days.
     """
+    if among is not None:
+        ids = durable(quotes.select("fixture_id").distinct())
+        own = fixtures.join(ids, "fixture_id", "left_semi").select("fixture_id", F.col("fixture_id").alias("source_id"))
+        other = k.alternates(fixtures.join(ids, "fixture_id", "left_anti"), ids, among=among).select("fixture_id", F.col("alt_fixture_id").alias("source_id"))
+        quotes = relabelled(quotes, own.unionByName(other))
     books = k.book_probs(latest_quotes(k.in_play(quotes, fixtures, as_of, fresh_minutes).where(x.valid_quote(*k.ODDS))))
     counts = books.groupBy("fixture_id").agg(F.count("p_home").alias("live_books"))
     agreed = k.median_consensus(books).select("fixture_id", F.col("home_prob").alias("_h"), F.col("draw_prob").alias("_d"), F.col("away_prob").alias("_a"))

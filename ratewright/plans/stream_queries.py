@@ -320,3 +320,77 @@ def bootstrap_teams(spark, d):
     missing = rv.missing_teams(f, state.where(F.col("b_value") > 1500), nobody, spark.createDataFrame([], "source string"))
     fut = mk.futures_table(futures(spark, d), state, as_of() + F.expr("INTERVAL 5 HOURS"))
     return lv.bootstrap_rows(missing, fut).select("team_id", r("b_value", 3).alias("b_value"))
+
+
+# --- the in-play layer of earlier generations, with quotes of alternate fixtures -----------------
+
+fragment("lquotes", ("quotes",), "SELECT * FROM quotes WHERE fixture_id % 4 <> 0")
+fragment(
+    "lsrc",
+    ("fixtures", "lquotes"),
+    """
+    SELECT f.fixture_id, CASE WHEN bool_or(h.fixture_id = f.fixture_id) THEN f.fixture_id ELSE min(h.fixture_id) END AS source_id
+    FROM fixtures f JOIN (SELECT * FROM fixtures WHERE fixture_id IN (SELECT fixture_id FROM lquotes)) h ON h.home_team = f.home_team AND h.away_team = f.away_team AND h.date BETWEEN f.date - 3 AND f.date + 3 GROUP BY 1
+    """,
+)
+fragment(
+    "linplay",
+    ("lsrc", "lquotes", "fixtures"),
+    f"""SELECT * EXCLUDE (rn) FROM (SELECT f.fixture_id, q.* EXCLUDE (fixture_id), row_number() OVER (PARTITION BY f.fixture_id, bookmaker ORDER BY snapshot_time DESC, home_odds DESC, draw_odds DESC, away_odds DESC) AS rn
+        FROM lquotes q JOIN lsrc s ON s.source_id = q.fixture_id JOIN fixtures f ON f.fixture_id = s.fixture_id WHERE snapshot_time > coalesce(commence_time, CAST(date AS TIMESTAMP)) AND snapshot_time <= TIMESTAMP '{AS_OF}'
+          AND snapshot_time >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAYS AND least(home_odds, draw_odds, away_odds) >= 1.01) WHERE rn = 1""",
+)
+fragment(
+    "lbis(fixture_id, bookmaker, h, d, a, lo, hi, i)",
+    ("linplay",),
+    """SELECT fixture_id, bookmaker, 1 / home_odds, 1 / draw_odds, 1 / away_odds, 0.01::DOUBLE, 10.0::DOUBLE, 0 FROM linplay UNION ALL
+       SELECT fixture_id, bookmaker, h, d, a, CASE WHEN pow(h, (lo + hi) / 2) + pow(d, (lo + hi) / 2) + pow(a, (lo + hi) / 2) > 1 THEN (lo + hi) / 2 ELSE lo END,
+              CASE WHEN pow(h, (lo + hi) / 2) + pow(d, (lo + hi) / 2) + pow(a, (lo + hi) / 2) > 1 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM lbis WHERE i < 50""",
+)
+fragment(
+    "llive",
+    ("lbis", "kr", "fixtures"),
+    """
+    SELECT fixture_id, CASE WHEN home THEN home_team ELSE away_team END AS team_id, CASE WHEN home THEN home_expected_score ELSE away_expected_score END AS e_kr, coalesce(n, 0) AS live_books,
+           CASE WHEN CASE WHEN home THEN home_expected_score ELSE away_expected_score END IS NULL THEN 'no_kr_available' WHEN coalesce(n, 0) < 2 THEN 'insufficient_live_books' END AS freeze_reason,
+           CASE WHEN home THEN mh ELSE ma END / t + 0.5 * md / t AS e_live
+    FROM (SELECT *, unnest([true, false]) AS home FROM fixtures) f LEFT JOIN kr USING (fixture_id) LEFT JOIN (
+      SELECT *, mh + md + ma AS t FROM (SELECT fixture_id, count(*) AS n, median(CASE WHEN ok THEN pow(h, k) ELSE h / (h + d + a) END) AS mh,
+             median(CASE WHEN ok THEN pow(d, k) ELSE d / (h + d + a) END) AS md, median(CASE WHEN ok THEN pow(a, k) ELSE a / (h + d + a) END) AS ma
+      FROM (SELECT *, (lo + hi) / 2 AS k, pow(h, 0.01) + pow(d, 0.01) + pow(a, 0.01) >= 1 AND pow(h, 10) + pow(d, 10) + pow(a, 10) <= 1 AS ok FROM lbis WHERE i = 50) GROUP BY fixture_id)) USING (fixture_id)
+    """,
+)
+
+
+def earlier_layer(spark, d):
+    f = fixtures(spark, d)
+    return lv.live_layer(f, quotes(spark, d).where(F.col("fixture_id") % 4 != 0), frozen(spark, d), as_of(), 400 * 24 * 60.0, corrected=False, among=f)
+
+
+@query(
+    "live_layer_earlier",
+    sql(
+        f"""SELECT fixture_id, team_id, live_books, coalesce(freeze_reason, 'live') AS state, {rnd('CASE WHEN freeze_reason IS NULL THEN 30 * (e_live - e_kr) ELSE 0.0 END', 5)} AS l_value FROM llive""",
+        "llive",
+    ),
+)
+def live_layer_earlier(spark, d):
+    """The layer without draw correction; fixtures that nobody quotes read an alternate's quotes."""
+    out = earlier_layer(spark, d)
+    return out.select("fixture_id", "team_id", "live_books", F.coalesce("freeze_reason", F.lit("live")).alias("state"), r("l_value", 5).alias("l_value"))
+
+
+@query(
+    "publish_live_earlier",
+    sql(
+        f"""SELECT team_id, {rnd('l_value', 4)} AS l_value, {rnd('b_value + CASE WHEN length(team_id) % 2 = 0 THEN 1.0 ELSE 0.0 END + l_value', 3)} AS published_index FROM state JOIN (
+              SELECT team_id, arg_max(30 * (e_live - e_kr), fixture_id) AS l_value FROM llive WHERE freeze_reason IS NULL GROUP BY 1) USING (team_id)""",
+        "state",
+        "llive",
+    ),
+)
+def publish_live_earlier(spark, d):
+    """The earlier generations' live index: B, the M1 locked at kickoff, and L."""
+    layer = earlier_layer(spark, d)
+    out = lv.publish_live(lv.kickoff_freeze(stored_state(spark, d), layer), layer, weighted=False)
+    return out.select("team_id", r("l_value", 4).alias("l_value"), r("published_index", 3).alias("published_index"))
