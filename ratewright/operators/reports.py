@@ -278,11 +278,34 @@ def sections(fixtures: DataFrame) -> DataFrame:
     return ordered_scan(rows, ["date"], ["starts", "fixture_id"], numbers="place")
 
 
-def analytics_document(blocks: dict[str, DataFrame]) -> DataFrame:
-    """One row, one JSON document: each block is a small report collected into an array."""
+def analytics_blocks(prices: DataFrame, fixtures: DataFrame, probs: DataFrame, model: str = "oracle") -> dict[str, DataFrame]:
+    """The blocks of the analytics document, each a small report; ``totals`` is one row, the others are lists."""
+    impacts = price_impact(prices, fixtures, model)
+    one, n = F.lit(1).alias("_k"), F.count(F.lit(1))
+    totals = prices.agg(F.countDistinct("team").alias("teams"), n.alias("price_rows"), F.sort_array(F.collect_set("model")).alias("models"), F.sort_array(F.collect_set("league")).alias("leagues")).select("*", one)
+    totals = totals.join(fixtures.agg(n.alias("matches")).select("*", one), "_k").join(probs.agg(n.alias("prediction_rows")).select("*", one), "_k").drop("_k")
+    latest = prices.where(F.col("model") == model).groupBy("team").agg(F.max_by("league", "date").alias("league"), F.max_by("dollar_price", "date").alias("latest_price"))
+    top = latest.orderBy(F.desc("latest_price"), "team").limit(5)
+    point = [c for c in ("date", "dollar_price", "implied_elo") if c in prices.columns]
+    # Five teams' series: a row per calendar day and model.
+    series = prices.join(top.select("team"), "team", "left_semi").groupBy("team", "model").agg(F.sort_array(F.collect_list(F.struct(*point))).alias("prices"))
+    series = series.groupBy("team").agg(F.sort_array(F.collect_list(F.struct("model", "prices"))).alias("models"))
+    cents = {c: F.round(c, 2) for c in ("price_before", "price_after", "delta")}
+    moves = impacts.orderBy(F.round(F.abs("delta"), 4).desc(), "fixture_id", "team").limit(10).withColumns(cents)
+    side = F.when(F.col("is_home"), "home").otherwise("away").alias("home_away")
+    return {
+        "totals": totals, "volatility": volatility(prices, fixtures), "brier_scores": brier(probs, fixtures), "arb_frequency": edge_frequency(probs), "cross_team_correlations": pair_correlation(prices),
+        "top5_teams_by_price": top.select("latest_price", "team", "league"), "top5_daily_prices": series, "price_impact_by_result": impact_by_result(impacts),
+        "top10_price_moves": moves.select("fixture_id", "team", "opponent", "date", "league", side, "result", "score", "price_before", "price_after", "delta"),
+    }
+
+
+def analytics_document(blocks: dict[str, DataFrame], generated_at: Column, start: Column) -> DataFrame:
+    """One row, one JSON document: when it was made, the days it covers, ``totals`` as an object and each other block as an array."""
     spark = next(iter(blocks.values())).sparkSession
-    out = spark.range(1).select(F.lit(1).alias("_k"))
+    out = spark.range(1).select(F.lit(1).alias("_k"), generated_at.alias("generated_at"), F.struct(start.alias("start"), generated_at.cast("date").alias("end")).alias("data_range"))
     for name, df in blocks.items():
-        block = df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name)).withColumn("_k", F.lit(1))
+        rows = F.sort_array(F.collect_list(F.struct(*df.columns)))
+        block = df.agg((rows[0] if name == "totals" else rows).alias(name)).withColumn("_k", F.lit(1))
         out = out.join(block, "_k")
-    return out.select(F.to_json(F.struct(*blocks)).alias("document"))
+    return out.select(F.to_json(F.struct("generated_at", "data_range", *blocks)).alias("document"))

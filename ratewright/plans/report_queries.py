@@ -275,12 +275,50 @@ def dataset_totals(spark, d):
 
 @query("analytics_document")
 def analytics_document(spark, d):
-    p, f, m = daily_prices(spark, d), fixtures(spark, d), match_probs(spark, d)
-    blocks = {
-        "volatility": rp.volatility(p, f), "brier_scores": rp.brier(m, f), "arb_frequency": rp.edge_frequency(m),
-        "cross_team_correlations": rp.pair_correlation(p), "price_impact_by_result": rp.impact_by_result(rp.price_impact(p, f, "oracle")),
-    }
-    return rp.analytics_document(blocks)
+    """All report blocks as one JSON document."""
+    p = daily_prices(spark, d)
+    start = F.lit("1995-01-01").cast("date")
+    return rp.analytics_document(rp.analytics_blocks(p, fixtures(spark, d), match_probs(spark, d)), as_of(), start)
+
+
+BLOCKS = ["volatility", "brier_scores", "arb_frequency", "cross_team_correlations", "top5_teams_by_price", "top5_daily_prices", "price_impact_by_result", "top10_price_moves"]
+
+
+@query(
+    "analytics_blocks",
+    sql(
+        f"""SELECT 'volatility' AS block, (SELECT count(DISTINCT model) FROM dprices) AS entries, NULL::DOUBLE AS value UNION ALL SELECT 'brier_scores', (SELECT count(DISTINCT model) FROM mprobs), NULL
+            UNION ALL SELECT 'arb_frequency', (SELECT count(DISTINCT model) FROM mprobs), NULL UNION ALL SELECT 'cross_team_correlations', (SELECT count(*) FROM (SELECT DISTINCT league, model FROM dprices)), NULL
+            UNION ALL SELECT 'top5_teams_by_price', 5, (SELECT {rnd('sum(p)', 4)} FROM (SELECT arg_max(dollar_price, date) AS p FROM dprices WHERE model = 'oracle' GROUP BY team ORDER BY p DESC LIMIT 5))
+            UNION ALL SELECT 'top5_daily_prices', 5, (SELECT count(*) FROM dprices WHERE team IN (SELECT team FROM (SELECT team, arg_max(dollar_price, date) AS p FROM dprices WHERE model = 'oracle' GROUP BY 1 ORDER BY p DESC, team LIMIT 5)))
+            UNION ALL SELECT 'price_impact_by_result', (SELECT count(DISTINCT result) FROM impacts), (SELECT count(*) FROM impacts)
+            UNION ALL SELECT 'top10_price_moves', 10, (SELECT {rnd('sum(m)', 4)} FROM (SELECT round(abs(delta), 2) AS m FROM impacts ORDER BY round(abs(delta), 4) DESC LIMIT 10))
+            UNION ALL SELECT 'totals', (SELECT count(*) FROM dprices), (SELECT count(*) FROM fixtures) + (SELECT count(*) FROM mprobs)""",
+        "dprices",
+        "mprobs",
+        "impacts",
+        "fixtures",
+    ),
+)
+def analytics_blocks(spark, d):
+    """What the document says, block by block: how many entries, and a sum over them."""
+    doc = analytics_document(spark, d)
+
+    def listed(name, kind, value):
+        entries = F.from_json(F.get_json_object("document", f"$.{name}"), f"array<{kind}>")
+        total = F.aggregate(entries, F.lit(0.0), lambda a, e: a + value(e)) if value else F.lit(None).cast("double")
+        return F.struct(F.lit(name).alias("block"), F.size(entries).cast("long").alias("entries"), F.round(total, 4).alias("value"))
+
+    values = {
+        "top5_teams_by_price": ("struct<latest_price:double>", lambda e: e["latest_price"]),
+        "top5_daily_prices": ("struct<models:array<struct<prices:array<struct<dollar_price:double>>>>>", lambda e: F.aggregate(e["models"], F.lit(0.0), lambda a, m: a + F.size(m["prices"]))),
+        "price_impact_by_result": ("struct<count:double>", lambda e: e["count"]),
+        "top10_price_moves": ("struct<delta:double>", lambda e: F.abs(e["delta"])),
+    }
+    rows = [listed(n, *values.get(n, ("struct<model:string>", None))) for n in BLOCKS]
+    totals = F.from_json(F.get_json_object("document", "$.totals"), "struct<price_rows:long,matches:long,prediction_rows:long>")
+    rows.append(F.struct(F.lit("totals").alias("block"), totals["price_rows"].alias("entries"), (totals["matches"] + totals["prediction_rows"]).cast("double").alias("value")))
+    return doc.select(F.inline(F.array(*rows)))
 
 
 # --- diagnostics on the settlement log ---------------------------------------------------
