@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewright.llm.vectors import lengths, matrix, usable
+from ratewright.llm.vectors import common_size, lengths, matrix, usable
 
 PROJECTIONS = 128
 HALF = 1.0
@@ -93,8 +93,10 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     repeat a query's key one is asked; other repeated rows are candidates each. An empty table gives an empty one; columns not
     named are not read.
     """
-    marked = usable(df.withColumn("_asked", is_query), key, vector)
-    asked = usable(df.where(is_query), key, vector).groupBy("id").agg(F.min("vec").alias("vec"))
+    # One size for both: queries of another size than most rows take no part either.
+    size = common_size(df, key, vector)
+    marked = usable(df, key, vector, size)
+    asked = usable(df.where(is_query), key, vector, size).groupBy("id").agg(F.min("vec").alias("vec"))
     # Both sizes settle how many bounded blocks and chunks there are; hashes of keys deal rows to them.
     blocks = max(1, -(-marked.count() // block_rows))
     chunks = max(1, -(-asked.count() // chunk_rows))

@@ -7,16 +7,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, vec) of rows whose vector has a direction: not null, empty or zero, all parts finite, and of the commonest size.
-
-    Ties between sizes go to the smaller one. Rows with a null key are left out.
-    """
+def _directed(df: DataFrame, key: str, vector: str) -> DataFrame:
     finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(finite & F.exists(vector, lambda x: x != 0))
-    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"))
-    common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vec") == (common["d"] if common else -1))
+    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"))
+
+
+def common_size(df: DataFrame, key: str, vector: str) -> int:
+    """The commonest size of vectors that have a direction, the smaller one of two; -1 if there is none."""
+    common = _directed(df, key, vector).groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return common["d"] if common else -1
+
+
+def usable(df: DataFrame, key: str, vector: str, size: int | None = None) -> DataFrame:
+    """(id, vec) of rows whose vector has a direction: not null, empty or zero, all parts finite, and of ``size``.
+
+    Without a size it is the commonest. Rows with a null key are left out.
+    """
+    return _directed(df, key, vector).where(F.size("vec") == (common_size(df, key, vector) if size is None else size))
 
 
 def matrix(column) -> np.ndarray:

@@ -62,6 +62,14 @@ def test_few_candidates_are_all_returned(spark):
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_queries_of_another_size_take_no_part(spark):
+    rows = [(i, [1.0, float(i), 2.0, 0.5]) for i in range(1, 20)] + [(50, [1.0, 2.0, 3.0]), (100, [3.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert nearest(df, F.col("vec_id") % 50 == 0).collect() == []
+    got = nearest(df, F.col("vec_id").isin(3, 50)).collect()
+    assert {r.query_id for r in got} == {3} and len(got) == 5 and all(r.id < 20 for r in got)
+
+
 def test_embedding_links_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pq, "HOME_ROWS", 40)
     monkeypatch.setattr(pq, "PROBE_ROWS", 60)
