@@ -3,7 +3,8 @@
 No piece of the model holds the word mark behind another character (proved when the vocabulary is read), so merges
 never cross from one pre-token (word marks, then other characters) to the next and their counts add up. Which
 vocabulary strings encode alone as one token is proved offline by encoding each. In a text such pre-tokens count one
-each at once; only the rest is merged, each distinct string once per task while the memory of counts lasts.
+each at once; only the rest is merged, each distinct string once per task while the memory of counts lasts. That memory
+is bounded in characters, and long strings aren't kept.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from ratewright.llm.common import slices
 
 MARK = "▁"
 PRE_TOKEN = re.compile(r" +[^ ]*")
-#: Counts of merged strings that a task keeps; when full it starts again.
-KEPT = 300_000
+#: Characters of merged strings that a task keeps; when full it starts again.
+KEPT_CHARS = 1 << 22
+#: Longest pre-token that is kept: texts without spaces are one pre-token each, and don't come twice.
+LONGEST = 64
 
 
 def single_tokens(model: sentencepiece.SentencePieceProcessor) -> dict[str, int]:
@@ -51,18 +54,25 @@ def _model(path: str) -> tuple[sentencepiece.SentencePieceProcessor, dict[str, i
 class Counter:
     def __init__(self, path: str):
         self.model, self.single = _model(path)
-        self.rest: dict[str, int] = dict(self.single)
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self.rest, self.chars = dict(self.single), 0
 
     def count(self, texts: list[str]) -> list[int]:
         split = [PRE_TOKEN.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        new = set().union(*split) - self.rest.keys()
-        if len(self.rest) + len(new) > KEPT + len(self.single):
-            self.rest = dict(self.single)
-            new = set().union(*split) - self.rest.keys()
-        todo = list(new)
+        if self.chars > KEPT_CHARS:
+            self._start_anew()
+        todo = list(set().union(*split) - self.rest.keys())
         self.rest.update(zip(todo, _merged(self.model, todo), strict=True))
         get = self.rest.__getitem__
-        return [sum(map(get, s)) for s in split]
+        counts = [sum(map(get, s)) for s in split]
+        for t in todo:
+            if len(t) > LONGEST:
+                del self.rest[t]
+            else:
+                self.chars += len(t)
+        return counts
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:

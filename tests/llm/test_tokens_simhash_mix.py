@@ -11,7 +11,7 @@ import xxhash
 
 from ratewright.llm.mixing import mixed, sainte_lague, weighted_targets
 from ratewright.llm.simhash import BANDS, band_keys, near_links, simhash_classes, within
-from ratewright.llm.tokens import single_tokens, token_counts
+from ratewright.llm.tokens import LONGEST, Counter, single_tokens, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -40,6 +40,21 @@ def test_token_counts_equal_the_library(spark, docs):
     assert token_counts(docs([])).collect() == []
 
 
+def test_memory_of_counts_is_bounded_in_characters(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    slices = [["".join(rng.choices("abc漢é ", k=rng.randrange(1, 300))) for _ in range(20)] + ["漢字" * 2000, "x" * 9000] for _ in range(6)]
+    for kept in (1 << 22, 50):
+        monkeypatch.setattr("ratewright.llm.tokens.KEPT_CHARS", kept)
+        counter = Counter(path)
+        for texts in slices:
+            assert counter.count(texts) == [len(model.encode(t)) for t in texts]
+            grown = counter.rest.keys() - counter.single.keys()
+            assert max(map(len, grown)) <= LONGEST and sum(map(len, grown)) == counter.chars
+        assert kept > 50 or counter.chars < 5000
+
+
 def test_shortcut_holds_only_single_tokens():
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     single = single_tokens(model)
