@@ -8,9 +8,9 @@ drawn at once, below that of the region it was cut from. The best region is popp
 beginning on, and the rest of it falls into smaller regions, one for each step of that path. The (k+1)-th noisy value is
 the threshold from which each drawn path's inclusion probability follows.
 
-No piece of the vocabulary runs from one word to the next, so a text's lattice is a row of word lattices; each distinct
-word of a slice of rows is laid out once, and all rows of the slice take their steps together. All noise comes from the
-row's key, so a row is segmented alike wherever and whenever it is read.
+No piece of the vocabulary runs from one word to the next, so a text's lattice is a row of word lattices; a worker lays out
+each distinct word once while its memory of lattices lasts, and all rows of a slice take their steps together. All noise
+comes from the row's key, so a row is segmented alike wherever and whenever it is read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,15 @@ from ratewright.llm.common import mix, slices
 from ratewright.llm.tokens import MARK, PRE_TOKEN
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+STRIDE = np.uint64(0x589965CC75374CC3)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: What a character outside the vocabulary costs beyond the rarest piece, as the library has it.
 UNKNOWN_PENALTY = 10.0
 FILTER = 1 << 20
+#: Characters of words whose lattices a worker keeps from slice to slice; beyond that it starts anew.
+KEPT_CHARS = 1 << 20
+#: Words laid out at once, so that the arrays at work stay in the processor's cache.
+BLOCK_WORDS = 1 << 12
 
 
 class Vocabulary:
@@ -61,6 +67,8 @@ class Vocabulary:
         self.ascii_ids = np.array([self.byte_ids.get(b, self.unk) for b in range(128)], dtype=np.int32)
         # What ids decode to; a byte piece gives its byte, control pieces nothing.
         self.bytes = [p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else b"" for p in model.pieces]
+        self.bytes_of = np.empty(len(self.bytes), dtype=object)
+        self.bytes_of[:] = self.bytes
         self.filter = np.zeros(FILTER, dtype=bool)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         lengths = np.array([len(p) for _, p, _ in normal])
@@ -75,7 +83,7 @@ class Vocabulary:
 
     def decode(self, ids) -> bytes:
         """The text of an encoding: pieces joined, word marks as spaces, the first one left out."""
-        raw = b"".join([self.bytes[i] for i in ids])
+        raw = b"".join(self.bytes_of[np.asarray(ids, dtype=np.int64)].tolist())
         return raw[1:] if raw[:1] == b" " else raw
 
 
@@ -84,19 +92,54 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Lattices:
-    """Lattices of distinct words side by side. Word c's nodes run from start[c] to end[c]; edges are sorted by their node."""
+    """Lattices of distinct words side by side, more added as they come.
+
+    Word c's nodes run from start[c] to end[c]; edges are sorted by their node. ``reach`` sums the chances of a node's edges
+    up to each one. What a word's lattice holds doesn't depend on the words beside it.
+    """
 
     def __init__(self, words: list[str], vocab: Vocabulary, alpha: float):
+        self.vocab, self.alpha = vocab, alpha
+        self.of = self.target = self.piece = np.empty(0, dtype=np.int32)
+        self.start = self.end = np.empty(0, dtype=np.int64)
+        self.first, self.log_q, self.reach = np.zeros(1, dtype=np.int64), np.empty(0), np.empty(0)
+        self.chars = 0
+        self.add(words)
+
+    def add(self, words: list[str]) -> None:
+        arrays = {name: [getattr(self, name)] for name in ("of", "target", "piece", "log_q", "reach", "first", "start", "end")}
+        nodes, edges = len(self.first) - 1, len(self.of)
+        for i in range(0, len(words), BLOCK_WORDS):
+            some = words[i : i + BLOCK_WORDS]
+            of, target, piece, log_q, reach, first, start, end = self._laid_out(some)
+            found = (of + nodes).astype(np.int32), (target + nodes).astype(np.int32), piece.astype(np.int32), log_q, reach, first[1:] + edges, start + nodes, end + nodes
+            for parts, more in zip(arrays.values(), found, strict=True):
+                parts.append(more)
+            nodes, edges, self.chars = nodes + len(first) - 1, edges + len(of), self.chars + len(first) - 1 - len(some)
+        for name, parts in arrays.items():
+            setattr(self, name, np.concatenate(parts))
+
+    def _laid_out(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """of, target, piece, log_q, reach, first, start and end of these words alone."""
+        vocab, alpha = self.vocab, self.alpha
         length = np.array([len(w) for w in words], dtype=np.int64)
-        self.chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-        n = len(self.chars)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        n = len(chars)
         ends = np.cumsum(length)
         left = np.repeat(ends, length) - np.arange(n)
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), BASE)]))[:n]
         back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), INVERSE)]))[:n]
         prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.chars.astype(np.uint64) + np.uint64(1)) * power, out=prefix[1:])
+        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * power, out=prefix[1:])
         node = np.arange(n) + np.repeat(np.arange(len(words)), length)
         source, target, piece, weight = [], [], [], []
         single = np.zeros(n, dtype=bool)
@@ -120,17 +163,17 @@ class Lattices:
         source.append(node[alone])
         target.append(node[alone] + 1)
         # A character outside the vocabulary is spelt in bytes: -1 less its code point.
-        piece.append(-1 - self.chars[alone].astype(np.int64))
+        piece.append(-1 - chars[alone].astype(np.int64))
         weight.append(np.full(len(alone), alpha * vocab.unknown))
         # Longest pieces first: they are the likelier ones, so choosing mostly ends at a node's first edge.
         source, target, weight, piece = (np.concatenate(x[::-1]) for x in (source, target, weight, piece))
         order = np.argsort(source, kind="stable")
-        self.of, self.target, self.piece, weight = source[order], target[order], piece[order], weight[order]
+        of, target, piece, weight = source[order], target[order], piece[order], weight[order]
         nodes = n + len(words)
-        degree = np.bincount(self.of, minlength=nodes)
-        self.first = np.concatenate([[0], np.cumsum(degree)])
-        self.start = np.concatenate([[0], ends[:-1]]) + np.arange(len(words)) if len(words) else ends
-        self.end = self.start + length
+        degree = np.bincount(of, minlength=nodes)
+        first = np.concatenate([[0], np.cumsum(degree)])
+        start = np.concatenate([[0], ends[:-1]]) + np.arange(len(words)) if len(words) else ends
+        end = start + length
         # Backward log sums, all nodes at one distance from their word's end together.
         distance = np.zeros(nodes, dtype=np.int64)
         distance[node] = left
@@ -141,13 +184,17 @@ class Lattices:
             some = by[cuts[d] : cuts[d + 1]]
             count = degree[some]
             begin = np.cumsum(count) - count
-            edges = np.arange(int(count.sum())) - np.repeat(begin - self.first[some], count)
-            t = weight[edges] + beta[self.target[edges]]
+            edges = np.arange(int(count.sum())) - np.repeat(begin - first[some], count)
+            t = weight[edges] + beta[target[edges]]
             top = np.maximum.reduceat(t, begin)
             beta[some] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, count)), begin))
-        self.log_q = np.minimum(weight + beta[self.target] - beta[self.of], 0.0)
-        running = np.cumsum(np.exp(self.log_q))
-        self.reach = running - np.concatenate([[0.0], running])[self.first[self.of]]
+        log_q = np.minimum(weight + beta[target] - beta[of], 0.0)
+        reach, some, j = np.exp(log_q), np.flatnonzero(degree > 1), 1
+        while len(some):
+            reach[first[some] + j] += reach[first[some] + j - 1]
+            j += 1
+            some = some[degree[some] > j]
+        return of, target, piece, log_q, reach, first, start, end
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by chance."""
@@ -210,30 +257,44 @@ class Row:
 
     def noise(self, leaf: int, purpose: int, n: int) -> np.ndarray:
         start = (self.seed + leaf * 0xA0761D6478BD642F + purpose * 0xE7037ED1A0B428DB) & (1 << 64) - 1
-        return np.uint64(start) + np.arange(n, dtype=np.uint64) * np.uint64(0x589965CC75374CC3)
+        return np.uint64(start) + np.arange(n, dtype=np.uint64) * STRIDE
 
 
-def _cut_up(row: Row, leaf: int, lattices: Lattices, path: Path, since: int, avoided: tuple, k: int) -> None:
-    """Push the regions beside a path from a step on: as many of the best as can still be popped."""
-    log_q = lattices.log_q[path.edges]
-    before = np.concatenate([[0.0], np.cumsum(log_q)[:-1]]) if len(log_q) else np.empty(0)
+def _cut_up(rows: list[Row], leaf: int, lattices: Lattices, since: list[int], avoided: list[tuple], k: int) -> None:
+    """Push the regions beside each row's newest path from a step on: as many of the best as can still be popped."""
+    paths = [row.paths[-1] for row in rows]
+    tails = [p.edges[a:] for p, a in zip(paths, since, strict=True)]
+    count = np.array([len(t) for t in tails])
+    cuts = np.concatenate([[0], np.cumsum(count)])
+    e = np.concatenate(tails)
+    log_q, node = lattices.log_q[e], lattices.of[e]
     with np.errstate(divide="ignore"):
-        aside = np.log1p(-np.minimum(np.exp(log_q[since:]), 1.0))
+        aside = np.log1p(-np.minimum(np.exp(log_q), 1.0))
     # An only continuation leaves nothing beside it, whatever rounding says.
-    e = path.edges[since:]
-    node_of = lattices.of[e]
-    aside[lattices.first[node_of + 1] - lattices.first[node_of] == 1] = -np.inf
-    if len(aside) and avoided:
-        edges = np.arange(lattices.first[node_of[0]], lattices.first[node_of[0] + 1])
-        rest = np.setdiff1d(edges, np.array([*avoided, e[0]]))
-        aside[0] = np.log(np.exp(lattices.log_q[rest]).sum()) if len(rest) else -np.inf
-    place = before[since:] + aside
-    value = below(path.noisy, place, uniform(row.noise(leaf, 1, len(place))))
+    aside[lattices.first[node + 1] - lattices.first[node] == 1] = -np.inf
+    before = []
+    for i, (path, a) in enumerate(zip(paths, since, strict=True)):
+        # Sums run row by row, so that a row's values don't depend on the rows beside it.
+        run = np.cumsum(lattices.log_q[path.edges])
+        path.log_prob = float(run[-1]) if len(run) else 0.0
+        before.append(np.concatenate([[0.0], run[:-1]])[a : a + count[i]])
+        if count[i] and avoided[i]:
+            at, shut = cuts[i], {*avoided[i], int(e[cuts[i]])}
+            rest = [x for x in range(int(lattices.first[node[at]]), int(lattices.first[node[at] + 1])) if x not in shut]
+            aside[at] = np.log(np.exp(lattices.log_q[rest]).sum()) if rest else -np.inf
+    before = np.concatenate(before)
+    place = before + aside
+    begin = np.array([row.noise(leaf, 1, 1)[0] for row in rows], dtype=np.uint64)
+    step = (np.arange(len(e)) - np.repeat(cuts[:-1], count)).astype(np.uint64)
+    value = below(np.repeat([p.noisy for p in paths], count), place, uniform(np.repeat(begin, count) + step * STRIDE))
     value[~np.isfinite(place)] = -np.inf
-    want = min(k + 1 - len(row.paths), len(value))
-    for i in np.argpartition(-value, want - 1)[:want].tolist() if want > 0 else []:
-        if np.isfinite(value[i]):
-            heapq.heappush(row.regions, (-float(value[i]), leaf, len(row.regions), len(row.paths) - 1, since + i, ((*avoided, int(e[0])) if i == 0 else (int(e[i]),)), float(before[since + i])))
+    for i, row in enumerate(rows):
+        lo, own = int(cuts[i]), value[cuts[i] : cuts[i + 1]]
+        want = min(k + 1 - len(row.paths), len(own))
+        for j in np.argpartition(-own, want - 1)[:want].tolist() if want > 0 else []:
+            if np.isfinite(own[j]):
+                shut = (*avoided[i], int(e[lo])) if j == 0 else (int(e[lo + j]),)
+                heapq.heappush(row.regions, (-float(own[j]), leaf, len(row.regions), len(row.paths) - 1, since[i] + j, shut, float(before[lo + j])))
 
 
 def search(rows: list[Row], lattices: Lattices, k: int) -> None:
@@ -250,7 +311,7 @@ def search(rows: list[Row], lattices: Lattices, k: int) -> None:
                 old = row.paths[parent]
                 some = old.edges[step]
                 node = int(lattices.of[some])
-                edges = np.setdiff1d(np.arange(lattices.first[node], lattices.first[node + 1]), np.array(avoided))
+                edges = [x for x in range(int(lattices.first[node]), int(lattices.first[node + 1])) if x not in avoided]
                 chance = np.cumsum(np.exp(lattices.log_q[edges]))
                 edge = edges[min(int(np.searchsorted(chance, uniform(row.noise(leaf, 3, 1))[0] * chance[-1], side="right")), len(edges) - 1)]
                 skip, first = int(old.word[step]), int(lattices.target[edge])
@@ -276,9 +337,8 @@ def search(rows: list[Row], lattices: Lattices, k: int) -> None:
             row, tail, at = rows[r], edges[bounds[i] : bounds[i + 1]], who[bounds[i] : bounds[i + 1]] - offset[i]
             word = at + len(row.words) - count[i]
             all_edges = np.concatenate([head, tail])
-            path = Path(all_edges, np.concatenate([head_words, word]), float(lattices.log_q[all_edges].sum()), noisy)
-            row.paths.append(path)
-            _cut_up(row, leaf, lattices, path, since, avoided, k)
+            row.paths.append(Path(all_edges, np.concatenate([head_words, word]), 0.0, noisy))
+        _cut_up([rows[r] for r in heads], leaf, lattices, [h[3] for h in heads.values()], [h[4] for h in heads.values()], k)
 
 
 def spelt(pieces: np.ndarray, vocab: Vocabulary) -> np.ndarray:
@@ -296,21 +356,43 @@ def spelt(pieces: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return np.concatenate([cut[0], *(x for s, c in zip(spelling, cut[1:], strict=True) for x in (s, c[1:]))])
 
 
+class Sampler:
+    """Samples encodings slice by slice and remembers the lattices of words that it has met."""
+
+    def __init__(self, vocab: Vocabulary, k: int, alpha: float, seed: int):
+        self.vocab, self.k, self.alpha, self.seed = vocab, k, alpha, seed
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self.numbers, self.lattices = Numbers(), Lattices([], self.vocab, self.alpha)
+
+    def segmented(self, texts: list[str], keys: list) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """For each text its sampled encodings: (ids, log-probability, noisy value, log of the inclusion probability), best noisy value first."""
+        if self.lattices.chars > KEPT_CHARS:
+            self._start_anew()
+        known, number, rows = len(self.numbers), self.numbers.__getitem__, []
+        for text, key in zip(texts, keys, strict=True):
+            split = PRE_TOKEN.findall(" " + text.replace(MARK, " ")) if text else []
+            words = np.fromiter(map(number, split), dtype=np.int64, count=len(split))
+            rows.append(Row(xxhash.xxh64_intdigest(f"{self.seed}|{key}"), words))
+        self.lattices.add(list(islice(self.numbers, known, None)))
+        search(rows, self.lattices, self.k)
+        out = []
+        for row in rows:
+            threshold = -row.regions[0][0] if row.regions else -np.inf
+            out.append([(spelt(self.lattices.piece[p.edges], self.vocab), p.log_prob, p.noisy, log_inclusion(p.log_prob - threshold)) for p in row.paths])
+        return out
+
+
+@lru_cache(maxsize=1)
+def sampler(path: str, k: int, alpha: float, seed: int) -> Sampler:
+    """The worker's own sampler: its memory lasts from task to task."""
+    return Sampler(vocabulary(path), k, alpha, seed)
+
+
 def segmented(texts: list[str], keys: list, vocab: Vocabulary, k: int, alpha: float, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text its sampled encodings: (ids, log-probability, noisy value, log of the inclusion probability), best noisy value first."""
-    number: dict[str, int] = {}
-    rows = []
-    for text, key in zip(texts, keys, strict=True):
-        split = PRE_TOKEN.findall(" " + text.replace(MARK, " ")) if text else []
-        words = np.array([number.setdefault(w, len(number)) for w in split], dtype=np.int64)
-        rows.append(Row(xxhash.xxh64_intdigest(f"{seed}|{key}"), words))
-    lattices = Lattices(list(number), vocab, alpha)
-    search(rows, lattices, k)
-    out = []
-    for row in rows:
-        threshold = -row.regions[0][0] if row.regions else -np.inf
-        out.append([(spelt(lattices.piece[p.edges], vocab), p.log_prob, p.noisy, log_inclusion(p.log_prob - threshold)) for p in row.paths])
-    return out
+    """The sampled encodings of each text by themselves."""
+    return Sampler(vocab, k, alpha, seed).segmented(texts, keys)
 
 
 def log_inclusion(above: float) -> float:
@@ -336,11 +418,12 @@ def sampled(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("noisy", pa.float64()), ("log_inclusion", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(public_tokenizers.path(model))
+        memory = sampler(public_tokenizers.path(model), k, alpha, seed)
+        vocab = memory.vocab
         for batch in slices(batches, text):
             texts = [t or "" for t in batch.column(at_text).to_pylist()]
-            found = segmented(texts, batch.column(at_key).to_pylist(), vocab, k, alpha, seed)
-            good = [all(vocab.decode(s[0].tolist()) == t.encode() for s in samples) for t, samples in zip(texts, found, strict=True)]
+            found = memory.segmented(texts, batch.column(at_key).to_pylist())
+            good = [all(vocab.decode(s[0]) == t.encode() for s in samples) for t, samples in zip(texts, found, strict=True)]
             cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = [s for samples in found for s in samples]
             n = [len(s[0]) for s in flat]

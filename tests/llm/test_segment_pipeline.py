@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline
 from ratewright.llm import quality, simhash
 from ratewright.llm.queries import QUERIES
-from ratewright.llm.segment import decoded, encoder, sampled, segmented, vocabulary
+from ratewright.llm.segment import Sampler, decoded, encoder, sampled, segmented, vocabulary
 
 MODEL = "piece_bpe_32k.model"
 
@@ -74,6 +74,18 @@ def test_noise_depends_on_the_key_alone(vocab):
     assert flat(segmented(texts, [1, 2, 3], vocab, 3, 0.5, 1))[2] != flat(together)[2]
 
 
+def test_memory_of_lattices_changes_nothing(vocab, monkeypatch):
+    texts = ["the cat sat on the mat", "", "a mat; the cat\nsat 日本語 on it", "the cat sat on the mat", "unseen words ☃ here"]
+    flat = lambda samples: [(s[0].tolist(), *s[1:]) for s in samples]
+    alone = [flat(segmented([t], [i], vocab, 3, 0.5, 1)[0]) for i, t in enumerate(texts)]
+    for kept in (1 << 19, 0, 20):
+        monkeypatch.setattr("ratewright.llm.segment.KEPT_CHARS", kept)
+        sampler = Sampler(vocab, 3, 0.5, 1)
+        assert [flat(sampler.segmented([t], [i])[0]) for i, t in enumerate(texts)] == alone
+    sampler = Sampler(vocab, 3, 0.5, 1)
+    assert [flat(x) for x in sampler.segmented(texts[:2], [0, 1]) + sampler.segmented(texts[2:], [2, 3, 4])] == alone
+
+
 def test_encodings_decode(spark):
     texts = [None, "", " ", "a", "Hello world\n\n  x", "\t tab", "é 漢字 \U0001f600 \x00", "x" * 3000, "word " * 20000, "   ", "▁literal mark"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (None, "no key")]
