@@ -8,7 +8,7 @@ fixtures each, and writes the state in between, from where a later call goes on.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,15 +19,17 @@ from ratewright import config as c
 from ratewright.functions import calendar as t
 from ratewright.functions import text as tx
 from ratewright.operators import settle as st
-from ratewright.operators.bradley_terry import newton
+from ratewright.operators.bradley_terry import ELO, newton
 from ratewright.operators.ordered import ordered_scan
 from ratewright.operators.settlement import with_reasons
 from ratewright.session import durable, new_folder
 
-#: Most settled fixtures of an epoch: what bounds the rows of a league in one task.
-EPOCH = 20_000
+#: Most settled fixtures of an epoch: what bounds the rows of a league in one task. Each epoch is a few jobs of the driver's.
+EPOCH = 1_000_000
+#: Teams up to which a league's curvature is kept as a matrix.
+SMALL = 32
 STATE = ["b_value", "r_network", "r_next", "r_market", "m1_value", "published_index"]
-ROWS = "kind string, league string, step long, fixture_id long, team_id string, opponent string, is_home boolean, competition string, day int, at double, e double, s double, status string, v array<double>"
+ROWS = "kind string, league string, step long, fixture_id long, team_id string, opponent string, is_home boolean, competition string, day int, start double, at double, e double, s double, status string, v array<double>"
 OUT = "kind string, league string, step long, fixture_id long, team_id string, e_kr double, s double, b_before double, delta_b double, v array<double>"
 
 
@@ -50,80 +52,139 @@ def steps_of(settleable: DataFrame, every: int | None) -> DataFrame:
     return stepped.join(ends, "step").select("fixture_id", "step", "epoch", "until")
 
 
-def _edges(f: pd.DataFrame, today: int) -> tuple[pd.DataFrame, np.ndarray]:
-    """Fixtures of a solve at midnight of ``today``, with weights; ``f`` is sorted by day."""
-    day, done = f["day"].to_numpy(), (f["status"] == "finished").to_numpy()
-    past = done & (day < today)
-    near, wide = past & (day >= today - c.WINDOW_DAYS), past & (day >= today - c.WINDOW_EXPANDED_DAYS)
-    chosen = wide if near.sum() < c.MIN_FIXTURES and wide.sum() > near.sum() else near
-    ahead = (done | (f["status"] == "upcoming").to_numpy()) & (day >= today) & (day <= today + c.WINDOW_DAYS)
-    frozen, current = f["s"].to_numpy(), f["e"].to_numpy()
-    es = np.where(ahead, current, np.where(np.isnan(frozen), current, frozen))
-    age = today - f["at"].to_numpy()
-    weight = np.where(ahead, 1 / (1 + np.maximum(0, -age) / c.AHEAD_SCALE_DAYS), 1 / (1 + np.maximum(0, age) / c.PAST_SCALE_DAYS))
-    use = (chosen | ahead) & ~np.isnan(es)
-    return f[use].assign(es=es[use]), weight[use]
+def _r4(value: float) -> float:
+    return round(value * 1e4) / 1e4 if value == value else value
+
+
+class _Sums(NamedTuple):
+    """What a day's solve of a league needs of its fixtures: how many there are, their teams, and sums per ordered pair."""
+
+    used: int
+    teams: np.ndarray
+    home: np.ndarray
+    away: np.ndarray
+    w: np.ndarray
+    ws: np.ndarray
+
+
+def _mode(sums: _Sums, prior: np.ndarray, sigma: float) -> np.ndarray:
+    """The steps of ``newton`` for a few teams, whose curvature is a small matrix."""
+    n = len(prior)
+    lead = np.zeros((len(sums.w), n))
+    lead[np.arange(len(sums.w)), sums.home] += 1.0
+    lead[np.arange(len(sums.w)), sums.away] -= 1.0
+    r, own = prior.copy(), np.eye(n) / sigma**2
+    for _ in range(c.SOLVE_MAX_ITER):
+        p = 1.0 / (1.0 + 10.0 ** (-(lead @ r + c.HOME_ADVANTAGE) / 400.0))
+        grad = lead.T @ ((sums.ws - sums.w * p) * ELO) - (r - prior) / sigma**2
+        bend = sums.w * p * (1.0 - p) * ELO**2
+        move = np.clip(np.linalg.solve(lead.T @ (bend[:, None] * lead) + own, grad), -c.SOLVE_STEP_CLAMP, c.SOLVE_STEP_CLAMP)
+        r += move
+        if np.abs(move).max() < c.SOLVE_TOL:
+            break
+    return r
 
 
 class _League:
-    """One league's teams while its steps are walked."""
-
-    def __init__(self, league: str, teams: list[str], values: np.ndarray, fixtures: pd.DataFrame):
-        self.league, self.teams, self.at = league, teams, {t: i for i, t in enumerate(teams)}
-        self.b, self.network, self.next, self.market, self.m1, self.published = values.T.copy()
-        self.fixtures = fixtures.sort_values(["day", "at", "fixture_id"])
-        self.days = self.fixtures["day"].to_numpy()
-        self.ahead: dict[str, list] = {}
-        known = self.fixtures[self.fixtures["status"].isin(("finished", "upcoming"))].sort_values(["day", "v0", "fixture_id"])
-        for day, home, away, es in zip(known["day"], known["team_id"], known["opponent"], known["e"]):
-            self.ahead.setdefault(home, []).append((day, away, es, -c.HOME_ADVANTAGE))
-            self.ahead.setdefault(away, []).append((day, home, 1 - es, c.HOME_ADVANTAGE))
-
-    def settle(self, team: str, e: float, s: float, cup: bool) -> tuple[float, float]:
-        i = self.at[team]
-        pull = 0.0 if cup or np.isnan(self.market[i]) else c.GRAVITY_V3
+    """One league's teams while its steps are walked.
+
+    Fixtures and what is weighed of them do not depend on ratings, so sums per pair and next contests are worked out once a
+    day, however many steps end on it.
+    """
+
+    def __init__(self, teams: list[str], values: np.ndarray, fixtures: pd.DataFrame):
+        self.b, self.network, self.next, self.market, self.m1, self.published = (x.tolist() for x in values.T)
+        f = fixtures.sort_values(["day", "at", "fixture_id"])
+        codes, names = pd.factorize(pd.concat([pd.Series(teams, dtype=object), f["team_id"], f["opponent"]]), sort=True)
+        place = {name: i for i, name in enumerate(teams)}
+        #: A name's place among the league's teams; others play against them only.
+        self.place = np.array([place.get(x, -1) for x in names], dtype=np.int64)
+        self.code, self.home, self.away = codes[: len(teams)].tolist(), codes[len(teams) : len(teams) + len(f)], codes[len(teams) + len(f) :]
+        self.days, self.at_, self.e, self.s = (f[n].to_numpy() for n in ("day", "at", "e", "s"))
+        self.done, self.due = (f["status"] == "finished").to_numpy(), (f["status"] == "upcoming").to_numpy()
+        known = np.flatnonzero(self.done | self.due)
+        known = known[np.lexsort((f["fixture_id"].to_numpy()[known], f["start"].to_numpy()[known], self.days[known]))]
+        side = np.concatenate([self.home[known], self.away[known]])
+        order = np.lexsort((np.tile(np.arange(len(known)), 2), side))
+        cuts = np.searchsorted(side[order], [self.code, [x + 1 for x in self.code]])
+        self.games = [(known[order[lo:hi] % max(len(known), 1)], order[lo:hi] < len(known)) for lo, hi in cuts.T]
+        self.day, self.sums, self.nexts = None, None, []
+
+    def settle(self, i: int, e: float, s: float, cup: bool) -> tuple[float, float]:
+        market = self.market[i]
+        pull = 0.0 if cup or market != market else c.GRAVITY_V3
         before = self.b[i]
-        step = st._v3_step(before, s - e, self.market[i] if pull else 0.0, pull)
+        step = st._v3_step(before, s - e, market if pull else 0.0, pull)
         self.b[i] = before + step
         self.published[i] = self.b[i] + self.m1[i]
         return before, step
 
-    def store(self, touched: set[str]) -> None:
+    def store(self, touched: set[int]) -> None:
         """State is stored to four places after a step's settlements."""
-        for team in touched:
-            i = self.at[team]
-            self.b[i], self.published[i] = round(self.b[i], 4), round(self.published[i], 4)
-
-    def _overlay(self, net: dict[str, float], today: int) -> None:
-        for team, own in net.items():
-            i, nxt = self.at[team], own
-            games = self.ahead.get(team, [])
-            k = bisect_left(games, today, key=lambda g: g[0])
-            if k < len(games) and not np.isnan(games[k][2]) and games[k][1] in net:
-                e = min(0.99, max(0.01, games[k][2]))
-                nxt = net[games[k][1]] + 400.0 * np.log10(e / (1.0 - e)) + games[k][3]
+        for i in touched:
+            self.b[i], self.published[i] = _r4(self.b[i]), _r4(self.published[i])
+
+    def _turn(self, today: int) -> None:
+        if today == self.day:
+            return
+        self.day, self.sums, self.nexts = today, self._sums(today), []
+        for games, at_home in self.games:
+            k = np.searchsorted(self.days[games], today)
+            e = self.e[games[k]] if k < len(games) else np.nan
+            if e != e:
+                self.nexts.append(None)
+                continue
+            game, e = games[k], e if at_home[k] else 1 - e
+            e = min(0.99, max(0.01, float(e)))
+            other = self.away[game] if at_home[k] else self.home[game]
+            self.nexts.append((int(self.place[other]) if other >= 0 else -1, float(400.0 * np.log10(e / (1.0 - e))), -c.HOME_ADVANTAGE if at_home[k] else c.HOME_ADVANTAGE))
+
+    def _sums(self, today: int) -> _Sums:
+        """Fixtures of a solve at midnight of ``today``, weighed and summed by ordered pair."""
+        lo, hi = np.searchsorted(self.days, (today - c.WINDOW_EXPANDED_DAYS, today + c.WINDOW_DAYS + 1))
+        day, done, current, frozen = self.days[lo:hi], self.done[lo:hi], self.e[lo:hi], self.s[lo:hi]
+        wide = done & (day < today)
+        near = wide & (day >= today - c.WINDOW_DAYS)
+        chosen = wide if near.sum() < c.MIN_FIXTURES and wide.sum() > near.sum() else near
+        ahead = (done | self.due[lo:hi]) & (day >= today)
+        es = np.where(ahead, current, np.where(np.isnan(frozen), current, frozen))
+        age = today - self.at_[lo:hi]
+        weight = np.where(ahead, 1 / (1 + np.maximum(0, -age) / c.AHEAD_SCALE_DAYS), 1 / (1 + np.maximum(0, age) / c.PAST_SCALE_DAYS))
+        home, away = self.home[lo:hi], self.away[lo:hi]
+        use = (chosen | ahead) & ~np.isnan(es) & (home >= 0) & (away >= 0)
+        pairs, at = np.unique(home[use] * np.int64(len(self.place)) + away[use], return_inverse=True)
+        home, away = pairs // max(len(self.place), 1), pairs % max(len(self.place), 1)
+        teams = np.unique(np.concatenate([home, away]))
+        return _Sums(int(use.sum()), teams, np.searchsorted(teams, home), np.searchsorted(teams, away), np.bincount(at, weight[use], len(pairs)), np.bincount(at, weight[use] * es[use], len(pairs)))
+
+    def _overlay(self, net: dict[int, float]) -> None:
+        for i, own in net.items():
+            nxt, game = own, self.nexts[i]
+            if game is not None and game[0] in net:
+                nxt = net[game[0]] + game[1] + game[2]
             market = (1.0 - c.W_NEXT) * own + c.W_NEXT * nxt
             m1 = min(c.OVERLAY_CLAMP, max(-c.OVERLAY_CLAMP, c.ALPHA * (market - self.b[i])))
-            self.network[i], self.next[i], self.market[i], self.m1[i], self.published[i] = (round(x, 4) for x in (own, nxt, market, m1, self.b[i] + m1))
+            self.network[i], self.next[i], self.market[i], self.m1[i], self.published[i] = (_r4(x) for x in (own, nxt, market, m1, self.b[i] + m1))
 
     def solve(self, today: int) -> None:
-        lo, hi = np.searchsorted(self.days, (today - c.WINDOW_EXPANDED_DAYS, today + c.WINDOW_DAYS + 1))
-        edges, w = _edges(self.fixtures.iloc[lo:hi], today)
-        if len(edges) <= 2:
-            for i in range(len(self.teams)):
-                self.m1[i], self.market[i], self.next[i], self.published[i] = 0.0, self.b[i], self.b[i], round(self.b[i], 4)
+        self._turn(today)
+        sums = self.sums
+        if sums.used <= 2:
+            for i, b in enumerate(self.b):
+                self.m1[i], self.market[i], self.next[i], self.published[i] = 0.0, b, b, _r4(b)
             return
-        names = pd.Index(sorted(set(edges["team_id"]) | set(edges["opponent"])))
-        prior = np.array([self.b[self.at[x]] if x in self.at else c.BASELINE_RATING for x in names])
-        sigma = c.SIGMA_SPARSE if len(edges) < c.MIN_FIXTURES else c.SIGMA_PRIOR
-        rating = newton(names.get_indexer(edges["team_id"]), names.get_indexer(edges["opponent"]), w, w * edges["es"].to_numpy(), prior, sigma).rating
-        self._overlay({x: round(r, 4) for x, r in zip(names, rating) if x in self.at}, today)
+        places = self.place[sums.teams].tolist()
+        prior = np.array([self.b[i] if i >= 0 else c.BASELINE_RATING for i in places])
+        sigma = c.SIGMA_SPARSE if sums.used < c.MIN_FIXTURES else c.SIGMA_PRIOR
+        rating = _mode(sums, prior, sigma) if len(prior) <= SMALL else newton(sums.home, sums.away, sums.w, sums.ws, prior, sigma).rating
+        self._overlay({i: _r4(x) for i, x in zip(places, rating.tolist()) if i >= 0})
 
     def refresh(self, today: int) -> None:
-        self._overlay({x: self.b[i] if np.isnan(self.network[i]) else self.network[i] for x, i in self.at.items()}, today)
+        self._turn(today)
+        self._overlay({i: self.b[i] if x != x else x for i, x in enumerate(self.network)})
 
-    def rows(self) -> list[list]:
-        return np.stack([self.b, self.network, self.next, self.market, self.m1, self.published], axis=1).tolist()
+    def rows(self) -> np.ndarray:
+        return np.array([self.b, self.network, self.next, self.market, self.m1, self.published]).T
 
 
 def _walk(daily: bool):
@@ -132,55 +193,74 @@ def _walk(daily: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         league = pdf["league"].iloc[0]
         states = pdf[pdf["kind"] == "state"].sort_values("team_id")
-        fixtures = pdf[pdf["kind"] == "fixture"].assign(v0=lambda d: [v[0] for v in d["v"]])
+        teams = states["team_id"].tolist()
         values = np.array([[np.nan if x is None else x for x in v] for v in states["v"]], dtype=float).reshape(-1, len(STATE))
-        game = _League(league, states["team_id"].tolist(), values, fixtures)
-        sides = pdf[pdf["kind"] == "side"].assign(v0=lambda d: [v[0] for v in d["v"]]).sort_values(["step", "day", "v0", "fixture_id", "is_home"], ascending=[True, True, True, True, False])
+        game = _League(teams, values, pdf[pdf["kind"] == "fixture"])
+        sides = pdf[pdf["kind"] == "side"].sort_values(["step", "day", "start", "fixture_id", "is_home"], ascending=[True, True, True, True, False])
         clock = pdf[pdf["kind"] == "step"].sort_values("step")
-        by_step = dict(tuple(sides.groupby("step")))
-        out = []
-        for step, today in zip(clock["step"], clock["day"]):
-            mine = by_step.get(step)
+        at = {x: i for i, x in enumerate(teams)}
+        who, cup = [at[x] for x in sides["team_id"]], (sides["competition"] == "cup").tolist()
+        e, s = sides["e"].tolist(), sides["s"].tolist()
+        before, delta = np.empty(len(sides)), np.empty(len(sides))
+        steps, days = clock["step"].to_numpy(dtype=np.int64), clock["day"].to_numpy(dtype=np.int64)
+        own = sides["step"].to_numpy(dtype=np.int64)
+        kept, held = [], [np.empty((0, len(STATE)))]
+        for step, today, lo, hi in zip(steps.tolist(), days.tolist(), np.searchsorted(own, steps).tolist(), np.searchsorted(own, steps, "right").tolist()):
             solve = False
-            if mine is not None:
-                for fid, team, e, s, comp in zip(mine["fixture_id"], mine["team_id"], mine["e"], mine["s"], mine["competition"]):
-                    before, delta = game.settle(team, e, s, comp == "cup")
-                    out.append(("log", league, step, fid, team, e, s, before, delta, None))
-                game.store(set(mine["team_id"]))
-                solve = bool((mine["competition"] != "cup").any())
+            for j in range(lo, hi):
+                before[j], delta[j] = game.settle(who[j], e[j], s[j], cup[j])
+                solve = solve or not cup[j]
+            game.store(set(who[lo:hi]))
             if solve:
-                game.solve(int(today))
+                game.solve(today)
             elif daily:
-                game.refresh(int(today))
+                game.refresh(today)
             else:
                 continue
-            out += [("history", league, step, None, x, None, None, None, None, v) for x, v in zip(game.teams, game.rows())]
-        out += [("state", league, None, None, x, None, None, None, None, v) for x, v in zip(game.teams, game.rows())]
-        names = [n.split()[0] for n in OUT.split(", ")]
-        return pd.DataFrame(out, columns=names).astype({"step": "Int64", "fixture_id": "Int64"})
+            kept.append(step)
+            held.append(game.rows())
+        none = {n.split()[0]: None for n in OUT.split(", ")}
+        log = {"kind": "log", "step": own, "fixture_id": sides["fixture_id"].to_numpy(), "team_id": sides["team_id"].to_numpy(), "e_kr": sides["e"].to_numpy(), "s": sides["s"].to_numpy(), "b_before": before, "delta_b": delta}
+        history = {"kind": "history", "step": np.repeat(np.array(kept, dtype=np.int64), len(teams)), "team_id": teams * len(kept), "v": list(np.concatenate(held))}
+        state = {"kind": "state", "team_id": teams, "v": list(game.rows())}
+        parts = [pd.DataFrame({**none, "league": league, **part}, index=range(n)) for part, n in ((log, len(own)), (history, len(kept) * len(teams)), (state, len(teams)))]
+        kinds = {"step": "Int64", "fixture_id": "Int64", **{n: "float64" for n in ("e_kr", "s", "b_before", "delta_b")}}
+        return pd.concat([p.astype(kinds) for p in parts if len(p)] or [parts[0].astype(kinds)])
 
     return run
 
 
-def _epoch_rows(sides: DataFrame, fixtures: DataFrame, state: DataFrame, clock: DataFrame, lo: int, hi: int) -> DataFrame:
+def _by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows written in the order of a column, so that an epoch reads its own part of them."""
+    folder = new_folder(df.sparkSession, name)
+    df.repartitionByRange(column).sortWithinPartitions(column).write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _next_games(games: DataFrame) -> DataFrame:
+    """(team_id, date, game): each team's first known contest of each day."""
+    rows = st.team_rows(games.where(F.col("status").isin("finished", "upcoming")).withColumn("game", F.struct(*games.columns)))
+    return rows.groupBy("team_id", "date").agg(F.min_by("game", F.struct("_start", "fixture_id")).alias("game"))
+
+
+def _epoch_rows(sides: DataFrame, fixtures: DataFrame, nexts: DataFrame, state: DataFrame, clock: DataFrame, lo: int, hi: int) -> DataFrame:
     """What the leagues need for an epoch that settles days ``lo`` to ``hi``: states, sides, clock, and the fixtures near it."""
-    first, last = lo - c.WINDOW_EXPANDED_DAYS, hi + c.WINDOW_DAYS + 1
+    first, last = (F.date_from_unix_date(F.lit(x)) for x in (lo - c.WINDOW_EXPANDED_DAYS, hi + c.WINDOW_DAYS + 1))
     day = F.unix_date("date")
     # Beyond the windows only each team's next fixture counts.
-    later = st.team_rows(fixtures.where((day > last) & F.col("status").isin("finished", "upcoming")).select("fixture_id", "date", "_start", "home_team", "away_team"))
-    beyond = later.groupBy("team_id").agg(F.min_by("fixture_id", F.struct("date", "_start", "fixture_id")).alias("fixture_id")).select("fixture_id").distinct()
-    near = fixtures.where(day.between(first, last)).unionByName(fixtures.where(day > last).join(beyond, "fixture_id", "left_semi"))
+    beyond = nexts.where(F.col("date") > last).groupBy("team_id").agg(F.min_by("game", F.struct("game.date", "game._start", "game.fixture_id")).alias("game"))
+    near = fixtures.where(F.col("date").between(first, last)).unionByName(beyond.select("game.*").distinct())
     names = [n.split()[0] for n in ROWS.split(", ")]
 
     def shaped(df, kind, **columns):
         every = {**{n: F.lit(None) for n in names}, "kind": F.lit(kind), **columns}
         return df.select([every[n].cast(k.split(" ", 1)[1]).alias(n) for n, k in zip(names, ROWS.split(", "))])
 
-    start = F.array(F.unix_micros(F.col("_start").cast("timestamp")).cast("double"))
+    start = F.unix_micros(F.col("_start").cast("timestamp"))
     parts = [
         shaped(state, "state", league=F.col("league"), team_id=F.col("team_id"), v=F.array(*[F.col(n).cast("double") for n in STATE])),
-        shaped(sides, "side", v=start, day=day, e=F.col("e_kr"), s=F.col("actual_score_s"), **{n: F.col(n) for n in ("league", "step", "fixture_id", "team_id", "is_home", "competition")}),
-        shaped(near, "fixture", v=start, day=day, team_id=F.col("home_team"), opponent=F.col("away_team"), at=F.col("_noon"), e=F.col("home_es"), s=F.col("home_expected_score"), **{n: F.col(n) for n in ("league", "fixture_id", "status")}),
+        shaped(sides, "side", start=start, day=day, e=F.col("e_kr"), s=F.col("actual_score_s"), **{n: F.col(n) for n in ("league", "step", "fixture_id", "team_id", "is_home", "competition")}),
+        shaped(near, "fixture", start=start, day=day, team_id=F.col("home_team"), opponent=F.col("away_team"), at=F.col("_noon"), e=F.col("home_es"), s=F.col("home_expected_score"), **{n: F.col(n) for n in ("league", "fixture_id", "status")}),
         shaped(clock, "step", day=F.col("until"), **{n: F.col(n) for n in ("league", "step")}),
     ]
     rows = parts[0]
@@ -211,11 +291,13 @@ def replay(fixtures: DataFrame, kr: DataFrame, current: DataFrame, state: DataFr
     early = F.coalesce("commence_time", F.lit("0001-01-01").cast("timestamp_ntz"))
     homes = state.select("team_id", "league")
     sides = sides.where("_open").withColumns({"actual_score_s": tx.result_score("own_goals", "other_goals"), "_start": early}).join(homes, "team_id")
-    sides = durable(sides.select("epoch", "step", "league", "fixture_id", "team_id", "is_home", "competition", "date", "_start", "e_kr", "actual_score_s"))
+    sides = _by(sides.select("epoch", "step", "league", "fixture_id", "team_id", "is_home", "competition", "date", "_start", "e_kr", "actual_score_s"), "epoch", "replay-sides")
     noon = F.unix_micros(t.kickoff_or_default("commence_time", "date", "12:00:00").cast("timestamp")) / 8.64e10
     games = fixtures.where("competition = 'league'").select("fixture_id", "date", "league", "home_team", "away_team", "status", early.alias("_start"), noon.alias("_noon"))
     games = games.join(kr.select("fixture_id", "home_expected_score"), "fixture_id", "left").join(current.select("fixture_id", "home_es"), "fixture_id", "left")
-    games = durable(games)
+    games = _by(games, "date", "replay-games")
+    nexts = durable(_next_games(games))
+    clocks = durable(steps.select("epoch", "step", "until").distinct())
     plan = sides.groupBy("epoch").agg(F.min(F.unix_date("date")).alias("lo"), F.max(F.unix_date("date")).alias("hi")).orderBy("epoch").collect()
     leagues = homes.select("league").distinct()
     held = state.select("team_id", "league", *[(F.col(n) if n in state.columns else F.lit({"m1_value": 0.0}.get(n))).cast("double").alias(n) for n in STATE])
@@ -223,10 +305,10 @@ def replay(fixtures: DataFrame, kr: DataFrame, current: DataFrame, state: DataFr
     for e in plan:
         folder = f"{root}/epoch={e.epoch}"
         if not _written(spark, folder):
-            now = steps.where(F.col("epoch") == e.epoch).select("step", "until").distinct()
+            now = clocks.where(F.col("epoch") == e.epoch).select("step", "until")
             # In daily steps every league has every step; else those in which it settles.
             clock = now.join(F.broadcast(leagues)) if every is None else now.join(sides.where(F.col("epoch") == e.epoch).select("step", "league").distinct(), "step")
-            rows = _epoch_rows(sides.where(F.col("epoch") == e.epoch), games, held, clock, e.lo, e.hi)
+            rows = _epoch_rows(sides.where(F.col("epoch") == e.epoch), games, nexts, held, clock, e.lo, e.hi)
             known = rows.join(leagues, "league", "left_semi")
             known.groupBy("league").applyInPandas(_walk(every is None), OUT).write.mode("overwrite").parquet(folder)
         states = spark.read.schema(OUT).parquet(folder).where("kind = 'state'")

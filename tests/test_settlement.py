@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st_
@@ -457,6 +458,32 @@ def test_replay_is_a_loop_over_time(spark, tmp_path, monkeypatch, every):
     assert stamp == {p: (tmp_path / "replay" / p / "_SUCCESS").stat().st_mtime_ns for p in epochs}
 
 
+def test_replay_weighs_a_days_fixtures_once(monkeypatch):
+    rng, weighed = random.Random(5), []
+    own = rp._League._sums
+    monkeypatch.setattr(rp._League, "_sums", lambda self, today: weighed.append(today) or own(self, today))
+    teams, rows = ["a", "b", "c", "d"], []
+    for i in range(200):
+        (h, a), day, e = rng.sample(teams, 2), 100 + i // 40, rng.uniform(0.2, 0.8)
+        rows.append({"kind": "fixture", "fixture_id": i, "team_id": h, "opponent": a, "day": day, "start": i, "at": day + 0.5, "e": e, "s": e, "status": "finished"})
+        for team, x, score in ((h, e, 1.0), (a, 1 - e, 0.0)):
+            rows.append({"kind": "side", "step": i, "fixture_id": i, "team_id": team, "is_home": team == h, "competition": "league", "day": day, "start": i, "e": x, "s": score})
+        rows.append({"kind": "step", "step": i, "day": day + 1})
+    rows += [{"kind": "state", "team_id": x, "v": [1500.0, None, None, None, 0.0, 1500.0]} for x in teams]
+    out = rp._walk(False)(pd.DataFrame([{n.split()[0]: None for n in rp.ROWS.split(", ")} | r | {"league": "L"} for r in rows]))
+    assert weighed == [101, 102, 103, 104, 105]
+    assert out["kind"].value_counts().to_dict() == {"log": 400, "history": 800, "state": 4}
+
+
+def test_small_leagues_reach_the_mode_that_newton_finds():
+    rng = np.random.default_rng(3)
+    home, away = map(np.array, zip(*[(i, j) for i in range(6) for j in range(6) if i != j]))
+    w = rng.uniform(0.1, 2, len(home))
+    ws, prior = w * rng.uniform(0.1, 0.9, len(home)), rng.normal(1500, 50, 6)
+    sums = rp._Sums(len(home), np.arange(6), home, away, w, ws)
+    assert rp._mode(sums, prior, 300.0) == pytest.approx(rp.newton(home, away, w, ws, prior, 300.0).rating, abs=1e-8)
+
+
 def test_replay_of_nothing(spark):
     fixtures = spark.createDataFrame([], "fixture_id long, date date, commence_time timestamp_ntz, league string, competition string, home_team string, away_team string, score string, status string")
     kr = spark.createDataFrame([], "fixture_id long, home_expected_score double, away_expected_score double, bookmaker_count int")
