@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright import config as c
+from ratewright.functions import calendar as t
 from ratewright.functions import numeric as x
 from ratewright.operators import consensus as k
 from ratewright.operators.tables import patch, pick_by
-from ratewright.session import new_folder
+from ratewright.session import durable, new_folder
 from ratewright.streaming.machines import FROZEN_QUOTE, LOCK_EVENT, KickoffFreeze, KickoffLocks
 
 
@@ -100,20 +101,24 @@ FROZEN = "fixture_id long, home_expected_score double, away_expected_score doubl
 
 
 def freeze_stream(stream: DataFrame, fixtures: DataFrame, as_of, hours: float, late_minutes: int = c.FRESH_MINUTES, root: str | None = None) -> DataFrame:
-    """Write-once consensus: a timer at each fixture's kickoff gives out its books' last quotes, and the batch's consensus is written.
+    """Write-once consensus: a timer at each kickoff gives out its fixtures' books' last quotes, and the batch's consensus is written.
 
     Followed are fixtures that start by ``as_of``. A timer fires when the stream's event time, less ``late_minutes``, has
-    passed the kickoff; quotes that arrive after that change nothing. A batch works on the fixtures it freezes alone.
+    passed the kickoff; quotes that arrive after that change nothing. A batch works on the fixtures it freezes alone. A
+    fixture listed with several starts is frozen once, at the last of them.
     """
     spark = stream.sparkSession
     root = _root(spark, "freeze", root)
-    started = fixtures.where(F.coalesce("commence_time", F.col("date").cast("timestamp_ntz")) <= as_of)
+    started = fixtures.where(F.coalesce("commence_time", F.col("date").cast("timestamp_ntz")) <= as_of).select("fixture_id", "date", "commence_time")
+    # Written once, not worked out again for each batch.
+    started = durable(started)
+    starts = durable(started.groupBy("fixture_id").agg(F.max(t.kickoff_or_default("commence_time", "date", "23:59:59")).alias("kickoff")))
     # The stream's own time moves on with every quote, also those of other fixtures and of fixtures under way.
     timed = stream.select(*NAMES).withColumn("ts", F.col("snapshot_time").cast("timestamp")).withWatermark("ts", f"{late_minutes} minutes")
-    usable = k.pre_kickoff(timed.where(x.valid_quote(*k.ODDS)), started)
+    usable = timed.where(x.valid_quote(*k.ODDS)).join(starts, "fixture_id").where(F.col("snapshot_time") < F.col("kickoff"))
     micros = {"snapshot_us": F.unix_micros("ts"), "kickoff_us": F.unix_micros(F.col("kickoff").cast("timestamp"))}
-    columns = ["fixture_id", "ts", "bookmaker", "kickoff_us", "snapshot_us", *k.ODDS]
-    given = usable.withColumns(micros).select(*columns).groupBy("fixture_id").transformWithStateInPandas(KickoffFreeze(), FROZEN_QUOTE, "append", "EventTime")
+    columns = ["kickoff_us", "ts", "fixture_id", "bookmaker", "snapshot_us", *k.ODDS]
+    given = usable.withColumns(micros).select(*columns).groupBy("kickoff_us").transformWithStateInPandas(KickoffFreeze(), FROZEN_QUOTE, "append", "EventTime")
     frozen_at = F.timestamp_micros("snapshot_us").cast("timestamp_ntz").alias("snapshot_time")
 
     def step(batch: DataFrame, number: int) -> None:

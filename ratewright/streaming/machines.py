@@ -11,40 +11,38 @@ FROZEN_QUOTE = "fixture_id long, bookmaker string, snapshot_us long, home_odds d
 
 
 class KickoffFreeze(StatefulProcessor):
-    """Per fixture: the latest pre-kickoff quote of each book, given out once by a timer at kickoff; nothing after that counts.
+    """Per kickoff: the latest quote of each of its fixtures' books, given out once by a timer at that time; nothing after that counts.
 
-    Input: fixture_id, kickoff_us, snapshot_us, bookmaker and three odds, quotes before kickoff only. A group's rows come in
-    chunks and are reduced to one quote per book, so a fixture may have any number of rows. After its kickoff a fixture
-    keeps a mark and no quotes.
+    The key is kickoff_us, as fixtures that start together are frozen by one timer. Input: fixture_id, kickoff_us,
+    snapshot_us, bookmaker and three odds, quotes before kickoff only. A group's rows come in chunks and are reduced to one
+    quote per fixture and book, so a fixture may have any number of rows. After it a kickoff keeps a mark and no quotes.
     """
 
-    ODDS = ["home_odds", "draw_odds", "away_odds"]
+    NAMES = [x.split()[0] for x in FROZEN_QUOTE.split(", ")]
+    KEY, ODDS = ["fixture_id", "bookmaker"], ["home_odds", "draw_odds", "away_odds"]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "done boolean, bookmaker array<string>, snapshot_us array<long>, home_odds array<double>, draw_odds array<double>, away_odds array<double>")
+        arrays = [f"{n} array<{kind}>" for n, kind in (x.split() for x in FROZEN_QUOTE.split(", "))]
+        self.held = handle.getValueState("held", ", ".join(["done boolean", *arrays]))
 
     def handleInputRows(self, key, rows, timerValues):
         old = self.held.get()
         if old is not None and old[0]:
             return
-        best = {} if old is None else dict(zip(old[1], zip(*old[2:])))
-        kickoff = None
+        best = [] if old is None else [pd.DataFrame(dict(zip(self.NAMES, old[1:])))]
         for pdf in rows:
-            pdf = pdf.sort_values(["snapshot_us", *self.ODDS]).drop_duplicates("bookmaker", keep="last")
-            kickoff = int(pdf["kickoff_us"].iloc[0])
-            for book, *quote in zip(*[pdf[n].tolist() for n in ("bookmaker", "snapshot_us", *self.ODDS)]):
-                best[book] = max(best.get(book, (float("-inf"),)), tuple(quote))
+            both = pd.concat([*best, pdf[self.NAMES]]) if best else pdf[self.NAMES]
+            best = [both.sort_values(["snapshot_us", *self.ODDS]).drop_duplicates(self.KEY, keep="last")]
         if old is None:
-            self.handle.registerTimer(kickoff // 1000)
-        self.held.update((False, list(best), *[list(v) for v in zip(*best.values())]))
+            self.handle.registerTimer(int(key[0]) // 1000)
+        self.held.update((False, *[best[0][n].tolist() for n in self.NAMES]))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         _, *columns = self.held.get()
-        self.held.update((True, [], [], [], [], []))
-        names = ["bookmaker", "snapshot_us", *self.ODDS]
-        yield pd.DataFrame({"fixture_id": [key[0]] * len(columns[0]), **dict(zip(names, columns))})
+        self.held.update((True, *[[] for _ in self.NAMES]))
+        yield pd.DataFrame(dict(zip(self.NAMES, columns)))
 
     def close(self) -> None:
         pass

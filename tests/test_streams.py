@@ -2,13 +2,16 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ratewright.operators import consensus as k
 from ratewright.operators.tables import latest_quotes
 from ratewright.streaming import jobs
+from ratewright.streaming.machines import KickoffFreeze
 
 T0 = dt.datetime(2024, 1, 1)
 QUOTES = "fixture_id long, bookmaker string, snapshot_time timestamp_ntz, home_odds double, draw_odds double, away_odds double"
@@ -118,6 +121,30 @@ def test_freezing_at_kickoff_is_the_batch_consensus(spark, landed, tmp_path, par
     assert rows(out) == rows(want) and out.count() == 11
 
 
+def test_fixtures_that_start_together_share_a_timer():
+    calls = []
+
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    held = Held()
+    handle = SimpleNamespace(getValueState=lambda *_: held, registerTimer=calls.append)
+    machine = KickoffFreeze()
+    machine.init(handle)
+    chunks = [pd.DataFrame({"kickoff_us": 9_000_000, "fixture_id": range(500), "bookmaker": "b", "snapshot_us": us, "home_odds": 2.0 + us, "draw_odds": 3.0, "away_odds": 4.0}) for us in (3, 5, 4)]
+    assert list(machine.handleInputRows((9_000_000,), iter(chunks), None)) == [] and calls == [9000]
+    assert list(machine.handleInputRows((9_000_000,), iter(chunks[:1]), None)) == [] and calls == [9000]
+    (out,) = machine.handleExpiredTimer((9_000_000,), None, None)
+    assert sorted(out["fixture_id"]) == list(range(500)) and set(out["home_odds"]) == {7.0}
+    assert list(machine.handleInputRows((9_000_000,), iter(chunks), None)) == [] and held.value[0] and not held.value[1]
+
+
 def locks_by_hand(feed, last_time):
     """Events of one team: sorted rows, starts first among equal times."""
     starts = [(r.kickoff, -1, "start", None, None) for r in feed if r.kind == "fixture"]
