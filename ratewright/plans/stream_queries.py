@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ratewright.functions import calendar as t
 from ratewright.functions import numeric as x
@@ -139,7 +140,7 @@ def stream_kickoff_locks(spark, d):
     return out.select("team", "ts", "event_id", "event", r("r_market_frozen").alias("r_market_frozen"))
 
 
-#: Team rows are landed in this many parts, each read by a run of its own that goes on from the last one's state.
+#: Team rows are landed in parts that end here, and more where these are large, each read by a run of its own that goes on from the last one's state.
 LANDED_UNTIL = ["1998-06-01", "2100-01-01"]
 
 
@@ -165,14 +166,31 @@ def team_feed(spark, d):
     return exploded.select("team", "ts", (F.col("fixture_id") * 4 + F.col("rank")).alias("seq"), "kind", "r_market", "m1_value", F.when(F.col("kind") == "fixture", F.col("kickoff")).alias("kickoff"))
 
 
+#: Rows of one part, about: all of them may be one team's, which are put in order in memory.
+LANDED_ROWS = 20_000_000
+
+
+def landed_until(days, rows: int = LANDED_ROWS) -> list[str]:
+    """Ends of the parts, from (date, contests) of each day: those above, and one before each day that would fill a part."""
+    ends, held = set(LANDED_UNTIL), 0
+    for day, n in sorted((x for x in days if x[0] is not None), key=lambda x: x[0]):
+        # A contest is six rows: three for each side.
+        held += 6 * n
+        if held > rows:
+            ends.add(str(day))
+            held = 6 * n
+    return sorted(ends)
+
+
 def team_locks(spark, d):
-    feed, folder, root = durable(team_feed(spark, d)), new_folder(spark, "team-feed"), new_folder(spark, "team-locks")
-    since = F.lit("0001-01-01").cast("timestamp_ntz")
-    for until in LANDED_UNTIL:
-        upto = F.lit(until).cast("timestamp_ntz")
-        feed.where((F.col("ts") >= since) & (F.col("ts") < upto)).write.mode("append").parquet(folder)
+    feed, staged, folder, root = team_feed(spark, d), new_folder(spark, "team-staged"), new_folder(spark, "team-feed"), new_folder(spark, "team-locks")
+    ends = landed_until([tuple(x) for x in fixtures(spark, d).groupBy("date").count().collect()])
+    part = sum((F.col("ts") >= F.lit(x).cast("timestamp_ntz")).cast("int") for x in ends)
+    feed.withColumn("part", part).write.partitionBy("part").parquet(staged)
+    parts = spark.read.schema(StructType([*feed.schema.fields, StructField("part", IntegerType())])).parquet(staged)
+    for i in range(len(ends)):
+        parts.where(F.col("part") == i).drop("part").write.mode("append").parquet(folder)
         events = jobs.lock_stream(spark.readStream.schema(feed.schema).parquet(folder), root=root)
-        since = upto
     return events
 
 

@@ -4,14 +4,16 @@ import datetime as dt
 import random
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ratewright.operators import consensus as k
 from ratewright.operators.tables import latest_quotes
+from ratewright.plans.stream_queries import LANDED_UNTIL, landed_until
 from ratewright.streaming import jobs
-from ratewright.streaming.machines import KickoffFreeze
+from ratewright.streaming.machines import KickoffFreeze, KickoffLocks
 
 T0 = dt.datetime(2024, 1, 1)
 QUOTES = "fixture_id long, bookmaker string, snapshot_time timestamp_ntz, home_odds double, draw_odds double, away_odds double"
@@ -145,6 +147,25 @@ def test_fixtures_that_start_together_share_a_timer():
     assert list(machine.handleInputRows((9_000_000,), iter(chunks), None)) == [] and held.value[0] and not held.value[1]
 
 
+def test_a_teams_rows_are_walked_in_slabs(monkeypatch):
+    monkeypatch.setattr(KickoffLocks, "SLAB", 10)
+    held = SimpleNamespace(get=lambda: None, update=lambda value: None)
+    machine = KickoffLocks()
+    machine.init(SimpleNamespace(getValueState=lambda *_: held, registerTimer=lambda _: None))
+    n = 40
+    rows = pd.DataFrame({"us": range(n), "seq": range(n), "kind": ["kickoff", "settlement"] * (n // 2), "r_market": 1500.0, "m1_value": np.nan, "kickoff_us": np.nan})
+    rows.loc[n - 1, "seq"] = None
+    out = list(machine.handleInputRows(("t",), iter([rows[1::2], rows[::2]]), None))
+    assert [len(x) for x in out] == [10] * 4 and pd.concat(out)["seq"].tolist()[:-1] == list(range(n - 1)) and pd.isna(out[-1]["seq"].iloc[-1])
+    assert set(pd.concat(out)["event"]) == {"frozen", "cleared"}
+
+
+def test_parts_of_the_feed_are_bounded():
+    days = [(T0.date() + dt.timedelta(days=i), 10) for i in range(40)]
+    ends = [x for x in landed_until(days, rows=300) if x.startswith("2024")]
+    assert ends == [str(days[i][0]) for i in range(5, 40, 5)] and landed_until(days) == LANDED_UNTIL
+
+
 def locks_by_hand(feed, last_time):
     """Events of one team: sorted rows, starts first among equal times."""
     starts = [(r.kickoff, -1, "start", None, None) for r in feed if r.kind == "fixture"]
