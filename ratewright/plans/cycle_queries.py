@@ -25,6 +25,8 @@ from ratewright.streaming import jobs
 
 #: Contests before this day have made the stored state; those from it on are settled into it.
 SETTLE_FROM = "1998-06-01"
+#: What settling and replaying read of the frozen consensus.
+SCORES = ["fixture_id", "home_expected_score", "away_expected_score", "bookmaker_count"]
 #: A team of the contests that has no stored state.
 UNKNOWN_TEAM = "NATION_7"
 
@@ -36,7 +38,8 @@ def r(col, n=6):
 def stored_tables(spark, d):
     """(fixtures to settle, kr, state, log): B from plain settlement of earlier contests, the market rating from what their
     quotes implied on average (frozen for every other team), and a log that holds some of the contests, wholly or one side."""
-    f, kr = fixtures(spark, d), frozen(spark, d)
+    # Written once: the state, the reasons and the rows to settle all read it.
+    f, kr = fixtures(spark, d), durable(frozen(spark, d).select(*SCORES))
     before = st.settle_rows(f, kr).where(F.col("date") < F.lit(SETTLE_FROM).cast("date"))
     strength = x.implied_strength("e_kr", F.lit(c.BASELINE_RATING), "is_home")
     base = before.groupBy("team_id").agg(
@@ -363,7 +366,7 @@ def solve_iterations(spark, d):
 
 
 def replayed(spark, d, every):
-    f, kr, q = fixtures(spark, d), durable(frozen(spark, d)), quotes(spark, d)
+    f, kr, q = fixtures(spark, d), durable(frozen(spark, d).select(*SCORES)), quotes(spark, d)
     pre = k.pre_kickoff(q, f).where(F.least(*k.ODDS) >= 1.01)
     current = durable(k.current_expected(latest_quotes(pre)).select("fixture_id", "home_es"))
     teams = st.team_rows(f).where("competition = 'league'").groupBy("team_id").agg(F.max_by("league", F.struct("date", "fixture_id")).alias("league"))
