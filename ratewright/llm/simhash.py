@@ -35,8 +35,14 @@ ROWS = 1 << 14
 PIECE = 1024
 #: Band keys of a set of shingles, and the smallest images that make one up.
 BANDS, ROWS_A_BAND = 20, 3
-#: Texts that share a band key and are compared in one task; fuller keys are cut into tiles.
-BUCKET_TILE = 2048
+#: How often a fingerprint's bits are dealt into bands, the bits of a band, and those of them that name its cell.
+TURNS, BAND_BITS, CELL_BITS = 2, 20, 8
+#: Bits of a band nearest to even, which are read both ways: the fewer shingles, the more of them (size below which, bits).
+UNSURE, MOST_UNSURE = 4, ((12, 7), (40, 5))
+#: Rows of one cell that are compared in one task; fuller cells are cut into tiles.
+BUCKET_TILE = 1 << 18
+#: Rows that agree in a whole band and are compared pair by pair; of more, each found one leads on to those not found yet.
+CROWD = 64
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, lanes: int = 1) -> np.ndarray:
@@ -57,16 +63,25 @@ def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(b" ".join(s), seed) for s in spans), dtype="<u8")
 
 
-def majority(h: np.ndarray, lanes: int) -> np.ndarray:
-    out = np.zeros(lanes, dtype=np.uint64)
+def balance(h: np.ndarray, lanes: int) -> np.ndarray:
+    """Ones less zeros among the hashes, for each of the fingerprint's bits."""
+    out = np.zeros((lanes, 64), dtype=np.int64)
     for lane in range(lanes if len(h) else 0):
         own = h if lane == 0 else mix(h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        ones = np.zeros(64, dtype=np.int64)
         for i in range(0, len(own), ROWS):
             part = own[i : i + ROWS].view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[lane] = np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")[0]
-    return out
+            out[lane] += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[lane] = 2 * out[lane] - len(own)
+    return out.ravel()
+
+
+def majority(h: np.ndarray, lanes: int) -> np.ndarray:
+    return packed(balance(h, lanes))
+
+
+def packed(sums: np.ndarray) -> np.ndarray:
+    """Fingerprint words of bits' balances: a bit is 1 if ones prevail."""
+    return np.packbits(sums > 0, axis=-1, bitorder="little").view("<u8")
 
 
 def fingerprints(df: DataFrame, key: str, text: str, shingle: int, seed: int, lanes: int) -> DataFrame:
@@ -238,67 +253,162 @@ def within(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def bit_bands(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each text's bands of fingerprint bits, from its bits' balances and its number of shingles.
+
+    A band is one number: its bits, and above them a mask of those nearest to even. What two texts differ in tips the bits
+    that hang in the balance, so these are the ones to read both ways. All bits are dealt into bands, several times over.
+    """
+    n, bits = sums.shape
+    rng = np.random.default_rng(bits)
+    turns = [np.arange(bits), *[rng.permutation(bits) for _ in range(TURNS - 1)]]
+    order = np.concatenate([t[: bits // BAND_BITS * BAND_BITS] for t in turns]).reshape(-1, BAND_BITS)
+    dealt = sums[:, order]
+    weight = np.int64(1) << np.arange(BAND_BITS)
+    unsure = np.full(n, UNSURE)
+    for below, m in reversed(MOST_UNSURE):
+        unsure[sizes < below] = m
+    # Of bits that are equally near, the first ones.
+    near_even = np.abs(dealt) * BAND_BITS + np.arange(BAND_BITS)
+    last = np.sort(near_even, axis=2)[np.arange(n), :, unsure - 1]
+    return (dealt > 0) @ weight | (near_even <= last[:, :, None]) @ weight << BAND_BITS
+
+
+def both_ways(names: np.ndarray, masks: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, name): each name with its masked bits read either way, in all combinations."""
+    at = np.arange(len(names))
+    for bit in range(bits):
+        turned = np.flatnonzero(masks[at] >> bit & 1)
+        at, names = np.concatenate([at, at[turned]]), np.concatenate([names, names[turned] ^ (1 << bit)])
+    return at, names
+
+
+def cells(bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of text, cell, rest): the cells that each text's bands lie in, and the bits and mask that the cell leaves open."""
+    name, mask = bands & (1 << BAND_BITS) - 1, bands >> BAND_BITS
+    low, left = (1 << CELL_BITS) - 1, BAND_BITS - CELL_BITS
+    at, cell = both_ways((name & low).ravel(), (mask & low).ravel(), CELL_BITS)
+    rest = (name >> CELL_BITS | mask >> CELL_BITS << left).ravel()[at]
+    return at // bands.shape[1], at % bands.shape[1] << CELL_BITS | cell, rest
+
+
+def led(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all pairs of rows that differ in at most radius bits: who is found leads on to those not found yet."""
+    left, found_a, found_b = np.arange(len(fps)), [], []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            one = queue.pop()
+            close = np.bitwise_count(fps[left] ^ fps[one]).sum(axis=1, dtype=np.int64) <= radius
+            hits, left = left[close], left[~close]
+            found_a.append(np.full(len(hits), one))
+            found_b.append(hits)
+            queue.extend(hits.tolist())
+    return tuple(np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (found_a, found_b))
+
+
+def met(group: np.ndarray, rest: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows that connect all pairs of a group (whose rows follow one another) that agree in the band and lie within the radius."""
+    left = BAND_BITS - CELL_BITS
+    at, key = both_ways(rest & (1 << left) - 1, rest >> left, left)
+    bucket = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))[at] << left | key
+    order = np.argsort(bucket, kind="stable")
+    at, bucket = at[order], bucket[order]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    n = np.diff(np.concatenate([starts, [len(bucket)]]))
+    few = np.repeat((n > 1) & (n <= CROWD), n)
+    a, b = within(bucket[few], fps[at[few]], radius)
+    found_a, found_b = [at[few][a]], [at[few][b]]
+    for i, size in zip(starts[n > CROWD].tolist(), n[n > CROWD].tolist(), strict=True):
+        rows = at[i : i + size]
+        a, b = led(fps[rows], radius)
+        found_a.append(rows[a])
+        found_b.append(rows[b])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def banded_links(nodes: DataFrame, radius: int, lanes: int) -> DataFrame:
-    """(a, b) links that connect all nodes of (node, fp, bands) that share a band's key and differ in at most radius bits.
+    """(a, b) links that connect all nodes of (node, fp, bands) that agree in a band's bits, but for those in the balance, and
+    differ in at most radius bits.
 
-    A key that one text has alone goes before its fingerprint is moved; one that many share is cut into tiles, which meet
-    pair by pair.
+    A band's first bits name a cell, whose rows meet in one task and are matched there by the others; a fuller cell is cut
+    into tiles, which meet pair by pair.
     """
-    keys = nodes.select(F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_TILE).cast("long").alias("cuts"))
-    placed = nodes.select(F.explode("bands").alias("bucket"), "node", "fp").join(shared, "bucket")
-    small = placed.where("cuts = 1").select("bucket", "node", "fp").repartition("bucket").sortWithinPartitions("bucket")
+
+    def bands_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+        return batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+    def words_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+        return batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                n = np.bincount(cells(bands_of(batch, 0))[1], minlength=len(total))
+                n[: len(total)] += total
+                total = n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at, cell, rest = cells(bands_of(batch, 2))
+                fps = words_of(batch, 1)[at].view(np.int64)
+                fp = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, lanes, dtype=np.int32)), pa.array(fps.ravel()))
+                node = batch.column(0).to_numpy(zero_copy_only=False)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(node), pa.array(rest), fp], names=["cell", "node", "rest", "fp"])
+
+    # There is a number of cells that no table changes, so what is known of the fuller ones may be broadcast.
+    sizes = nodes.select("bands").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    fuller = stored(sizes.where(F.col("n") > BUCKET_TILE).select("cell", F.ceil(F.col("n") / BUCKET_TILE).cast("long").alias("cuts")), "fuller-cells")
+    rows = nodes.select("node", "fp", "bands").mapInArrow(spread, "cell long, node long, rest long, fp array<long>")
+    placed = rows.join(F.broadcast(fuller), "cell", "left").withColumn("piece", F.pmod(F.xxhash64("node"), "cuts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda k: k != F.col("piece"))
+    pairs = F.transform(others, lambda k: F.least(k, "piece") * F.col("cuts") + F.greatest(k, "piece"))
+    pair = F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))
+    dealt = placed.select("cell", pair.alias("pair"), "node", "rest", "fp").repartition("cell", "pair").sortWithinPartitions("cell", "pair")
+    dealt = dealt.select(F.xxhash64("cell", "pair").alias("group"), "node", "rest", "fp")
 
     def linked(nodes_a: np.ndarray, nodes_b: np.ndarray) -> pa.RecordBatch:
         names, at = np.unique(np.concatenate([nodes_a, nodes_b]), return_inverse=True)
         child, root = forest(len(names), at[: len(nodes_a)], at[len(nodes_a) :])
         return pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[root])], names=["a", "b"])
 
-    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        fps = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-        return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), fps
+    def match(held: list) -> pa.RecordBatch:
+        group, node, rest, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        a, b = met(group, rest, fps, radius)
+        return linked(node[a], node[b])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last bucket of a batch may go on in the next one.
-        held = None
+        # A batch's last group may go on in the next one.
+        held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, node, fps = columns(batch)
-            if held is not None:
-                bucket, node, fps = (np.concatenate(x) for x in zip(held, (bucket, node, fps), strict=True))
-            cut = int(np.flatnonzero(bucket == bucket[-1])[0])
-            held = bucket[cut:], node[cut:], fps[cut:]
-            a, b = within(bucket[:cut], fps[:cut], radius)
-            yield linked(node[a], node[b])
-        if held is not None:
-            a, b = within(held[0], held[2], radius)
-            yield linked(held[1][a], held[1][b])
-
-    pieces = placed.where("cuts > 1").withColumn("piece", F.pmod(F.xxhash64("node"), "cuts"))
-    tiles = stored(pieces.groupBy("bucket", "piece", "cuts").agg(F.collect_list("node").alias("nodes"), F.flatten(F.collect_list("fp")).alias("fps")), "bucket-tiles")
-    own = tiles.select("bucket", F.col("nodes").alias("own_nodes"), F.col("fps").alias("own_fps"), F.explode(F.sequence(F.col("piece"), F.col("cuts") - 1)).alias("piece"))
-    pairs = own.join(tiles.select("bucket", "piece", "nodes", "fps"), ["bucket", "piece"])
-    pairs = pairs.repartition(F.xxhash64("own_nodes", "piece")).select("own_nodes", "own_fps", "nodes", "fps")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one, one_fps, other, other_fps = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(4))
-                a, b = near(one_fps.view(np.uint64).reshape(-1, lanes), other_fps.view(np.uint64).reshape(-1, lanes), radius)
-                yield linked(one[a], other[b])
+            group, node, rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            fps = words_of(batch, 3)
+            cut = int(np.flatnonzero(group == group[-1])[0])
+            if held and (cut or group[0] != held[-1][0][-1]):
+                yield match([*held, (group[:cut], node[:cut], rest[:cut], fps[:cut])])
+                held = []
+            elif cut:
+                yield match([(group[:cut], node[:cut], rest[:cut], fps[:cut])])
+            held.append((group[cut:], node[cut:], rest[cut:], fps[cut:]))
+        if held:
+            yield match(held)
 
-    return small.mapInArrow(inside, "a long, b long").union(pairs.mapInArrow(across, "a long, b long"))
+    return dealt.mapInArrow(inside, "a long, b long")
 
 
 def shingle_classes(df: DataFrame, radius: int, share: float, key: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, lanes: int = 4) -> DataFrame:
     """(key, component_id) of each row; component_id is the smallest key reachable over links.
 
-    Texts link if they share at least ``share`` of their distinct word shingles. Candidates share a band key of their
-    shingles and differ in at most ``radius`` bits of a fingerprint of distinct shingles; the shingles decide. With 20 bands
-    of three rows two texts that share 0.8 meet in a band but for one pair in two million. Equal sets are one node; texts
-    without words are alike, null texts among them. A null key gets a row, and is a component_id only if its class has no
-    other. Other columns are not read.
+    Texts link if they share at least ``share`` of their distinct word shingles. Candidates agree in a band of the bits of a
+    fingerprint of distinct shingles, those in the balance read both ways, and differ in at most ``radius`` of all its bits;
+    the shingles decide. Equal sets are one node; texts without words are alike, null texts among them. A null key gets a
+    row, and is a component_id only if its class has no other. Other columns are not read.
     """
 
     def shingles(texts: list[bytes]) -> list[np.ndarray]:
@@ -310,9 +420,9 @@ def shingle_classes(df: DataFrame, radius: int, share: float, key: str = "doc_id
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingles(texts_of(batch))
-            fps = np.concatenate([majority(s, lanes) for s in sets]).view(np.int64)
-            bands = band_keys(sets, seed).view(np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, n, dtype=np.int32)), pa.array(x.ravel())) for x, n in ((fps, lanes), (bands, BANDS))]
+            sums = np.stack([balance(s, lanes) for s in sets])
+            bands = bit_bands(sums, np.array([len(s) for s in sets]))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (packed(sums).view(np.int64), bands)]
             yield pa.RecordBatch.from_arrays([batch.column(0), digests(sets), *lists], names=["key", "digest", "fp", "bands"])
 
     given = df.select(F.col(key).alias("key"), F.col(text).alias("text"))

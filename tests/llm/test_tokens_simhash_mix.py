@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 import xxhash
 
+from ratewright.llm import simhash
 from ratewright.llm.mixing import mixed, sainte_lague, weighted_targets
 from ratewright.llm.simhash import BANDS, band_keys, near_links, simhash_classes, within
 from ratewright.llm.tokens import LONGEST, Counter, single_tokens, token_counts
@@ -241,3 +242,50 @@ def test_band_keys_follow_the_share():
     hits = (keys[0:1000:2] == keys[1:1000:2]).mean()
     assert abs(hits - 0.8**3) < 0.02 and (keys[-1] == keys[-2]).all() and not (keys[0] == keys[-1]).any()
     assert ((keys[0:1000:2] == keys[1:1000:2]).any(axis=1)).all() and keys.shape == (1002, BANDS)
+
+
+@pytest.mark.parametrize(("common", "own", "other"), [(160, 20, 20), (160, 40, 0), (16, 2, 2), (8, 1, 1), (4, 1, 0)])
+def test_texts_alike_agree_in_a_band_of_fingerprint_bits(common, own, other):
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(1000):
+        h = rng.integers(0, 2**64, common + own + other, dtype=np.uint64)
+        sets += [h[: common + own], np.concatenate([h[:common], h[common + own :]])]
+    sums = np.stack([simhash.balance(s, 4) for s in sets])
+    assert (simhash.packed(sums) == np.stack([simhash.majority(s, 4) for s in sets])).all()
+    bands = simhash.bit_bands(sums, np.array([len(s) for s in sets]))
+    apart = (bands[::2] ^ bands[1::2]) & ~((bands[::2] | bands[1::2]) >> simhash.BAND_BITS) & (1 << simhash.BAND_BITS) - 1
+    assert (apart == 0).any(axis=1).all()
+    # Other pairs hardly ever do.
+    assert np.mean(((bands[:-2:2] ^ bands[2::2]) & ~((bands[:-2:2] | bands[2::2]) >> simhash.BAND_BITS) & (1 << simhash.BAND_BITS) - 1) == 0) < 0.01
+
+
+@pytest.mark.parametrize(("tile", "crowd"), [(1 << 18, 64), (40, 2)])
+def test_banded_links_connect_all_that_agree_in_a_band(spark, monkeypatch, tile, crowd):
+    monkeypatch.setattr(simhash, "BUCKET_TILE", tile)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(10)
+    sets = []
+    for _ in range(25):
+        h = rng.integers(0, 2**64, 100, dtype=np.uint64)
+        sets += [np.concatenate([h[rng.random(100) < 0.9], rng.integers(0, 2**64, 8, dtype=np.uint64)]) for _ in range(rng.choice([1, 2, 5, 20]))]
+    sums = np.stack([simhash.balance(s, 4) for s in sets])
+    fps, bands = simhash.packed(sums), simhash.bit_bands(sums, np.array([len(s) for s in sets]))
+    rows = [(i, f, b) for i, (f, b) in enumerate(zip(fps.view(np.int64).tolist(), bands.tolist(), strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, fp array<long>, bands array<long>")
+    found = simhash.banded_links(nodes, 60, 4).collect()
+
+    def classes(links):
+        root = list(range(len(sets)))
+        for a, b in links:
+            root = [root[a] if r == root[b] else r for r in root]
+        return [root.index(r) for r in root]
+
+    low = (1 << simhash.BAND_BITS) - 1
+    want = [
+        (i, j)
+        for i in range(len(sets))
+        for j in range(i)
+        if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 60 and (((bands[i] ^ bands[j]) & ~((bands[i] | bands[j]) >> simhash.BAND_BITS) & low) == 0).any()
+    ]
+    assert classes(found) == classes(want) and len(want) > 200
