@@ -218,17 +218,24 @@ def events_json(spark, d):
     """Quote events as landed JSON text: one per order, its line items being books with three markets."""
     f = fixtures(spark, d).select("fixture_id", "home_team", "away_team", "commence_time")
     q = tb.latest_quotes(quotes(spark, d))
-    out = lambda n, p, pt=None: F.struct(n.alias("name"), p.alias("price"), (F.lit(None).cast("double") if pt is None else pt).alias("point"))
-    half = F.floor(F.col("home_odds")) + 0.5
-    mk = lambda key, *o: F.struct(F.lit(key).alias("key"), F.array(*o).alias("outcomes"))
-    markets = F.array(
-        mk("h2h", out(F.col("home_team"), F.col("home_odds")), out(F.lit("Draw"), F.col("draw_odds")), out(F.col("away_team"), F.col("away_odds"))),
-        mk("totals", out(F.lit("Over"), F.col("draw_odds"), half), out(F.lit("Under"), F.col("away_odds"), half)),
-        mk("spreads", out(F.col("home_team"), F.col("home_odds"), -half), out(F.col("away_team"), F.col("away_odds"), half)),
-    )
+    # A book's odds are gathered as three numbers; its markets are spelled out once the event's row is there.
     books = q.join(f, "fixture_id").groupBy("fixture_id", "home_team", "away_team", "commence_time").agg(
-        F.collect_list(F.struct(F.col("bookmaker").alias("key"), markets.alias("markets"))).alias("bookmakers")
+        F.collect_list(F.struct("bookmaker", *k.ODDS)).alias("_books")
     )
+    out = lambda n, p, pt=None: F.struct(n.alias("name"), p.alias("price"), (F.lit(None).cast("double") if pt is None else pt).alias("point"))
+    mk = lambda key, *o: F.struct(F.lit(key).alias("key"), F.array(*o).alias("outcomes"))
+
+    def book(b):
+        home, draw, away = (b[o] for o in k.ODDS)
+        half = F.floor(home) + 0.5
+        markets = F.array(
+            mk("h2h", out(F.col("home_team"), home), out(F.lit("Draw"), draw), out(F.col("away_team"), away)),
+            mk("totals", out(F.lit("Over"), draw, half), out(F.lit("Under"), away, half)),
+            mk("spreads", out(F.col("home_team"), home, -half), out(F.col("away_team"), away, half)),
+        )
+        return F.struct(b["bookmaker"].alias("key"), markets.alias("markets"))
+
+    books = books.withColumn("bookmakers", F.transform("_books", book))
     return books.select("fixture_id", F.to_json(F.struct(F.col("fixture_id").cast("string").alias("id"), "commence_time", "home_team", "away_team", "bookmakers")).alias("body"))
 
 

@@ -65,8 +65,10 @@ def regroup(quotes: DataFrame) -> DataFrame:
 
 def _markets(df: DataFrame, event: Column, keep: list[str], key: str) -> DataFrame:
     books = df.select(*keep, event.getField("home_team").alias("_h"), event.getField("away_team").alias("_a"), F.explode(event.getField("bookmakers")).alias("_b"))
-    markets = books.select(*keep, "_h", "_a", F.col("_b.key").alias("bookmaker"), F.explode("_b.markets").alias("_m"))
-    return markets.where(F.col("_m.key") == key).select(*keep, "_h", "_a", "bookmaker", F.col("_m.outcomes").alias("_o"))
+    # Other markets go before rows are made of them.
+    named = F.filter("_b.markets", lambda m: m["key"] == key)
+    markets = books.select(*keep, "_h", "_a", F.col("_b.key").alias("bookmaker"), F.explode(named).alias("_m"))
+    return markets.select(*keep, "_h", "_a", "bookmaker", F.col("_m.outcomes").alias("_o"))
 
 
 def _outcome(name: Column) -> Column:

@@ -282,3 +282,15 @@ def test_quote_sources_own_then_exact_then_alike(spark):
     having = spark.createDataFrame([(i,) for i in (1, 8, 9, 10, 19, 20, 30)], "fixture_id long")
     got = {r.fixture_id: r.source_id for r in rv.quote_sources(spark.createDataFrame(wanted, schema), fixtures, having).collect()}
     assert got == {1: 1, 2: 9, 3: 20}
+
+
+def test_flattened_feeds_gather_odds_and_spread_one_market(spark, tmp_path):
+    """What an event gathers per book is its odds, and no rows are made of markets that are not asked for."""
+    from ratewright.plans import shapes
+    from ratewright.plans import table_queries as tq
+
+    for name in ("region", "nation", "customer", "orders", "lineitem"):
+        spark.createDataFrame([], shapes.SCHEMAS[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("flatten_h2h", "flatten_totals", "flatten_spreads"):
+        plan = getattr(tq, name)(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(struct(bookmaker" in plan and "explode(filter(" in plan
