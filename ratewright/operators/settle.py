@@ -181,7 +181,8 @@ def settle_v3(rows: DataFrame, base: float = c.BASELINE_RATING, order=("date", "
     block does to a rating that arrives at it (a function of straight pieces) and chains these per team, the second writes
     the rows from the right start. One number per block meets the driver.
     """
-    given = rows.withColumn(START, F.lit(base) if start is None else F.col(start).cast("double"))
+    # Written before its ranges are sampled, or what lies behind the rows (a consensus) is worked out for the sample too.
+    given = durable(rows.withColumn(START, F.lit(base) if start is None else F.col(start).cast("double")))
     blocks = in_blocks(given, ["team_id"], list(order))
     starts: dict[int, float] = {}
     if blocks.rdd.getNumPartitions() > 1:

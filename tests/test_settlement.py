@@ -591,3 +591,20 @@ def test_feedback_pass_moves_and_takes_back(spark):
     twap = spark.createDataFrame([("live", 1546.0), ("soon", 1910.0), ("far", 1540.0), ("off", None)], "team_id string, twap_index double")
     out = {r.team_id: (r.regime, r.f_value, r.published_index) for r in lv.feedback_pass(state, twap, fixtures, ql.live_teams(fixtures, at), at).collect()}
     assert out == {"live": ("live", 6.0, 1512.0), "soon": ("prematch", 20.0, 1530.0), "far": ("between", 2.0, 1502.0), "off": ("offseason", 0.0, 1500.0), "same": ("offseason", 9.0, 1500.005)}
+
+
+def test_settle_v3_works_its_rows_out_once(spark):
+    """Sampling ranges read the rows a second time, with all that lies behind them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(400).selectExpr(
+        "id as fixture_id", "date_add(date'2024-01-01', cast(id div 4 as int)) as date", "concat('t', id % 3) as team_id", "0.1 as surprise", "1600.0 as target", "0.08 as gamma",
+        "1.0 as actual_score_s", "0.9 as e_kr",
+    ).selectExpr("fixture_id", "date", "team_id", "cast(surprise as double) surprise", "cast(target as double) target", "cast(gamma as double) gamma", "cast(actual_score_s as double) actual_score_s", "cast(e_kr as double) e_kr")
+    done = st.settle_v3(rows.repartition(4).mapInPandas(told, rows.schema))
+    assert done.count() == 400 and seen.value == 400
