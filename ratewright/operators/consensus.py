@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.functions import calendar as t
@@ -49,12 +49,26 @@ def book_probs(latest: DataFrame) -> DataFrame:
     return priced.withColumns({p: F.when(inside, F.col(p)) for p in ("p_home", "p_draw", "p_away")})
 
 
+def few_median(values) -> Column:
+    """The exact median of a group of few values, nulls left out: sorted and read in the middle.
+
+    ``F.median`` keeps a hash table of counts for each group, which costs far more than it saves where values hardly repeat.
+    """
+    ordered = F.sort_array(F.collect_list(values))
+    n = F.size(ordered)
+
+    def at(i):
+        return F.get(ordered, i.cast("int"))
+
+    return 0.5 * at(F.floor((n - 1) / 2)) + 0.5 * at(F.floor(n / 2))
+
+
 def median_consensus(books: DataFrame, extra: list | None = None) -> DataFrame:
     """Per fixture: renormalised medians of at least two books. A fixture's group holds one row per book."""
     agg = books.groupBy("fixture_id").agg(
-        F.median("p_home").alias("_h"),
-        F.median("p_draw").alias("_d"),
-        F.median("p_away").alias("_a"),
+        few_median("p_home").alias("_h"),
+        few_median("p_draw").alias("_d"),
+        few_median("p_away").alias("_a"),
         F.count("p_home").alias("bookmaker_count"),
         F.max("snapshot_time").alias("latest_quote"),
         *(extra or []),

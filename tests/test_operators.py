@@ -294,3 +294,13 @@ def test_flattened_feeds_gather_odds_and_spread_one_market(spark, tmp_path):
     for name in ("flatten_h2h", "flatten_totals", "flatten_spreads"):
         plan = getattr(tq, name)(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list(struct(bookmaker" in plan and "explode(filter(" in plan
+
+
+def test_few_median_is_the_median_without_hash_tables(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 0.25, rng.random()]) if i else None) for i in range(60) for _ in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame(rows, "fixture_id long, p double")
+    out = df.groupBy("fixture_id").agg(F.median("p").alias("want"), k.few_median("p").alias("got"))
+    assert out.where(~F.col("want").eqNullSafe(F.col("got"))).count() == 0
+    books = df.select("fixture_id", *[F.col("p").alias(n) for n in ("p_home", "p_draw", "p_away")], F.lit(dt.datetime(2020, 1, 1)).alias("snapshot_time"))
+    assert "percentile" not in k.median_consensus(books)._jdf.queryExecution().optimizedPlan().toString()
