@@ -93,52 +93,52 @@ def quote_drift(fixtures: DataFrame, quotes: DataFrame, book: str | None) -> Dat
     """Per (day, team): how far quotes of the fixtures of the next 14 days have moved.
 
     Quotes fall into at most 15 buckets per fixture (each of the last 14 days, and all
-    earlier); first and last quote per bucket are partial aggregates, and only buckets
-    are then read for every later day.
+    earlier), whose first and last quotes run on from bucket to bucket. Between two
+    buckets nothing moves, so fixtures are summed per team, match day and such a span of
+    days before the span is spread over its days.
     """
     reach = c.DRIFT_LOOKAHEAD_DAYS
     q = quotes.where(F.col("home_odds").isNotNull() & F.col("away_odds").isNotNull() & F.col("snapshot_time").isNotNull())
     starts = fixtures.select("fixture_id", F.col("date").alias("match_date"))
     q = q.join(starts, "fixture_id").where(F.col("snapshot_time").cast("date") < F.col("match_date"))
     bucket = F.greatest(F.col("snapshot_time").cast("date"), F.date_sub("match_date", reach))
-    row = F.struct("home_odds", "away_odds", "snapshot_time")
-    order = F.struct("snapshot_time", "bookmaker", "home_odds", "away_odds", "draw_odds")
+    row = F.struct("snapshot_time", "bookmaker", "home_odds", "away_odds", "draw_odds")
     preferred = (F.col("bookmaker") == book) if book else F.lit(False)
-    pref_row, pref_order = F.when(preferred, row), F.when(preferred, order)
+    pref_row = F.when(preferred, row)
     buckets = q.groupBy("fixture_id", "match_date", bucket.alias("_day")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(preferred).alias("pn"),
-        F.min_by(row, order).alias("f"), F.max_by(row, order).alias("l"), F.min(order).alias("fo"), F.max(order).alias("lo"),
-        F.min_by(pref_row, pref_order).alias("pf"), F.max_by(pref_row, pref_order).alias("pl"),
-        F.min(pref_order).alias("pfo"), F.max(pref_order).alias("plo"),
-    )
-    daily = buckets.withColumn("date", F.explode(F.sequence("_day", F.date_sub("match_date", 1))))
-    upto = daily.groupBy("fixture_id", "match_date", "date").agg(
-        F.sum("n").alias("n"), F.sum("pn").alias("pn"),
-        F.min_by("f", "fo").alias("f"), F.max_by("l", "lo").alias("l"),
-        F.min_by("pf", "pfo").alias("pf"), F.max_by("pl", "plo").alias("pl"),
+        F.min(row).alias("f"), F.max(row).alias("l"), F.min(pref_row).alias("pf"), F.max(pref_row).alias("pl"),
     )
+    by_day = Window.partitionBy("fixture_id", "match_date").orderBy("_day")  # 15 rows at most
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    folds = {"n": F.sum, "pn": F.sum, "f": F.min, "l": F.max, "pf": F.min, "pl": F.max}
+    until = F.date_sub(F.coalesce(F.lead("_day").over(by_day), "match_date"), 1)
+    upto = buckets.select("fixture_id", "match_date", "_day", until.alias("_until"), *[fold(name).over(so_far).alias(name) for name, fold in folds.items()])
     use = F.col("pn") >= 2
     first, last = F.when(use, F.col("pf")).otherwise(F.col("f")), F.when(use, F.col("pl")).otherwise(F.col("l"))
-    moved = upto.where(F.col("n") >= 2).select("fixture_id", "match_date", "date", first.alias("f"), last.alias("l"))
+    moved = upto.where(F.col("n") >= 2).select("fixture_id", "match_date", "_day", "_until", first.alias("f"), last.alias("l"))
     moved = moved.where(t.hours_between("f.snapshot_time", "l.snapshot_time") >= c.DRIFT_MIN_HOURS)
-    weight = t.fade(F.date_diff("match_date", "date"), c.DRIFT_FADE_DAYS)
 
     def shift(side):
         early, late = F.col(f"f.{side}"), F.col(f"l.{side}")
-        return F.when((early > 0) & (late > 0), c.DRIFT_SCALE * (1.0 / late - 1.0 / early) * weight)
+        return F.when((early > 0) & (late > 0), c.DRIFT_SCALE * (1.0 / late - 1.0 / early))
 
-    sides = moved.where(weight > 0).select("fixture_id", "date", shift("home_odds").alias("hd"), shift("away_odds").alias("ad"))
+    span = ["match_date", "_day", "_until"]
+    sides = moved.select("fixture_id", *span, shift("home_odds").alias("hd"), shift("away_odds").alias("ad"))
     named = sides.join(fixtures.select("fixture_id", "home_team", "away_team"), "fixture_id")
     rows = named.select(
-        "date",
+        *span,
         F.inline(
             F.array(
-                F.struct(F.col("home_team").alias("team"), F.col("hd").alias("drift")),
-                F.struct(F.col("away_team").alias("team"), F.col("ad").alias("drift")),
+                F.struct(F.col("home_team").alias("team"), F.col("hd").alias("shift")),
+                F.struct(F.col("away_team").alias("team"), F.col("ad").alias("shift")),
             )
         ),
     )
-    return rows.where(F.col("drift").isNotNull()).groupBy("team", "date").agg(F.sum("drift").alias("drift"))
+    spans = rows.where(F.col("shift").isNotNull()).groupBy("team", *span).agg(F.sum("shift").alias("shift"))
+    daily = spans.select("team", "match_date", "shift", F.explode(F.sequence("_day", "_until")).alias("date"))
+    weight = t.fade(F.date_diff("match_date", "date"), c.DRIFT_FADE_DAYS)
+    return daily.where(weight > 0).groupBy("team", "date").agg(F.sum(F.col("shift") * weight).alias("drift"))
 
 
 def played_days(fixtures: DataFrame) -> DataFrame:

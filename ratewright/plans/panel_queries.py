@@ -12,6 +12,7 @@ from ratewright.operators import settle as st
 from ratewright.plans.rating_queries import futures
 from ratewright.plans.registry import fragment, query, rnd, sql
 from ratewright.plans.shapes import fixtures, quotes, table
+from ratewright.session import durable
 
 START, END = "1995-01-01", "2001-08-31"
 BOOK = "book_1"
@@ -307,7 +308,9 @@ def league_means(spark, d):
 def model_ratings(spark, d):
     adv = pn.home_advantage(fixtures(spark, d)).first()["home_adv"]
     f, p = fixtures(spark, d), priors(spark, d)
-    med, pref = market(spark, d), market(spark, d, BOOK)
+    # Five steps read the market: the quotes behind it are picked once.
+    day_before = durable(pre_quotes(spark, d))
+    med, pref = k.preferred_consensus(day_before, None), k.preferred_consensus(day_before, BOOK)
     on_grid = pn.grid(p, START, END)
 
     def rated(odds, name):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratewright import config as c
 from ratewright.operators import bradley_terry as bt
 from ratewright.operators import consensus as k
+from ratewright.operators import panel as pn
 from ratewright.operators import reports as rp
 from ratewright.operators import resolve as rv
 from ratewright.operators import settle as st
@@ -304,3 +305,43 @@ def test_few_median_is_the_median_without_hash_tables(spark):
     assert out.where(~F.col("want").eqNullSafe(F.col("got"))).count() == 0
     books = df.select("fixture_id", *[F.col("p").alias(n) for n in ("p_home", "p_draw", "p_away")], F.lit(dt.datetime(2020, 1, 1)).alias("snapshot_time"))
     assert "percentile" not in k.median_consensus(books)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quote_drift_equals_brute_force_and_spreads_sums_only(spark):
+    rng = random.Random(8)
+    day = dt.date(2021, 3, 20)
+    fx = [(i, day + dt.timedelta(days=i % 3), f"T{i % 4}", f"T{(i + 1) % 4}") for i in range(40)]
+    fx += [fx[5], (41, None, "T0", "T1")]
+    quotes = [
+        (rng.randrange(43), f"b{rng.randrange(3)}", dt.datetime(2021, 3, 1) + dt.timedelta(hours=rng.randrange(500)), rng.choice([None, 0.0, 1.5, 2.0, 3.0]), 3.0, rng.choice([1.5, 2.5]))
+        for _ in range(400)
+    ]
+    fixtures = spark.createDataFrame(fx, "fixture_id long, date date, home_team string, away_team string")
+    q = spark.createDataFrame(quotes, "fixture_id long, bookmaker string, snapshot_time timestamp_ntz, home_odds double, draw_odds double, away_odds double")
+    for book in (None, "b1"):
+        want = {}
+        starts = sorted({(f, d) for f, d, _, _ in fx if d})
+        for f, start in starts:
+            times = sum(1 for g in fx if g[:2] == (f, start))
+            own = [x for x in quotes if x[0] == f and x[3] is not None and x[2].date() < start for _ in range(times)]
+            for back in range(1, 15):
+                on = start - dt.timedelta(days=back)
+                seen = [x for x in own if x[2].date() <= on]
+                liked = [x for x in seen if x[1] == book]
+                used = sorted(liked if len(liked) >= 2 else seen, key=lambda x: (x[2], x[1], x[3], x[5], x[4]))
+                weight = min(1.0, (back - 1) / c.DRIFT_FADE_DAYS)
+                if len(seen) < 2 or not weight or (used[-1][2] - used[0][2]).total_seconds() < c.DRIFT_MIN_HOURS * 3600:
+                    continue
+                for g in fx:
+                    for team, side in ((g[2], 3), (g[3], 5)) if g[0] == f else ():
+                        early, late = used[0][side], used[-1][side]
+                        if early > 0 and late > 0:
+                            want[team, on] = want.get((team, on), 0.0) + c.DRIFT_SCALE * (1 / late - 1 / early) * weight
+        drift = pn.quote_drift(fixtures, q, book)
+        got = {(x.team, x.date): x.drift for x in drift.collect()}
+        assert want and got.keys() == want.keys()
+        assert all(abs(got[x] - want[x]) < 1e-6 for x in want)
+        # Only sums per team and span are spread over days, never fixtures.
+        plan = drift._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("explode(sequence") :].splitlines()[1:]
+        assert "Aggregate [team" in next(x for x in below if "Aggregate" in x)
