@@ -1,9 +1,10 @@
 """Embedding near-duplicates by product quantisation: inverted lists, residual codes, table-lookup distances, exact rerank.
 
 Coarse centroids and the codebooks of residual subspaces are fitted on a bounded sample; every vector is then coded.
-Each vector has one home list and is also sent, with its code, to every list that may hold a vector near enough: a
+Each vector has one home list and may also be sent, with its code, to every list that may hold a vector near enough: a
 list's vectors lie beyond the plane midway between its centroid and the home one's, so a vector that lies farther than
-the radius from that plane is near none of them. Lists are probed in groups of neighbours, each vector once a group. In a
+the radius from that plane is near none of them. Lists are probed in groups of neighbours, each vector once a group, and of two
+groups only one is probed by the other's vectors. In a
 group every home vector makes its lookup tables and gets asymmetric distances to all coded ones; as each code's own error
 is known, a coded vector can only be near enough if its distance is at most the radius plus that error. What passes is
 reranked by exact cosine. Neither filter loses a pair, however the vectors lie.
@@ -32,6 +33,8 @@ WIDTH, CODES = 4, 256
 #: Rows of ``probed`` at once.
 SLAB = 1024
 HOME_ROWS, PROBE_ROWS = 2_048, 8_192
+#: Coded and home vectors whose distances are summed at once, so that the sums stay in the processor's cache.
+TILE, HOMES = 256, 64
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -98,7 +101,7 @@ def fit(x: np.ndarray, total: int, cosine: float, seed: int = 11) -> Quantiser:
 
 
 def links_in_list(homes: pd.DataFrame, probes: pd.DataFrame, model: Quantiser, cosine: float) -> pd.DataFrame:
-    """Counts (a, null, n) for home vectors and connecting links (a, b, null) of one group's piece."""
+    """Counts (a, null, n) and connecting links (a, b, null) of one group's piece; vectors from elsewhere are counted here too."""
     x, y = matrix(homes["own_vec"]), matrix(probes["vec"])
     x /= lengths(x)[:, None]
     y /= lengths(y)[:, None]
@@ -107,17 +110,21 @@ def links_in_list(homes: pd.DataFrame, probes: pd.DataFrame, model: Quantiser, c
     coded = model.parts(model.centers[probes["home"].to_numpy()]) + model.books[np.arange(len(model.books)), codes]
     size = (coded**2).sum(axis=(1, 2)).astype(np.float32)
     reach = ((np.sqrt(2 - 2 * cosine) + probes["error"].to_numpy() + 1e-4) ** 2).astype(np.float32)
+    bound, codes = 1 + size - reach, np.ascontiguousarray(codes.T, dtype=np.intp)
     own, other = homes["own"].to_numpy(), probes["id"].to_numpy()
-    weight = probes["copies"].to_numpy()
-    counts, child, root = [], [], []
-    for i in range(0, len(x), 256):
-        part = x[i : i + 256]
-        dot = (model.centers[uniq] @ part.T).astype(np.float32)[which]
+    weight, own_weight, elsewhere = probes["copies"].to_numpy(), homes["own_copies"].to_numpy(), probes["elsewhere"].to_numpy(dtype=bool)
+    counts, met, child, root = [], np.zeros(len(y)), [], []
+    for i in range(0, len(x), HOMES):
+        part = x[i : i + HOMES]
+        dot = (model.centers[uniq] @ part.T).astype(np.float32)
         # A code's entries for all home vectors lie side by side.
         tables = np.ascontiguousarray(np.einsum("nsw,scw->scn", model.parts(part), model.books), dtype=np.float32)
-        for s in range(len(tables)):
-            dot += tables[s][codes[:, s]]
-        near = (2 * dot >= (1 + size - reach)[:, None]).T
+        near, spare = np.empty((len(part), len(y)), dtype=bool), np.empty((TILE, len(part)), dtype=np.float32)
+        for j in range(0, len(y), TILE):
+            sums = dot[which[j : j + TILE]]
+            for table, code in zip(tables, codes[:, j : j + TILE], strict=True):
+                sums += np.take(table, code, axis=0, out=spare[: len(code)], mode="clip")
+            near[:, j : j + TILE] = (2 * sums >= bound[j : j + TILE, None]).T
         rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
         a, b = np.nonzero(near)
         if len(a) * 50 < len(rows) * len(cols):
@@ -131,11 +138,13 @@ def links_in_list(homes: pd.DataFrame, probes: pd.DataFrame, model: Quantiser, c
         keep = own[i + a] != other[b]
         a, b = a[keep], b[keep]
         counts.append(np.bincount(a, weight[b], minlength=len(part)))
+        met += np.bincount(b, own_weight[i + a], minlength=len(y))
         nodes, at = np.unique(np.concatenate([own[i + a], other[b]]), return_inverse=True)
         c, r = forest(len(nodes), at[: len(a)], at[len(a) :])
         child.append(nodes[c])
         root.append(nodes[r])
-    n = np.concatenate(counts).astype(np.int64)
+    own = np.concatenate([own, other[elsewhere]])
+    n = np.concatenate([*counts, met[elsewhere]]).astype(np.int64)
     child, root = np.concatenate(child), np.concatenate(root)
     none = [pd.NA]
     return pd.DataFrame(
@@ -179,8 +188,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     kind = dict(once.dtypes)["vec"]
     coded = stored(once.mapInPandas(place, f"vec {kind}, id long, copies long, home long, code binary, error double, group long, groups array<long>"), "coded")
-    homes = coded.select("group", F.col("id").alias("own"), F.col("vec").alias("own_vec"))
-    probes = coded.select(F.explode("groups").alias("group"), "id", "vec", "copies", "home", "code", "error")
+    homes = coded.select("group", F.col("id").alias("own"), F.col("vec").alias("own_vec"), F.col("copies").alias("own_copies"))
+    probes = coded.select(F.explode("groups").alias("group"), F.col("group").alias("from"), "id", "vec", "copies", "home", "code", "error")
+    # Two near vectors each reach the other's group: of two groups one takes in the other's vectors, by turns the greater and the smaller.
+    once_met = (F.col("group") < F.col("from")) == ((F.col("group") + F.col("from")) % 2 == 0)
+    elsewhere = F.col("group") != F.col("from")
+    probes = probes.where(~elsewhere | once_met).withColumn("elsewhere", elsewhere).drop("from")
     # A row for each group at most, so at most a sixteenth of the sample.
     home_cuts = homes.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / HOME_ROWS).cast("long").alias("h"))
     probe_cuts = probes.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).cast("long").alias("p"))

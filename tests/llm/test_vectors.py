@@ -1,6 +1,7 @@
 """Nearest neighbours, embedding links and components against brute force."""
 
 import numpy as np
+import pandas as pd
 
 from ratewright.llm import pq
 from ratewright.llm.ann import nearest
@@ -134,3 +135,21 @@ def test_links_inside_a_hot_group_are_all_found(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in near_duplicates(df).collect()}
     assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def test_a_piece_counts_the_links_of_vectors_from_elsewhere_too():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 16))
+    x[200:230] = x[rng.integers(0, 20, 30)] + 0.1 * rng.standard_normal((30, 16))
+    u = unit(x)
+    model = pq.fit(u, 300, 0.9)
+    home, codes, error = model.code(u[200:])
+    homes = pd.DataFrame({"own": range(200), "own_vec": list(x[:200]), "own_copies": 2})
+    probes = pd.DataFrame({"id": range(200, 300), "vec": list(x[200:]), "copies": 3, "home": home, "code": [c.tobytes() for c in codes], "error": error})
+    near = u[:200] @ u[200:].T >= 0.9
+    want = {i: 3 * n for i, n in enumerate(near.sum(axis=1).tolist()) if n}
+    back = {200 + j: 2 * n for j, n in enumerate(near.sum(axis=0).tolist()) if n}
+    assert want and back
+    for elsewhere, counted in ((False, want), (True, {**want, **back})):
+        found = pq.links_in_list(homes, probes.assign(elsewhere=elsewhere), model, 0.9)
+        assert dict(found.dropna(subset="n")[["a", "n"]].itertuples(index=False)) == counted
