@@ -31,22 +31,29 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from ratewright.llm.common import mix, slices
-from ratewright.llm.tokens import MARK, PRE_TOKEN
+from ratewright.llm.tokens import MARK
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
 STRIDE = np.uint64(0x589965CC75374CC3)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: What a character outside the vocabulary costs beyond the rarest piece, as the library has it.
 UNKNOWN_PENALTY = 10.0
-FILTER = 1 << 20
 #: Characters of words whose lattices a worker keeps from slice to slice; beyond that it starts anew.
 KEPT_CHARS = 1 << 20
 #: Words laid out at once, so that the arrays at work stay in the processor's cache.
 BLOCK_WORDS = 1 << 12
+#: Times that beginnings of pieces draw room among others in the trie's arrays.
+ROUNDS = 64
+#: Steps of a path that are looked at first for the regions beside it; more only where they don't settle which are best.
+FIRST_STEPS = 64
+#: No logarithm of Gumbel noise drawn from 53 bits lies below this.
+LEAST_EXPONENT = -37.5
 
 
 class Vocabulary:
-    """Pieces by length, as hashes; scores; and what each id decodes to."""
+    """Pieces by length; a trie of them; scores; and what each id decodes to.
+
+    A state of the trie is the place of its last character in two arrays: the state reached from ``s`` by a character of
+    class c is ``base[s] + c``, if ``parent`` there says s. All places of a block of words step through it together.
+    """
 
     def __init__(self, path: str):
         model = proto.ModelProto()
@@ -69,23 +76,76 @@ class Vocabulary:
         self.bytes = [p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else b"" for p in model.pieces]
         self.bytes_of = np.empty(len(self.bytes), dtype=object)
         self.bytes_of[:] = self.bytes
-        self.filter = np.zeros(FILTER, dtype=bool)
+        self.pieces = pa.array(self.bytes, pa.large_binary())
+        self._grow_trie([p.replace(MARK, " ") for _, p, _ in normal])
+        self.piece, self.score = np.full(len(self.base), -1, dtype=np.int32), np.zeros(len(self.base))
+        self.piece[self.states], self.score[self.states] = [i for i, _, _ in normal], score
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         lengths = np.array([len(p) for _, p, _ in normal])
         for n in sorted(set(lengths.tolist())):
             of = np.flatnonzero(lengths == n)
-            chars = np.frombuffer("".join(normal[i][1] for i in of).replace(MARK, " ").encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
-            h = ((chars.astype(np.uint64) + np.uint64(1)) * np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE)]))[None, :]).sum(axis=1, dtype=np.uint64)
-            h = mix(h + np.uint64(n))
-            order = np.argsort(h)
-            self.filter[(h & np.uint64(FILTER - 1)).astype(np.int64)] = True
-            self.by_length[n] = h[order], np.array([normal[i][0] for i in of], dtype=np.int32)[order], score[of][order]
+            self.by_length[n] = self.states[of], np.array([normal[i][0] for i in of], dtype=np.int32), score[of]
+
+    def _grow_trie(self, pieces: list[str]) -> None:
+        """Fill class_of, base, parent and the pieces' states. Beginnings with the most continuations draw their room first."""
+        number, above, last = {"": 0}, [], []
+        for p in pieces:
+            for n in range(1, len(p) + 1):
+                if p[:n] not in number:
+                    above.append(number[p[: n - 1]])
+                    last.append(ord(p[n - 1]))
+                    number[p[:n]] = len(number)
+        alphabet, kind = np.unique(np.array(last, dtype=np.int64), return_inverse=True)
+        # Class 0, of characters outside the alphabet, is no child's; place 0 is the root's.
+        self.class_of = np.zeros(0x110000, dtype=np.int32)
+        self.class_of[alphabet] = np.arange(1, len(alphabet) + 1)
+        above, kind, span = np.array(above, dtype=np.int64), kind.astype(np.int64) + 1, len(alphabet) + 1
+        order = np.argsort(above, kind="stable")
+        degree = np.bincount(above, minlength=len(number))
+        first = np.cumsum(degree) - degree
+        room = 1 << (2 * len(number)).bit_length()
+        taken = np.zeros(room + span, dtype=bool)
+        taken[0] = True
+        base, place, random = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64), np.random.default_rng(0)
+        for some in (np.flatnonzero((degree >= lo) & (degree < hi)) for lo, hi in ((64, 1 << 30), (16, 64), (4, 16), (1, 4))):
+            rounds = 0
+            while len(some):
+                count = degree[some]
+                owner = np.repeat(np.arange(len(some)), count)
+                child = order[np.arange(len(owner)) + np.repeat(first[some] - (np.cumsum(count) - count), count)]
+                if rounds < ROUNDS:
+                    base[some] = random.integers(0, room, len(some))
+                else:
+                    # What found no room among the others gets its own.
+                    base[some] = len(taken) + np.arange(len(some)) * span
+                    taken = np.concatenate([taken, np.zeros(len(some) * span, dtype=bool)])
+                rounds += 1
+                to = base[some][owner] + kind[child]
+                # Of several that want a place the first may have it; each needs all of its places.
+                winner = np.full(len(taken), len(some))
+                np.minimum.at(winner, to, owner)
+                lost = np.bincount(owner, taken[to] | (winner[to] != owner), minlength=len(some)) > 0
+                kept = ~lost[owner]
+                taken[to[kept]] = True
+                place[child[kept] + 1] = to[kept]
+                some = some[lost]
+        self.base, self.parent = np.zeros(len(taken), dtype=np.int32), np.full(len(taken), -1, dtype=np.int32)
+        self.base[place] = base
+        self.parent[place[1:]] = place[above]
+        self.states = place[[number[p] for p in pieces]]
 
     def decode(self, ids) -> bytes:
         """The text of an encoding: pieces joined, word marks as spaces, the first one left out."""
         raw = b"".join(self.bytes_of[np.asarray(ids, dtype=np.int64)].tolist())
         return raw[1:] if raw[:1] == b" " else raw
 
+    def decode_all(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """The texts of encodings that lie one after the other."""
+        found = self.pieces.take(pa.array(ids, pa.int32()))
+        bounds = np.frombuffer(found.buffers()[1], dtype=np.int64)[found.offset + cuts].tolist() if len(ids) else [0] * len(cuts)
+        raw = memoryview(found.buffers()[2] or b"")
+        return [bytes(raw[a + 1 : b] if a < b and raw[a] == 32 else raw[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -112,11 +172,12 @@ class Lattices:
         self.of = self.target = self.piece = np.empty(0, dtype=np.int32)
         self.start = self.end = np.empty(0, dtype=np.int64)
         self.first, self.log_q, self.reach = np.zeros(1, dtype=np.int64), np.empty(0), np.empty(0)
+        self.room: dict[str, np.ndarray] = {}
         self.chars = 0
         self.add(words)
 
     def add(self, words: list[str]) -> None:
-        arrays = {name: [getattr(self, name)] for name in ("of", "target", "piece", "log_q", "reach", "first", "start", "end")}
+        arrays = {name: [] for name in ("of", "target", "piece", "log_q", "reach", "first", "start", "end")}
         nodes, edges = len(self.first) - 1, len(self.of)
         for i in range(0, len(words), BLOCK_WORDS):
             some = words[i : i + BLOCK_WORDS]
@@ -126,7 +187,22 @@ class Lattices:
                 parts.append(more)
             nodes, edges, self.chars = nodes + len(first) - 1, edges + len(of), self.chars + len(first) - 1 - len(some)
         for name, parts in arrays.items():
-            setattr(self, name, np.concatenate(parts))
+            self._append(name, parts)
+
+    def _append(self, name: str, parts: list[np.ndarray]) -> None:
+        """Lengthen an array within its room, which at least doubles when it is full."""
+        now = getattr(self, name)
+        size = len(now) + sum(map(len, parts))
+        room = self.room.get(name, now)
+        if len(room) < size:
+            room = np.empty(max(size, 2 * len(room)), dtype=now.dtype)
+            room[: len(now)] = now
+            self.room[name] = room
+        at = len(now)
+        for x in parts:
+            room[at : at + len(x)] = x
+            at += len(x)
+        setattr(self, name, room[:size])
 
     def _laid_out(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """of, target, piece, log_q, reach, first, start and end of these words alone."""
@@ -136,58 +212,54 @@ class Lattices:
         n = len(chars)
         ends = np.cumsum(length)
         left = np.repeat(ends, length) - np.arange(n)
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), BASE)]))[:n]
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), INVERSE)]))[:n]
-        prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * power, out=prefix[1:])
         node = np.arange(n) + np.repeat(np.arange(len(words)), length)
-        source, target, piece, weight = [], [], [], []
+        kind = vocab.class_of[chars]
+        nodes = n + len(words)
+        degree = np.zeros(nodes, dtype=np.int64)
+        found, at, state, size = [], np.arange(n), np.zeros(n, dtype=np.int32), 0
         single = np.zeros(n, dtype=bool)
-        at = np.arange(n)
-        for size, (hashes, ids, scores) in vocab.by_length.items():
-            at = at[left[at] >= size]
-            if not len(at):
-                break
-            h = mix((prefix[at + size] - prefix[at]) * back[at] + np.uint64(size))
-            maybe = np.flatnonzero(vocab.filter[(h & np.uint64(FILTER - 1)).astype(np.int64)])
-            found = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
-            hit = hashes[found] == h[maybe]
-            p, found = at[maybe[hit]], found[hit]
+        while len(at):
+            to = vocab.base[state] + kind[at + size]
+            going = np.flatnonzero(vocab.parent[to] == state)
+            at, state, size = at[going], to[going], size + 1
+            hit = np.flatnonzero(vocab.piece[state] >= 0)
+            p, reached = at[hit], state[hit]
             if size == 1:
                 single[p] = True
-            source.append(node[p])
-            target.append(node[p] + size)
-            piece.append(ids[found].astype(np.int64))
-            weight.append(alpha * scores[found])
-        alone = np.flatnonzero(~single)
-        source.append(node[alone])
-        target.append(node[alone] + 1)
+            found.append((node[p], size, vocab.piece[reached], alpha * vocab.score[reached]))
+            degree[found[-1][0]] += 1
+            more = np.flatnonzero(left[at] > size)
+            at, state = at[more], state[more]
         # A character outside the vocabulary is spelt in bytes: -1 less its code point.
-        piece.append(-1 - chars[alone].astype(np.int64))
-        weight.append(np.full(len(alone), alpha * vocab.unknown))
+        alone = np.flatnonzero(~single)
+        found.append((node[alone], 1, -1 - chars[alone].astype(np.int64), np.full(len(alone), alpha * vocab.unknown)))
+        degree[node[alone]] += 1
         # Longest pieces first: they are the likelier ones, so choosing mostly ends at a node's first edge.
-        source, target, weight, piece = (np.concatenate(x[::-1]) for x in (source, target, weight, piece))
-        order = np.argsort(source, kind="stable")
-        of, target, piece, weight = source[order], target[order], piece[order], weight[order]
-        nodes = n + len(words)
-        degree = np.bincount(of, minlength=nodes)
         first = np.concatenate([[0], np.cumsum(degree)])
+        of, free = np.repeat(np.arange(nodes), degree), first[:-1].copy()
+        target, piece, weight = np.empty(len(of), dtype=np.int64), np.empty(len(of), dtype=np.int64), np.empty(len(of))
+        for source, size, ids, scores in reversed(found):
+            to = free[source]
+            free[source] += 1
+            target[to], piece[to], weight[to] = source + size, ids, scores
         start = np.concatenate([[0], ends[:-1]]) + np.arange(len(words)) if len(words) else ends
         end = start + length
         # Backward log sums, all nodes at one distance from their word's end together.
         distance = np.zeros(nodes, dtype=np.int64)
         distance[node] = left
+        top = int(distance.max(initial=0))
+        by = np.argsort(distance.astype(np.uint16) if top < 1 << 16 else distance, kind="stable")
+        cuts = np.searchsorted(distance[by], np.arange(top + 2))
+        count = degree[by]
+        begin = np.concatenate([[0], np.cumsum(count)])
+        edges = np.arange(len(of)) + np.repeat(first[by] - begin[:-1], count)
+        far, near = target[edges], weight[edges]
         beta = np.zeros(nodes)
-        by = np.argsort(distance, kind="stable")
-        cuts = np.searchsorted(distance[by], np.arange(distance.max(initial=0) + 2))
-        for d in range(1, len(cuts) - 1):
-            some = by[cuts[d] : cuts[d + 1]]
-            count = degree[some]
-            begin = np.cumsum(count) - count
-            edges = np.arange(int(count.sum())) - np.repeat(begin - first[some], count)
-            t = weight[edges] + beta[target[edges]]
-            top = np.maximum.reduceat(t, begin)
-            beta[some] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, count)), begin))
+        for a, b in zip(cuts[1:-1].tolist(), cuts[2:].tolist(), strict=True):
+            lo, hi = begin[a], begin[b]
+            t = near[lo:hi] + beta[far[lo:hi]]
+            top = np.maximum.reduceat(t, begin[a:b] - lo)
+            beta[by[a:b]] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, count[a:b])), begin[a:b] - lo))
         log_q = np.minimum(weight + beta[target] - beta[of], 0.0)
         reach, some, j = np.exp(log_q), np.flatnonzero(degree > 1), 1
         while len(some):
@@ -207,21 +279,22 @@ class Lattices:
         return e
 
     def walk(self, node: np.ndarray, end: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(walker, edge) of random paths from nodes to ends, in the order of walkers and steps. Noise: a number for each walker."""
-        who, edges, active, step = [], [], np.flatnonzero(node < end), 0
+        """Random paths from nodes to ends: steps of each walker, and edges in the order of walkers and steps. Noise: a number for each walker."""
+        steps, taken, active, step = np.zeros(len(node), dtype=np.int64), [], np.flatnonzero(node < end), 0
         node = node.copy()
         while len(active):
             e = self.choose(node[active], uniform(noise[active] + np.uint64(step)))
-            who.append(active)
-            edges.append(e)
-            node[active] = self.target[e]
-            active = active[node[active] < end[active]]
+            taken.append((active, e))
+            to = self.target[e]
+            node[active] = to
             step += 1
-        if not who:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        who, edges = np.concatenate(who), np.concatenate(edges)
-        order = np.argsort(who, kind="stable")
-        return who[order], edges[order]
+            steps[active] = step
+            active = active[to < end[active]]
+        begin = np.cumsum(steps) - steps
+        edges = np.empty(int(steps.sum()), dtype=np.int64)
+        for step, (who, e) in enumerate(taken):
+            edges[begin[who] + step] = e
+        return steps, edges
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -229,10 +302,15 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def below(bound, place, u):
-    """Gumbel noise at log masses ``place``, given that it lies below ``bound``."""
+def exponents(place, u):
+    """Logs of the exponential variables behind Gumbel noise at log masses ``place``: the smaller, the greater the noise."""
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        return np.log(-np.log(u)) - place
+
+
+def below(bound, exponent):
+    """Gumbel noise of an exponent, given that it lies below ``bound``."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        exponent = np.log(-np.log(u)) - place
         return -np.logaddexp(-bound, exponent)
 
 
@@ -261,9 +339,38 @@ class Row:
 
 
 def _cut_up(rows: list[Row], leaf: int, lattices: Lattices, since: list[int], avoided: list[tuple], k: int) -> None:
-    """Push the regions beside each row's newest path from a step on: as many of the best as can still be popped."""
-    paths = [row.paths[-1] for row in rows]
-    tails = [p.edges[a:] for p, a in zip(paths, since, strict=True)]
+    """Push the regions beside each row's newest path from a step on: as many of the best as can still be popped.
+
+    A region's mass falls with every step before it, and noise is bounded, so the first steps mostly hold the best ones;
+    rows where later steps might reach them are looked at again, further on.
+    """
+    before = []
+    for row in rows:
+        # Sums run row by row, so that a row's values don't depend on the rows beside it.
+        run = np.cumsum(lattices.log_q[row.paths[-1].edges])
+        row.paths[-1].log_prob = float(run[-1]) if len(run) else 0.0
+        before.append(np.concatenate([[0.0], run]))
+    todo = [x for x in zip(rows, since, avoided, before, strict=True) if len(x[0].paths) <= k and len(x[0].paths[-1].edges) > x[1]]
+    steps = FIRST_STEPS
+    while todo:
+        again = []
+        for x, exponent in zip(todo, _beside(todo, leaf, lattices, steps), strict=True):
+            row, a, shut, run = x
+            edges, noisy, seen = row.paths[-1].edges, row.paths[-1].noisy, len(exponent)
+            want = min(k + 1 - len(row.paths), len(edges) - a)
+            if a + seen < len(edges) and (seen < want or np.partition(exponent, want - 1)[want - 1] >= LEAST_EXPONENT - run[a + seen]):
+                again.append(x)
+                continue
+            for j in np.argpartition(exponent, want - 1)[:want].tolist():
+                if exponent[j] < np.inf:
+                    value, e = float(below(noisy, exponent[j])), int(edges[a + j])
+                    heapq.heappush(row.regions, (-value, leaf, len(row.regions), len(row.paths) - 1, a + j, (*shut, e) if j == 0 else (e,), float(run[a + j])))
+        steps, todo = 16 * steps, again
+
+
+def _beside(some: list[tuple], leaf: int, lattices: Lattices, steps: int) -> Iterator[np.ndarray]:
+    """For each (row, step, edges to avoid there, log masses of beginnings) the exponents of the regions beside its newest path, so many steps from that one on."""
+    tails = [row.paths[-1].edges[a : a + steps] for row, a, _, _ in some]
     count = np.array([len(t) for t in tails])
     cuts = np.concatenate([[0], np.cumsum(count)])
     e = np.concatenate(tails)
@@ -272,35 +379,23 @@ def _cut_up(rows: list[Row], leaf: int, lattices: Lattices, since: list[int], av
         aside = np.log1p(-np.minimum(np.exp(log_q), 1.0))
     # An only continuation leaves nothing beside it, whatever rounding says.
     aside[lattices.first[node + 1] - lattices.first[node] == 1] = -np.inf
-    before = []
-    for i, (path, a) in enumerate(zip(paths, since, strict=True)):
-        # Sums run row by row, so that a row's values don't depend on the rows beside it.
-        run = np.cumsum(lattices.log_q[path.edges])
-        path.log_prob = float(run[-1]) if len(run) else 0.0
-        before.append(np.concatenate([[0.0], run[:-1]])[a : a + count[i]])
-        if count[i] and avoided[i]:
-            at, shut = cuts[i], {*avoided[i], int(e[cuts[i]])}
+    for at, (_, _, avoided, _) in zip(cuts.tolist(), some, strict=False):
+        if avoided:
+            shut = {*avoided, int(e[at])}
             rest = [x for x in range(int(lattices.first[node[at]]), int(lattices.first[node[at] + 1])) if x not in shut]
             aside[at] = np.log(np.exp(lattices.log_q[rest]).sum()) if rest else -np.inf
-    before = np.concatenate(before)
-    place = before + aside
-    begin = np.array([row.noise(leaf, 1, 1)[0] for row in rows], dtype=np.uint64)
+    place = np.concatenate([run[a : a + len(t)] for (_, a, _, run), t in zip(some, tails, strict=True)]) + aside
+    begin = np.array([row.noise(leaf, 1, 1)[0] for row, _, _, _ in some], dtype=np.uint64)
     step = (np.arange(len(e)) - np.repeat(cuts[:-1], count)).astype(np.uint64)
-    value = below(np.repeat([p.noisy for p in paths], count), place, uniform(np.repeat(begin, count) + step * STRIDE))
-    value[~np.isfinite(place)] = -np.inf
-    for i, row in enumerate(rows):
-        lo, own = int(cuts[i]), value[cuts[i] : cuts[i + 1]]
-        want = min(k + 1 - len(row.paths), len(own))
-        for j in np.argpartition(-own, want - 1)[:want].tolist() if want > 0 else []:
-            if np.isfinite(own[j]):
-                shut = (*avoided[i], int(e[lo])) if j == 0 else (int(e[lo + j]),)
-                heapq.heappush(row.regions, (-float(own[j]), leaf, len(row.regions), len(row.paths) - 1, since[i] + j, shut, float(before[lo + j])))
+    exponent = exponents(place, uniform(np.repeat(begin, count) + step * STRIDE))
+    exponent[~np.isfinite(place)] = np.inf
+    yield from np.split(exponent, cuts[1:-1])
 
 
 def search(rows: list[Row], lattices: Lattices, k: int) -> None:
     """Fill each row's k best noisy paths, fewer if it has fewer."""
     for leaf in range(k):
-        owner, nodes, ends, noise, heads = [], [], [], [], {}
+        nodes, ends, noise, heads = [], [], [], {}
         for r, row in enumerate(rows):
             if leaf == 0:
                 skip, first = 0, None
@@ -323,21 +418,19 @@ def search(rows: list[Row], lattices: Lattices, k: int) -> None:
             if first is not None:
                 begin = begin.copy()
                 begin[0] = first
-            owner.append(np.full(len(words), r))
             nodes.append(begin)
             ends.append(lattices.end[words])
-            noise.append(mix(row.noise(leaf, 4, len(row.words))[skip:]))
+            noise.append(row.noise(leaf, 4, len(row.words))[skip:])
         if not heads:
             return
-        count = np.array([len(x) for x in nodes])
-        who, edges = lattices.walk(np.concatenate(nodes), np.concatenate(ends), np.concatenate(noise))
-        bounds = np.searchsorted(who, np.concatenate([[0], np.cumsum(count)]))
-        offset = np.cumsum(count) - count
-        for i, (r, (head, head_words, noisy, since, avoided)) in enumerate(heads.items()):
-            row, tail, at = rows[r], edges[bounds[i] : bounds[i + 1]], who[bounds[i] : bounds[i + 1]] - offset[i]
-            word = at + len(row.words) - count[i]
-            all_edges = np.concatenate([head, tail])
-            row.paths.append(Path(all_edges, np.concatenate([head_words, word]), 0.0, noisy))
+        count = np.cumsum([0, *map(len, nodes)])
+        steps, edges = lattices.walk(np.concatenate(nodes), np.concatenate(ends), mix(np.concatenate(noise)))
+        bounds = np.concatenate([[0], np.cumsum(steps)])[count].tolist()
+        for i, (r, (head, head_words, noisy, _, _)) in enumerate(heads.items()):
+            row, tail = rows[r], edges[bounds[i] : bounds[i + 1]]
+            of = steps[count[i] : count[i + 1]]
+            word = np.repeat(np.arange(len(row.words) - len(of), len(row.words)), of)
+            row.paths.append(Path(np.concatenate([head, tail]), np.concatenate([head_words, word]), 0.0, noisy))
         _cut_up([rows[r] for r in heads], leaf, lattices, [h[3] for h in heads.values()], [h[4] for h in heads.values()], k)
 
 
@@ -366,15 +459,28 @@ class Sampler:
     def _start_anew(self) -> None:
         self.numbers, self.lattices = Numbers(), Lattices([], self.vocab, self.alpha)
 
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's words: spaces and what follows them, as a space before the text has it."""
+        raw = [b" " + t.replace(MARK, " ").encode() if t else b"" for t in texts]
+        data = b"".join(raw)
+        space = np.frombuffer(data, dtype=np.uint8) == 32
+        bounds = np.cumsum([0, *map(len, raw)])
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        begin = np.flatnonzero(begins)
+        # Only different words meet the memory.
+        words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.numbers.__getitem__, different), dtype=np.int64, count=len(different))[words.indices.to_numpy()]
+        return np.split(number, np.searchsorted(begin, bounds[1:-1])) if texts else []
+
     def segmented(self, texts: list[str], keys: list) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text its sampled encodings: (ids, log-probability, noisy value, log of the inclusion probability), best noisy value first."""
         if self.lattices.chars > KEPT_CHARS:
             self._start_anew()
-        known, number, rows = len(self.numbers), self.numbers.__getitem__, []
-        for text, key in zip(texts, keys, strict=True):
-            split = PRE_TOKEN.findall(" " + text.replace(MARK, " ")) if text else []
-            words = np.fromiter(map(number, split), dtype=np.int64, count=len(split))
-            rows.append(Row(xxhash.xxh64_intdigest(f"{self.seed}|{key}"), words))
+        known = len(self.numbers)
+        rows = [Row(xxhash.xxh64_intdigest(f"{self.seed}|{key}"), words) for key, words in zip(keys, self._words(texts), strict=True)]
         self.lattices.add(list(islice(self.numbers, known, None)))
         search(rows, self.lattices, self.k)
         out = []
@@ -423,11 +529,12 @@ def sampled(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
         for batch in slices(batches, text):
             texts = [t or "" for t in batch.column(at_text).to_pylist()]
             found = memory.segmented(texts, batch.column(at_key).to_pylist())
-            good = [all(vocab.decode(s[0]) == t.encode() for s in samples) for t, samples in zip(texts, found, strict=True)]
             cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = [s for samples in found for s in samples]
-            n = [len(s[0]) for s in flat]
-            first = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.concatenate([s[0] for s in flat]) if flat else np.empty(0, dtype=np.int32)))
+            ids, bounds = np.concatenate([s[0] for s in flat]) if flat else np.empty(0, dtype=np.int32), np.cumsum([0, *(len(s[0]) for s in flat)])
+            spelt_out = iter(vocab.decode_all(ids, bounds))
+            good = [all([next(spelt_out) == whole for _ in samples]) for whole, samples in zip((t.encode() for t in texts), found, strict=True)]
+            first = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             rest = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
             samples = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([first, *rest], fields=list(kind.value_type)))
             yield pa.RecordBatch.from_arrays([*batch.columns, samples, pa.array(good, pa.bool_())], names=[*batch.schema.names, "samples", "round_trip"])

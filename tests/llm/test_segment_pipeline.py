@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from ratewright.llm import quality, simhash
+from ratewright.llm import quality, segment, simhash
 from ratewright.llm.queries import QUERIES
 from ratewright.llm.segment import Sampler, decoded, encoder, sampled, segmented, vocabulary
 
@@ -86,6 +86,51 @@ def test_memory_of_lattices_changes_nothing(vocab, monkeypatch):
     assert [flat(x) for x in sampler.segmented(texts[:2], [0, 1]) + sampler.segmented(texts[2:], [2, 3, 4])] == alone
 
 
+def test_regions_are_cut_from_the_steps_that_can_matter(vocab, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghilmnorstu", k=rng.randrange(1, 12))) for _ in range(n)) for n in (4000, 300, 40, 1)] + ["x" * 2000, "☃" * 200 + " end", "日本 ☃" * 50]
+    flat = lambda runs: [[(s[0].tolist(), *s[1:]) for s in r] for r in runs]
+    drawn, plain = [], segment.exponents
+    monkeypatch.setattr(segment, "exponents", lambda place, u: drawn.append(len(place)) or plain(place, u))
+    some = flat(segmented(texts, range(7), vocab, 3, 0.5, 1))
+    few = sum(drawn)
+    monkeypatch.setattr(segment, "FIRST_STEPS", 1 << 40)
+    assert flat(segmented(texts, range(7), vocab, 3, 0.5, 1)) == some
+    # Noise is drawn for the regions beside a path's first steps, not beside all of them.
+    assert few * 5 < sum(drawn) - few
+    monkeypatch.setattr(segment, "FIRST_STEPS", 1)
+    assert flat(segmented(texts, range(7), vocab, 3, 0.5, 1)) == some
+
+
+@pytest.mark.parametrize("rounds", [64, 1, 0])
+def test_trie_holds_every_piece(monkeypatch, rounds):
+    monkeypatch.setattr(segment, "ROUNDS", rounds)
+    rng = random.Random(4)
+    pieces = sorted({"".join(rng.choices("abcd é☃", k=rng.randrange(1, 6))) for _ in range(900)} | {chr(c) for c in range(97, 200)})
+    trie = object.__new__(segment.Vocabulary)
+    trie._grow_trie(pieces)
+    state_of = dict(zip(pieces, trie.states.tolist(), strict=True))
+    assert len(set(state_of.values())) == len(pieces)
+    starts = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+    for text in [*pieces, *("".join(rng.choices("abcd é☃Z", k=6)) for _ in range(500))]:
+        state = 0
+        for n, c in enumerate(text, 1):
+            to = trie.base[state] + trie.class_of[ord(c)]
+            assert (trie.parent[to] == state) == (text[:n] in starts)
+            if trie.parent[to] != state:
+                break
+            state = to
+            assert state_of.get(text[:n], state) == state
+
+
+def test_words_are_split_at_spaces(vocab):
+    texts = ["a b", "", " a", "a ", "  a  b ", "b", " ", "é☃ a\n a", "a▁b"]
+    sampler = Sampler(vocab, 2, 0.5, 1)
+    words = [sampler._words(texts[:5]), sampler._words(texts[5:]), sampler._words([])]
+    spelt = {n: w for w, n in sampler.numbers.items()}
+    assert [[spelt[n] for n in x.tolist()] for some in words for x in some] == [re.findall(" +[^ ]*", " " + t.replace("▁", " ")) if t else [] for t in texts]
+
+
 def test_encodings_decode(spark):
     texts = [None, "", " ", "a", "Hello world\n\n  x", "\t tab", "é 漢字 \U0001f600 \x00", "x" * 3000, "word " * 20000, "   ", "▁literal mark"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (None, "no key")]
