@@ -19,7 +19,7 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,9 @@ class Vocabulary:
         self._grow_trie([p.replace(MARK, " ") for _, p, _ in normal])
         self.piece, self.score = np.full(len(self.base), -1, dtype=np.int32), np.zeros(len(self.base))
         self.piece[self.states], self.score[self.states] = [i for i, _, _ in normal], score
+        # The root stands for a character outside the vocabulary.
+        self.length, self.score[0] = np.ones(len(self.base), dtype=np.int64), self.unknown
+        self.length[self.states] = [len(p) for _, p, _ in normal]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         lengths = np.array([len(p) for _, p, _ in normal])
         for n in sorted(set(lengths.tolist())):
@@ -152,14 +155,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Numbers(dict):
-    """Numbers words in the order in which they are first met."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 class Lattices:
     """Lattices of distinct words side by side, more added as they come.
 
@@ -169,12 +164,16 @@ class Lattices:
 
     def __init__(self, words: list[str], vocab: Vocabulary, alpha: float):
         self.vocab, self.alpha = vocab, alpha
+        self.room: dict[str, np.ndarray] = {}
+        self.forget()
+        self.add(words)
+
+    def forget(self) -> None:
+        """Start without words, in the same room."""
         self.of = self.target = self.piece = np.empty(0, dtype=np.int32)
         self.start = self.end = np.empty(0, dtype=np.int64)
         self.first, self.log_q, self.reach = np.zeros(1, dtype=np.int64), np.empty(0), np.empty(0)
-        self.room: dict[str, np.ndarray] = {}
         self.chars = 0
-        self.add(words)
 
     def add(self, words: list[str]) -> None:
         arrays = {name: [] for name in ("of", "target", "piece", "log_q", "reach", "first", "start", "end")}
@@ -192,13 +191,13 @@ class Lattices:
     def _append(self, name: str, parts: list[np.ndarray]) -> None:
         """Lengthen an array within its room, which at least doubles when it is full."""
         now = getattr(self, name)
-        size = len(now) + sum(map(len, parts))
+        at = len(now)
+        size = at + sum(map(len, parts))
         room = self.room.get(name, now)
         if len(room) < size:
-            room = np.empty(max(size, 2 * len(room)), dtype=now.dtype)
-            room[: len(now)] = now
-            self.room[name] = room
-        at = len(now)
+            room = self.room[name] = np.empty(max(size, 2 * len(room)), dtype=now.dtype)
+        if not np.shares_memory(room, now):
+            room[:at] = now
         for x in parts:
             room[at : at + len(x)] = x
             at += len(x)
@@ -223,25 +222,26 @@ class Lattices:
             going = np.flatnonzero(vocab.parent[to] == state)
             at, state, size = at[going], to[going], size + 1
             hit = np.flatnonzero(vocab.piece[state] >= 0)
-            p, reached = at[hit], state[hit]
+            p = at[hit]
             if size == 1:
                 single[p] = True
-            found.append((node[p], size, vocab.piece[reached], alpha * vocab.score[reached]))
+            found.append((node[p], state[hit]))
             degree[found[-1][0]] += 1
             more = np.flatnonzero(left[at] > size)
             at, state = at[more], state[more]
         # A character outside the vocabulary is spelt in bytes: -1 less its code point.
         alone = np.flatnonzero(~single)
-        found.append((node[alone], 1, -1 - chars[alone].astype(np.int64), np.full(len(alone), alpha * vocab.unknown)))
+        found.append((node[alone], 0))
         degree[node[alone]] += 1
         # Longest pieces first: they are the likelier ones, so choosing mostly ends at a node's first edge.
         first = np.concatenate([[0], np.cumsum(degree)])
         of, free = np.repeat(np.arange(nodes), degree), first[:-1].copy()
-        target, piece, weight = np.empty(len(of), dtype=np.int64), np.empty(len(of), dtype=np.int64), np.empty(len(of))
-        for source, size, ids, scores in reversed(found):
-            to = free[source]
+        by_state = np.empty(len(of), dtype=np.int32)
+        for source, states in reversed(found):
+            by_state[free[source]] = states
             free[source] += 1
-            target[to], piece[to], weight[to] = source + size, ids, scores
+        target, piece, weight = of + vocab.length[by_state], vocab.piece[by_state], alpha * vocab.score[by_state]
+        piece[first[node[alone]]] = -1 - chars[alone].astype(np.int32)
         start = np.concatenate([[0], ends[:-1]]) + np.arange(len(words)) if len(words) else ends
         end = start + length
         # Backward log sums, all nodes at one distance from their word's end together.
@@ -270,12 +270,13 @@ class Lattices:
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by chance."""
-        e, last = self.first[node], self.first[node + 1] - 1
-        going = np.flatnonzero((u >= self.reach[e]) & (e < last))
+        e = self.first[node]
+        going = np.flatnonzero(u >= self.reach[e])
+        now, last, u = e[going], self.first[node[going] + 1] - 1, u[going]
         while len(going):
-            e[going] += 1
-            now = e[going]
-            going = going[(u[going] >= self.reach[now]) & (now < last[going])]
+            more = np.flatnonzero((u >= self.reach[now]) & (now < last))
+            e[going] = now
+            going, now, last, u = going[more], now[more] + 1, last[more], u[more]
         return e
 
     def walk(self, node: np.ndarray, end: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -454,10 +455,8 @@ class Sampler:
 
     def __init__(self, vocab: Vocabulary, k: int, alpha: float, seed: int):
         self.vocab, self.k, self.alpha, self.seed = vocab, k, alpha, seed
-        self._start_anew()
-
-    def _start_anew(self) -> None:
-        self.numbers, self.lattices = Numbers(), Lattices([], self.vocab, self.alpha)
+        self.numbers: dict[str, int] = {}
+        self.lattices = Lattices([], vocab, alpha)
 
     def _words(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's words: spaces and what follows them, as a space before the text has it."""
@@ -472,13 +471,17 @@ class Sampler:
         # Only different words meet the memory.
         words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
         different = words.dictionary.to_numpy(zero_copy_only=False)
-        number = np.fromiter(map(self.numbers.__getitem__, different), dtype=np.int64, count=len(different))[words.indices.to_numpy()]
-        return np.split(number, np.searchsorted(begin, bounds[1:-1])) if texts else []
+        number = np.fromiter(map(self.numbers.get, different, repeat(-1)), dtype=np.int64, count=len(different))
+        new, known = np.flatnonzero(number < 0), len(self.numbers)
+        number[new] = np.arange(known, known + len(new))
+        self.numbers.update(zip(different[new].tolist(), number[new].tolist(), strict=True))
+        return np.split(number[words.indices.to_numpy()], np.searchsorted(begin, bounds[1:-1])) if texts else []
 
     def segmented(self, texts: list[str], keys: list) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text its sampled encodings: (ids, log-probability, noisy value, log of the inclusion probability), best noisy value first."""
         if self.lattices.chars > KEPT_CHARS:
-            self._start_anew()
+            self.numbers.clear()
+            self.lattices.forget()
         known = len(self.numbers)
         rows = [Row(xxhash.xxh64_intdigest(f"{self.seed}|{key}"), words) for key, words in zip(keys, self._words(texts), strict=True)]
         self.lattices.add(list(islice(self.numbers, known, None)))
