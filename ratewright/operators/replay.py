@@ -2,17 +2,19 @@
 
 Where the steps end follows from the results alone, so it is known before any rating is: it comes from one ordered scan
 over all fixtures. After that a league's ratings depend on its own teams only, as cup settlements look at no opponent.
-Leagues run side by side, each through its steps in order; the driver goes from epoch to epoch, a bounded number of
-fixtures each, and writes the state in between, from where a later call goes on.
+Leagues run side by side, each through its steps in order: a task reads a league's rows sorted by the day that needs
+them and holds the fixtures of one solve's window only. The driver goes from epoch to epoch, a bounded number of
+settlements each, and writes the state in between, from where a later call goes on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright import config as c
@@ -24,12 +26,15 @@ from ratewright.operators.ordered import ordered_scan
 from ratewright.operators.settlement import with_reasons
 from ratewright.session import durable, new_folder
 
-#: Most settled fixtures of an epoch: what bounds the rows of a league in one task. Each epoch is a few jobs of the driver's.
+#: Most settled fixtures of an epoch, after which the state is written. Each epoch is a few jobs of the driver's.
 EPOCH = 1_000_000
+#: Rows of log and history that a task gathers before it hands them on; new fixtures that it takes before it drops old ones.
+CHUNK = 10_000
 #: Teams up to which a league's curvature is kept as a matrix.
 SMALL = 32
 STATE = ["b_value", "r_network", "r_next", "r_market", "m1_value", "published_index"]
-ROWS = "kind string, league string, step long, fixture_id long, team_id string, opponent string, is_home boolean, competition string, day int, start double, at double, e double, s double, status string, v array<double>"
+#: ``turn``: the first day that needs a row. A fixture comes when the windows reach it, a next contest after the one before it.
+ROWS = "kind string, league string, turn int, step long, fixture_id long, team_id string, opponent string, is_home boolean, competition string, day int, start double, at double, e double, s double, status string, v array<double>"
 OUT = "kind string, league string, step long, fixture_id long, team_id string, e_kr double, s double, b_before double, delta_b double, v array<double>"
 
 
@@ -89,27 +94,48 @@ class _League:
     """One league's teams while its steps are walked.
 
     Fixtures and what is weighed of them do not depend on ratings, so sums per pair and next contests are worked out once a
-    day, however many steps end on it.
+    day, however many steps end on it. Fixtures come in the order of days, and leave when the windows have passed them.
     """
 
-    def __init__(self, teams: list[str], values: np.ndarray, fixtures: pd.DataFrame):
+    def __init__(self, teams: list[str], values: np.ndarray):
         self.b, self.network, self.next, self.market, self.m1, self.published = (x.tolist() for x in values.T)
-        f = fixtures.sort_values(["day", "at", "fixture_id"])
-        codes, names = pd.factorize(pd.concat([pd.Series(teams, dtype=object), f["team_id"], f["opponent"]]), sort=True)
-        place = {name: i for i, name in enumerate(teams)}
-        #: A name's place among the league's teams; others play against them only.
-        self.place = np.array([place.get(x, -1) for x in names], dtype=np.int64)
-        self.code, self.home, self.away = codes[: len(teams)].tolist(), codes[len(teams) : len(teams) + len(f)], codes[len(teams) + len(f) :]
-        self.days, self.at_, self.e, self.s = (f[n].to_numpy() for n in ("day", "at", "e", "s"))
-        self.done, self.due = (f["status"] == "finished").to_numpy(), (f["status"] == "upcoming").to_numpy()
-        known = np.flatnonzero(self.done | self.due)
-        known = known[np.lexsort((f["fixture_id"].to_numpy()[known], f["start"].to_numpy()[known], self.days[known]))]
-        side = np.concatenate([self.home[known], self.away[known]])
-        order = np.lexsort((np.tile(np.arange(len(known)), 2), side))
-        cuts = np.searchsorted(side[order], [self.code, [x + 1 for x in self.code]])
-        self.games = [(known[order[lo:hi] % max(len(known), 1)], order[lo:hi] < len(known)) for lo, hi in cuts.T]
+        #: Codes below ``n`` are the league's teams; others, numbered as they come, play against them only.
+        self.n, self.teams, self.codes = len(teams), teams, {name: i for i, name in enumerate(teams)}
+        self.others = 0
+        #: day, at, home, away, current and frozen score, whether finished: what the windows hold, and what came since.
+        self.held, self.came, self.new = [np.empty(0, dtype=kind) for kind in ("i4", "f8", "i8", "i8", "f8", "f8", "?")], [], 0
+        self.ahead: dict[int, tuple] = {}
         self.day, self.sums, self.nexts = None, None, []
 
+    def _code(self, name: str) -> int:
+        if name not in self.codes:
+            self.codes[name] = self.n + self.others
+            self.others += 1
+        return self.codes[name]
+
+    def _coded(self, names: np.ndarray) -> np.ndarray:
+        """Codes of names, -1 for none."""
+        at, found = pd.factorize(names)
+        return np.array([*map(self._code, found), -1], dtype=np.int64)[at]
+
+    def see(self, day, at, home, away, e, s, status) -> None:
+        """Fixtures, finished or upcoming, that the windows reach; no day before that is solved any more."""
+        self.came.append((day.astype("i4"), at.astype("f8"), self._coded(home), self._coded(away), e.astype("f8"), s.astype("f8"), status == "finished"))
+        self.new += len(day)
+        if self.new > max(CHUNK, len(self.held[0])):
+            self._keep(int(day[-1]) - c.WINDOW_DAYS)
+
+    def _keep(self, today: int) -> None:
+        """What came is held, and what the windows have passed by ``today`` is not."""
+        held = [np.concatenate(x) for x in zip(self.held, *self.came)]
+        lo = np.searchsorted(held[0], today - c.WINDOW_EXPANDED_DAYS)
+        self.held, self.came, self.new = [x[lo:] for x in held], [], 0
+
+    def expect(self, team: str, day: int, opponent: str, at_home: bool, e: float) -> None:
+        """A team's next contest, once the one before it has passed."""
+        if team in self.codes and (own := self.codes[team]) < self.n:
+            self.ahead[own] = (day, self.codes.get(opponent, -1) if opponent is not None else -1, at_home, e)
+
     def settle(self, i: int, e: float, s: float, cup: bool) -> tuple[float, float]:
         market = self.market[i]
         pull = 0.0 if cup or market != market else c.GRAVITY_V3
@@ -127,33 +153,31 @@ class _League:
     def _turn(self, today: int) -> None:
         if today == self.day:
             return
+        self._keep(today)
         self.day, self.sums, self.nexts = today, self._sums(today), []
-        for games, at_home in self.games:
-            k = np.searchsorted(self.days[games], today)
-            e = self.e[games[k]] if k < len(games) else np.nan
-            if e != e:
+        for name in self.teams:
+            day, other, at_home, e = self.ahead.get(self.codes[name], (today, -1, True, np.nan))
+            if day < today or e != e:
                 self.nexts.append(None)
                 continue
-            game, e = games[k], e if at_home[k] else 1 - e
-            e = min(0.99, max(0.01, float(e)))
-            other = self.away[game] if at_home[k] else self.home[game]
-            self.nexts.append((int(self.place[other]) if other >= 0 else -1, float(400.0 * np.log10(e / (1.0 - e))), -c.HOME_ADVANTAGE if at_home[k] else c.HOME_ADVANTAGE))
+            e = min(0.99, max(0.01, float(e if at_home else 1 - e)))
+            self.nexts.append((other if other < self.n else -1, float(400.0 * np.log10(e / (1.0 - e))), -c.HOME_ADVANTAGE if at_home else c.HOME_ADVANTAGE))
 
     def _sums(self, today: int) -> _Sums:
         """Fixtures of a solve at midnight of ``today``, weighed and summed by ordered pair."""
-        lo, hi = np.searchsorted(self.days, (today - c.WINDOW_EXPANDED_DAYS, today + c.WINDOW_DAYS + 1))
-        day, done, current, frozen = self.days[lo:hi], self.done[lo:hi], self.e[lo:hi], self.s[lo:hi]
+        lo, hi = np.searchsorted(self.held[0], (today - c.WINDOW_EXPANDED_DAYS, today + c.WINDOW_DAYS + 1))
+        day, at, home, away, current, frozen, done = (x[lo:hi] for x in self.held)
         wide = done & (day < today)
         near = wide & (day >= today - c.WINDOW_DAYS)
         chosen = wide if near.sum() < c.MIN_FIXTURES and wide.sum() > near.sum() else near
-        ahead = (done | self.due[lo:hi]) & (day >= today)
+        ahead = day >= today
         es = np.where(ahead, current, np.where(np.isnan(frozen), current, frozen))
-        age = today - self.at_[lo:hi]
+        age = today - at
         weight = np.where(ahead, 1 / (1 + np.maximum(0, -age) / c.AHEAD_SCALE_DAYS), 1 / (1 + np.maximum(0, age) / c.PAST_SCALE_DAYS))
-        home, away = self.home[lo:hi], self.away[lo:hi]
         use = (chosen | ahead) & ~np.isnan(es) & (home >= 0) & (away >= 0)
-        pairs, at = np.unique(home[use] * np.int64(len(self.place)) + away[use], return_inverse=True)
-        home, away = pairs // max(len(self.place), 1), pairs % max(len(self.place), 1)
+        known = max(self.n + self.others, 1)
+        pairs, at = np.unique(home[use] * np.int64(known) + away[use], return_inverse=True)
+        home, away = pairs // known, pairs % known
         teams = np.unique(np.concatenate([home, away]))
         return _Sums(int(use.sum()), teams, np.searchsorted(teams, home), np.searchsorted(teams, away), np.bincount(at, weight[use], len(pairs)), np.bincount(at, weight[use] * es[use], len(pairs)))
 
@@ -173,11 +197,11 @@ class _League:
             for i, b in enumerate(self.b):
                 self.m1[i], self.market[i], self.next[i], self.published[i] = 0.0, b, b, _r4(b)
             return
-        places = self.place[sums.teams].tolist()
-        prior = np.array([self.b[i] if i >= 0 else c.BASELINE_RATING for i in places])
+        places = sums.teams.tolist()
+        prior = np.array([self.b[i] if i < self.n else c.BASELINE_RATING for i in places])
         sigma = c.SIGMA_SPARSE if sums.used < c.MIN_FIXTURES else c.SIGMA_PRIOR
         rating = _mode(sums, prior, sigma) if len(prior) <= SMALL else newton(sums.home, sums.away, sums.w, sums.ws, prior, sigma).rating
-        self._overlay({i: _r4(x) for i, x in zip(places, rating.tolist()) if i >= 0})
+        self._overlay({i: _r4(x) for i, x in zip(places, rating.tolist()) if i < self.n})
 
     def refresh(self, today: int) -> None:
         self._turn(today)
@@ -187,45 +211,113 @@ class _League:
         return np.array([self.b, self.network, self.next, self.market, self.m1, self.published]).T
 
 
-def _walk(daily: bool):
-    """All steps of one league in one epoch."""
+class _Walk:
+    """A league on its way through its steps: rows go in as they come, ``out`` has frames of log, history and last state."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        league = pdf["league"].iloc[0]
-        states = pdf[pdf["kind"] == "state"].sort_values("team_id")
-        teams = states["team_id"].tolist()
-        values = np.array([[np.nan if x is None else x for x in v] for v in states["v"]], dtype=float).reshape(-1, len(STATE))
-        game = _League(teams, values, pdf[pdf["kind"] == "fixture"])
-        sides = pdf[pdf["kind"] == "side"].sort_values(["step", "day", "start", "fixture_id", "is_home"], ascending=[True, True, True, True, False])
-        clock = pdf[pdf["kind"] == "step"].sort_values("step")
-        at = {x: i for i, x in enumerate(teams)}
-        who, cup = [at[x] for x in sides["team_id"]], (sides["competition"] == "cup").tolist()
-        e, s = sides["e"].tolist(), sides["s"].tolist()
-        before, delta = np.empty(len(sides)), np.empty(len(sides))
-        steps, days = clock["step"].to_numpy(dtype=np.int64), clock["day"].to_numpy(dtype=np.int64)
-        own = sides["step"].to_numpy(dtype=np.int64)
-        kept, held = [], [np.empty((0, len(STATE)))]
-        for step, today, lo, hi in zip(steps.tolist(), days.tolist(), np.searchsorted(own, steps).tolist(), np.searchsorted(own, steps, "right").tolist()):
-            solve = False
-            for j in range(lo, hi):
-                before[j], delta[j] = game.settle(who[j], e[j], s[j], cup[j])
-                solve = solve or not cup[j]
-            game.store(set(who[lo:hi]))
-            if solve:
-                game.solve(today)
-            elif daily:
-                game.refresh(today)
+    def __init__(self, league: str, daily: bool):
+        self.league, self.daily = league, daily
+        self.states, self.game, self.touched, self.solve = [], None, set(), False
+        self.log, self.steps, self.held = [], [], []
+
+    def take(self, cols: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        """Rows in the order of ``_sorted``: states, then fixtures and next contests ahead of the steps that look at them, a step's sides before its end."""
+        kinds = cols["kind"]
+        group = np.where(kinds == "step", "side", kinds)
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(kinds)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = {n: x[lo:hi] for n, x in cols.items()}
+            if group[lo] == "state":
+                self.states += zip(part["team_id"], part["v"])
+                continue
+            game = self._begun()
+            if group[lo] == "fixture":
+                game.see(*(part[n] for n in ("day", "at", "team_id", "opponent", "e", "s", "status")))
+            elif group[lo] == "next":
+                for row in zip(*(part[n].tolist() for n in ("team_id", "day", "opponent", "is_home", "e"))):
+                    game.expect(*row)
             else:
+                yield from self._steps(game, part)
+
+    def _begun(self) -> _League:
+        if self.game is None:
+            teams = [team for team, _ in self.states]
+            self.game = _League(teams, np.array([[np.nan if x is None else x for x in v] for _, v in self.states], dtype=float).reshape(-1, len(STATE)))
+        return self.game
+
+    def _steps(self, game: _League, part: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for kind, step, fixture, team, competition, e, s, day in zip(*(part[n].tolist() for n in ("kind", "step", "fixture_id", "team_id", "competition", "e", "s", "day"))):
+            if kind == "side":
+                i, cup = game.codes[team], competition == "cup"
+                self.log.append((step, fixture, team, e, s, *game.settle(i, e, s, cup)))
+                self.touched.add(i)
+                self.solve = self.solve or not cup
                 continue
-            kept.append(step)
-            held.append(game.rows())
+            game.store(self.touched)
+            if self.solve:
+                game.solve(int(day))
+            elif self.daily:
+                game.refresh(int(day))
+            if self.solve or self.daily:
+                self.steps.append(step)
+                self.held.append(game.rows())
+            self.touched, self.solve = set(), False
+            if len(self.log) + len(self.steps) * game.n >= CHUNK:
+                yield from self._gathered()
+
+    def _gathered(self) -> Iterator[pd.DataFrame]:
+        teams = self._begun().teams
+        if self.log:
+            yield self._frame("log", **dict(zip(("step", "fixture_id", "team_id", "e_kr", "s", "b_before", "delta_b"), zip(*self.log))))
+        if self.steps and teams:
+            yield self._frame("history", step=np.repeat(self.steps, len(teams)), team_id=teams * len(self.steps), v=list(np.concatenate(self.held)))
+        self.log, self.steps, self.held = [], [], []
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        game = self._begun()
+        yield from self._gathered()
+        yield self._frame("state", team_id=game.teams, v=list(game.rows()))
+
+    def _frame(self, kind: str, **columns) -> pd.DataFrame:
         none = {n.split()[0]: None for n in OUT.split(", ")}
-        log = {"kind": "log", "step": own, "fixture_id": sides["fixture_id"].to_numpy(), "team_id": sides["team_id"].to_numpy(), "e_kr": sides["e"].to_numpy(), "s": sides["s"].to_numpy(), "b_before": before, "delta_b": delta}
-        history = {"kind": "history", "step": np.repeat(np.array(kept, dtype=np.int64), len(teams)), "team_id": teams * len(kept), "v": list(np.concatenate(held))}
-        state = {"kind": "state", "team_id": teams, "v": list(game.rows())}
-        parts = [pd.DataFrame({**none, "league": league, **part}, index=range(n)) for part, n in ((log, len(own)), (history, len(kept) * len(teams)), (state, len(teams)))]
         kinds = {"step": "Int64", "fixture_id": "Int64", **{n: "float64" for n in ("e_kr", "s", "b_before", "delta_b")}}
-        return pd.concat([p.astype(kinds) for p in parts if len(p)] or [parts[0].astype(kinds)])
+        return pd.DataFrame({**none, "kind": kind, "league": self.league, **columns}, index=range(len(columns["team_id"]))).astype(kinds)
+
+
+def _walks(daily: bool):
+    """All steps of an epoch, league after league, over the batches of a task's sorted rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk = None
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            cols = {n: pdf[n].to_numpy() for n in pdf.columns}
+            leagues = cols["league"]
+            cuts = [0, *(np.flatnonzero(leagues[1:] != leagues[:-1]) + 1).tolist(), len(leagues)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if walk is None or walk.league != leagues[lo]:
+                    if walk is not None:
+                        yield from walk.end()
+                    walk = _Walk(leagues[lo], daily)
+                yield from walk.take({n: x[lo:hi] for n, x in cols.items()})
+        if walk is not None:
+            yield from walk.end()
+
+    return run
+
+
+def _walk(daily: bool):
+    """The same for one league whose rows are in one frame, in any order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, nexts = pdf["kind"], pdf[pdf["kind"] == "next"].sort_values("day")
+        until = pdf["step"].map(pdf[kind == "step"].set_index("step")["day"])
+        after = (nexts.groupby("team_id")["day"].shift() + 1).fillna(pdf["day"].min()).reindex(pdf.index)
+        turn = np.select([kind == "fixture", kind.isin(["side", "step"]), kind == "next"], [pdf["day"] - c.WINDOW_DAYS, until, after], np.nan)
+        step = pdf["step"].where(kind.isin(["side", "step"]))
+        rows = pdf.assign(_turn=turn, _step=step, _at=pdf["at"].where(kind == "fixture", pdf["start"]), _away=pdf["is_home"].ne(True))
+        rows = rows.sort_values(["_turn", "_step", "kind", "day", "_at", "fixture_id", "_away", "team_id"], na_position="first")
+        return pd.concat(_walks(daily)(iter([rows])))
 
     return run
 
@@ -238,35 +330,46 @@ def _by(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def _next_games(games: DataFrame) -> DataFrame:
-    """(team_id, date, game): each team's first known contest of each day."""
-    rows = st.team_rows(games.where(F.col("status").isin("finished", "upcoming")).withColumn("game", F.struct(*games.columns)))
-    return rows.groupBy("team_id", "date").agg(F.min_by("game", F.struct("_start", "fixture_id")).alias("game"))
+    """(league, team_id, date, opponent, is_home, home_es, after): each team's first contest of each day, and the day of the one before."""
+    first = F.min_by(F.struct("opponent", "is_home", "home_es"), F.struct("_start", "fixture_id", ~F.col("is_home")))
+    days = st.team_rows(games.select("fixture_id", "league", "date", "_start", "home_es", "home_team", "away_team")).groupBy("league", "team_id", "date").agg(first.alias("_first"))
+    return days.select("league", "team_id", "date", "_first.*", F.lag("date").over(Window.partitionBy("league", "team_id").orderBy("date")).alias("after"))  # a row a day
 
 
 def _epoch_rows(sides: DataFrame, fixtures: DataFrame, nexts: DataFrame, state: DataFrame, clock: DataFrame, lo: int, hi: int) -> DataFrame:
-    """What the leagues need for an epoch that settles days ``lo`` to ``hi``: states, sides, clock, and the fixtures near it."""
+    """What the leagues need for an epoch that settles days ``lo`` to ``hi``: states, sides, clock, the fixtures near it, and each team's next ones."""
     first, last = (F.date_from_unix_date(F.lit(x)) for x in (lo - c.WINDOW_EXPANDED_DAYS, hi + c.WINDOW_DAYS + 1))
     day = F.unix_date("date")
-    # Beyond the windows only each team's next fixture counts.
-    beyond = nexts.where(F.col("date") > last).groupBy("team_id").agg(F.min_by("game", F.struct("game.date", "game._start", "game.fixture_id")).alias("game"))
-    near = fixtures.where(F.col("date").between(first, last)).unionByName(beyond.select("game.*").distinct())
+    near = fixtures.where(F.col("date").between(first, last))
+    # Those that are some team's next one on a day after ``lo`` and up to the day after ``hi``.
+    coming = nexts.where((day > lo) & (F.col("after").isNull() | (F.unix_date("after") <= hi)))
     names = [n.split()[0] for n in ROWS.split(", ")]
 
     def shaped(df, kind, **columns):
-        every = {**{n: F.lit(None) for n in names}, "kind": F.lit(kind), **columns}
+        every = {**{n: F.lit(None) for n in names}, "fixture_id": F.lit(0), "kind": F.lit(kind), **columns}
         return df.select([every[n].cast(k.split(" ", 1)[1]).alias(n) for n, k in zip(names, ROWS.split(", "))])
 
     start = F.unix_micros(F.col("_start").cast("timestamp"))
     parts = [
         shaped(state, "state", league=F.col("league"), team_id=F.col("team_id"), v=F.array(*[F.col(n).cast("double") for n in STATE])),
-        shaped(sides, "side", start=start, day=day, e=F.col("e_kr"), s=F.col("actual_score_s"), **{n: F.col(n) for n in ("league", "step", "fixture_id", "team_id", "is_home", "competition")}),
-        shaped(near, "fixture", start=start, day=day, team_id=F.col("home_team"), opponent=F.col("away_team"), at=F.col("_noon"), e=F.col("home_es"), s=F.col("home_expected_score"), **{n: F.col(n) for n in ("league", "fixture_id", "status")}),
-        shaped(clock, "step", day=F.col("until"), **{n: F.col(n) for n in ("league", "step")}),
+        shaped(sides, "side", turn=F.col("until"), start=start, day=day, e=F.col("e_kr"), s=F.col("actual_score_s"), **{n: F.col(n) for n in ("league", "step", "fixture_id", "team_id", "is_home", "competition")}),
+        shaped(near, "fixture", turn=day - c.WINDOW_DAYS, day=day, team_id=F.col("home_team"), opponent=F.col("away_team"), at=F.col("_noon"), e=F.col("home_es"), s=F.col("home_expected_score"), **{n: F.col(n) for n in ("league", "fixture_id", "status")}),
+        shaped(coming, "next", turn=F.greatest(F.unix_date("after") + 1, F.lit(lo)), day=day, e=F.col("home_es"), **{n: F.col(n) for n in ("league", "team_id", "opponent", "is_home")}),
+        shaped(clock, "step", turn=F.col("until"), day=F.col("until"), **{n: F.col(n) for n in ("league", "step")}),
     ]
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    return rows
+    return rows.where(F.col("league").isNotNull())
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Whole leagues in a task, each in the order in which its walk needs the rows: by turn, and within it what has no step, then step after step.
+
+    Kinds sort as they are needed: fixture before next, side before step. States have no turn, so they come first.
+    """
+    order = ["league", "turn", "step", "kind", "day", F.coalesce("at", "start"), "fixture_id", F.desc("is_home"), "team_id"]
+    return rows.repartition("league").sortWithinPartitions(*order).drop("turn", "start")
 
 
 def replay(fixtures: DataFrame, kr: DataFrame, current: DataFrame, state: DataFrame, every: int | None = 10, root: str | None = None) -> dict[str, DataFrame]:
@@ -285,32 +388,31 @@ def replay(fixtures: DataFrame, kr: DataFrame, current: DataFrame, state: DataFr
     settleable = reasoned.where(F.col("skipped_reason").isNull())
     steps = durable(steps_of(settleable, every))
     sides = st.team_rows(
-        settleable.drop("league").join(steps.drop("until"), "fixture_id"),
+        settleable.drop("league").join(steps, "fixture_id"),
         {"own_goals": ("home_goals", "away_goals"), "other_goals": ("away_goals", "home_goals"), "e_kr": ("home_expected_score", "away_expected_score"), "_open": ("home_open", "away_open")},
     )
     early = F.coalesce("commence_time", F.lit("0001-01-01").cast("timestamp_ntz"))
     homes = state.select("team_id", "league")
     sides = sides.where("_open").withColumns({"actual_score_s": tx.result_score("own_goals", "other_goals"), "_start": early}).join(homes, "team_id")
-    sides = _by(sides.select("epoch", "step", "league", "fixture_id", "team_id", "is_home", "competition", "date", "_start", "e_kr", "actual_score_s"), "epoch", "replay-sides")
+    sides = _by(sides.select("epoch", "step", "until", "league", "fixture_id", "team_id", "is_home", "competition", "date", "_start", "e_kr", "actual_score_s"), "epoch", "replay-sides")
     noon = F.unix_micros(t.kickoff_or_default("commence_time", "date", "12:00:00").cast("timestamp")) / 8.64e10
-    games = fixtures.where("competition = 'league'").select("fixture_id", "date", "league", "home_team", "away_team", "status", early.alias("_start"), noon.alias("_noon"))
+    leagues = homes.select("league").distinct()
+    games = fixtures.where("competition = 'league' AND status IN ('finished', 'upcoming')").join(F.broadcast(leagues), "league", "left_semi").select("fixture_id", "date", "league", "home_team", "away_team", "status", early.alias("_start"), noon.alias("_noon"))
     games = games.join(kr.select("fixture_id", "home_expected_score"), "fixture_id", "left").join(current.select("fixture_id", "home_es"), "fixture_id", "left")
     games = _by(games, "date", "replay-games")
     nexts = durable(_next_games(games))
     clocks = durable(steps.select("epoch", "step", "until").distinct())
     plan = sides.groupBy("epoch").agg(F.min(F.unix_date("date")).alias("lo"), F.max(F.unix_date("date")).alias("hi")).orderBy("epoch").collect()
-    leagues = homes.select("league").distinct()
     held = state.select("team_id", "league", *[(F.col(n) if n in state.columns else F.lit({"m1_value": 0.0}.get(n))).cast("double").alias(n) for n in STATE])
     held = durable(held.withColumn("published_index", F.coalesce("published_index", "b_value")))
     for e in plan:
         folder = f"{root}/epoch={e.epoch}"
         if not _written(spark, folder):
-            now = clocks.where(F.col("epoch") == e.epoch).select("step", "until")
+            due = sides.where(F.col("epoch") == e.epoch)
             # In daily steps every league has every step; else those in which it settles.
-            clock = now.join(F.broadcast(leagues)) if every is None else now.join(sides.where(F.col("epoch") == e.epoch).select("step", "league").distinct(), "step")
-            rows = _epoch_rows(sides.where(F.col("epoch") == e.epoch), games, nexts, held, clock, e.lo, e.hi)
-            known = rows.join(leagues, "league", "left_semi")
-            known.groupBy("league").applyInPandas(_walk(every is None), OUT).write.mode("overwrite").parquet(folder)
+            clock = clocks.where(F.col("epoch") == e.epoch).join(F.broadcast(leagues)) if every is None else due.select("step", "until", "league").distinct()
+            rows = _epoch_rows(due, games, nexts, held, clock, e.lo, e.hi)
+            _sorted(rows).mapInPandas(_walks(every is None), OUT).write.mode("overwrite").parquet(folder)
         states = spark.read.schema(OUT).parquet(folder).where("kind = 'state'")
         held = states.select("team_id", "league", *[F.when(~F.isnan(F.col("v")[i]), F.col("v")[i]).alias(n) for i, n in enumerate(STATE)])
     empty = spark.createDataFrame([], OUT)

@@ -10,6 +10,7 @@ from hypothesis import given
 from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
+from ratewright import config as c
 from ratewright.operators import bradley_terry as bt
 from ratewright.operators import cycle as cy
 from ratewright.operators import history as hs
@@ -491,6 +492,121 @@ def test_replay_of_nothing(spark):
     assert out["log"].collect() == [] and [(r.team_id, r.published_index) for r in out["state"].collect()] == [("a", 1500.0)]
 
 
+def long_walk(names, days, quiet):
+    """Rows of leagues of four teams, a contest every day and a step of three contests but in ``quiet`` days, in the order in which a walk needs them."""
+    rng, rows = random.Random(9), []
+    for lg in names:
+        teams, todo, at = [f"{lg}{i}" for i in range(4)], [], None
+        rows += [{"league": lg, "kind": "state", "team_id": x, "v": [1500.0, None, None, None, 0.0, 1500.0]} for x in teams]
+        for i in range(days):
+            (h, a), e = rng.sample(teams, 2), rng.uniform(0.2, 0.8)
+            todo.append((i - c.WINDOW_DAYS, -1, 0, {"kind": "fixture", "fixture_id": i, "team_id": h, "opponent": a, "day": i, "start": i, "at": i + 0.5, "e": e, "s": e, "status": "finished"}))
+            until = i // 3 * 3 + 3
+            if i in quiet:
+                continue
+            todo += [(until, i // 3, 0, {"kind": "side", "step": i // 3, "fixture_id": i, "team_id": x, "is_home": x == h, "competition": "league", "day": i, "start": i, "e": 0.5, "s": float(x == h)}) for x in (h, a)]
+            todo += [(until, i // 3, 1, {"kind": "step", "step": i // 3, "day": until})] * (i % 3 == 2)
+        last = {}
+        for i in range(days):
+            f = next(r for _, _, _, r in todo if r["kind"] == "fixture" and r["fixture_id"] == i)
+            for team, other in ((f["team_id"], f["opponent"]), (f["opponent"], f["team_id"])):
+                todo.append((last.get(team, -1) + 1, -1, 1, {"kind": "next", "team_id": team, "opponent": other, "is_home": team == f["team_id"], "day": i, "e": f["e"]}))
+                last[team] = i
+        rows += [r | {"league": lg} for _, _, _, r in sorted(todo, key=lambda x: x[:3])]
+    return pd.DataFrame([{n.split()[0]: None for n in rp.ROWS.split(", ")} | r for r in rows])
+
+
+def test_a_walk_holds_one_window_of_fixtures(monkeypatch):
+    days, quiet, read, seen, most = 600, range(210, 510), [], [], []
+    rows = long_walk(["L", "M"], days, quiet)
+    own, keep = rp._League._sums, rp._League._keep
+    monkeypatch.setattr(rp._League, "_sums", lambda self, today: seen.append(today) or own(self, today))
+    monkeypatch.setattr(rp._League, "_keep", lambda self, today: most.append(len(self.held[0]) + self.new) or keep(self, today))
+    monkeypatch.setattr(rp, "CHUNK", 50)
+
+    def batches():
+        for lo in range(0, len(rows), 20):
+            read.append(lo)
+            yield rows.iloc[lo : lo + 20].reset_index(drop=True)
+
+    out, early = [], []
+    for part in rp._walks(False)(batches()):
+        out.append(part)
+        early.append(read[-1])
+    # As much again may come before what has passed is dropped, in the quiet days too.
+    window = c.WINDOW_EXPANDED_DAYS + c.WINDOW_DAYS + 1
+    assert len(seen) == 2 * (days - len(quiet)) // 3 and max(most) <= 2 * (window + 20)
+    assert early[0] < len(rows) / 20 and max(map(len, out)) < 100
+    # What comes out is the same, however the rows are cut and whether a league's come sorted or not.
+    whole = pd.concat([rp._walk(False)(rows[rows["league"] == lg].sample(frac=1, random_state=4)) for lg in ("L", "M")])
+
+    def plain(frame, kind):
+        part = frame[frame["kind"] == kind].sort_values(["league", "step", "fixture_id", "team_id"])
+        return part[["league", "step", "fixture_id", "team_id", "b_before", "delta_b"]].astype(object).where(lambda x: x.notna(), None).values.tolist(), np.array([x for x in part["v"] if x is not None])
+
+    for kind, n in (("log", 4 * (days - len(quiet))), ("history", 8 * (days - len(quiet)) // 3), ("state", 8)):
+        (got, v), (want, w) = plain(pd.concat(out), kind), plain(whole, kind)
+        assert got == want and len(got) == n and np.array_equal(v, w, equal_nan=True)
+
+
+def test_rows_come_in_the_order_of_the_walk(spark):
+    rng, day = random.Random(2), lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    teams = {"A": ["a0", "a1", "a2"], "B": ["b0", "b1"]}
+    games = [(i, lg, *rng.sample(teams[lg], 2), rng.randrange(200)) for i in range(120) for lg in [rng.choice("AAB")]]
+    start = dt.datetime(2024, 1, 1)
+    fixtures = spark.createDataFrame([(i, day(d), lg, h, a, "finished", start, float(d), 0.5, 0.5) for i, lg, h, a, d in games], "fixture_id long, date date, league string, home_team string, away_team string, status string, _start timestamp_ntz, _noon double, home_expected_score double, home_es double")
+    sides = spark.createDataFrame([(d // 7, (day(d // 7 * 7 + 7) - dt.date(1970, 1, 1)).days, lg, i, x, x == h, "league", day(d), start, 0.5, 1.0) for i, lg, h, a, d in games for x in (h, a)], "step long, until int, league string, fixture_id long, team_id string, is_home boolean, competition string, date date, _start timestamp_ntz, e_kr double, actual_score_s double")
+    state = spark.createDataFrame([(x, lg, *[1500.0] * 6) for lg, xs in teams.items() for x in xs], ["team_id", "league", *rp.STATE])
+    lo, hi = ((day(x) - dt.date(1970, 1, 1)).days for x in (0, 199))
+    nexts = rp._next_games(fixtures)
+    rows = rp._sorted(rp._epoch_rows(sides, fixtures, nexts, state, sides.select("step", "until", "league").distinct(), lo, hi)).collect()
+    assert len(rows) == 5 + 240 + 120 + nexts.where(F.unix_date("date") > lo).count() + len({(lg, d // 7) for _, lg, _, _, d in games})
+    for lg, xs in teams.items():
+        # All of a league's rows stand together, states first.
+        at = [i for i, r in enumerate(rows) if r.league == lg]
+        mine = [rows[i] for i in at]
+        assert at == list(range(at[0], at[-1] + 1)) and [r.kind for r in mine[: len(xs)]] == ["state"] * len(xs)
+        here = [(i, h, a, (day(d) - dt.date(1970, 1, 1)).days) for i, g, h, a, d in games if g == lg]
+        came, awaited, settled = set(), {}, []
+        for r in mine:
+            if r.kind == "fixture":
+                came.add(r.fixture_id)
+            elif r.kind == "next":
+                awaited.setdefault(r.team_id, []).append(r.day)
+            elif r.kind == "side":
+                settled.append((r.step, r.day, r.fixture_id, not r.is_home))
+            elif r.kind == "step":
+                # What a solve at this day looks at has come, and little else.
+                assert {i for i, _, _, d in here if d <= r.day + c.WINDOW_DAYS} == came
+                assert len([x for x in settled if x[0] == r.step]) == 2 * len([i for i, _, _, d in here if (d - lo) // 7 == r.step])
+                for x in xs:
+                    due = min((d for _, h, a, d in here if x in (h, a) and d >= r.day), default=None)
+                    assert next((d for d in awaited.get(x, []) if d >= r.day), None) == due and (due is None or awaited[x][-1] == due)
+        assert settled == sorted(settled)
+
+
+def test_replay_hangs_on_no_borders_of_batches(spark):
+    rng = random.Random(6)
+    teams = {"A": ["a0", "a1", "a2", "a3"], "B": ["b0", "b1", "b2"]}
+    rows = []
+    for i in range(120):
+        lg, day = rng.choice("AB"), dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(150))
+        rows.append((i, day, dt.datetime.combine(day, dt.time(15)), lg, "league", *rng.sample(teams[lg], 2), f"{rng.randrange(3)}-{rng.randrange(3)}", rng.choice(["finished"] * 4 + ["upcoming", "live"])))
+    fixtures = spark.createDataFrame(rows, "fixture_id long, date date, commence_time timestamp_ntz, league string, competition string, home_team string, away_team string, score string, status string")
+    kr = spark.createDataFrame([(i, 0.3 + i % 5 / 10, 0.7 - i % 5 / 10, 3) for i in range(120)], "fixture_id long, home_expected_score double, away_expected_score double, bookmaker_count int")
+    current = spark.createDataFrame([(i, 0.25 + i % 7 / 20) for i in range(0, 120, 2)], "fixture_id long, home_es double")
+    state = spark.createDataFrame([(x, lg, 1500.0) for lg, xs in teams.items() for x in xs], "team_id string, league string, b_value double")
+    seen = []
+    for size in ("2000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            out = rp.replay(fixtures, kr, current, state, 5)
+            seen.append({n: sorted(map(str, df.collect())) for n, df in out.items()})
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert seen[0] == seen[1] and len(seen[0]["log"]) > 100 and len(seen[0]["history"]) > 100
+
+
 # --- solves of large leagues ----------------------------------------------------------------
 
 
