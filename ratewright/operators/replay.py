@@ -401,16 +401,15 @@ def replay(fixtures: DataFrame, kr: DataFrame, current: DataFrame, state: DataFr
     games = games.join(kr.select("fixture_id", "home_expected_score"), "fixture_id", "left").join(current.select("fixture_id", "home_es"), "fixture_id", "left")
     games = _by(games, "date", "replay-games")
     nexts = durable(_next_games(games))
-    clocks = durable(steps.select("epoch", "step", "until").distinct())
+    # In daily steps every league has every step; else those in which it settles.
+    clocks = sides.select("epoch", "step", "until", "league").distinct() if every else durable(steps.select("epoch", "step", "until").distinct()).join(F.broadcast(leagues))
     plan = sides.groupBy("epoch").agg(F.min(F.unix_date("date")).alias("lo"), F.max(F.unix_date("date")).alias("hi")).orderBy("epoch").collect()
     held = state.select("team_id", "league", *[(F.col(n) if n in state.columns else F.lit({"m1_value": 0.0}.get(n))).cast("double").alias(n) for n in STATE])
     held = durable(held.withColumn("published_index", F.coalesce("published_index", "b_value")))
     for e in plan:
         folder = f"{root}/epoch={e.epoch}"
         if not _written(spark, folder):
-            due = sides.where(F.col("epoch") == e.epoch)
-            # In daily steps every league has every step; else those in which it settles.
-            clock = clocks.where(F.col("epoch") == e.epoch).join(F.broadcast(leagues)) if every is None else due.select("step", "until", "league").distinct()
+            due, clock = (x.where(F.col("epoch") == e.epoch) for x in (sides, clocks))
             rows = _epoch_rows(due, games, nexts, held, clock, e.lo, e.hi)
             _sorted(rows).mapInPandas(_walks(every is None), OUT).write.mode("overwrite").parquet(folder)
         states = spark.read.schema(OUT).parquet(folder).where("kind = 'state'")
